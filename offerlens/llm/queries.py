@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import html_text, mixing, packing, permutation_index, quality_rules, secrets, simhash, token_counts
+from offerlens.llm import html_text, mixing, packing, permutation_index, quality_rules, rindex_dedup, secrets, simhash, token_counts
 from offerlens.llm.common import read
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rindex_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op2_source_mix, op3_secret_scan, op4_html_text, op5_nearest_vectors, op6_token_counts, op7_quality_rules, op9_simhash_groups, op10_sequence_packing,
+            op1_repeat_removal, op2_source_mix, op3_secret_scan, op4_html_text, op5_nearest_vectors, op6_token_counts, op7_quality_rules, op9_simhash_groups, op10_sequence_packing,
         )
     }
 
