@@ -15,7 +15,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from offerlens.llm.common import cut, id_and_bytes
+from offerlens.llm.common import cut, id_and_bytes, shuffle_partitions
 
 BLOCK_BYTES = 3 << 20
 #: Stands for a null id; the largest, so that nothing is a copy of it.
@@ -25,7 +25,7 @@ SCHEMA = "block long, n_bytes long, ids binary, sizes binary, body binary"
 
 
 def squeeze(data: bytes | memoryview) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def expand(data: bytes) -> bytes:
@@ -73,9 +73,27 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key and written to the checkpoint folder; plans that read it know that it is dealt so.
+
+    Only a plan that is fixed before it runs passes its partitioning on, hence the setting meanwhile.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(shuffle_partitions(df.sparkSession), key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """One row per block, written to the checkpoint folder, so that block numbers stay."""
-    return cut(id_and_bytes(docs).mapInArrow(_gather, SCHEMA))
+    """One row per block, written to the checkpoint folder, so that block numbers stay.
+
+    It is dealt out by block before that, and keeps this partitioning: what is grouped with it by
+    block later moves to it, and the texts don't move again.
+    """
+    return cut_by(id_and_bytes(docs).mapInArrow(_gather, SCHEMA), "block")
 
 
 def open_block(ids: bytes, sizes: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

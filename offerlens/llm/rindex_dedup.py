@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.llm.byte_blocks import NO_ID, blocks, expand, open_block, pack_ints, squeeze, unpack_ints
-from offerlens.llm.common import cut, shuffle_partitions
+from offerlens.llm.common import shuffle_partitions
 
 LENGTH = 50
 SEED = 20
@@ -214,13 +214,13 @@ def _equal_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mark, order, np.flatnonzero(new)
 
 
-FRAGMENTS = "block long, shard int, no binary, sizes binary, firsts binary, lasts binary, body binary"
+FRAGMENTS = "block long, shard long, no binary, sizes binary, firsts binary, lasts binary, body binary"
 _NAMES = ["block", "shard", "no", "sizes", "firsts", "lasts", "body"]
 
 
 def _send_fragments(shards: int):
     def send(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        """Rows with a shard are questions; the row with shard -1 is the block's own list of places."""
+        """Rows with a shard are questions; the one below zero is the block's own list of places, which comes back as it is."""
         out = []
         for row in mine.to_pylist():
             ids, ends, text = open_block(row["ids"], row["sizes"], row["body"])
@@ -247,7 +247,7 @@ def _send_fragments(shards: int):
             seed = np.where((each[chosen] == 2)[which[kept]], mark[kept] & _KEY, seed)
             # the places of a fragment are told by their differences, in ascending order
             spot = np.argsort(start, kind="stable")
-            out.append((row["block"], -1, pack_ints(no[spot]), pack_ints(windows[spot]), pack_ints(np.diff(start[spot], prepend=0)), b"", b""))
+            out.append((row["block"], -1 - row["block"], pack_ints(no[spot]), pack_ints(windows[spot]), pack_ints(np.diff(start[spot], prepend=0)), b"", b""))
             for shard, pick in _per_shard(seed, shards):
                 r = rows[kept[pick]]
                 body = r[:, :WIDEST][np.arange(WIDEST) < r[:, WIDEST:]]
@@ -258,7 +258,7 @@ def _send_fragments(shards: int):
                     )
                 )
         cols = list(zip(*out)) or [()] * 7
-        types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
         return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=_NAMES)
 
     return send
@@ -369,6 +369,8 @@ class RunIndex:
 
 
 def _answer_fragments(rows: pa.Table) -> pa.Table:
+    if rows.column("shard")[0].as_py() < 0:
+        return rows.select(_NAMES)
     block = rows.column("block").to_pylist()
     no = [unpack_ints(x).astype(np.int64) for x in rows.column("no").to_pylist()]
     sizes = np.concatenate([unpack_ints(x).astype(np.int64) for x in rows.column("sizes").to_pylist()])
@@ -407,7 +409,7 @@ def _answer_fragments(rows: pa.Table) -> pa.Table:
         if len(r):
             out.append((b, 0, pack_ints(numbers[of]), pack_ints(run_from[r] * 256 + run_to[r]), pack_ints(run_first[r].view(np.uint64)), b"", b""))
     cols = list(zip(*out)) or [()] * 7
-    types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    types = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
     return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=_NAMES)
 
 
@@ -473,9 +475,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT) ->
     n = max(shuffle_partitions(spark), shards)
     asked = whole.mapInArrow(_ask_seeds(shards), "shard int, block long, keys binary, n binary").repartition(n, "shard")
     verdicts = asked.groupBy("shard").applyInArrow(_answer_seeds(hot), "block long, shard int, verdict binary")
-    sent = cut(whole.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_send_fragments(shards), FRAGMENTS))
-    questions = sent.where("shard >= 0").repartition(n, "shard")
-    answers = questions.groupBy("shard").applyInArrow(_answer_fragments, FRAGMENTS)
-    back = sent.where("shard < 0").union(answers)
+    sent = whole.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_send_fragments(shards), FRAGMENTS)
+    back = sent.repartition(n, "shard").groupBy("shard").applyInArrow(_answer_fragments, FRAGMENTS)
     schema = RESULT + (", text string" if keep_text else "")
     return whole.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_finish(keep_text), schema)
