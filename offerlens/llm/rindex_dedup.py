@@ -214,6 +214,13 @@ def _equal_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mark, order, np.flatnonzero(new)
 
 
+def _seed_of(rows: np.ndarray) -> np.ndarray:
+    """The least seed hash of each row's first window, which all of its windows share."""
+    flat = _seed_hashes(np.ascontiguousarray(rows[:, :LENGTH]).ravel())
+    padded = np.concatenate([flat, np.zeros(SEED - 1, np.uint64)]).reshape(len(rows), LENGTH)
+    return padded[:, :SPAN].min(axis=1)
+
+
 FRAGMENTS = "block long, shard long, no binary, sizes binary, firsts binary, lasts binary, body binary"
 _NAMES = ["block", "shard", "no", "sizes", "firsts", "lasts", "body"]
 
@@ -384,8 +391,18 @@ def _answer_fragments(rows: pa.Table) -> pa.Table:
     least = np.minimum.reduceat(firsts[order], begin)
     one = texts[order[begin]]
     size = one[:, WIDEST].astype(np.int64)
-    index = RunIndex(one[:, :WIDEST][np.arange(WIDEST) < size[:, None]], size)
-    first = index.first_of_windows(least)
+    # a fragment that is the only one of its seed here shares its windows with no other
+    seed = _seed_of(one)
+    by_seed = np.argsort(seed, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], seed[by_seed][1:] != seed[by_seed][:-1]]))
+    company = np.empty(len(seed), np.int64)
+    company[by_seed] = np.repeat(np.diff(np.append(edge, len(seed))), np.diff(np.append(edge, len(seed))))
+    several = company > 1
+    first = np.repeat(least, size + 1)
+    if several.any():
+        some, long = one[several], size[several]
+        index = RunIndex(some[:, :WIDEST][np.arange(WIDEST) < long[:, None]], long)
+        first[np.repeat(several, size + 1)] = index.first_of_windows(least[several])
     # per distinct fragment: runs of windows with one first document
     head = np.cumsum(size + 1) - (size + 1)
     windows = size - LENGTH + 1
