@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import html_text, mixing, packing, permutation_index, quality_rules, rindex_dedup, secrets, simhash, token_counts
+from offerlens.llm import html_text, mixing, ngram_trie, packing, permutation_index, quality_rules, rindex_dedup, secrets, simhash, token_counts
 from offerlens.llm.common import read
 
 
@@ -46,6 +46,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read(spark, sf_dir, "documents"))
 
 
+def op8_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score(read(spark, sf_dir, "documents"))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -59,7 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_repeat_removal, op2_source_mix, op3_secret_scan, op4_html_text, op5_nearest_vectors, op6_token_counts, op7_quality_rules, op9_simhash_groups, op10_sequence_packing,
+            op1_repeat_removal, op2_source_mix, op3_secret_scan, op4_html_text, op5_nearest_vectors, op6_token_counts, op7_quality_rules, op8_ngram_scores, op9_simhash_groups, op10_sequence_packing,
         )
     }
 
