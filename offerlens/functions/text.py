@@ -73,7 +73,7 @@ _TAIL = r",\s*(.+?)\s+([A-Z]{2})\s+(\d{5})"
 def registry_key(address: Column) -> Column:
     """struct(zip, number, core) of a registry address, null if it can't be read: the last number that words follow, units cut off."""
     zip_code, head = F.regexp_extract(address, _TAIL, 3), F.regexp_extract(address, r"^(.*?)" + _TAIL, 1)
-    opening = r"^.*\b(\d+)(?:-\d+)?[A-Za-z]?\s+(?=[A-Za-z])"
+    opening = r"^.*(?<![\d-])\b(\d+)(?:-\d+)?[A-Za-z]?\s+(?=[A-Za-z])"
     number = F.regexp_extract(head, opening, 1)
     rest = F.regexp_replace(F.regexp_replace(head, opening, ""), r"(?i)\b(?:" + "|".join([*UNITS, "#"]) + r")\b.*$", "")
     core = street_core(rest)
