@@ -33,6 +33,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def quoted(df: DataFrame) -> list:
+    """The columns of df, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def id_and_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, body): the text as UTF-8 bytes, null as empty; other columns go, whatever their names."""
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import SPACE_CLASS, cut
+from offerlens.llm.common import cut, quoted
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -112,4 +112,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     taken = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).cast("int").alias("_copies"))
     taken = taken.withColumnRenamed("doc_id", "_taken_id")
     picked = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken_id")))
-    return picked.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return picked.select(*quoted(docs), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

@@ -42,79 +42,85 @@ RULES: tuple[tuple[str, str, float], ...] = (
 )
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once per row, wherever the optimizer moves the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
 
 
-def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns `_w` (words), the base counts and the ratios that RULES name."""
-    raw = F.coalesce(F.col(text), F.lit(""))
+def _repeat_words(w: Column) -> Column:
+    """Words of w within 3-word windows that occur twice or more.
+
+    The windows' hashes are sorted with their places, so that equal windows are neighbours; the
+    places that have an equal neighbour, in order, cover three words each.
+    """
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+    def places(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        same = lambda g, x, k: F.coalesce(F.get(g, k)["h"] == x["h"], F.lit(False))
+        return _let(pairs, lambda g: F.transform(F.filter(g, lambda x, k: same(g, x, k - 1) | same(g, x, k + 1)), lambda x: x["i"]))
+
+    def covered(h: Column) -> Column:
+        first = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
+        step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"))
+        walked = F.aggregate(F.sort_array(places(h)), first, step, lambda a: a["n"])
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(walked)
+
+    return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(_let(hashes, covered))
+
+
+def measures(text: Column) -> Column:
+    """struct of the base counts and the ratios that RULES name."""
+    raw = F.coalesce(text, F.lit(""))
     words = F.array_remove(F.split(raw, f"{SPACE_CLASS}+"), "")
     lines = F.filter(F.split(raw, "\n"), lambda line: line.rlike(WORD_CHAR))
-    step = docs.withColumns({"_w": words, "_l": lines})
-    # Hashes of the 3-word windows with their places, sorted, so that equal windows are neighbours.
-    # array(x) bound by a lambda evaluates x once; a plain reference would evaluate it for each element.
-    hashes = "transform(sequence(0, size(_w) - 3), i -> xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)))"
-    seen_again = (
-        "transform(array(sort_array(transform(h, (x, i) -> struct(x AS h, i AS i)))), g -> transform(filter(g, (x, k) -> "
-        "coalesce(get(g, k - 1).h = x.h, false) OR coalesce(get(g, k + 1).h = x.h, false)), x -> x.i))[0]"
-    )
-    covered = (
-        f"CASE WHEN size(_w) < 4 THEN 0L ELSE transform(array({hashes}), h -> CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE "
-        f"aggregate(sort_array({seen_again}), struct(-3 AS last, 0L AS n), "
-        "(a, p) -> struct(p AS last, a.n + least(3, p - a.last) AS n), a -> a.n) END)[0] END"
-    )
-    step = step.withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.concat_ws("", "_w")).cast("long"),
-            "n_symbols": F.regexp_count(raw, F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": F.expr(covered).cast("long"),
-            "_n_lines": F.size("_l"),
-            "_n_stop": F.size(F.filter("_w", lambda w: w.isin(*dict.fromkeys(STOP_WORDS)))),
-            "_uppers": F.regexp_count(raw, F.lit(r"\p{Lu}")),
+
+    def counted(s: Column) -> Column:
+        w, x = s["w"], s["l"]
+        counts = {
+            "n_words": F.size(w), "word_chars": F.length(F.concat_ws("", w)), "n_symbols": F.regexp_count(raw, F.lit(SYMBOLS)), "n_dup_lines": F.size(x) - F.size(F.array_distinct(x)),
+            "n_repeat_words": _repeat_words(w), "n_lines": F.size(x), "n_stop": F.size(F.filter(w, lambda v: v.isin(*dict.fromkeys(STOP_WORDS)))),
+            "n_upper": F.regexp_count(raw, F.lit(r"\p{Lu}")),
         }
-    )
-    n = F.col("n_words")
-    return step.withColumns(
-        {
-            "mean_word_length": _ratio(F.col("word_chars"), n),
-            "symbol_ratio": _ratio(F.col("n_symbols"), n),
-            "repeat_word_ratio": _ratio(F.col("n_repeat_words"), n),
-            "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("_n_lines")),
-            "stop_word_ratio": _ratio(F.col("_n_stop"), n),
-            "upper_ratio": _ratio(F.col("_uppers"), F.col("word_chars")),
+        return F.struct(*[c.cast("long").alias(n) for n, c in counts.items()])
+
+    def rated(c: Column) -> Column:
+        ratios = {
+            "mean_word_length": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"), "repeat_word_ratio": ("n_repeat_words", "n_words"),
+            "dup_line_ratio": ("n_dup_lines", "n_lines"), "stop_word_ratio": ("n_stop", "n_words"), "upper_ratio": ("n_upper", "word_chars"),
         }
-    )
+        kept = [c[n].alias(n) for n in COUNTS]
+        return F.struct(*kept, *[_ratio(c[a], c[b]).alias(n) for n, (a, b) in ratios.items()])
 
+    return _let(_let(F.struct(words.alias("w"), lines.alias("l")), counted), rated)
 
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _COMPARE = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
 
 
-def compile_rules(rules: tuple[tuple[str, str, float], ...] = RULES) -> Column:
-    """One boolean Column: true if the document meets every rule of the table."""
-    verdict = F.lit(True)
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+
+
+def compile_rules(m: Column, rules: tuple[tuple[str, str, float], ...] = RULES) -> Column:
+    """One boolean Column over the measures m: true if they meet every rule of the table."""
+    verdict = ~base_failed(m)
     for measure, sign, bound in rules:
-        verdict = verdict & _COMPARE[sign](F.col(measure), F.lit(bound))
+        verdict = verdict & _COMPARE[sign](m[measure], F.lit(bound))
     return verdict
 
 
 def quality(docs: DataFrame, rules: tuple[tuple[str, str, float], ...] = RULES) -> DataFrame:
     """(doc_id, counts, ratios, base_failed, kept) per row of docs."""
-    n = F.col("n_words")
-    failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
-    out = with_measures(docs.select("doc_id", "text")).withColumns({"base_failed": failed})
-    return out.withColumns({"kept": F.when(F.col("base_failed"), F.lit(False)).otherwise(compile_rules(rules))}).drop(
-        "text", "_w", "_l", "_n_lines", "_n_stop", "_uppers"
-    )
+    judged = _let(measures(F.col("text")), lambda m: F.struct(m.alias("m"), base_failed(m).alias("base_failed"), compile_rules(m, rules).alias("kept")))
+    return docs.select("doc_id", judged.alias("j")).select("doc_id", "j.m.*", "j.base_failed", "j.kept")
 
 
 def keep(docs: DataFrame, rules: tuple[tuple[str, str, float], ...] = RULES) -> DataFrame:
     """The rows of docs that pass, with their columns as they were."""
-    columns = docs.columns
-    helper = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text"))
-    n = F.col("n_words")
-    failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
-    judged = with_measures(helper).where(~failed & compile_rules(rules))
-    return judged.select("_row.*")
+    return docs.where(_let(measures(F.col("text")), lambda m: compile_rules(m, rules)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import cut, id_and_bytes, shuffle_partitions
+from offerlens.llm.common import cut, id_and_bytes, quoted, shuffle_partitions
 from offerlens.llm.components import connected_components
 
 RADIUS = 4
@@ -184,4 +184,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs.where("doc_id IS NOT NULL"))
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     one = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    return one.select(*quoted(docs)).union(docs.where("doc_id IS NULL"))
