@@ -1,6 +1,7 @@
 """Secrets, quality rules, token counts and HTML against brute force and the libraries."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -67,8 +68,10 @@ def test_quality_counts_are_those_of_brute_force(odd, rows, empty):
 
 
 def test_rules_keep_prose_and_drop_junk(spark):
-    prose = "The house on the hill is old, and it was built for a man with a dog. " * 1
-    clean = " ".join(f"{prose} Room {i} of the house has a view to the sea and was for the {i} guest." for i in range(8))
+    rng = random.Random(8)
+    nouns = "house hill dog sea view room guest door garden letter winter stone boat friend".split()
+    small = "the of a was with in and to for that it is".split()
+    clean = " ".join(f"{rng.choice(nouns)}{rng.randint(0, 99)} {rng.choice(small)}" for _ in range(80)) + "."
     junk = {2: "a### b$$$ c%%% " * 30, 3: "AN ALL CAPITAL SHOUT NUMBER " + " ".join(f"X{i}" for i in range(80)), 4: "same line\n" * 60, 5: "too short", 6: None}
     docs = spark.createDataFrame([(1, clean, "x")] + [(k, v, "x") for k, v in junk.items()], "doc_id long, text string, `_w` string")
     kept = quality_rules.keep(docs)
@@ -90,8 +93,6 @@ def test_token_counts_are_the_librarys(odd, rows, empty, model):
 
 
 def test_chunk_maps_compose_wherever_a_text_is_cut(model):
-    import random
-
     import sentencepiece
 
     sp, (machine, _), rng = sentencepiece.SentencePieceProcessor(model_file=model), token_counts.compiled(model), random.Random(3)
