@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from offerlens.llm import html_text, mixing, ngram_trie, packing, permutation_index, quality_rules, rindex_dedup, secrets, simhash, token_counts
 from offerlens.llm.common import read
+from offerlens.llm.oracle import oracle_sql
 
 
 def tokenizer_path(name: str) -> str:
@@ -68,5 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries", "tokenizer_path"]
