@@ -6,7 +6,7 @@ itself; so the last token after one more character is the one suffix token that
 last token before it. A state holds what later characters can depend on: the longest suffix that
 still begins some token, and for each position in it the last token and the number of tokens since.
 A transition emits the change of the token count, which sums to the count of the whole text.
-States are compiled when first reached and kept; their number is finite.
+States are numbered, compiled when first reached, and kept; their number is finite.
 
 Chunks. No piece holds the space mark after another character, so a space after a non-space, like a
 character outside the vocabulary, puts the transducer in a state that does not depend on what came
@@ -35,14 +35,14 @@ from offerlens.llm.common import id_and_bytes
 
 LIMIT = 4096
 CHUNK = 1 << 20
-MEMO = 600_000
-STATES = 200_000
+MEMO = 500_000
+STATES = 400_000
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 
 
 class State(NamedTuple):
-    """suffix: the longest suffix of the text that begins a longer token; last[j], since[j]: the last token j characters back, the tokens since then."""
+    """suffix: the longest suffix of the text that begins a longer token; last[j], since[j]: the last token j characters back, the tokens since then (blank where no token can start)."""
 
     suffix: str
     last: tuple[str | None, ...]
@@ -57,7 +57,7 @@ class ChunkMap(NamedTuple):
 
     head: str
     synced: bool
-    state: State
+    state: int
     count: int
 
 
@@ -73,8 +73,12 @@ class Transducer:
         self._pairs: dict[tuple[str, str], bool] = {}
         self.tokens = {p for p in scores if len(p) == 1 or self.encode(p) == (p,)}
         self.begins = {p[:k] for p in self.tokens for k in range(1, len(p))}
-        self._next: dict[tuple[State, str], tuple[State, int]] = {}
         self._memo: dict[str, int] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        """States are numbered; number 0 is the start. Each has a table of the characters met so far."""
+        self._states, self._numbers, self._next = [START], {START: 0}, [{}]
 
     def encode(self, text: str) -> tuple[str, ...]:
         """Merge by merge, as the definition has it; used on short strings to compile."""
@@ -90,17 +94,16 @@ class Transducer:
         if a is None:
             return True
         if (ok := self._pairs.get((a, b))) is None:
-            if len(self._pairs) > 4 * STATES:
+            if len(self._pairs) > STATES:
                 self._pairs.clear()
             ok = self._pairs[a, b] = self.encode(a + b) == (a, b)
         return ok
 
-    def step(self, state: State, char: str) -> tuple[State, int]:
-        """The next state and the tokens that char adds (it may take some away)."""
-        if (known := self._next.get((state, char))) is not None:
-            return known
+    def _compile(self, number: int, char: str) -> tuple[int, int]:
+        """The number of the next state and the tokens that char adds (it may take some away)."""
+        state = self._states[number]
         if char not in self.alphabet:
-            out = START, len(char.encode("utf-8", "replace")) if self.byte_fallback else 1
+            after, added = START, len(char.encode("utf-8", "replace")) if self.byte_fallback else 1
         else:
             text = state.suffix + char
             for k in range(1, len(text) + 1):
@@ -112,18 +115,23 @@ class Transducer:
             added = 1 - state.since[k - 1]
             cut = next((i for i in range(max(0, len(text) - self.longest + 1), len(text)) if text[i:] in self.begins), len(text))
             keep = len(text) - cut
-            last = (token, *state.last)[: keep + 1]
-            since = (0, *(x + added for x in state.since))[: keep + 1]
-            out = State(text[cut:], last, since), added
-        if len(self._next) > STATES:
-            self._next.clear()
-        self._next[state, char] = out
-        return out
-
-    def run(self, state: State, text: str) -> tuple[State, int]:
-        total, known = 0, self._next
+            # a token can only start where what follows begins one; what stands elsewhere is forgotten
+            open_ = [j == 0 or text[-j:] in self.begins for j in range(keep + 1)]
+            last = tuple(x if o else "" for x, o in zip((token, *state.last), open_))
+            since = tuple(x if o else 0 for x, o in zip((0, *(x + added for x in state.since)), open_))
+            after = State(text[cut:], last, since)
+        to = self._numbers.get(after)
+        if to is None:
+            to = self._numbers[after] = len(self._states)
+            self._states.append(after)
+            self._next.append({})
+        self._next[number][char] = to, added
+        return to, added
+
+    def run(self, state: int, text: str) -> tuple[int, int]:
+        total, tables = 0, self._next
         for char in text:
-            state, n = known.get((state, char)) or self.step(state, char)
+            state, n = tables[state].get(char) or self._compile(state, char)
             total += n
         return state, total
 
@@ -132,7 +140,7 @@ class Transducer:
 
     def _counted(self, run: str) -> int:
         if (n := self._memo.get(run)) is None:
-            n = self.run(START, run)[1]
+            n = self.run(0, run)[1]
             if len(self._memo) < MEMO and len(run) < 64:
                 self._memo[run] = n
         return n
@@ -146,9 +154,9 @@ class Transducer:
             if text and text[0] == MARK:  # more space marks may stand before it
                 head, runs = runs[0], runs[1:]
         if not runs:
-            return ChunkMap(head, False, START, 0)
+            return ChunkMap(head, False, 0, 0)
         count = sum(map(self._counted, runs[:-1]))
-        state, n = self.run(START, runs[-1])
+        state, n = self.run(0, runs[-1])
         return ChunkMap(head, True, state, count + n)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
@@ -159,12 +167,14 @@ class Transducer:
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         """Tokens of text, which has the space marks already."""
+        if len(self._states) > STATES:
+            self._clear()
         if len(text) <= chunk:
             memo = self._memo
             return sum([n if (n := memo.get(r)) is not None else self._counted(r) for r in self._runs(text)])
         maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
         whole = reduce(self.compose, maps)
-        return self.run(START, whole.head)[1] + (whole.count if whole.synced else 0)
+        return self.run(0, whole.head)[1] + (whole.count if whole.synced else 0)
 
 
 _MARK_RUNS = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|^[^{MARK}\n]+")
