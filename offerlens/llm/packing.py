@@ -20,6 +20,7 @@ one; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,12 +35,14 @@ from offerlens.llm.common import cut, id_and_bytes
 
 SIZE = 2048
 CLOSING = 0
-MEMO = 900_000
+MEMO = 400_000
 #: Documents that are encoded together.
 GROUP = 256
 #: Pieces of one length and salt that one task ranks, about.
 RANKED = 500_000
 TOKENIZER = "word_bpe_49k.json"
+#: Letters that are in normal form and lower case as they stand.
+_LATIN = re.compile(r"([a-zß-öø-ÿ]+)([.,]?)")
 
 
 class Encoder:
@@ -54,16 +57,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.packed = [struct.Struct(f"<{n}I").pack for n in range(32)]
         self.memo: dict[bytes, bytes] = {}
+        # the tokenizer's letters for the bytes of accented characters, and the ids of the two marks
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in printable]
+        self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.marks = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ("", ".", ",")}
         self.closing = np.array([CLOSING], "<u4").tobytes()
 
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words. A run of lower-case Latin letters, and a stop or comma behind it, needs no normalizing: the merges alone give its ids."""
         out: dict[bytes, bytes] = {}
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+        whole: list[bytes] = []
+        merge, packed, marks = self.tokenizer.model.tokenize, self.packed, self.marks
+        for w in words:
+            if m := _LATIN.fullmatch(text := w.decode("utf-8", "replace")):
+                core = m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in merge(core)]
+                out[w] = (packed[len(ids)](*ids) if len(ids) < len(packed) else np.array(ids, "<u4").tobytes()) + marks[m[2]]
+            else:
+                whole.append(w)
+        for at in range(0, len(whole), 4096):
+            part = whole[at : at + 4096]
             coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             for w, e in zip(part, coded):
-                ids = e.ids
-                out[w] = self.packed[len(ids)](*ids) if len(ids) < 32 else np.array(ids, "<u4").tobytes()
+                out[w] = np.array(e.ids, "<u4").tobytes()
         return out
 
     def ids(self, bodies: list[bytes]) -> list[bytes]:
@@ -71,15 +88,15 @@ class Encoder:
         # its lower case is the tokenizer's own; only the strings of special tokens tell cases apart
         listed = [(b if b"<|" in b else b.lower()).split() for b in bodies]
         memo = self.memo
-        missing = {w for words in listed for w in words if w not in memo}
+        found = [list(map(memo.get, words)) for words in listed]
+        open_ = [k for k, parts in enumerate(found) if None in parts]
+        missing = {w for k in open_ for w, x in zip(listed[k], found[k]) if x is None}
         new = self._new(list(missing)) if missing else {}
-        if new and len(memo) < MEMO:
+        if len(memo) < MEMO:
             memo.update((w, x) for w, x in new.items() if len(w) < 48)
-            new = {w: x for w, x in new.items() if len(w) >= 48}
-        closing = self.closing
-        if not new:
-            return [b"".join([memo[w] for w in words]) + closing for words in listed]
-        return [b"".join([memo[w] if w in memo else new[w] for w in words]) + closing for words in listed]
+        for k in open_:
+            found[k] = [new[w] if x is None else x for w, x in zip(listed[k], found[k])]
+        return [b"".join(parts) + self.closing for parts in found]
 
 
 @lru_cache(1)
