@@ -74,19 +74,16 @@ def mix(docs: DataFrame) -> DataFrame:
     state = due.where("budget > 0").select("skey", F.lit(0).cast("long").alias("at"), F.col("budget").alias("spare"))
     bits, rows = 0, sized.select("skey", "size", "h").where("size > 0")
     while bits < HASH_BITS:
-        step = min(LEVEL_BITS, HASH_BITS - bits)
-        inside = rows.join(state, "skey") if not bits else rows.join(state, (rows.skey == state.skey) & (_prefix(bits) == F.col("at"))).drop(state.skey)
-        rows = inside.select("skey", "size", "h")
-        bits += step
-        cells = inside.groupBy("skey", _prefix(bits).alias("cell")).agg(F.sum("size").alias("words"), F.first("spare").alias("spare"))
+        inside = rows if not bits else rows.join(state.select("skey", "at"), (rows.skey == state.skey) & (_prefix(bits) == state["at"])).drop(state.skey)
+        bits = min(bits + LEVEL_BITS, HASH_BITS)
+        # summed by source and cell before a source's cells, a bounded number, come together
+        cells = inside.groupBy("skey", _prefix(bits).alias("cell")).agg(F.sum("size").alias("words")).join(state.select("skey", "spare"), "skey")
         # cells in unsigned order of the bits: below 64 bits they are not negative, at 64 the parent's sign is shared
         upto = F.sum("words").over(Window.partitionBy("skey").orderBy("cell"))
-        marked = cells.select("skey", "cell", "words", "spare", upto.alias("upto"))
-        over = marked.where(F.col("upto") > F.col("spare"))
+        over = cells.select("skey", "cell", "words", "spare", upto.alias("upto")).where(F.col("upto") > F.col("spare"))
         first = over.groupBy("skey").agg(F.min(F.struct("cell", "words", "upto", "spare")).alias("x"))
         state = cut(first.select("skey", F.col("x.cell").alias("at"), (F.col("x.spare") - F.col("x.upto") + F.col("x.words")).alias("spare"), F.col("x.words").alias("edge")))
-        edge = state
-        state = state.select("skey", "at", "spare")
+    edge = state
     # the boundary cell is now one hash: in, if more than half of its words fit
     last = edge.select("skey", F.col("at").alias("edge_h"), (2 * F.col("spare") >= F.col("edge")).alias("edge_in"))
     table = due.join(last, "skey", "left")
