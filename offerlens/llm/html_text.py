@@ -56,13 +56,15 @@ _CLOSES_P = frozenset(
 _SCOPES = frozenset("html body table td th article aside section div nav header footer main form blockquote figure li button caption object template".split())
 #: Words of a class, id or role that mark an element as outside the article.
 _OUTSIDE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|header|masthead|topbar|footer|foot|bottombar|"
-    r"copyright|legal|cookies?\w*|consent|gdpr|notice\w*|notification\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sign-up|login|search\w*|comments?\w*|disqus\w*|"
-    r"respond|replies|reply|reader-comments?|discussion|related\w*|recommend\w*|more-from|read-more|trending|popular|share|sharing|social\w*|follow|toolbar|widget\w*|pagination|pager|"
-    r"skip\w*|tags?|tagcloud|tag-list|byline-links|hidden|print-only|sr-only|screen-reader\w*|navigation|complementary|contentinfo|dialog|form)(?=$|[\s_-])",
+    r"(?:^|[_-])(ad|ads|adv|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|sidenav|rail|header|masthead|topbar|footer|foot|bottombar|"
+    r"copyright|legal|cookies?\w*|consent|gdpr|notices?|notification\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|comments?|commentlist|disqus\w*|"
+    r"respond|replies|reply|discussion|related\w*|recommend\w*|trending|popular|share|sharing|social\w*|follow|toolbar|widget\w*|pagination|pager|skip\w*|tags?|tagcloud|"
+    r"navigation|complementary|contentinfo|dialog|form)(?=$|[_-])",
     re.I,
 )
-_INSIDE = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|text|body)(?:$|[\s_-])", re.I)
+#: Beginnings of class names that speak of an element's surroundings, and words that make a header part of the article.
+_ABOUT = ("has-", "no-", "with-", "without-", "is-", "not-", "js-")
+_INSIDE = re.compile(r"(?:^|[_-])(?:article|content|post|entry|story)(?:$|[_-])", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
@@ -77,7 +79,7 @@ class _Node:
         self.mass = 0.0
 
 
-def blocks(page: str) -> list[tuple[_Node, str, int]]:
+def blocks(page: str, dropped: frozenset[str] = DROPPED) -> list[tuple[_Node, str, int]]:
     """(element, text, characters in links) of every block with text, in page order; what is dropped is gone already."""
     node = root = _Node("", "", None, False)
     out: list[tuple[_Node, str, int]] = []
@@ -119,8 +121,6 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
                 in_link = int(not closing)
             elif tag == "br":
                 parts.append(" ")
-            elif not closing and tag != "img" and m[3] and ("hidden" in m[3] or "display" in m[3]) and _hidden(m[3]):
-                pass
             continue
         if closing:
             at_node = node
@@ -162,14 +162,13 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
         flush()
         if tag in VOID:
             continue
-        label, outside = tag, tag in DROPPED and not (tag == "header" and _within_article(node))
+        label, outside = tag, tag in dropped and not (tag == "header" and _within_article(node))
         if m[3].strip():
             named = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRS.findall(m[3])}
             mark = " ".join(filter(None, (named.get("class"), named.get("id"), named.get("role"))))
             if mark:
                 label = f"{tag}.{mark}"
-                if tag not in ("html", "body", "article", "main") and _OUTSIDE.search(mark) and not _INSIDE.search(named.get("class") or ""):
-                    outside = True
+                outside = outside or (tag not in ("html", "body", "article", "main") and any(map(_is_outside, mark.split())))
             outside = outside or _hidden(m[3])
         node = _Node(tag, label, node, outside)
         in_link = 0
@@ -177,6 +176,13 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
     return out
 
 
+def _is_outside(name: str) -> bool:
+    if name.lower().startswith(_ABOUT):
+        return False
+    hit = _OUTSIDE.search(name)
+    return name.lower() == "hidden" or bool(hit) and not (hit[1].lower() == "header" and _INSIDE.search(name))
+
+
 def _hidden(attrs: str) -> bool:
     named = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRS.findall(attrs)}
     return "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
@@ -234,7 +240,7 @@ def path_scores(found: list[tuple[_Node, str, int]]) -> tuple[dict[str, float],
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = blocks(page)
+    found = blocks(page) or blocks(page, DROPPED - {"form"})  # a form may hold the whole page
     inside = [x for x in found if _within_article(x[0])]
     found = inside or found
     if not found:

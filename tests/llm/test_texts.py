@@ -114,7 +114,9 @@ def test_main_text_of_a_page_with_all_kinds_of_clutter():
 
 
 @pytest.mark.parametrize(
-    "page, text", [(None, ""), ("", ""), ("plain &lt;text&gt;  here", "plain <text> here"), ("<p>a<script>x</p></script>b", "a\nb"), ("<article><h1>T</h1><p>x</article><p>out", "T\nx"), ("<nav>only</nav>", "")]
+    "page, text", [(None, ""), ("", ""), ("plain &lt;text&gt;  here", "plain <text> here"), ("<p>a<script>x</p></script>b", "a\nb"), ("<article><h1>T</h1><p>x</article><p>out", "T\nx"), ("<nav>only</nav>", ""),
+     ("<body><form><div><p>All of it, in a form.</p></div></form>", "All of it, in a form."),
+     ("<div class='content has-sidebar'><div class='entry-header'><h1>T</h1></div><p>Body, here.</p><div class='post-comments'>no</div><ul class='share-links'><li>no</ul><div class='footnotes'>1</div></div>", "T\nBody, here.\n1")]
 )
 def test_main_text_of_odd_pages(page, text):
     assert html_text.main_text(page) == text
