@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,3 +20,17 @@ SETTINGS = {
 def session(master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.config(map=SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, unless their path has it already."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_offerlens_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="package-")) / "offerlens.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted((root / "offerlens").rglob("*.py")):
+            archive.write(source, source.relative_to(root))
+    context.addPyFile(str(target))
+    context._offerlens_shipped = True
