@@ -108,70 +108,85 @@ def bucket_links(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE, others
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, tile pair, side, fp) sorted by bucket and tile pair; a bucket may run over batches."""
+    """Rows (bucket, tile pair, side, fp, node) sorted by bucket and tile pair; a bucket may run over batches. Links are pairs of nodes."""
 
-    def links(fp: np.ndarray, side: np.ndarray) -> pa.RecordBatch | None:
+    def links(fp: np.ndarray, side: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
         if len(fp) < 2:
             return None
         a, b = bucket_links(fp[side == 0], others=fp[side == 1]) if side.any() else bucket_links(fp)
-        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]) if len(a) else None
+        if not len(a):
+            return None
+        order = np.argsort(fp)
+        ends = [node[order][np.searchsorted(fp[order], x)] for x in (a, b)]
+        return pa.record_batch([pa.array(x) for x in ends], names=["a", "b"])
 
-    open_key, open_fp, open_side = None, [], []
+    open_key, open_fp, open_side, open_node = None, [], [], []
     for batch in batches:
         if not batch.num_rows:
             continue
         bucket, pair, side = (batch.column(i).to_numpy() for i in range(3))
-        fp = batch.column(3).to_numpy().view(np.uint64)
+        fp, node = batch.column(3).to_numpy().view(np.uint64), batch.column(4).to_numpy()
         edges = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(pair) != 0)) + 1
         starts, ends = [0, *edges.tolist()], [*edges.tolist(), len(fp)]
         found: list[pa.RecordBatch] = []
         for s, e in zip(starts, ends):
             key = (bucket[s], pair[s])
             if key != open_key:
-                if open_fp and (out := links(np.concatenate(open_fp), np.concatenate(open_side))):
+                if open_fp and (out := links(*map(np.concatenate, (open_fp, open_side, open_node)))):
                     found.append(out)
-                open_key, open_fp, open_side = key, [], []
+                open_key, open_fp, open_side, open_node = key, [], [], []
             open_fp.append(fp[s:e])
             open_side.append(side[s:e])
+            open_node.append(node[s:e])
         if found:
             yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
-    if open_fp and (out := links(np.concatenate(open_fp), np.concatenate(open_side))):
+    if open_fp and (out := links(*map(np.concatenate, (open_fp, open_side, open_node)))):
         yield out
 
 
 def links(prints: DataFrame, bucket_limit: int = BUCKET) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp, no repeats) that leave the same components as all links."""
+    """(a, b): links between nodes that leave the same components as all links. prints(fp, node): no fp twice."""
     posts = []
     for k, (x, y) in enumerate(combinations(RUNS, 2)):
         bits = [F.shiftrightunsigned("fp", s).bitwiseAND((1 << n) - 1) for s, n in (x, y)]
         posts.append(F.lit(k << 22) + F.shiftleft(bits[0], y[1]) + bits[1])
-    posted = prints.select("fp", F.explode(F.array(*posts)).alias("bucket"))
+    posted = prints.select("fp", "node", F.explode(F.array(*posts)).alias("bucket"))
     counts = posted.groupBy("bucket").count().where(F.col("count") > 1)
     small = F.col("count") <= bucket_limit
-    # tiles of a large bucket: by population count first, so that most tile pairs are out of reach
     held = posted.join(counts, "bucket")
+    # a large bucket is dealt into tiles, and each pair of tiles is a group of its own
     tiles = F.ceil(F.col("count") / bucket_limit).cast("int")
     large = held.where(~small).withColumn("tile", F.pmod(F.xxhash64("fp"), tiles).cast("int")).withColumn("tiles", tiles)
-    paired = large.select("bucket", "fp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), "tiles").select(
+    paired = large.select("bucket", "fp", "node", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), "tiles").select(
         "bucket",
         (F.least("tile", "other") * F.col("tiles") + F.greatest("tile", "other") + 1).alias("pair"),
         F.when(F.col("tile") > F.col("other"), 1).otherwise(0).alias("side"),
         "fp",
+        "node",
     )
-    rows = held.where(small).select("bucket", F.lit(0).alias("pair"), F.lit(0).alias("side"), "fp").union(paired)
+    rows = held.where(small).select("bucket", F.lit(0).alias("pair"), F.lit(0).alias("side"), "fp", "node").union(paired)
     n = shuffle_partitions(prints.sparkSession)
     dealt = rows.repartition(n, "bucket", "pair").sortWithinPartitions("bucket", "pair")
-    return dealt.select(F.col("bucket").cast("long"), F.col("pair").cast("long"), F.col("side").cast("int"), "fp").mapInArrow(_compare, "a long, b long")
+    return dealt.select(F.col("bucket").cast("long"), F.col("pair").cast("long"), F.col("side").cast("int"), "fp", "node").mapInArrow(_compare, "a long, b long")
+
+
+#: Nodes of fingerprints that only rows without a key have; above any key.
+_NO_KEY = 1 << 61
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, component_id) per row of docs; component_id is the smallest key of its component."""
+    """(doc_id, fp, component_id) per row of docs; component_id is the smallest key of its component.
+
+    A fingerprint's node is the smallest key that has it, so a component's smallest node is its id
+    and no row has to look it up by component, which may hold a third of all. Rows that share a key
+    are one document.
+    """
     prints = cut(fingerprints(docs, key))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    joined = connected_components(links(distinct.select("fp")))
-    rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    nameless = F.col("fp").bitwiseAND(_NO_KEY - 1) + _NO_KEY
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).select("fp", F.coalesce("node", nameless).alias("node")))
+    roots = connected_components(links(distinct))
+    rooted = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    named = rooted.select("fp", F.when(F.col("root") < _NO_KEY, F.col("root")).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

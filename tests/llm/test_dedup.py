@@ -98,7 +98,7 @@ def test_large_buckets_are_compared_tile_by_tile(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.int64)
     fps = np.unique(np.concatenate([base, base ^ 1, base ^ 6, base ^ (1 << 40)]))
-    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    df = spark.createDataFrame([(int(x), int(x)) for x in fps], "fp long, node long")
     one = {(r.node, r.root) for r in connected_components(simhash.links(df)).collect()}
     many = {(r.node, r.root) for r in connected_components(simhash.links(df, bucket_limit=2)).collect()}
     assert one == many and len({r for _, r in one}) == 40
