@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import cut, quoted
+from offerlens.llm.common import cut, quoted, shuffle_partitions
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -96,7 +96,10 @@ def mix(docs: DataFrame) -> DataFrame:
         .when((F.col("h") == F.col("edge_h")) & F.col("edge_in"), 1)
         .otherwise(0)
     )
-    return sized.join(table, "skey").select(
+    # every source's row is there once for each salt, so that the documents of a large source meet theirs in many tasks
+    salts = shuffle_partitions(docs.sparkSession)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return sized.withColumn("_salt", F.pmod("h", F.lit(salts)).cast("int")).join(salted, ["skey", "_salt"]).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + extra)).alias("taken")
     )
 
