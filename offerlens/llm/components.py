@@ -17,9 +17,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     that hands it back is a plain equi-join whose hot keys adaptive execution can split.
     Self loops, repeated edges and an empty table are fine; null ends are dropped.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
-    pairs = cut(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    given = cut(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    nodes = given.select(F.col("u").alias("node")).union(given.select("v"))
+    pairs = given.where("u <> v")
     size = _weight(pairs)
     for _ in range(rounds):
         if size == (0, None):
