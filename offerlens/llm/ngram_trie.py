@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -336,7 +337,7 @@ def _score(word_shards: int, shards: int, tokens: int, types: int):
         parts = []
         for row in mine.to_pylist():
             block = _Block(row)
-            of_words = answers.filter(pa.compute.is_valid(answers.column("ids")))
+            of_words = answers.filter(pc.is_valid(answers.column("ids")))
             ids, counts = block.global_words(of_words, word_shards)
             distinct, number, at = block.bigrams(ids)
             codes = np.zeros(len(distinct), np.uint8)

@@ -23,8 +23,6 @@ vec_id are one query and one candidate, by its nearest vector; an empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
