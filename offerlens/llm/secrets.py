@@ -11,6 +11,8 @@ letters in one case that the list lacks costs UNKNOWN_WORD at most.
 Date: 365 times the years from a reference year, at least 20. Repeat: the unit's cost times the
 count. Walk: start keys times turns and length. Brute force: 10 for each character. A segmentation
 into n parts costs the product of its parts times n factorial, and a constant per part.
+Values have any length: one of over 128 characters is followed until it is proven to cost
+MIN_GUESSES, and its span is the whole value.
 
 Defined cases: a null text is empty and has no spans; kinds are scanned on their own, leftmost and
 without overlap; repeated rows are scanned one by one; extra columns are ignored; whole texts of
@@ -34,7 +36,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CONTEXT = re.compile(
-    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|(?:api|access|private|secret|auth)[_ -]?key)["']?(?:\x20*(?::=|=>|->|[:=])\x20*|\x20+is:?\x20+|(?<=bearer)\x20+)(?:"([^"\n]{6,128})"|'([^'\n]{6,128})'|([^\s"'<>]{6,128}))""",
+    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|(?:api|access|private|secret|auth)[_ -]?key)["']?(?:\x20*(?::=|=>|->|[:=])\x20*|\x20+is:?\x20+|(?<=bearer)\x20+)(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"'<>]{6,}))""",
     re.I | re.A,
 )
 #: A text without any of these has no assignment and no credential context.
@@ -57,6 +59,9 @@ _DATE = re.compile(r"(?:\d{1,2}[-/.]?\d{1,2}[-/.]?(?:19|20)\d\d|(?:19|20)\d\d[-/
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: log10 of the guesses for a word that the list lacks.
 UNKNOWN_WORD = 5.0
+_LONGEST = max(map(len, WORDS))
+#: Longer values are followed only as far as they stay under a bound.
+_FULL = 128
 _YEAR = re.compile(r"(?:19|20)\d\d")
 REFERENCE_YEAR = 2020
 
@@ -66,41 +71,48 @@ def _ranks() -> dict[str, int]:
     return {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
 
 
+def _parts_at(value: str, low: str, plain: str, i: int, ranks: dict[str, int]) -> Iterator[tuple[int, float]]:
+    """(end, log10 guesses) of every part of value that has a pattern and starts at i."""
+    n = len(value)
+    for j in range(i + 3, min(n, i + _longest(ranks)) + 1):
+        rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
+        if rank:
+            swaps = sum(a != b for a, b in zip(low[i:j], plain[i:j])) if low[i:j] not in ranks else 0
+            upper = sum(c.isupper() for c in value[i:j])
+            yield j, math.log10(rank * (2 if upper else 1) * 2**swaps)
+    if (m := _DATE.match(low, i)) :
+        year = int(_YEAR.search(m[0])[0])
+        yield m.end(), math.log10(max(abs(year - REFERENCE_YEAR), 20) * (365 if len(m[0]) > 4 else 1))
+    # a run of letters in one case reads as a word of some language
+    if not (i and _LETTERS.match(value, i - 1)) and (m := _LETTERS.match(value, i)) and m.end() - i >= 3 and (m[0].islower() or m[0].isupper() or m[0].istitle()):
+        yield m.end(), min(float(m.end() - i), UNKNOWN_WORD)
+    for step in ("key", 1, -1):  # walks of three neighbouring keys and more, and runs of code points such as abcd or 4321
+        j, turns, last = i + 1, 1, None
+        while j < n:
+            if step == "key":
+                a, b = _PLACE.get(low[j - 1]), _PLACE.get(low[j])
+                move = (b[0] - a[0], b[1] - a[1]) if a and b else None
+                if move is None or move == (0, 0) or max(map(abs, move)) > 1:
+                    break
+                turns, last = turns + (last not in (None, move)), move
+            elif ord(low[j]) - ord(low[j - 1]) != step:
+                break
+            j += 1
+        if j - i >= 3:
+            yield j, math.log10(47 * (j - i)) + turns * math.log10(4) if step == "key" else math.log10(26 * (j - i))
+
+
+def _longest(ranks: dict[str, int]) -> int:
+    return _LONGEST if ranks is _ranks() else max(map(len, ranks), default=0)
+
+
 def _parts(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, float]]:
     """(start, end, log10 guesses) of every part of value that has a pattern."""
-    low, n = value.lower(), len(value)
+    low = value.lower()
     plain = low.translate(_SWAPS)
-    longest = max(map(len, ranks), default=0)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + longest) + 1):
-            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
-            if rank:
-                swaps = sum(a != b for a, b in zip(low[i:j], plain[i:j])) if low[i:j] not in ranks else 0
-                upper = sum(c.isupper() for c in value[i:j])
-                yield i, j, math.log10(rank * (2 if upper else 1) * 2**swaps)
-        if (m := _DATE.match(low, i)) :
-            year = int(_YEAR.search(m[0])[0])
-            yield i, m.end(), math.log10(max(abs(year - REFERENCE_YEAR), 20) * (365 if len(m[0]) > 4 else 1))
-    for m in _LETTERS.finditer(value):  # a run of letters in one case reads as a word of some language
-        if m.end() - m.start() >= 3 and (m[0].islower() or m[0].isupper() or m[0].istitle()):
-            yield m.start(), m.end(), min(float(m.end() - m.start()), UNKNOWN_WORD)
-    i = 0
-    while i < n - 2:  # walks of three neighbouring keys and more, and runs of code points such as abcd or 4321
-        for step in ("key", 1, -1):
-            j, turns, last = i + 1, 1, None
-            while j < n:
-                if step == "key":
-                    a, b = _PLACE.get(low[j - 1]), _PLACE.get(low[j])
-                    move = (b[0] - a[0], b[1] - a[1]) if a and b else None
-                    if move is None or move == (0, 0) or max(map(abs, move)) > 1:
-                        break
-                    turns, last = turns + (last not in (None, move)), move
-                elif ord(low[j]) - ord(low[j - 1]) != step:
-                    break
-                j += 1
-            if j - i >= 3:
-                yield i, j, math.log10(47 * (j - i) * 4**turns) if step == "key" else math.log10(26 * (j - i))
-        i += 1
+    for i in range(len(value)):
+        for j, cost in _parts_at(value, low, plain, i, ranks):
+            yield i, j, cost
 
 
 def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
@@ -143,6 +155,89 @@ def _cost(value: str, ranks: dict[str, int]) -> float:
     return min(best[k][n] + math.log10(math.factorial(k)) + 1.5 * (k - 1) for k in range(1, most + 1))
 
 
+def _shared(value: str) -> list[int]:
+    """For every place, the characters that value has in common with what starts there."""
+    n = len(value)
+    out, left, right = [0] * n, 0, 0
+    for i in range(1, n):
+        k = min(right - i, out[i - left]) if i < right else 0
+        while i + k < n and value[k] == value[i + k]:
+            k += 1
+        out[i] = k
+        if i + k > right:
+            left, right = i, i + k
+    return out
+
+
+def _repeats_at(value: str, i: int) -> Iterator[tuple[int, int]]:
+    """(unit, count) of the repeats that start at i, but for units that are repeats themselves."""
+    n = len(value)
+    covered: list[tuple[int, int]] = []  # (unit, how far it repeats)
+    near = min(16, (n - i) // 2 + 1)
+    seed = value[i : i + 16]
+    found: list[tuple[int, int]] = []
+    if value.find(seed, i + 16) >= 0 and n - i >= 32:
+        found = [(u, z) for u, z in enumerate(_shared(value[i:])) if u and z >= u]
+    else:
+        for u in range(1, near):
+            z = 0
+            while value.startswith(value[i : i + u], i + u + z):
+                z += u
+            if z:
+                found.append((u, z))
+    for u, z in found:
+        if not any(u % v == 0 and 2 * u <= far for v, far in covered):
+            covered.append((u, u + z))
+            yield u, 1 + z // u
+
+
+def cost_below(value: str, bound: float, ranks: dict[str, int] | None = None) -> float:
+    """guess_cost of value if it is less than bound, else infinity.
+
+    A value of any length is walked from its start, one part after another, from those places alone
+    that less than bound guesses reach; without such a place, the value is proven to cost bound.
+    """
+    ranks = _ranks() if ranks is None else ranks
+    n = len(value)
+    if n <= _FULL:
+        return cost if (cost := _cost(value, ranks)) < bound else math.inf
+    low = value.lower()
+    plain = low.translate(_SWAPS)
+    known: dict[int, list[tuple[int, float]]] = {}
+    best, reached, k = math.inf, {0: 0.0}, 0
+    while reached:
+        k += 1
+        further: dict[int, float] = {}
+        left = bound - math.log10(math.factorial(k)) - 1.5 * (k - 1)
+        for i, so_far in reached.items():
+            if so_far >= left:
+                continue
+            if i not in known:
+                known[i] = list(_parts_at(value, low, plain, i, ranks))
+                for unit, count in _repeats_at(value, i):
+                    cost = float(unit) if unit < 3 else min(float(unit), cost_below(value[i : i + unit], bound, ranks))
+                    known[i] += [(i + c * unit, cost + math.log10(c)) for c in (count, count - 1) if c > 1 and c * unit >= 3]
+            brute = [(j, float(j - i)) for j in range(i + 1, min(n, i + math.ceil(left - so_far)) + 1)]
+            for j, cost in known[i] + brute:
+                if so_far + cost < left:
+                    further[j] = min(further.get(j, math.inf), so_far + cost)
+        if n in further:
+            best = min(best, further.pop(n) + bound - left)
+        reached = further
+    return best
+
+
+def _union(spans: list[tuple[int, int, str]]) -> list[list[int]]:
+    """The spans as sorted stretches [start, end] that neither overlap nor touch."""
+    out: list[list[int]] = []
+    for start, end, _ in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
 def scan(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every span, by start and then in the order of KINDS."""
     low = text.lower()
@@ -159,7 +254,7 @@ def scan(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[int, int, st
             start, end = next(m.span(k) for k in (1, 2, 3) if m[k] is not None)
             while end > start and text[end - 1] in ".,;:!?)]}":
                 end -= 1
-            if end - start >= 6 and not any(s < end and start < e for s, e, _ in base) and guess_cost(text[start:end]) >= min_guesses:
+            if end - start >= 6 and not any(s < end and start < e for s, e, _ in base) and cost_below(text[start:end], min_guesses) == math.inf:
                 spans.append((start, end, "guess"))
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2])))
 

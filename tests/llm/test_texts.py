@@ -38,6 +38,27 @@ def test_context_values_add_spans_and_base_ones_stay():
     assert secrets.redact_text(text) == "my passphrase is [SECRET], the password is extraordinarily long; pwd=[SECRET] and [SECRET]"
 
 
+def test_long_context_values_are_whole_spans():
+    rng = random.Random(4)
+    long = "".join(rng.choice("ABCDEFGHJKMabcdefghjkm23456789") for _ in range(300))
+    for before, after in (("Authorization: Bearer ", " end"), ('pwd="', '" end'), ("passphrase = '", "'"), ('"private_key": "-----BEGIN KEY-----', '"')):
+        start = before.index("-----") if "-----" in before else len(before)
+        text = before + long + after
+        assert (start, len(before) + 300, "guess") in secrets.scan(text) and secrets.redact_text(text) == before[:start] + "[SECRET]" + after
+    assert [k for *_, k in secrets.scan(f"pwd={'z' * 5000} pwd={'abcxyz' * 900} pwd={'x' * 300}")] == []
+    assert len(secrets.redact_text("pwd=" + long * 300)) == 12
+
+
+def test_bounded_costs_are_those_of_the_whole_program(monkeypatch):
+    rng = random.Random(5)
+    values = ["".join(rng.choice(["password", "Dragon", "1999", "qwer", "aaa", "x", "#", "7", "ab" * 5, "hello"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    whole = [secrets.guess_cost(v) for v in values]
+    monkeypatch.setattr(secrets, "_FULL", 0)
+    for value, cost in zip(values, whole):
+        below = secrets.cost_below(value, 10.0)
+        assert below <= cost + 1e-9 if cost < 10 else below > 9
+
+
 def test_scan_and_redact_odd_documents(odd, rows, empty):
     out = Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.scan_documents(odd).collect())
     blank = hashlib.sha256(b"").hexdigest()
