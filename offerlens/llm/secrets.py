@@ -4,7 +4,8 @@ Base spans come from three patterns. The method adds spans of kind `guess`: the
 credential word (password, pwd, passphrase, secret, token, key, bearer ...) is cut at white space
 or its quote, and the cheapest way to guess it is found by dynamic programming over its
 segmentations into known words, dates, repeats, keyboard walks and brute-force spans. A value that
-costs at least MIN_GUESSES guesses is a secret. A value that a base span covers adds nothing.
+costs at least MIN_GUESSES guesses is a secret. A value that base spans cover whole adds nothing; one that
+they cover in part is scored whole, and its span stands beside theirs.
 
 Costs (log10 of guesses). Word: its rank, doubled for capitals, more for digit-for-letter swaps; a run of
 letters in one case that the list lacks costs UNKNOWN_WORD at most.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -249,12 +251,14 @@ def scan(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[int, int, st
         spans += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text)]
     spans += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     if hinted:
-        base = list(spans)
+        base = _union(spans)
         for m in _CONTEXT.finditer(text):
             start, end = next(m.span(k) for k in (1, 2, 3) if m[k] is not None)
             while end > start and text[end - 1] in ".,;:!?)]}":
                 end -= 1
-            if end - start >= 6 and not any(s < end and start < e for s, e, _ in base) and cost_below(text[start:end], min_guesses) == math.inf:
+            at = bisect_right(base, start, key=lambda x: x[0]) - 1
+            covered = at >= 0 and base[at][1] >= end
+            if end - start >= 6 and not covered and cost_below(text[start:end], min_guesses) == math.inf:
                 spans.append((start, end, "guess"))
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2])))
 

@@ -49,6 +49,14 @@ def test_long_context_values_are_whole_spans():
     assert len(secrets.redact_text("pwd=" + long * 300)) == 12
 
 
+def test_values_that_base_spans_cover_in_part_are_scored():
+    text = "password: abcdef!$Kx9#zQ and token=abcdefgh, secret='abcdefgh' pwd=" + "0af" * 9 + "!Kx9#zQ2"
+    spans = secrets.scan(text)
+    assert [text[s:e] for s, e, k in spans if k == "guess"] == ["abcdef!$Kx9#zQ", "0af" * 9 + "!Kx9#zQ2"]
+    assert [text[s:e] for s, e, k in spans if k == "assign"] == ["password: abcdef", "token=abcdefgh", "secret='abcdefgh"]
+    assert secrets.redact_text(text) == "[SECRET] and [SECRET], [SECRET]' pwd=[SECRET]"
+
+
 def test_bounded_costs_are_those_of_the_whole_program(monkeypatch):
     rng = random.Random(5)
     values = ["".join(rng.choice(["password", "Dragon", "1999", "qwer", "aaa", "x", "#", "7", "ab" * 5, "hello"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
