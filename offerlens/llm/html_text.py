@@ -5,8 +5,9 @@ ids) and its text. Per path: text length and punctuation are summed over its blo
 of that: text per block, and punctuation per block weighed by the share of text outside links. Both
 are smoothed over the page by a Gaussian along the blocks, fused by their product, and paths whose
 mean fused ratio reaches the page's deviation are content. The smallest element that holds most of
-the content paths' mass is the article; its blocks are the text, short ones too, less those below an
-element that is navigation, notice, advert, form or comments by its tag, role, class or id.
+the content paths' mass is the article's body; its blocks are the text, short ones too, with those
+branches beside it and its ancestors that are headings or low in links, or else their blocks of
+content paths; less those below an element that is navigation, notice, advert, form or comments by its tag, role, class or id.
 An article or main element, where there is one, bounds the choice.
 
 Defined cases: null or empty html has an empty text; a page without tags is one block; text is
@@ -65,6 +66,7 @@ _OUTSIDE = re.compile(
 #: Beginnings of class names that speak of an element's surroundings, and words that make a header part of the article.
 _ABOUT = ("has-", "no-", "with-", "without-", "is-", "not-", "js-")
 _INSIDE = re.compile(r"(?:^|[_-])(?:article|content|post|entry|story)(?:$|[_-])", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
@@ -265,14 +267,34 @@ def main_text(page: str | None) -> str:
         best = max(marked, key=lambda n: (n.mass, n.depth))
     elif best.tag not in ("article", "main", "section", "div", "body", "html", "td", "") and best.parent is not None:
         best = best.parent
-    kept = []
-    for node, text, _ in found:
-        up = node
-        while up is not None and up is not best:
-            up = up.parent
+    return "\n".join(found[k][1] for k in sorted(_kept(found, best, {p for p, x in scores.items() if x >= threshold})))
+
+
+def _kept(found: list[tuple[_Node, str, int]], best: _Node, content: set[str]) -> set[int]:
+    """Numbers of the blocks below best, and of those elsewhere that belong to it.
+
+    Away from best, branches hanging from its ancestors are taken whole if they are headings or low in
+    links, else their blocks of content paths.
+    """
+    above, up = set(), best.parent
+    while up is not None:
+        above.add(up)
+        up = up.parent
+    out: set[int] = set()
+    branches: dict[_Node | int, list[int]] = {}
+    for k, (node, _, _) in enumerate(found):
+        top, up = None, node  # the branch: the highest element above the block that is not above best
+        while up is not best and up not in above:
+            top, up = up, up.parent
         if up is best:
-            kept.append(text)
-    return "\n".join(kept)
+            out.add(k)
+        else:
+            branches.setdefault(k if top is None else top, []).append(k)
+    for ks in branches.values():
+        text, links = (sum(x) for x in zip(*((len(found[k][1]), min(found[k][2], len(found[k][1]))) for k in ks)))
+        whole = 2 * links < text or all(found[k][0].tag in _HEADINGS for k in ks)
+        out |= {k for k in ks if whole or found[k][0].path in content}
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

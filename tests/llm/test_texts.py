@@ -151,6 +151,17 @@ def test_main_text_of_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+PROSE = "Words of a paragraph, and more of them; enough to be read. " * 6
+MENU = "<ul>" + "".join(f"<li><a href=x>Item {i}</a></li>" for i in range(9)) + "</ul>"
+
+
+def test_what_stands_beside_the_body_container_stays():
+    read = PROSE.strip()
+    page = f"<body><div>{MENU}</div><div class=story><h1>Title</h1><div class=intro><p>A short lead, here.</p></div><div class=text><p>{PROSE}</p><p>{PROSE}</p></div><div class=end><p>The end.</p></div></div>"
+    assert html_text.main_text(page) == "\n".join(["Title", "A short lead, here.", read, read, "The end."])
+    assert html_text.main_text(f"<div>{MENU}<div><p>One, two.</p></div><div><p>{PROSE * 4}</p></div><div><p>Three.</p></div></div>") == "\n".join(["One, two.", (PROSE * 4).strip(), "Three."])
+
+
 def test_pages_of_a_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None)], "page_id long, url string, html string, text string")
     out = html_text.extract(pages).collect()
