@@ -8,7 +8,9 @@ mean fused ratio reaches the page's deviation are content. The smallest element
 the content paths' mass is the article's body; its blocks are the text, short ones too, with those
 branches beside it and its ancestors that are headings or low in links, or else their blocks of
 content paths; less those below an element that is navigation, notice, advert, form or comments by its tag, role, class or id.
-An article or main element, where there is one, bounds the choice.
+Article and main elements bound the choice where they hold most of the content paths' mass, or a
+third of it and the page's only headlines. A form is text if it has PROSE_A_CONTROL characters outside
+links for each control, or an article.
 
 Defined cases: null or empty html has an empty text; a page without tags is one block; text is
 whole, never cut; tags may be left open (p, li, td and the like close each other), inline tags are
@@ -66,12 +68,16 @@ _OUTSIDE = re.compile(
 #: Beginnings of class names that speak of an element's surroundings, and words that make a header part of the article.
 _ABOUT = ("has-", "no-", "with-", "without-", "is-", "not-", "js-")
 _INSIDE = re.compile(r"(?:^|[_-])(?:article|content|post|entry|story)(?:$|[_-])", re.I)
+_CONTROLS = frozenset("input select textarea button".split())
+_UNSEEN = re.compile(r"""\btype\s*=\s*["']?hidden""", re.I)
+#: Characters outside links for each control that a form has at least if it is part of the text: a fixed value.
+PROSE_A_CONTROL = 80
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "outside", "depth", "mass", "children", "article")
+    __slots__ = ("tag", "parent", "path", "outside", "depth", "mass", "controls", "prose")
 
     def __init__(self, tag: str, label: str, parent: _Node | None, outside: bool):
         self.tag, self.parent = tag, parent
@@ -79,10 +85,16 @@ class _Node:
         self.outside = outside or bool(parent and parent.outside)
         self.depth = parent.depth + 1 if parent else 0
         self.mass = 0.0
+        self.controls = self.prose = 0
 
 
 def blocks(page: str, dropped: frozenset[str] = DROPPED) -> list[tuple[_Node, str, int]]:
-    """(element, text, characters in links) of every block with text, in page order; what is dropped is gone already."""
+    """(element, text, characters in links) of every block with text, in page order; what is dropped is gone already.
+
+    Of the dropped elements a form is judged by its content when it is read whole.
+    """
+    judged = "form" in dropped
+    dropped = dropped - {"form"}
     node = root = _Node("", "", None, False)
     out: list[tuple[_Node, str, int]] = []
     parts: list[str] = []
@@ -133,6 +145,11 @@ def blocks(page: str, dropped: frozenset[str] = DROPPED) -> list[tuple[_Node, st
             else:
                 flush()
             continue
+        if judged and tag in _CONTROLS and not (tag == "input" and _UNSEEN.search(m[3])):
+            up = node
+            while up is not root and up.tag != "form":
+                up = up.parent
+            up.controls += 1
         if tag in _RAW_END:
             flush()
             stop = _RAW_END[tag].search(page, at)
@@ -175,7 +192,22 @@ def blocks(page: str, dropped: frozenset[str] = DROPPED) -> list[tuple[_Node, st
         node = _Node(tag, label, node, outside)
         in_link = 0
     flush()
-    return out
+    return _without_forms(out) if judged else out
+
+
+def _without_forms(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """The blocks but for those below forms that are controls more than text."""
+    forms: list[_Node | None] = []
+    for node, text, links in found:
+        up: _Node | None = node
+        article = False
+        while up is not None and up.tag != "form":
+            article, up = article or up.tag in ("article", "main"), up.parent
+        forms.append(up)
+        if up is not None:
+            # what an article or main element in the form holds is text at any length
+            up.prose += PROSE_A_CONTROL * (up.controls + 1) if article else max(0, len(text) - links)
+    return [x for x, form in zip(found, forms) if form is None or form.prose > PROSE_A_CONTROL * form.controls]
 
 
 def _is_outside(name: str) -> bool:
@@ -243,11 +275,13 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page) or blocks(page, DROPPED - {"form"})  # a form may hold the whole page
-    inside = [x for x in found if _within_article(x[0])]
-    found = inside or found
     if not found:
         return ""
     scores, threshold = path_scores(found)
+    inside = [x for x in found if _within_article(x[0])]
+    if inside and len(inside) < len(found) and _bounds(found, inside, scores, threshold):
+        found = inside
+        scores, threshold = path_scores(found)
     whole = 0.0
     seen: list[_Node] = []
     for node, text, links in found:
@@ -270,6 +304,18 @@ def main_text(page: str | None) -> str:
     return "\n".join(found[k][1] for k in sorted(_kept(found, best, {p for p, x in scores.items() if x >= threshold})))
 
 
+def _bounds(found: list[tuple[_Node, str, int]], inside: list[tuple[_Node, str, int]], scores: dict[str, float], threshold: float) -> bool:
+    """Whether article and main elements hold most of the content paths' mass, or the only headlines and a third of it."""
+
+    def mass(rows: list[tuple[_Node, str, int]]) -> int:
+        return sum(max(0, len(text) - links) for node, text, links in rows if scores[node.path] >= threshold)
+
+    def headlines(rows: list[tuple[_Node, str, int]]) -> int:
+        return sum(node.tag == "h1" for node, _, _ in rows)
+
+    return 2 * mass(inside) > mass(found) or 0 < headlines(inside) == headlines(found) and 3 * mass(inside) > mass(found)
+
+
 def _kept(found: list[tuple[_Node, str, int]], best: _Node, content: set[str]) -> set[int]:
     """Numbers of the blocks below best, and of those elsewhere that belong to it.
 

@@ -162,6 +162,17 @@ def test_what_stands_beside_the_body_container_stays():
     assert html_text.main_text(f"<div>{MENU}<div><p>One, two.</p></div><div><p>{PROSE * 4}</p></div><div><p>Three.</p></div></div>") == "\n".join(["One, two.", (PROSE * 4).strip(), "Three."])
 
 
+def test_forms_and_articles_are_judged_by_what_they_hold():
+    read = PROSE.strip()
+    unseen = "<input type=hidden value=x>" * 9
+    assert html_text.main_text(f"<body><div>Site name</div><form id=aspnetForm>{unseen}<input type=submit><article><h1>T</h1><p>{PROSE}</p></article></form>") == f"T\n{read}"
+    assert html_text.main_text(f"<body><div>Site name</div><form id=aspnetForm>{unseen}<div><p>{PROSE}</p></div></form>") == f"Site name\n{read}"
+    assert html_text.main_text(f"<body><div><p>{PROSE}</p><form><p>Your address, please.</p><input type=text><button>Go</button></form></div>") == read
+    assert html_text.main_text(f"<article><p>{PROSE}</p><form><p>Your address, please.</p><input type=text></form></article>") == read
+    card = "<article><h2>Another story</h2><p>Its teaser, cut short.</p></article>"
+    assert html_text.main_text(f"<body><div class=text><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div>{card}").startswith(f"T\n{read}\n{read}")
+
+
 def test_pages_of_a_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None)], "page_id long, url string, html string, text string")
     out = html_text.extract(pages).collect()
