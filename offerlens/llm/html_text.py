@@ -7,7 +7,10 @@ are smoothed over the page by a Gaussian along the blocks, fused by their produc
 mean fused ratio reaches the page's deviation are content. The smallest element that holds most of
 the content paths' mass is the article's body; its blocks are the text, short ones too, with those
 branches beside it and its ancestors that are headings or low in links, or else their blocks of
-content paths; less those below an element that is navigation, notice, advert, form or comments by its tag, role, class or id.
+content paths; less those below an element that is navigation, notice, advert, form or comments by
+its tag, role, class or id. Names are evidence only: an element with most of the page's text outside
+links stays whatever its names are, and ambiguous words within a name count only for elements that
+are mostly links.
 Article and main elements bound the choice where they hold most of the content paths' mass, or a
 third of it and the page's only headlines. A form is text if it has PROSE_A_CONTROL characters outside
 links for each control, or an article.
@@ -36,11 +39,13 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>?", re.I) for t in ("script", "style", "te
 
 #: Elements whose text is never part of the article: fixed values.
 DROPPED = frozenset(
-    "head script style noscript template iframe noframes object embed svg math canvas audio video map nav header footer aside form button select option textarea "
+    "head script style noscript template iframe noframes object embed svg canvas audio video map nav header footer aside form button select option textarea "
     "input label fieldset dialog menu menuitem datalist".split()
 )
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr br "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes an open element of these, up to the nearest of the second set.
@@ -57,14 +62,21 @@ _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
 _SCOPES = frozenset("html body table td th article aside section div nav header footer main form blockquote figure li button caption object template".split())
-#: Words of a class, id or role that mark an element as outside the article.
+#: Words of a class, id or role that mark an element as outside the article, unless it holds most of the page.
 _OUTSIDE = re.compile(
-    r"(?:^|[_-])(ad|ads|adv|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|sidenav|rail|header|masthead|topbar|footer|foot|bottombar|"
-    r"copyright|legal|cookies?\w*|consent|gdpr|notices?|notification\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|comments?|commentlist|disqus\w*|"
-    r"respond|replies|reply|discussion|related\w*|recommend\w*|trending|popular|share|sharing|social\w*|follow|toolbar|widget\w*|pagination|pager|skip\w*|tags?|tagcloud|"
-    r"navigation|complementary|contentinfo|dialog|form)(?=$|[_-])",
+    r"(?:^|[_-])(ad|ads|adv|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|sidenav|header|masthead|topbar|footer|bottombar|"
+    r"copyright|cookies?\w*|gdpr|popup|modal|newsletter|comments?|commentlist|disqus\w*|share|sharing|toolbar|widget\w*|pagination|pager|tagcloud|navigation|complementary|contentinfo)(?=$|[_-])",
     re.I,
 )
+#: Words that do so as whole names, and as parts of names where the element is mostly links.
+_AMBIGUOUS = re.compile(
+    r"(?:^|[_-])(rail|foot|legal|consent|notices?|notification\w*|alert|overlay|subscri\w*|signup|login|search\w*|respond|replies|reply|discussion|related\w*|recommend\w*|trending|"
+    r"popular|social\w*|follow|skip\w*|tags?|dialog|form)(?=$|[_-])",
+    re.I,
+)
+#: The share of the page's characters outside links from which an element is never dropped for its names; more for readers' comments.
+MOST, MOST_COMMENTS = 0.5, 0.9
+_COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|disqus\w*|respond|replies|reply|discussion)(?=$|[_-])", re.I)
 #: Beginnings of class names that speak of an element's surroundings, and words that make a header part of the article.
 _ABOUT = ("has-", "no-", "with-", "without-", "is-", "not-", "js-")
 _INSIDE = re.compile(r"(?:^|[_-])(?:article|content|post|entry|story)(?:$|[_-])", re.I)
@@ -77,7 +89,7 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "outside", "depth", "mass", "controls", "prose")
+    __slots__ = ("tag", "parent", "path", "outside", "depth", "mass", "controls", "prose", "mark", "size", "links")
 
     def __init__(self, tag: str, label: str, parent: _Node | None, outside: bool):
         self.tag, self.parent = tag, parent
@@ -85,7 +97,8 @@ class _Node:
         self.outside = outside or bool(parent and parent.outside)
         self.depth = parent.depth + 1 if parent else 0
         self.mass = 0.0
-        self.controls = self.prose = 0
+        self.controls = self.prose = self.size = self.links = 0
+        self.mark = ""
 
 
 def blocks(page: str, dropped: frozenset[str] = DROPPED) -> list[tuple[_Node, str, int]]:
@@ -130,6 +143,10 @@ def blocks(page: str, dropped: frozenset[str] = DROPPED) -> list[tuple[_Node, st
                 parts.append(htmllib.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag, closing = name.lower(), bool(m[1])
+        if tag in ("annotation", "annotation-xml"):  # a formula's source beside the formula
+            stop = None if closing or m[3].endswith("/") else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = stop.end() if stop else at
+            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = int(not closing)
@@ -181,17 +198,20 @@ def blocks(page: str, dropped: frozenset[str] = DROPPED) -> list[tuple[_Node, st
         flush()
         if tag in VOID:
             continue
-        label, outside = tag, tag in dropped and not (tag == "header" and _within_article(node))
+        label, outside, names = tag, tag in dropped and not (tag == "header" and _within_article(node)), ""
         if m[3].strip():
             named = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRS.findall(m[3])}
             mark = " ".join(filter(None, (named.get("class"), named.get("id"), named.get("role"))))
             if mark:
                 label = f"{tag}.{mark}"
-                outside = outside or (tag not in ("html", "body", "article", "main") and any(map(_is_outside, mark.split())))
+                outside = outside or "hidden" in mark.lower().split()
+                names = "" if tag in ("html", "body", "article", "main") else _mark(mark.split())
             outside = outside or _hidden(m[3])
         node = _Node(tag, label, node, outside)
+        node.mark = names
         in_link = 0
     flush()
+    out = _without_marked(out)
     return _without_forms(out) if judged else out
 
 
@@ -210,11 +230,48 @@ def _without_forms(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str
     return [x for x, form in zip(found, forms) if form is None or form.prose > PROSE_A_CONTROL * form.controls]
 
 
-def _is_outside(name: str) -> bool:
-    if name.lower().startswith(_ABOUT):
-        return False
-    hit = _OUTSIDE.search(name)
-    return name.lower() == "hidden" or bool(hit) and not (hit[1].lower() == "header" and _INSIDE.search(name))
+def _mark(names: list[str]) -> str:
+    """What the names of an element say: `outside`, `comments`, `ambiguous` or nothing."""
+    found = ""
+    for name in names:
+        if name.lower().startswith(_ABOUT):
+            continue
+        hit = _OUTSIDE.search(name)
+        if hit and hit[1].lower() == "header" and _INSIDE.search(name):
+            hit = None
+        word = _AMBIGUOUS.search(name)
+        if hit or word and word[0] == name:
+            if not _COMMENTS.search(name):
+                return "outside"
+            found = "comments"
+        elif word:
+            found = found or "ambiguous"
+    return found
+
+
+def _without_marked(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """The blocks but for those below elements whose names mark them as outside and whose content doesn't speak against it."""
+    whole = 0
+    for node, text, links in found:
+        links = min(links, len(text))
+        whole += len(text) - links
+        up: _Node | None = node
+        while up is not None:
+            up.size, up.links, up = up.size + len(text), up.links + links, up.parent
+
+    def dropped(node: _Node) -> bool:
+        if node.mark == "ambiguous" and 2 * node.links < node.size:
+            return False
+        return bool(node.mark) and node.size - node.links <= whole * (MOST_COMMENTS if node.mark == "comments" else MOST)
+
+    out = []
+    for x in found:
+        up = x[0]
+        while up is not None and not dropped(up):
+            up = up.parent
+        if up is None:
+            out.append(x)
+    return out
 
 
 def _hidden(attrs: str) -> bool:

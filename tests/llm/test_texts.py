@@ -173,6 +173,18 @@ def test_forms_and_articles_are_judged_by_what_they_hold():
     assert html_text.main_text(f"<body><div class=text><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div>{card}").startswith(f"T\n{read}\n{read}")
 
 
+@pytest.mark.parametrize("names", ["post type-post tag-news category-legal", "post-search-tips", "content-popular", "page menu-open", "modal-body"])
+def test_class_names_are_weighed_against_the_content(names):
+    read = PROSE.strip()
+    assert html_text.main_text(f"<body><div>Site name</div><div class='{names}'><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p><div class=comments><p>A reader's.</p></div></div>").endswith(f"T\n{read}\n{read}")
+    assert "Item" not in html_text.main_text(f"<div><p>{PROSE}</p><div class=tag-list>{MENU}</div></div>")
+
+
+def test_formulas_are_text():
+    page = "<p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x = 1</annotation></semantics></math>, as shown.</p>"
+    assert html_text.main_text(page) == "So x=1, as shown."
+
+
 def test_pages_of_a_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None)], "page_id long, url string, html string, text string")
     out = html_text.extract(pages).collect()
