@@ -6,18 +6,20 @@ bigrams with that base,
 
     P(w2 | w1) = l(w1) c(w1 w2) / c(w1) + (1 - l(w1)) P(w2),  l(w1) = WEIGHT c(w1) / (c(w1) + 1),
 
-which sums to one over words. It needs counts alone, so n-grams can be dealt out over any number of
-shards by hash and no context, however common, meets in one task.
+which sums to one over words. With order three, as the query has it, trigrams are interpolated with
+that in the same way: c(w1 w2 w3) / c(w1 w2) at weight l(w1 w2). It needs counts alone, so n-grams can
+be dealt out over any number of shards by the hash of their first two words, and no word, however
+common, meets in one task; what follows one pair of words does.
 
-Each shard is a trie of two levels: its contexts, ascending, with monotone pointers to their
+Each shard is a trie of two levels, or three: its contexts, ascending, with monotone pointers to their
 successors, and the successors of each context, kept as one monotone sequence by adding to each
 range where the one before ended. Both are Elias-Fano coded. Beside the successors stand the
 interpolated probabilities of seen bigrams, quantised to eight bits on a log scale. The levels are
 written to an unlinked file and memory-mapped. A query finds its context, then its successor
-relative to that context's range.
+relative to that context's range. The third level hangs below the successors by their numbers.
 
 Documents are held in blocks. A block asks word shards for the ids and counts of its distinct words
-and bigram shards for the codes of its distinct bigrams, and gets one answer from each; the numbers
+and bigram shards for the codes of its distinct bigrams and of what follows each, and gets one answer from each; the numbers
 of questions follow the distinct words and bigrams of blocks, not the tokens. What is gathered is the
 corpus' own counts, all of them.
 
@@ -129,7 +131,12 @@ class Trie:
 
     def lookup(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The code of each bigram, 0 where it is not in the trie."""
-        out = np.zeros(len(contexts), np.uint8)
+        place = self.places(contexts, words)
+        return np.where(place >= 0, self.codes[place], np.uint8(0)) if len(self.codes) else np.zeros(len(contexts), np.uint8)
+
+    def places(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The number of each bigram among those of the trie, -1 where it is not in it."""
+        out = np.full(len(contexts), -1, np.int64)
         if not len(self._contexts):
             return out
         rank = np.minimum(np.searchsorted(self._contexts, contexts), len(self._contexts) - 1)
@@ -137,7 +144,7 @@ class Trie:
         wanted = words[hit].astype(np.uint64) + rank[hit].astype(np.uint64) * np.uint64(self._step)
         place = np.minimum(np.searchsorted(self._successors, wanted), len(self._successors) - 1)
         found = self._successors[place] == wanted
-        out[hit[found]] = self.codes[place[found]]
+        out[hit[found]] = place[found]
         return out
 
 
@@ -218,6 +225,13 @@ class _Block:
         distinct, number = np.unique(pairs, return_inverse=True)
         return distinct, number, at
 
+    def trigrams(self, ids: np.ndarray, number: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct trigrams as the number of the bigram before and a 32-bit id, ascending; of each token with two before it: the number of its trigram; where those tokens are in at); none for order two."""
+        later = np.flatnonzero(at[1:] == at[:-1] + 1) + 1 if order > 2 else np.empty(0, np.int64)
+        keys = (number[later - 1].astype(np.uint64) << np.uint64(32)) | ids[self.tokens[at[later]]]
+        distinct, third = np.unique(keys, return_inverse=True)
+        return distinct, third, later
+
 
 def _ask_words(shards: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,10 +286,14 @@ def _answer_words(shards: int):
     return answer
 
 
-def _spread(keys: np.ndarray, shards: int) -> list[np.ndarray]:
-    """Indices of keys per shard, in order within a shard."""
+def _spread(keys: np.ndarray, thirds: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, indices of its bigrams, indices of the trigrams that go on from them), in order within a shard."""
     h = keys * np.uint64(0x9E3779B97F4A7C15)
     shard = ((h ^ (h >> np.uint64(32))) % np.uint64(shards)).astype(np.int64)
+    return zip(range(shards), _dealt(shard, shards), _dealt(shard[(thirds >> np.uint64(32)).astype(np.int64)], shards))
+
+
+def _dealt(shard: np.ndarray, shards: int) -> list[np.ndarray]:
     order = np.argsort(shard, kind="stable")
     return np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))
 
@@ -288,7 +306,10 @@ def _weights(contexts: np.ndarray) -> np.ndarray:
     return WEIGHT * contexts / (contexts + 1.0)
 
 
-def _ask_bigrams(word_shards: int, shards: int):
+QUESTIONS = "shard long, block long, contexts binary, words binary, counts binary, context_counts binary, followers binary, thirds binary, third_counts binary"
+
+
+def _ask_bigrams(word_shards: int, shards: int, order: int):
     def ask(mine: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for row in mine.to_pylist():
@@ -297,16 +318,19 @@ def _ask_bigrams(word_shards: int, shards: int):
             distinct, number, at = block.bigrams(ids)
             owner = np.repeat(~block.held_out, block.sizes)[at]
             n = np.bincount(number, weights=owner, minlength=len(distinct)).astype(np.int64)
-            order = np.argsort(ids)
-            context = counts[order[np.searchsorted(ids[order], distinct >> np.uint64(32))]] if len(distinct) else counts[:0]
-            for shard, pick in enumerate(_spread(distinct, shards)):
+            thirds, third, later = block.trigrams(ids, number, at, order)
+            m = np.bincount(third, weights=owner[later], minlength=len(thirds)).astype(np.int64)
+            followers = np.bincount((thirds >> np.uint64(32)).astype(np.int64), minlength=len(distinct))
+            by_id = np.argsort(ids)
+            context = counts[by_id[np.searchsorted(ids[by_id], distinct >> np.uint64(32))]] if len(distinct) else counts[:0]
+            for shard, pick, on in _spread(distinct, thirds, shards):
                 if len(pick):
                     key = distinct[pick]
                     high = key >> np.uint64(32)
-                    out.append((shard, row["block"], pack_ints(np.diff(high, prepend=np.uint64(0))), pack_ints(key & np.uint64(0xFFFFFFFF)), pack_ints(n[pick]), pack_ints(context[pick])))
-        cols = list(zip(*out)) or [()] * 6
-        types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["shard", "block", "contexts", "words", "counts", "context_counts"])
+                    out.append((shard, row["block"], pack_ints(np.diff(high, prepend=np.uint64(0))), pack_ints(key & np.uint64(0xFFFFFFFF)), pack_ints(n[pick]), pack_ints(context[pick]), pack_ints(followers[pick]), pack_ints(thirds[on] & np.uint64(0xFFFFFFFF)), pack_ints(m[on])))
+        cols = list(zip(*out)) or [()] * 9
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in QUESTIONS.split(", ")])
 
     return ask
 
@@ -325,14 +349,44 @@ def _answer_bigrams(rows: pa.Table) -> pa.Table:
     c1 = above[keep][order][begin].astype(np.float64)
     own = _weights(c1) * total / np.maximum(c1, 1)
     trie = Trie(key[begin] >> np.uint64(32), key[begin] & np.uint64(0xFFFFFFFF), quantise(own))
-    codes = [squeeze(trie.lookup(a[0], a[1]).tobytes()) for a in asked]
-    return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "codes": pa.array(codes, pa.binary())})
+    places = [trie.places(a[0], a[1]) for a in asked]
+    seen = [np.where(p >= 0, total[p], 0) if len(total) else np.zeros(len(p), np.int64) for p in places]
+    third_codes = _third_level(rows, places, total)
+    return pa.table(
+        {
+            "block": rows.column("block"), "shard": rows.column("shard"), "codes": pa.array([squeeze(trie.lookup(a[0], a[1]).tobytes()) for a in asked], pa.binary()),
+            "seen": pa.array([pack_ints(x) for x in seen], pa.binary()), "third_codes": pa.array([squeeze(x.tobytes()) for x in third_codes], pa.binary()),
+        }
+    )
+
+
+def _third_level(rows: pa.Table, places: list[np.ndarray], total: np.ndarray) -> list[np.ndarray]:
+    """The codes of the trigrams asked for, whose contexts are the numbers of the shard's bigrams."""
+    asked = []
+    for r, place in zip(rows.select(["followers", "thirds", "third_counts"]).to_pylist(), places):
+        asked.append((np.repeat(place, unpack_ints(r["followers"]).astype(np.int64)), unpack_ints(r["thirds"]), unpack_ints(r["third_counts"])))
+    contexts, words, counts = (np.concatenate([a[k] for a in asked]) for k in range(3))
+    keep = np.flatnonzero(counts > 0)
+    key = (contexts[keep].astype(np.uint64) << np.uint64(32)) | words[keep]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    n = np.add.reduceat(counts[keep][order].astype(np.int64), begin) if len(begin) else np.empty(0, np.int64)
+    above = (key[begin] >> np.uint64(32)).astype(np.int64)
+    c2 = total[above].astype(np.float64)
+    trie = Trie(above.astype(np.uint64), key[begin] & np.uint64(0xFFFFFFFF), quantise(_weights(c2) * n / np.maximum(c2, 1)))
+    out = []
+    for context, word, _ in asked:
+        codes, known = np.zeros(len(word), np.uint8), np.flatnonzero(context >= 0)
+        codes[known] = trie.lookup(context[known].astype(np.uint64), word[known])
+        out.append(codes)
+    return out
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(word_shards: int, shards: int, tokens: int, types: int):
+def _score(word_shards: int, shards: int, tokens: int, types: int, order: int):
     def score(mine: pa.Table, answers: pa.Table) -> pa.Table:
         parts = []
         for row in mine.to_pylist():
@@ -340,16 +394,21 @@ def _score(word_shards: int, shards: int, tokens: int, types: int):
             of_words = answers.filter(pc.is_valid(answers.column("ids")))
             ids, counts = block.global_words(of_words, word_shards)
             distinct, number, at = block.bigrams(ids)
-            codes = np.zeros(len(distinct), np.uint8)
-            told = {s: c for s, c in zip(answers.column("shard").to_pylist(), answers.column("codes").to_pylist()) if c is not None}
-            for shard, pick in enumerate(_spread(distinct, shards)):
+            thirds, third, later = block.trigrams(ids, number, at, order)
+            codes, third_codes, seen_pairs = np.zeros(len(distinct), np.uint8), np.zeros(len(thirds), np.uint8), np.zeros(len(distinct), np.int64)
+            told = {r["shard"]: r for r in answers.filter(pc.is_valid(answers.column("codes"))).select(["shard", "codes", "seen", "third_codes"]).to_pylist()}
+            for shard, pick, on in _spread(distinct, thirds, shards):
                 if len(pick):
-                    codes[pick] = np.frombuffer(expand(told[shard]), np.uint8)
+                    codes[pick] = np.frombuffer(expand(told[shard]["codes"]), np.uint8)
+                    third_codes[on] = np.frombuffer(expand(told[shard]["third_codes"]), np.uint8)
+                    seen_pairs[pick] = unpack_ints(told[shard]["seen"])
             c = counts[block.tokens]
             p1 = _unigram(c, tokens, types)
             p = p1.copy()
             seen = codes[number]
             p[at] = (1 - _weights(counts[block.tokens[at - 1]])) * p1[at] + np.where(seen > 0, 10 ** log10_of(seen), 0.0)
+            seen = third_codes[third]
+            p[at[later]] = (1 - _weights(seen_pairs[number[later - 1]])) * p[at[later]] + np.where(seen > 0, 10 ** log10_of(seen), 0.0)
             starts = np.cumsum(block.sizes) - block.sizes
             sums = [np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), np.log10(p1), np.log10(p))]
             parts.append(
@@ -365,8 +424,8 @@ def _score(word_shards: int, shards: int, tokens: int, types: int):
     return score
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs."""
+def score(docs: DataFrame, order: int = 2) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs, by bigrams (order 2) or trigrams (order 3)."""
     spark = docs.sparkSession
     whole = cut_by(id_and_bytes(docs).mapInArrow(_tokenise, TOKENS), "block")
     sums = whole.agg(F.sum("n_bytes").alias("b"), F.sum("n_train").alias("t")).head()
@@ -377,11 +436,12 @@ def score(docs: DataFrame) -> DataFrame:
     words = cut_by(asked.groupBy("shard").applyInArrow(_answer_words(word_shards), WORD_ANSWERS), "block")
     types = words.agg(F.sum("n_types")).head()[0] or 0
     questions = whole.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(
-        _ask_bigrams(word_shards, shards), "shard long, block long, contexts binary, words binary, counts binary, context_counts binary"
+        _ask_bigrams(word_shards, shards, order), QUESTIONS
     )
-    bigrams = questions.repartition(n, "shard").groupBy("shard").applyInArrow(_answer_bigrams, "block long, shard long, codes binary")
-    back = words.select("block", "shard", "ids", "counts", F.lit(None).cast("binary").alias("codes")).union(
-        bigrams.select("block", "shard", F.lit(None).cast("binary"), F.lit(None).cast("binary"), "codes")
+    bigrams = questions.repartition(n, "shard").groupBy("shard").applyInArrow(_answer_bigrams, "block long, shard long, codes binary, seen binary, third_codes binary")
+    none = F.lit(None).cast("binary")
+    back = words.select("block", "shard", "ids", "counts", none.alias("codes"), none.alias("seen"), none.alias("third_codes")).union(
+        bigrams.select("block", "shard", none, none, "codes", "seen", "third_codes")
     )
-    scored = whole.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(word_shards, shards, tokens, types), SCORES)
+    scored = whole.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(word_shards, shards, tokens, types, order), SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

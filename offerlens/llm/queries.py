@@ -48,7 +48,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_trie.score(read(spark, sf_dir, "documents"))
+    return ngram_trie.score(read(spark, sf_dir, "documents"), order=3)
 
 
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

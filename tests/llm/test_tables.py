@@ -143,6 +143,33 @@ def test_scores_are_those_of_plain_counts(odd, rows, empty):
     assert ngram_trie.is_held_out(None) and ngram_trie.is_held_out(3) == (zlib.crc32(b"3") % 10 == 0)
 
 
+def test_trigram_scores_are_those_of_plain_counts(odd, rows, empty):
+    split = [(d, (t or "").encode().lower().split() + [ngram_trie.END]) for d, t in rows]
+    c, b, t = Counter(), Counter(), Counter()
+    for w in (w for d, w in split if not ngram_trie.is_held_out(d)):
+        c.update(w)
+        b.update(zip(w, w[1:]))
+        t.update(zip(w, w[1:], w[2:]))
+    n, v = sum(c.values()), len(c)
+
+    def mixed(top, bottom, below):
+        weight = ngram_trie.WEIGHT * bottom / (bottom + 1)
+        return (weight * top / bottom if bottom else 0) + (1 - weight) * below
+
+    expected = {}
+    for d, w in split:
+        expected[d] = 0
+        for i, z in enumerate(w):
+            p = (c[z] + 0.1) / (n + 0.1 * (v + 1))
+            p = mixed(b[w[i - 1], z], c[w[i - 1]], p) if i else p
+            p = mixed(t[w[i - 2], w[i - 1], z], b[w[i - 2], w[i - 1]], p) if i > 1 else p
+            expected[d] += math.log10(p)
+    found, two = ngram_trie.score(odd, order=3).collect(), ngram_trie.score(odd).collect()
+    assert len(found) == len(rows) and all(abs(r.score - expected[r.doc_id]) <= 0.02 * r.n_tokens for r in found)
+    assert sum(r.score for r in found if not r.held_out) > sum(r.score for r in two if not r.held_out) + 0.02 * sum(r.n_tokens for r in two)
+    assert ngram_trie.score(empty, order=3).collect() == []
+
+
 def test_elias_fano_and_the_trie_round_trip():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 3000):
