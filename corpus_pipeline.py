@@ -14,8 +14,8 @@ from offerlens.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality_rules.keep(docs)
+    """Documents that the rules reject go; none goes for its size."""
+    return quality_rules.keep(docs, quality_rules.RULES_OF_ANY_SIZE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,8 @@ RULES: tuple[tuple[str, str, float], ...] = (
     ("stop_word_ratio", ">=", 0.02),
     ("upper_ratio", "<=", 0.5),
 )
+#: RULES without the bound on size from above, which op7's SQL has: a long clean text is clean.
+RULES_OF_ANY_SIZE = tuple(rule for rule in RULES if rule[:2] != ("n_words", "<="))
 
 
 def _let(value: Column, body) -> Column:

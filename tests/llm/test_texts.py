@@ -107,6 +107,15 @@ def test_rules_keep_prose_and_drop_junk(spark):
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
 
 
+def test_the_pipeline_keeps_clean_texts_of_any_size(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    clean = " ".join(f"{rng.choice(('house', 'hill', 'garden'))}{rng.randint(0, 9_999_999)} {rng.choice(('the', 'of', 'with'))}" for _ in range(500_050))
+    docs = spark.createDataFrame([(1, clean), (2, "a### b$$$ c%%% " * 30)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.quality(spark, docs, "").select("doc_id").collect()] == [1]
+
+
 @pytest.fixture(scope="module")
 def model():
     return tokenizer_path(token_counts.MODEL)
