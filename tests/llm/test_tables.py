@@ -116,6 +116,48 @@ def test_few_and_no_vectors(spark):
     assert [(r.vec_id, r.rank) for r in out] == [(1, 1), (2, 2)] and permutation_index.nearest(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_blocks_of_queries_and_vectors_meet_each_other(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 20 = 0")
+    one = permutation_index.nearest(queries, df).orderBy("query_id", "rank").collect()
+    many = permutation_index.nearest(queries, df, block=100, query_block=7).orderBy("query_id", "rank").collect()
+    expected = brute_nearest(rows, [(i, np.array(v)) for i, v in rows if i % 20 == 0])
+    for out in (one, many):
+        hits = sum((r.vec_id in [i for i, _ in expected[r.query_id]]) for r in out)
+        assert len(out) == 100 and hits >= 95
+
+
+def test_huge_tiny_and_equal_vectors(spark):
+    rng = np.random.default_rng(7)
+    for trial in range(20):
+        base = rng.normal(size=24)
+        rows = [(0, rng.normal(size=24).tolist())] + [(int(i), base.tolist()) for i in rng.permutation(np.arange(1, 7))] + [(7, rng.normal(size=24).tolist())]
+        ids, m = np.array([i for i, _ in sorted(rows)]), np.array([v for _, v in sorted(rows)])
+        pivots = permutation_index.scaled(m)
+        found, _ = permutation_index.search_block(ids[:1], m[:1], ids, m, pivots / np.linalg.norm(pivots, axis=1, keepdims=True), 5, 0.015)
+        same = [i for _, i, _ in found if 1 <= i <= 6]
+        assert same == list(range(1, 1 + len(same)))
+    rows = [(0, [1e200, 2e200]), (1, [2e200, 4e200]), (2, [1e-200, -1e-200]), (3, [1e308, 1e308]), (4, [5e-324, 0.0])]
+    out = permutation_index.nearest(spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>"), spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    scores = {r.vec_id: r.score for r in out.collect()}
+    assert scores[1] == pytest.approx(1) and scores[3] == pytest.approx(3 / math.sqrt(10)) and scores[2] == pytest.approx(-1 / math.sqrt(10)) and scores[4] == pytest.approx(1 / math.sqrt(5))
+
+
+def test_gains_are_footrule_distances_of_partial_permutations():
+    rng = np.random.default_rng(8)
+    m, pivots = rng.normal(size=(60, 12)), rng.normal(size=(20, 12))
+    files, asked = permutation_index.Postings(m, pivots, 9), permutation_index.permutations(rng.normal(size=(3, 12)), pivots, 11)
+    seen = permutation_index.permutations(m, pivots, 9)
+    for q in asked:
+        for v, gain in zip(seen, files.gains(q)):
+            a, b = {p: k for k, p in enumerate(q.tolist())}, {p: k for k, p in enumerate(v.tolist())}
+            far = sum(abs(a.get(p, 11) - b.get(p, 11)) for p in a.keys() | b.keys())
+            apart = sum(11 - k for k in range(11)) + sum(11 - k for k in range(9))
+            assert gain == apart - far
+
+
 # -- language model
 
 
