@@ -1,19 +1,30 @@
 """HTML main text by tag-path ratios.
 
 A page becomes blocks in page order, each with its root-to-leaf path of block tags (with classes and
-ids) and its text. Per path: text length and punctuation are summed over its blocks. Two ratios come
+ids) and its text; menus, headers, footers, adverts and the like are blocks as any other.
+
+Path table. Text length, punctuation and characters in links are summed by path over its blocks. Two ratios come
 of that: text per block, and punctuation per block weighed by the share of text outside links. Both
-are smoothed over the page by a Gaussian along the blocks, fused by their product, and paths whose
-mean fused ratio reaches the page's deviation are content. The smallest element that holds most of
-the content paths' mass is the article's body; its blocks are the text, short ones too, with those
-branches beside it and its ancestors that are headings or low in links, or else their blocks of
-content paths; less those below an element that is navigation, notice, advert, form or comments by
-its tag, role, class or id. Names are evidence only: an element with most of the page's text outside
-links stays whatever its names are, and ambiguous words within a name count only for elements that
-are mostly links.
-Article and main elements bound the choice where they hold most of the content paths' mass, or a
-third of it and the page's only headlines. A form is text if it has PROSE_A_CONTROL characters outside
-links for each control, or an article.
+are smoothed over the page by a Gaussian along the blocks and fused by their product; a path's score is the
+mean of its blocks'. Tags and names are evidence on a path: each element with a tag or a class, id or role word
+that speaks of menus, headers, footers, sidebars, notices, adverts, forms or comments is weighed against the
+mass (text outside links, less where its ratio is below the deviation) that the page has below it. A score becomes 0 below an element for which that holds:
+
+* nav, header (outside articles), footer, aside, dialog, menu: always;
+* a form: fewer than PROSE_A_CONTROL characters outside links for each of its controls, and no article in it;
+* readers' comments: not over MOST_COMMENTS of the page's mass; other outside words: not over MOST of it;
+* ambiguous words as a whole name: not over MOST of it, and within an article or on a paragraph only if the ratios
+  agree (a mass of under half its text, on a paragraph mostly links); as part of a name: mostly links.
+
+What article and main elements hold weighs ARTICLE times in these masses. Where they hold most of what is left, or a
+third of it and the page's only headlines, scores outside them are divided by ARTICLE. So these elements, too,
+are evidence, and text outside them that the ratios speak for stays. The threshold is the deviation of the fused ratio over the blocks whose score isn't 0: paths that reach it are content.
+
+Nodes. The smallest element that holds most of the content paths' mass is the article's body; its blocks are
+the text, short ones too, with those branches beside it and its ancestors that are headings or low in links, or else
+their blocks of content paths (which is all that a body within an article takes from outside, and the headline if it lacks one; an
+article without a headline that lies beside a body of another kind is a teaser and gives no more either). Paths of score 0, and outside articles paths below
+the threshold that are mostly links, are left out everywhere.
 
 Defined cases: null or empty html has an empty text; a page without tags is one block; text is
 whole, never cut; tags may be left open (p, li, td and the like close each other), inline tags are
@@ -37,11 +48,9 @@ _TOKEN = re.compile(
 _ATTRS = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>?", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp")}
 
-#: Elements whose text is never part of the article: fixed values.
-DROPPED = frozenset(
-    "head script style noscript template iframe noframes object embed svg canvas audio video map nav header footer aside form button select option textarea "
-    "input label fieldset dialog menu menuitem datalist".split()
-)
+#: Elements whose text is no text of the page, and elements around the article: fixed values.
+DROPPED = frozenset("head script style noscript template iframe noframes object embed svg canvas audio video map button select option textarea input label datalist".split())
+AROUND = frozenset("nav header footer aside dialog menu menuitem".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr br "
     "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
@@ -65,17 +74,19 @@ _SCOPES = frozenset("html body table td th article aside section div nav header
 #: Words of a class, id or role that mark an element as outside the article, unless it holds most of the page.
 _OUTSIDE = re.compile(
     r"(?:^|[_-])(ad|ads|adv|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|sidenav|header|masthead|topbar|footer|bottombar|"
-    r"copyright|cookies?\w*|gdpr|popup|modal|newsletter|comments?|commentlist|disqus\w*|share|sharing|toolbar|widget\w*|pagination|pager|tagcloud|navigation|complementary|contentinfo)(?=$|[_-])",
+    r"copyright|cookies?\w*|gdpr|popup|modal|newsletter|comments?|commentlist|disqus\w*|share|sharing|toolbar|pagination|pager|tagcloud|navigation|complementary|contentinfo)(?=$|[_-])",
     re.I,
 )
 #: Words that do so as whole names, and as parts of names where the element is mostly links.
 _AMBIGUOUS = re.compile(
     r"(?:^|[_-])(rail|foot|legal|consent|notices?|notification\w*|alert|overlay|subscri\w*|signup|login|search\w*|respond|replies|reply|discussion|related\w*|recommend\w*|trending|"
-    r"popular|social\w*|follow|skip\w*|tags?|dialog|form)(?=$|[_-])",
+    r"popular|social\w*|follow|skip\w*|tags?|dialog|form|widget\w*)(?=$|[_-])",
     re.I,
 )
-#: The share of the page's characters outside links from which an element is never dropped for its names; more for readers' comments.
+#: The share of the page's mass from which an element is never left out for its names; more for readers' comments.
 MOST, MOST_COMMENTS = 0.5, 0.9
+#: How much more text within article and main elements weighs.
+ARTICLE = 8.0
 _COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|disqus\w*|respond|replies|reply|discussion)(?=$|[_-])", re.I)
 #: Beginnings of class names that speak of an element's surroundings, and words that make a header part of the article.
 _ABOUT = ("has-", "no-", "with-", "without-", "is-", "not-", "js-")
@@ -85,29 +96,27 @@ _UNSEEN = re.compile(r"""\btype\s*=\s*["']?hidden""", re.I)
 #: Characters outside links for each control that a form has at least if it is part of the text: a fixed value.
 PROSE_A_CONTROL = 80
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are paragraphs of their parent, whatever their names say of their looks.
+_PARAGRAPHS = _HEADINGS | frozenset("p li dt dd blockquote pre td th tr figcaption caption".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "outside", "depth", "mass", "controls", "prose", "mark", "size", "links")
+    __slots__ = ("tag", "parent", "path", "outside", "depth", "mass", "controls", "prose", "mark", "size", "links", "inside")
 
     def __init__(self, tag: str, label: str, parent: _Node | None, outside: bool):
         self.tag, self.parent = tag, parent
         self.path = f"{parent.path}/{label}" if parent else label
         self.outside = outside or bool(parent and parent.outside)
+        self.inside = tag in ("article", "main") or bool(parent and parent.inside)
         self.depth = parent.depth + 1 if parent else 0
         self.mass = 0.0
         self.controls = self.prose = self.size = self.links = 0
         self.mark = ""
 
 
-def blocks(page: str, dropped: frozenset[str] = DROPPED) -> list[tuple[_Node, str, int]]:
-    """(element, text, characters in links) of every block with text, in page order; what is dropped is gone already.
-
-    Of the dropped elements a form is judged by its content when it is read whole.
-    """
-    judged = "form" in dropped
-    dropped = dropped - {"form"}
+def blocks(page: str) -> list[tuple[_Node, str, int]]:
+    """(element, text, characters in links) of every block with text, in page order."""
     node = root = _Node("", "", None, False)
     out: list[tuple[_Node, str, int]] = []
     parts: list[str] = []
@@ -162,7 +171,7 @@ def blocks(page: str, dropped: frozenset[str] = DROPPED) -> list[tuple[_Node, st
             else:
                 flush()
             continue
-        if judged and tag in _CONTROLS and not (tag == "input" and _UNSEEN.search(m[3])):
+        if tag in _CONTROLS and not (tag == "input" and _UNSEEN.search(m[3])):
             up = node
             while up is not root and up.tag != "form":
                 up = up.parent
@@ -198,40 +207,25 @@ def blocks(page: str, dropped: frozenset[str] = DROPPED) -> list[tuple[_Node, st
         flush()
         if tag in VOID:
             continue
-        label, outside, names = tag, tag in dropped and not (tag == "header" and _within_article(node)), ""
+        label, outside = tag, tag in DROPPED
+        names = "around" if tag in AROUND and not (tag == "header" and node.inside) else ""
         if m[3].strip():
             named = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRS.findall(m[3])}
             mark = " ".join(filter(None, (named.get("class"), named.get("id"), named.get("role"))))
             if mark:
                 label = f"{tag}.{mark}"
                 outside = outside or "hidden" in mark.lower().split()
-                names = "" if tag in ("html", "body", "article", "main") else _mark(mark.split())
+                names = names or ("" if tag in ("html", "body", "article", "main") else _mark(mark.split()))
             outside = outside or _hidden(m[3])
         node = _Node(tag, label, node, outside)
         node.mark = names
         in_link = 0
     flush()
-    out = _without_marked(out)
-    return _without_forms(out) if judged else out
-
-
-def _without_forms(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
-    """The blocks but for those below forms that are controls more than text."""
-    forms: list[_Node | None] = []
-    for node, text, links in found:
-        up: _Node | None = node
-        article = False
-        while up is not None and up.tag != "form":
-            article, up = article or up.tag in ("article", "main"), up.parent
-        forms.append(up)
-        if up is not None:
-            # what an article or main element in the form holds is text at any length
-            up.prose += PROSE_A_CONTROL * (up.controls + 1) if article else max(0, len(text) - links)
-    return [x for x, form in zip(found, forms) if form is None or form.prose > PROSE_A_CONTROL * form.controls]
+    return out
 
 
 def _mark(names: list[str]) -> str:
-    """What the names of an element say: `outside`, `comments`, `ambiguous` or nothing."""
+    """What the names of an element say: `outside`, `comments`, `named` or `partly` (ambiguous words as a whole name or part of one), or nothing."""
     found = ""
     for name in names:
         if name.lower().startswith(_ABOUT):
@@ -240,40 +234,15 @@ def _mark(names: list[str]) -> str:
         if hit and hit[1].lower() == "header" and _INSIDE.search(name):
             hit = None
         word = _AMBIGUOUS.search(name)
-        if hit or word and word[0] == name:
-            if not _COMMENTS.search(name):
-                return "outside"
+        if (hit or word and word[0] == name) and _COMMENTS.search(name):
             found = "comments"
-        elif word:
-            found = found or "ambiguous"
+        elif hit:
+            return "outside"
+        elif word and found != "comments":
+            found = "named" if word[0] == name else found or "partly"
     return found
 
 
-def _without_marked(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
-    """The blocks but for those below elements whose names mark them as outside and whose content doesn't speak against it."""
-    whole = 0
-    for node, text, links in found:
-        links = min(links, len(text))
-        whole += len(text) - links
-        up: _Node | None = node
-        while up is not None:
-            up.size, up.links, up = up.size + len(text), up.links + links, up.parent
-
-    def dropped(node: _Node) -> bool:
-        if node.mark == "ambiguous" and 2 * node.links < node.size:
-            return False
-        return bool(node.mark) and node.size - node.links <= whole * (MOST_COMMENTS if node.mark == "comments" else MOST)
-
-    out = []
-    for x in found:
-        up = x[0]
-        while up is not None and not dropped(up):
-            up = up.parent
-        if up is None:
-            out.append(x)
-    return out
-
-
 def _hidden(attrs: str) -> bool:
     named = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRS.findall(attrs)}
     return "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
@@ -287,14 +256,6 @@ def _scoped(node: _Node, upto: _Node) -> bool:
     return False
 
 
-def _within_article(node: _Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
 def _smooth(values: list[float]) -> list[float]:
     """A Gaussian of deviation 1 over five blocks, with the ends weighed anew."""
     kernel = [math.exp(-k * k / 2) for k in range(3)]
@@ -308,76 +269,132 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def path_scores(found: list[tuple[_Node, str, int]]) -> tuple[dict[str, float], float]:
-    """({path: fused ratio}, threshold)."""
+def path_ratios(found: list[tuple[_Node, str, int]]) -> dict[str, tuple[float, float]]:
+    """{path: (mean fused ratio, share of its characters in links)}."""
     total: dict[str, list[float]] = {}
     for node, text, links in found:
         t = total.setdefault(node.path, [0, 0, 0, 0])
         for k, x in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), min(links, len(text)))):
             t[k] += x
     text_ratio = {p: t[1] / t[0] for p, t in total.items()}
-    punct_ratio = {p: (1 + t[2] / t[0]) * (1 - t[3] / t[1]) for p, t in total.items()}
+    punct_ratio = {p: (1 + t[2] / t[0]) * (1 - t[3] / t[1] + _LEAST) for p, t in total.items()}
     a = _smooth([text_ratio[n.path] for n, _, _ in found])
     b = _smooth([punct_ratio[n.path] for n, _, _ in found])
-    fused = [x * y for x, y in zip(a, b)]
-    score: dict[str, list[float]] = {}
-    for (node, _, _), x in zip(found, fused):
-        score.setdefault(node.path, []).append(x)
-    mean = sum(fused) / len(fused)
-    deviation = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    return {p: sum(x) / len(x) for p, x in score.items()}, min(deviation, max(fused))
+    fused: dict[str, float] = {}
+    for (node, _, _), x, y in zip(found, a, b):
+        fused[node.path] = fused.get(node.path, 0.0) + x * y
+    return {p: (fused[p] / t[0], t[3] / t[1]) for p, t in total.items()}
+
+
+#: What a path of links alone keeps of its punctuation ratio, so that 0 stands for paths ruled out by evidence.
+_LEAST = 1e-6
+
+
+def _threshold(values: list[float]) -> float:
+    mean = sum(values) / len(values) if values else 0.0
+    return min(math.sqrt(sum((x - mean) ** 2 for x in values) / len(values)), max(values)) if values else 0.0
+
+
+def path_scores(found: list[tuple[_Node, str, int]]) -> tuple[dict[str, float], float]:
+    """({path: fused ratio, or 0 where the evidence of tags and names holds}, threshold)."""
+    ratios = path_ratios(found)
+    first = _threshold([ratios[n.path][0] for n, _, _ in found])
+    share = {p: min(1.0, x / first) if first else 1.0 for p, (x, _) in ratios.items()}
+    whole = 0.0
+    for node, text, links in found:
+        links = min(links, len(text))
+        mass = share[node.path] * (len(text) - links) * (ARTICLE if node.inside else 1)
+        whole += mass
+        article, up = False, node
+        while up is not None:
+            up.size, up.links, up.mass = up.size + len(text), up.links + links, up.mass + mass
+            article = article or up.tag in ("article", "main")
+            if up.tag == "form":  # what an article or main element in the form holds is text at any length
+                up.prose += PROSE_A_CONTROL * (up.controls + 1) if article else len(text) - links
+            up = up.parent
+
+    def holds(node: _Node) -> bool:
+        if node.mark == "around":
+            return True
+        if node.tag == "form" and node.prose <= PROSE_A_CONTROL * node.controls and not (node.size and node.size >= whole_size):
+            return True
+        if node.mark == "partly":
+            return 2 * node.links >= node.size
+        if node.mark == "named" and (node.inside or node.tag in _PARAGRAPHS):
+            whole_share = (ARTICLE if node.inside else 1) * (node.size - node.links)
+            return 2 * node.links >= node.size or node.tag not in _PARAGRAPHS and node.mass < whole_share / 2
+        return bool(node.mark) and node.mass <= whole * (MOST_COMMENTS if node.mark == "comments" else MOST)
+
+    whole_size = sum(len(text) for _, text, _ in found)
+    ruled: dict[int, bool] = {}
+    scores: dict[str, float] = {}
+    for node, _, _ in found:
+        chain, up = [], node
+        while up is not None and id(up) not in ruled:
+            chain.append(up)
+            up = up.parent
+        out = up is not None and ruled[id(up)]
+        for x in reversed(chain):
+            out = ruled[id(x)] = out or holds(x)
+        # of elements with one path, some may be ruled out and others not: the path lives if one of them does
+        scores[node.path] = max(scores.get(node.path, 0.0), 0.0 if out else ratios[node.path][0])
+    if _bounds([x for x in found if scores[x[0].path]], share):
+        outside = {n.path for n, _, _ in found if not n.inside}
+        scores = {p: x / ARTICLE if p in outside else x for p, x in scores.items()}
+    return scores, _threshold([scores[n.path] for n, _, _ in found if scores[n.path]])
+
+
+def _bounds(found: list[tuple[_Node, str, int]], share: dict[str, float]) -> bool:
+    """Whether article and main elements hold most of the mass, or the only headlines and a third of it."""
+
+    def mass(rows: list[tuple[_Node, str, int]]) -> float:
+        return sum(share[node.path] * max(0, len(text) - links) for node, text, links in rows)
+
+    inside = [x for x in found if x[0].inside]
+    part, whole = mass(inside), mass(found)
+    return 2 * part > whole or 0 < _headlines(inside) == _headlines(found) and 3 * part > whole
+
+
+def _headlines(rows: list[tuple[_Node, str, int]]) -> int:
+    return sum(node.tag == "h1" for node, _, _ in rows)
 
 
 def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    found = blocks(page) or blocks(page, DROPPED - {"form"})  # a form may hold the whole page
+    found = blocks(page) if page else []
     if not found:
         return ""
     scores, threshold = path_scores(found)
-    inside = [x for x in found if _within_article(x[0])]
-    if inside and len(inside) < len(found) and _bounds(found, inside, scores, threshold):
-        found = inside
-        scores, threshold = path_scores(found)
+    links = {p: x for p, (_, x) in path_ratios(found).items()}
+    found = [x for x in found if scores[x[0].path] and (x[0].inside or scores[x[0].path] >= threshold or 2 * links[x[0].path] < 1)]
     whole = 0.0
     seen: list[_Node] = []
-    for node, text, links in found:
-        mass = len(text) - min(links, len(text)) if scores[node.path] >= threshold else 0
+    held: dict[int, float] = {}
+    for node, text, linked in found:
+        mass = len(text) - min(linked, len(text)) if scores[node.path] >= threshold else 0
         whole += mass
         up: _Node | None = node
         while up is not None:
-            if not up.mass:
+            if id(up) not in held:
                 seen.append(up)
-            up.mass += mass or 1e-9
+            held[id(up)] = held.get(id(up), 0.0) + (mass or 1e-9)
             up = up.parent
-    # the deepest element with nearly all of the content; an article bounds it from above and below
-    holders = [n for n in seen if n.mass >= 0.9 * whole]
-    best = max(holders, key=lambda n: n.depth)
-    marked = [n for n in seen if n.tag in ("article", "main") and n.mass >= 0.5 * whole]
+    if not seen:
+        return ""
+    # the deepest element with nearly all of the content; an article that holds most of it bounds it from above and below
+    best = max((n for n in seen if held[id(n)] >= 0.9 * whole), key=lambda n: n.depth)
+    marked = [n for n in seen if n.tag in ("article", "main") and held[id(n)] >= 0.5 * whole]
     if marked:
-        best = max(marked, key=lambda n: (n.mass, n.depth))
+        best = max(marked, key=lambda n: (held[id(n)], n.depth))
     elif best.tag not in ("article", "main", "section", "div", "body", "html", "td", "") and best.parent is not None:
         best = best.parent
     return "\n".join(found[k][1] for k in sorted(_kept(found, best, {p for p, x in scores.items() if x >= threshold})))
 
 
-def _bounds(found: list[tuple[_Node, str, int]], inside: list[tuple[_Node, str, int]], scores: dict[str, float], threshold: float) -> bool:
-    """Whether article and main elements hold most of the content paths' mass, or the only headlines and a third of it."""
-
-    def mass(rows: list[tuple[_Node, str, int]]) -> int:
-        return sum(max(0, len(text) - links) for node, text, links in rows if scores[node.path] >= threshold)
-
-    def headlines(rows: list[tuple[_Node, str, int]]) -> int:
-        return sum(node.tag == "h1" for node, _, _ in rows)
-
-    return 2 * mass(inside) > mass(found) or 0 < headlines(inside) == headlines(found) and 3 * mass(inside) > mass(found)
-
-
 def _kept(found: list[tuple[_Node, str, int]], best: _Node, content: set[str]) -> set[int]:
     """Numbers of the blocks below best, and of those elsewhere that belong to it.
 
     Away from best, branches hanging from its ancestors are taken whole if they are headings or low in
-    links, else their blocks of content paths.
+    links, else their blocks of content paths; branches outside best's article, and teasers, only those.
     """
     above, up = set(), best.parent
     while up is not None:
@@ -393,9 +410,15 @@ def _kept(found: list[tuple[_Node, str, int]], best: _Node, content: set[str]) -
             out.add(k)
         else:
             branches.setdefault(k if top is None else top, []).append(k)
+    untitled = best.inside and not _headlines([x for x in found if x[0].inside])
     for ks in branches.values():
         text, links = (sum(x) for x in zip(*((len(found[k][1]), min(found[k][2], len(found[k][1]))) for k in ks)))
-        whole = 2 * links < text or all(found[k][0].tag in _HEADINGS for k in ks)
+        if best.inside and not found[ks[0]][0].inside:
+            whole = untitled and all(found[k][0].tag == "h1" for k in ks)
+        elif not best.inside and all(found[k][0].inside for k in ks) and not _headlines([found[k] for k in ks]):
+            whole = False
+        else:
+            whole = 2 * links < text or all(found[k][0].tag in _HEADINGS for k in ks)
         out |= {k for k in ks if whole or found[k][0].path in content}
     return out
 
