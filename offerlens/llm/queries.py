@@ -27,7 +27,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_documents(read(spark, sf_dir, "documents"))
+    return secrets.scan_documents(read(spark, sf_dir, "documents"), tokenizer_path(secrets.VOCABULARY))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

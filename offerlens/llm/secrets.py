@@ -7,13 +7,17 @@ segmentations into known words, dates, repeats, keyboard walks and brute-force s
 costs at least MIN_GUESSES guesses is a secret. A value that base spans cover whole adds nothing; one that
 they cover in part is scored whole, and its span stands beside theirs.
 
-Costs (log10 of guesses). Word: its rank, doubled for capitals, more for digit-for-letter swaps; a run of
-letters in one case that the list lacks costs UNKNOWN_WORD at most.
-Date: 365 times the years from a reference year, at least 20. Repeat: the unit's cost times the
-count. Walk: start keys times turns and length. Brute force: 10 for each character. A segmentation
-into n parts costs the product of its parts times n factorial, and a constant per part.
-Values have any length: one of over 128 characters is followed until it is proven to cost
-MIN_GUESSES, and its span is the whole value.
+Costs (log10 of guesses) add up along a segmentation, and every part after the first but separators adds
+PART for its kind. Word: its rank, doubled for capitals, more for digit-for-letter swaps; ranks are those of WORDS
+and, where a tokenizer's file is given, of the whole words of its vocabulary in the order of its merges (some
+32,000), whichever is less. A run of letters in one case that the list lacks may be a word of some language: UNKNOWN_WORD,
+and 1 for each letter after the 16th. Date: 365 times the years from a reference year, at least 20. Repeat: the
+unit's cost times the count, for all of its units or up to three less. Walk (of neighbouring keys, or of code points): start keys times turns and length, doubled for each capital among small letters.
+Separator: SEPARATOR for one of `-_./`. Brute force: 10 for each character.
+In prose (`the password is ...`, without quotes) letters and separators alone need PROSE more.
+
+Values have any length and any number of parts: the program walks the value from its start, through those
+places alone that less than the bound reaches; where none is left, the value is proven to cost the bound.
 
 Defined cases: a null text is empty and has no spans; kinds are scanned on their own, leftmost and
 without overlap; repeated rows are scanned one by one; extra columns are ignored; whole texts of
@@ -23,6 +27,8 @@ any length are scanned. Offsets count code points, the end is exclusive.
 from __future__ import annotations
 
 import hashlib
+import heapq
+import json
 import math
 import re
 from bisect import bisect_right
@@ -38,13 +44,19 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CONTEXT = re.compile(
-    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|(?:api|access|private|secret|auth)[_ -]?key)["']?(?:\x20*(?::=|=>|->|[:=])\x20*|\x20+is:?\x20+|(?<=bearer)\x20+)(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"'<>]{6,}))""",
+    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|(?:api|access|private|secret|auth)[_ -]?key)["']?(\x20*(?::=|=>|->|[:=])\x20*|\x20+is:?\x20+|(?<=bearer)\x20+)(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"'<>]{6,}))""",
     re.I | re.A,
 )
+_PLAIN = re.compile(r"[^\W\d_]+(?:[-'/.][^\W\d_]+)*")
 #: A text without any of these has no assignment and no credential context.
 _HINTS = ("pass", "pwd", "secret", "token", "credential", "bearer", "key")
 
 MIN_GUESSES = 10.0
+PROSE = 3.0
+PART = 0.5
+SEPARATOR = 0.5
+#: The vocabulary whose whole words are known words, by its name among the public tokenizers.
+VOCABULARY = "word_bpe_49k.json"
 
 #: Words that people put into passwords, commonest first: fixed values.
 WORDS = (
@@ -61,22 +73,34 @@ _DATE = re.compile(r"(?:\d{1,2}[-/.]?\d{1,2}[-/.]?(?:19|20)\d\d|(?:19|20)\d\d[-/
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: log10 of the guesses for a word that the list lacks.
 UNKNOWN_WORD = 5.0
-_LONGEST = max(map(len, WORDS))
-#: Longer values are followed only as far as they stay under a bound.
-_FULL = 128
 _YEAR = re.compile(r"(?:19|20)\d\d")
 REFERENCE_YEAR = 2020
 
 
-@lru_cache(1)
-def _ranks() -> dict[str, int]:
-    return {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
+class Words:
+    """Ranks of known words, and the length of the longest."""
 
+    def __init__(self, ranks: dict[str, int]):
+        self.ranks, self.longest = ranks, max(map(len, ranks), default=0)
 
-def _parts_at(value: str, low: str, plain: str, i: int, ranks: dict[str, int]) -> Iterator[tuple[int, float]]:
-    """(end, log10 guesses) of every part of value that has a pattern and starts at i."""
-    n = len(value)
-    for j in range(i + 3, min(n, i + _longest(ranks)) + 1):
+
+@lru_cache(4)
+def known_words(path: str | None = None) -> Words:
+    """WORDS, and the whole words of three letters or more in a tokenizer's vocabulary, in the order of its ids."""
+    ranks = {w: i for i, w in enumerate(dict.fromkeys(WORDS), 1)}
+    if path is not None:
+        with open(path, encoding="utf-8") as f:
+            ids = json.load(f)["model"]["vocab"]
+        whole = (w.removesuffix("</w>") for w in sorted(ids, key=ids.get) if w.endswith("</w>") and len(w) >= 7)
+        for i, w in enumerate((w for w in whole if w.isascii() and w.isalpha()), 1):
+            ranks[w] = min(i, ranks.get(w, i))
+    return Words(ranks)
+
+
+def parts_at(value: str, low: str, plain: str, i: int, words: Words) -> Iterator[tuple[int, float]]:
+    """(end, log10 guesses) of every part of value but brute force and repeats that starts at i."""
+    n, ranks = len(value), words.ranks
+    for j in range(i + 3, min(n, i + words.longest) + 1):
         rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
         if rank:
             swaps = sum(a != b for a, b in zip(low[i:j], plain[i:j])) if low[i:j] not in ranks else 0
@@ -87,7 +111,10 @@ def _parts_at(value: str, low: str, plain: str, i: int, ranks: dict[str, int]) -
         yield m.end(), math.log10(max(abs(year - REFERENCE_YEAR), 20) * (365 if len(m[0]) > 4 else 1))
     # a run of letters in one case reads as a word of some language
     if not (i and _LETTERS.match(value, i - 1)) and (m := _LETTERS.match(value, i)) and m.end() - i >= 3 and (m[0].islower() or m[0].isupper() or m[0].istitle()):
-        yield m.end(), min(float(m.end() - i), UNKNOWN_WORD)
+        size = m.end() - i
+        yield m.end(), min(float(size), UNKNOWN_WORD) + max(0, size - 16)
+    if i and value[i] in "-_./":
+        yield i + 1, SEPARATOR - PART
     for step in ("key", 1, -1):  # walks of three neighbouring keys and more, and runs of code points such as abcd or 4321
         j, turns, last = i + 1, 1, None
         while j < n:
@@ -101,60 +128,9 @@ def _parts_at(value: str, low: str, plain: str, i: int, ranks: dict[str, int]) -
                 break
             j += 1
         if j - i >= 3:
-            yield j, math.log10(47 * (j - i)) + turns * math.log10(4) if step == "key" else math.log10(26 * (j - i))
-
-
-def _longest(ranks: dict[str, int]) -> int:
-    return _LONGEST if ranks is _ranks() else max(map(len, ranks), default=0)
-
-
-def _parts(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, float]]:
-    """(start, end, log10 guesses) of every part of value that has a pattern."""
-    low = value.lower()
-    plain = low.translate(_SWAPS)
-    for i in range(len(value)):
-        for j, cost in _parts_at(value, low, plain, i, ranks):
-            yield i, j, cost
-
-
-def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
-    """log10 of the guesses that the cheapest segmentation of value takes."""
-    ranks = _ranks() if ranks is None else ranks
-    return _cost(value, ranks)
-
-
-def _cost(value: str, ranks: dict[str, int]) -> float:
-    n = len(value)
-    if not n:
-        return 0.0
-    into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, cost in _parts(value, ranks):
-        into[j].append((i, cost))
-    for unit in range(1, n // 2 + 1):  # repeats: the unit costs once
-        i = 0
-        while i + 2 * unit <= n:
-            k = 1
-            while value[i + k * unit : i + (k + 1) * unit] == value[i : i + unit]:
-                k += 1
-            if k > 1 and unit * k >= 3:
-                part = value[i : i + unit]
-                cost = float(unit) if unit < 3 else min(float(unit), _cost(part, ranks))
-                into[i + k * unit].append((i, cost + math.log10(k)))
-                i += (k - 1) * unit
-            i += 1
-    # best[k][j]: the least cost of value[:j] in k parts; a brute-force span may have any length
-    most = min(n, 8)
-    best = [[math.inf] * (n + 1) for _ in range(most + 1)]
-    best[0][0] = 0.0
-    for k in range(1, most + 1):
-        open_brute = math.inf
-        for j in range(1, n + 1):
-            open_brute = min(open_brute, best[k - 1][j - 1]) + 1.0
-            least = open_brute
-            for i, cost in into[j]:
-                least = min(least, best[k - 1][i] + cost)
-            best[k][j] = least
-    return min(best[k][n] + math.log10(math.factorial(k)) + 1.5 * (k - 1) for k in range(1, most + 1))
+            part = value[i:j]
+            case = sum(map(str.isupper, part)) if not (part.islower() or part.isupper()) else 0
+            yield j, case * math.log10(2) + (math.log10(47 * (j - i)) + turns * math.log10(4) if step == "key" else math.log10(26 * (j - i)))
 
 
 def _shared(value: str) -> list[int]:
@@ -193,40 +169,45 @@ def _repeats_at(value: str, i: int) -> Iterator[tuple[int, int]]:
             yield u, 1 + z // u
 
 
-def cost_below(value: str, bound: float, ranks: dict[str, int] | None = None) -> float:
-    """guess_cost of value if it is less than bound, else infinity.
+def repeats_at(value: str, i: int, words: Words, bound: float) -> Iterator[tuple[int, float]]:
+    """(end, log10 guesses) of every repeat that starts at i."""
+    for unit, count in _repeats_at(value, i):
+        cost = float(unit) if unit < 3 else min(float(unit), guess_cost(value[i : i + unit], words, bound))
+        for c in range(max(2, count - 3), count + 1):
+            if c * unit >= 3:
+                yield i + c * unit, cost + math.log10(c)
+
 
-    A value of any length is walked from its start, one part after another, from those places alone
-    that less than bound guesses reach; without such a place, the value is proven to cost bound.
+def guess_cost(value: str, words: Words | None = None, bound: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of value takes; infinity if that is proven to be bound or more.
+
+    Places are visited in order. Of each, two costs are kept: of segmentations that end there with a
+    brute-force span, which may grow, and of any.
     """
-    ranks = _ranks() if ranks is None else ranks
-    n = len(value)
-    if n <= _FULL:
-        return cost if (cost := _cost(value, ranks)) < bound else math.inf
+    words = known_words() if words is None else words
     low = value.lower()
     plain = low.translate(_SWAPS)
-    known: dict[int, list[tuple[int, float]]] = {}
-    best, reached, k = math.inf, {0: 0.0}, 0
-    while reached:
-        k += 1
-        further: dict[int, float] = {}
-        left = bound - math.log10(math.factorial(k)) - 1.5 * (k - 1)
-        for i, so_far in reached.items():
-            if so_far >= left:
-                continue
-            if i not in known:
-                known[i] = list(_parts_at(value, low, plain, i, ranks))
-                for unit, count in _repeats_at(value, i):
-                    cost = float(unit) if unit < 3 else min(float(unit), cost_below(value[i : i + unit], bound, ranks))
-                    known[i] += [(i + c * unit, cost + math.log10(c)) for c in (count, count - 1) if c > 1 and c * unit >= 3]
-            brute = [(j, float(j - i)) for j in range(i + 1, min(n, i + math.ceil(left - so_far)) + 1)]
-            for j, cost in known[i] + brute:
-                if so_far + cost < left:
-                    further[j] = min(further.get(j, math.inf), so_far + cost)
-        if n in further:
-            best = min(best, further.pop(n) + bound - left)
-        reached = further
-    return best
+    any_, brute, places = {0: 0.0}, {}, [0]
+
+    def reach(j: int, cost: float) -> None:
+        if cost < bound:
+            if j not in any_:
+                heapq.heappush(places, j)
+            any_[j] = min(cost, any_.get(j, math.inf))
+
+    while places:
+        i = heapq.heappop(places)
+        if i == len(value):
+            return any_[i]
+        so_far = any_.pop(i) + (PART if i else 0.0)
+        if (grown := min(brute.pop(i, math.inf), so_far) + 1.0) < bound:
+            brute[i + 1] = grown
+            reach(i + 1, grown)
+        for j, cost in parts_at(value, low, plain, i, words):
+            reach(j, so_far + cost)
+        for j, cost in repeats_at(value, i, words, bound):
+            reach(j, so_far + cost)
+    return math.inf
 
 
 def _union(spans: list[tuple[int, int, str]]) -> list[list[int]]:
@@ -240,7 +221,7 @@ def _union(spans: list[tuple[int, int, str]]) -> list[list[int]]:
     return out
 
 
-def scan(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[int, int, str]]:
+def scan(text: str, words: Words | None = None, min_guesses: float = MIN_GUESSES) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every span, by start and then in the order of KINDS."""
     low = text.lower()
     spans: list[tuple[int, int, str]] = []
@@ -253,12 +234,16 @@ def scan(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[int, int, st
     if hinted:
         base = _union(spans)
         for m in _CONTEXT.finditer(text):
-            start, end = next(m.span(k) for k in (1, 2, 3) if m[k] is not None)
+            start, end = next(m.span(k) for k in (2, 3, 4) if m[k] is not None)
             while end > start and text[end - 1] in ".,;:!?)]}":
                 end -= 1
             at = bisect_right(base, start, key=lambda x: x[0]) - 1
             covered = at >= 0 and base[at][1] >= end
-            if end - start >= 6 and not covered and cost_below(text[start:end], min_guesses) == math.inf:
+            if end - start < 6 or covered:
+                continue
+            value = text[start:end]
+            prose = m[4] is not None and m[1].strip().lower().startswith("is") and _PLAIN.fullmatch(value)
+            if guess_cost(value, words, min_guesses + (PROSE if prose else 0.0)) == math.inf:
                 spans.append((start, end, "guess"))
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2])))
 
@@ -267,32 +252,33 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text in batch.column(1):
-            spans = scan(text.as_py() or "")
-            base = [x for x in spans if x[2] != "guess"]
-            n = [sum(x[2] == k for x in spans) for k in KINDS[:3]]
-            rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
-        cols = list(zip(*rows)) or [()] * 5
-        yield pa.record_batch(
-            [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])],
-            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-        )
+def scan_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) per row of docs; vocabulary: the file that known_words reads."""
 
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = known_words(vocabulary)
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                spans = scan(text.as_py() or "", words)
+                base = [x for x in spans if x[2] != "guess"]
+                n = [sum(x[2] == k for x in spans) for k in KINDS[:3]]
+                rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.record_batch(
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+            )
 
-def scan_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) per row of docs."""
     return docs.select("doc_id", "text").mapInArrow(
-        _digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+        digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     )
 
 
-def redact_text(text: str, mark: str = "[SECRET]") -> str:
+def redact_text(text: str, words: Words | None = None, mark: str = "[SECRET]") -> str:
     """text with every union of overlapping spans replaced by mark."""
     out, at = [], 0
-    spans = scan(text)
+    spans = scan(text, words)
     k = 0
     while k < len(spans):
         start, end, _ = spans[k]
@@ -304,13 +290,14 @@ def redact_text(text: str, mark: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """docs with secrets cut out of their texts and n_chars (where there is one) counted anew; a null text stays null."""
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = known_words(vocabulary)
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = [None if x is None else redact_text(x) for x in batch.column(at).to_pylist()]
+            texts = [None if x is None else redact_text(x, words) for x in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             if (n := batch.schema.get_field_index("n_chars")) >= 0 and pa.types.is_integer(batch.schema.field(n).type):

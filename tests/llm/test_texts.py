@@ -1,6 +1,7 @@
 """Secrets, quality rules, token counts and HTML against brute force and the libraries."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -57,14 +58,47 @@ def test_values_that_base_spans_cover_in_part_are_scored():
     assert secrets.redact_text(text) == "[SECRET] and [SECRET], [SECRET]' pwd=[SECRET]"
 
 
-def test_bounded_costs_are_those_of_the_whole_program(monkeypatch):
-    rng = random.Random(5)
-    values = ["".join(rng.choice(["password", "Dragon", "1999", "qwer", "aaa", "x", "#", "7", "ab" * 5, "hello"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
-    whole = [secrets.guess_cost(v) for v in values]
-    monkeypatch.setattr(secrets, "_FULL", 0)
-    for value, cost in zip(values, whole):
-        below = secrets.cost_below(value, 10.0)
-        assert below <= cost + 1e-9 if cost < 10 else below > 9
+def brute_cost(value, words):
+    """The least sum over all segmentations, by recursion over where the first part ends."""
+    low = value.lower()
+    plain = low.translate(secrets._SWAPS)
+    least = {len(value): 0.0}
+    for i in range(len(value) - 1, -1, -1):
+        ends = [*secrets.parts_at(value, low, plain, i, words), *secrets.repeats_at(value, i, words, math.inf)]
+        ends += [(j, float(j - i)) for j in range(i + 1, len(value) + 1)]
+        least[i] = min(cost + least[j] + (secrets.PART if j < len(value) else 0.0) for j, cost in ends)
+    return least[0]
+
+
+def test_guess_costs_are_the_least_over_all_segmentations():
+    rng, words = random.Random(5), secrets.known_words()
+    pieces = ["password", "Dragon", "1999", "qwer", "aaa", "x", "#", "7", "ab" * 5, "hello", "-", "_", "P@ss", "zxcvb", "Qz", "abab"]
+    for _ in range(300):
+        value = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        cost = brute_cost(value, words)
+        assert secrets.guess_cost(value) == pytest.approx(cost)
+        below = secrets.guess_cost(value, bound=10.0)
+        assert below == pytest.approx(cost) if cost < 9.999 else below == math.inf or below > 9.99
+
+
+def test_ranked_words_come_from_a_vocabulary():
+    words = secrets.known_words(tokenizer_path(secrets.VOCABULARY))
+    assert len(words.ranks) > 30_000 and words.ranks["password"] == 1 and words.ranks["house"] < words.ranks["battery"]
+    prose = "The password is definitely-not-here-yet today, the passphrase is correct-horse-battery-staple"
+    assert [prose[s:e] for s, e, _ in secrets.scan(prose, words)] == ["correct-horse-battery-staple"]
+    assert secrets.guess_cost("gardenhouse7", words) < secrets.MIN_GUESSES <= secrets.guess_cost("gX4dq7Nh!use7", words)
+
+
+@pytest.mark.parametrize("n", [129, 200, 10_000])
+def test_values_of_any_length_are_masked_whole(spark, n):
+    import corpus_pipeline
+
+    rng = random.Random(n)
+    value = "".join(rng.choice("ABCDEFGHJKMabcdefghjkm23456789!$") for _ in range(n))
+    texts = [f'pwd: "{value}" end', f"pwd: {value} end", f"Authorization: Bearer {value} end", f"token={value} end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = [r.text for r in corpus_pipeline.secret_scan(spark, docs, "").collect()]
+    assert len(kept) == 4 and all(value[k : k + 6] not in t for t in kept for k in range(0, n - 5)) and all(t.endswith(" end") for t in kept)
 
 
 def test_scan_and_redact_odd_documents(odd, rows, empty):
@@ -200,6 +234,48 @@ def test_pages_of_a_table(spark):
     assert len(out) == 3 and all(r.n_chars == len(r.text) for r in out) and html_text.extract(pages.limit(0)).collect() == []
 
 
+def brute_table(found):
+    """Ratios of every path, smoothed over the page block by block, with no shared sums."""
+    paths = [n.path for n, _, _ in found]
+    rows = {p: [(t, min(k, len(t))) for (n, t, k), q in zip(found, paths) if q == p] for p in paths}
+    text = [sum(len(t) for t, _ in rows[p]) / len(rows[p]) for p in paths]
+    marks = [(1 + sum(t.count(c) for t, _ in rows[p] for c in ".,;:!?") / len(rows[p])) * (1 - sum(k for _, k in rows[p]) / sum(len(t) for t, _ in rows[p]) + 1e-6) for p in paths]
+    near = lambda x, i: sum(x[j] * math.exp(-((i - j) ** 2) / 2) for j in range(len(x)) if abs(i - j) < 3) / sum(math.exp(-((i - j) ** 2) / 2) for j in range(len(x)) if abs(i - j) < 3)
+    fused = [near(text, i) * near(marks, i) for i in range(len(paths))]
+    return {p: sum(x for x, q in zip(fused, paths) if q == p) / paths.count(p) for p in paths}
+
+
+def test_the_path_table_is_that_of_brute_force():
+    for page in (PAGE, f"<body><div>{MENU}<p>{PROSE}</p><p>Short.</p><h2>More, of it</h2><div class=a><p>{PROSE}</p></div></div><div>{MENU}</div></body>"):
+        found = html_text.blocks(page)
+        table = {p: x for p, (x, _) in html_text.path_ratios(found).items()}
+        assert table == pytest.approx(brute_table(found)) and len(table) > 3
+
+
+def test_ratios_choose_the_text(monkeypatch):
+    read = PROSE.strip()
+    pages = {
+        f"<body><div>{MENU}</div><p>{PROSE}</p><h2>More</h2><p>Short.</p><div>{MENU}</div></body>": [read, "More", "Short."],
+        f"<body>{MENU}<div class=tags><h1>T</h1><p>{PROSE}</p></div></body>": ["T", read],
+        f"<body><div class=legal-article><h1>T</h1><p>{PROSE}</p></div><div class=foot>{MENU}</div></body>": ["T", read],
+        f"<article><h1>T</h1><p>{PROSE}</p><p class=alert>Mind the step.</p><div class=alert>{PROSE}</div></article><footer>Foot, note.</footer>": ["T", read, "Mind the step.", read],
+        f"<div class='elementor-widget x'><h1>T</h1></div><div class='elementor-widget y'><p>{PROSE}</p></div><div class=elementor-widget><p>{PROSE}</p></div>": ["T", read, read],
+        f"<h1>T</h1><article><p>{PROSE}</p><h2>Sources</h2><ul><li><a href=x>A book, by one</a></ul></article><div>Short.</div>": ["T", read, "Sources", "A book, by one"],
+        f"<article><h1>T</h1><p>{PROSE}</p></article><section id=comments>" + f"<p>{PROSE}</p>" * 5 + "</section>": ["T", read],
+    }
+    for page, text in pages.items():
+        assert html_text.main_text(page) == "\n".join(text)
+    card = f"<body><div><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div><article class=card>Short teaser</article></body>"
+    assert html_text.main_text(card).startswith(f"T\n{read}\n{read}")
+    monkeypatch.setattr(html_text, "path_scores", lambda found: ({n.path: 1.0 for n, _, _ in found}, 1.0))
+    assert sum(html_text.main_text(page) != "\n".join(text) for page, text in pages.items()) >= 5
+
+
+def test_a_very_long_page_is_whole():
+    page = f"<body><nav>{MENU}</nav><article>" + f"<p>{PROSE}</p>" * 4000 + "</article><footer>Foot.</footer></body>"
+    assert html_text.main_text(page) == "\n".join([PROSE.strip()] * 4000)
+
+
 def test_path_scores_favour_text_over_links():
     found = html_text.blocks("<body><div><p>" + "Words, and more words. " * 9 + "</p><p>" + "Further words, indeed. " * 9 + "</p></div><table><tr><td><a href='x'>link</a></td></tr></table></body>")
     scores, threshold = html_text.path_scores(found)
