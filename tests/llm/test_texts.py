@@ -170,9 +170,35 @@ def test_chunk_maps_compose_wherever_a_text_is_cut(model):
     sp, (machine, _), rng = sentencepiece.SentencePieceProcessor(model_file=model), token_counts.compiled(model), random.Random(3)
     parts = ["a", "the", "ing", " ", "  ", "\n", "é", "中", "🙂", "00", ".", "</s>", "<0x0A>", "▁", "\t"]
     for _ in range(1500):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
-        marked = token_counts.MARK + text.replace(" ", token_counts.MARK)
-        assert machine.count(marked, chunk=rng.randint(1, 9)) == len(sp.encode(text)) == token_counts.count_text(text, model)
+        raw = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        text = token_counts.marked(raw, model)
+        size, maps, lacking = rng.randint(1, 9), [], {}
+        while True:
+            maps = []
+            for k, at in enumerate(range(0, len(text), size)):
+                entries = machine.entries(text[max(0, at - 5) : at], at <= 5) | lacking.get(k, set())
+                maps.append((k, machine.chunk_map(text[at : at + size], entries)))
+            (end,) = token_counts.compose_all(maps).values()
+            if end.missing < 0:
+                break
+            lacking.setdefault(end.missing, set()).add(end.state)
+        assert end.count == machine.count(text) == len(sp.encode(raw))
+        # the maps are associative
+        if len(maps) > 2:
+            left = token_counts.compose(token_counts.compose(maps[0][1], maps[1][1], 1), token_counts.compose_all(maps[2:]), 2)
+            assert left == token_counts.compose_all(maps)
+
+
+def test_texts_are_counted_over_many_chunks_and_tasks(spark, model):
+    import sentencepiece
+
+    sp, rng = sentencepiece.SentencePieceProcessor(model_file=model), random.Random(4)
+    texts = ["z" * 700, "the quick brown " * 60, "".join(rng.choice("中文字无空格tion") for _ in range(900)), " " * 300, "a\n" * 200, None, "", "short"]
+    docs = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    expected = Counter((i % 7, len((t or "").encode()), len(sp.encode(t or ""))) for i, t in enumerate(texts))
+    for chunk, look, arity in ((97, 30, 2), (211, 1, 64)):
+        found = token_counts.count_tokens(docs, model, chunk=chunk, look=look, arity=arity).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in found) == expected
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header class="site-header"><h1>Site</h1></header><div id="cookie-notice">We use cookies.</div>
