@@ -32,21 +32,36 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+_RISING = 16
+
+
 def pack_ints(values: np.ndarray) -> bytes:
-    """Non-negative integers, compressed by byte planes; ascending ones are kept as differences by the caller."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    """Non-negative integers, compressed by byte planes; ascending ones by their differences."""
+    values = values.astype("<u8")
+    rising = len(values) > 1 and bool((values[1:] >= values[:-1]).all())
+    if rising:
+        values = np.diff(values, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
     top = 8
     while top > 1 and not planes[top - 1].any():
         top -= 1
-    return bytes([top]) + squeeze(planes[:top].tobytes())
+    return bytes([top + _RISING * rising]) + squeeze(planes[:top].tobytes())
 
 
 def unpack_ints(data: bytes) -> np.ndarray:
-    top, raw = data[0], np.frombuffer(expand(data[1:]), np.uint8)
+    rising, top = divmod(data[0], _RISING)
+    raw = np.frombuffer(expand(data[1:]), np.uint8)
     n = len(raw) // top
     out = np.zeros((n, 8), np.uint8)
     out[:, :top] = raw.reshape(top, n).T
-    return out.reshape(-1).view("<u8")
+    values = out.reshape(-1).view("<u8")
+    return np.cumsum(values, dtype=np.uint64) if rising else values
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +91,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_by(df: DataFrame, key: str) -> DataFrame:
     """df dealt out by key and written to the checkpoint folder; plans that read it know that it is dealt so.
 
-    Only a plan that is fixed before it runs passes its partitioning on, hence the setting meanwhile.
+    Shuffles that only plans cut off before this one used are let go first. Only a plan that is fixed before it runs passes its partitioning on, hence the setting meanwhile.
     """
+    df.sparkSession.sparkContext._jvm.System.gc()
     conf = df.sparkSession.conf
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")

@@ -9,20 +9,23 @@ A byte goes if a 50-byte string covers it that also starts in a document with a
    fragment. Blocks send each distinct fragment once, with the least doc_id that has it, to the
    shard of its seed. A seed with more than HOT occurrences sends its windows one by one, each to
    the shard of its own hash, so that no seed, however common, meets in one task.
-3. Index. A shard collapses equal fragments and builds the Burrows-Wheeler transform of the rest,
-   run-compressed, with the suffix positions at the ends of the runs sampled. The matching
-   statistics of a text position with the row above it drop by at most one from one position to the
-   next, and start anew only at a position sampled at a run's head: so they are computed there and
-   streamed along the text from them. Rows between which they reach 50 start with the same window;
-   the least doc_id among those rows is the window's first document.
+3. Index. A shard collapses equal fragments; the rest are its text. Of that, the run-compressed
+   Burrows-Wheeler transform is built, with the suffix positions sampled at both ends of every run; the suffix array
+   is dropped. All fragments are then walked backwards at once, from their ends, by LF steps over the runs, which
+   gives the row of every position. The matching statistics of a position with the row above it drop by at most one
+   from one position to the next and start anew only at a run's head, where the samples of this run's head and of the last
+   run's tail are compared: so they are computed there and streamed along the text. Rows between which they reach 50
+   start with the same window, a long match; the least doc_id among those rows is the window's first document.
 4. Marks. The answer, runs of windows with their first document, goes back to the blocks, which mark
    every window whose first document is smaller than its own, and hash what is left.
 
-The comparison is of the bytes themselves; hashes only choose what meets where.
+The comparison is of the bytes themselves; hashes only choose what meets where. Blocks and shards talk over hops of
+bounded fan-out (routing): messages are at most FAN for each block and hop, so their number grows with the input, not with blocks times shards.
 
 Defined cases: a null text is empty; texts under 50 bytes lose nothing; rows that share a doc_id are
 no copies of each other; a null doc_id counts as larger than any; matches never cross documents; an
-empty table gives no rows; extra columns are ignored; texts of any length are handled whole.
+empty table gives no rows; extra columns are ignored; texts of any length are handled whole. With keep_text,
+the remaining bytes are decoded; those of a character that was cut through go (kept_sha256 counts them).
 """
 
 from __future__ import annotations
@@ -32,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.byte_blocks import NO_ID, blocks, expand, open_block, pack_ints, squeeze, unpack_ints
-from offerlens.llm.common import shuffle_partitions
+from offerlens.llm.byte_blocks import NO_ID, blocks, mixed, open_block
+from offerlens.llm.routing import FAN, MESSAGE, Items, Net, answer_of, ask, converse, items_of, note, ranges, starts, table
 
 LENGTH = 50
 SEED = 20
@@ -57,12 +61,6 @@ def _sliding(x: np.ndarray, op) -> np.ndarray:
     return op(out[:-rest], out[rest:]) if rest else out
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def _seed_hashes(text: np.ndarray) -> np.ndarray:
     n = len(text) - SEED + 1
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
@@ -93,28 +91,15 @@ def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at, h[at], least
 
 
-def _starts(ordered: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
-
-
-def _per_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, indices of keys) for each shard that has some; the order of keys is kept."""
-    shard = (keys % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    begin = _starts(shard[order])
-    for s, e in zip(begin, [*begin[1:], len(order)]):
-        yield int(shard[order[s]]), order[s:e]
-
-
 # -- 1: which seeds occur in another document ------------------------------------------------------
 
 
 def _seed_table(text: np.ndarray, ends: np.ndarray, ids: np.ndarray):
     """Anchors of a block, and per distinct key: ascending keys, occurrences, whether two documents of the block hold it."""
     at, h, least = anchors(text, ends)
-    keys = _mixed(h) & _KEY
+    keys = mixed(h) & _KEY
     order = np.argsort(keys, kind="stable")
-    begin = _starts(keys[order])
+    begin = starts(keys[order])
     owner = ids[np.searchsorted(ends, at, "right")][order] if len(at) else np.empty(0, np.int64)
     if not len(begin):
         return at, h, least, order, begin, keys[:0], np.empty(0, np.int64), np.empty(0, bool)
@@ -122,39 +107,30 @@ def _seed_table(text: np.ndarray, ends: np.ndarray, ids: np.ndarray):
     return at, h, least, order, begin, keys[order[begin]], np.diff(np.append(begin, len(order))), several
 
 
-def _ask_seeds(shards: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask_seeds(net: Net):
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, ends, text = open_block(row["ids"], row["sizes"], row["body"])
                 *_, keys, n, several = _seed_table(text, ends, ids)
-                out = []
-                for shard, pick in _per_shard(keys, shards):
-                    coded = 2 * np.minimum(n[pick], 1 << 40) + several[pick]
-                    out.append((shard, row["block"], pack_ints(np.diff(keys[pick], prepend=np.uint64(0))), pack_ints(coded)))
-                if out:
-                    cols = list(zip(*out))
-                    yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["shard", "block", "keys", "n"])
+                coded = (2 * np.minimum(n, 1 << 40) + several).astype(np.uint64)
+                yield from table(list(ask(net, row["block"], net.shard_of(keys), Items([keys, coded])))).to_batches()
 
-    return ask
+    return asked
 
 
 def _answer_seeds(hot: int):
-    def answer(rows: pa.Table) -> pa.Table:
-        shard, block = rows.column("shard").to_pylist(), rows.column("block").to_pylist()
-        keys = [np.cumsum(unpack_ints(k)) for k in rows.column("keys").to_pylist()]
-        coded = np.concatenate([unpack_ints(k) for k in rows.column("n").to_pylist()]).astype(np.int64)
-        sizes = [len(k) for k in keys]
-        every = np.concatenate(keys)
+    def answer(shard: int, items: Items) -> tuple[Items, None]:
+        """Of each seed: 0 if one document alone has it, 2 if it is hot, else 1."""
+        every, coded = items.dense[0], items.dense[1].astype(np.int64)
         order = np.argsort(every, kind="stable")
-        begin = _starts(every[order])
+        begin = starts(every[order])
         held, n = np.diff(np.append(begin, len(every))), coded[order]
         shared = (held > 1) | (np.maximum.reduceat(n & 1, begin) > 0)
         verdict = np.where(shared, np.where(np.add.reduceat(n >> 1, begin) > hot, 2, 1), 0).astype(np.uint8)
         back = np.empty(len(every), np.uint8)
         back[order] = np.repeat(verdict, held)
-        parts = [squeeze(p.tobytes()) for p in np.split(back, np.cumsum(sizes)[:-1])]
-        return pa.table({"block": pa.array(block, pa.int64()), "shard": pa.array(shard, pa.int32()), "verdict": pa.array(parts, pa.binary())})
+        return Items([back]), None
 
     return answer
 
@@ -197,7 +173,7 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     wide[:, : rows.shape[1]] = rows
     h = np.zeros(len(rows), np.uint64)
     for col in wide.view("<u8").T:
-        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + col)
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + col)
     return h
 
 
@@ -221,21 +197,14 @@ def _seed_of(rows: np.ndarray) -> np.ndarray:
     return padded[:, :SPAN].min(axis=1)
 
 
-FRAGMENTS = "block long, shard long, no binary, sizes binary, firsts binary, lasts binary, body binary"
-_NAMES = ["block", "shard", "no", "sizes", "firsts", "lasts", "body"]
-
-
-def _send_fragments(shards: int):
+def _send_fragments(net: Net):
     def send(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        """Rows with a shard are questions; the one below zero is the block's own list of places, which comes back as it is."""
+        """Questions about distinct fragments, and the block's note of where they are: number, windows, start of each place."""
         out = []
         for row in mine.to_pylist():
             ids, ends, text = open_block(row["ids"], row["sizes"], row["body"])
             at, h, least, order, begin, keys, _, _ = _seed_table(text, ends, ids)
-            verdict = np.zeros(len(keys), np.uint8)
-            told = dict(zip(answers.column("shard").to_pylist(), answers.column("verdict").to_pylist()))
-            for shard, pick in _per_shard(keys, shards):
-                verdict[pick] = np.frombuffer(expand(told[shard]), np.uint8)
+            verdict = answer_of(answers, 1, 0).dense[0] if len(keys) else np.empty(0, np.uint8)
             each = np.empty(len(at), np.uint8)
             each[order] = np.repeat(verdict, np.diff(np.append(begin, len(order))))
             chosen = np.flatnonzero(each)
@@ -244,29 +213,22 @@ def _send_fragments(shards: int):
             start, windows, which = _fragments(text, ends, at[chosen], h[chosen], least, each[chosen] == 2)
             rows = _texts(text, start, windows + LENGTH - 1)
             mark, near, edge = _equal_rows(rows)
-            no = np.empty(len(start), np.int64)
-            no[near] = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(near))))
-            owner = ids[np.searchsorted(ends, start, "right")]
-            first = np.minimum.reduceat(owner[near], edge)
-            last = np.maximum.reduceat(owner[near], edge)
             kept = near[edge]
-            seed = _mixed(h[chosen][which[kept]]) & _KEY
-            seed = np.where((each[chosen] == 2)[which[kept]], mark[kept] & _KEY, seed)
-            # the places of a fragment are told by their differences, in ascending order
+            seed = mixed(h[chosen][which[kept]]) & _KEY
+            shard = net.shard_of(np.where((each[chosen] == 2)[which[kept]], mark[kept] & _KEY, seed))
+            deal = np.argsort(shard, kind="stable")
+            place = np.empty(len(edge), np.int64)
+            place[deal] = np.arange(len(edge))
+            no = np.empty(len(start), np.int64)
+            no[near] = np.repeat(place, np.diff(np.append(edge, len(near))))
             spot = np.argsort(start, kind="stable")
-            out.append((row["block"], -1 - row["block"], pack_ints(no[spot]), pack_ints(windows[spot]), pack_ints(np.diff(start[spot], prepend=0)), b"", b""))
-            for shard, pick in _per_shard(seed, shards):
-                r = rows[kept[pick]]
-                body = r[:, :WIDEST][np.arange(WIDEST) < r[:, WIDEST:]]
-                out.append(
-                    (
-                        row["block"], shard, pack_ints(pick), pack_ints(r[:, WIDEST].astype(np.int64)), pack_ints(first[pick].view(np.uint64)),
-                        pack_ints(last[pick].view(np.uint64)), squeeze(body.tobytes()),
-                    )
-                )
-        cols = list(zip(*out)) or [()] * 7
-        types = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=_NAMES)
+            out.append(note(row["block"], [x[spot].astype(np.uint64) for x in (no, windows, start)]))
+            owner = ids[np.searchsorted(ends, start, "right")][near]
+            first, last = (op.reduceat(owner, edge)[deal].view(np.uint64) for op in (np.minimum, np.maximum))
+            r = rows[kept[deal]]
+            body = r[:, :WIDEST][np.arange(WIDEST) < r[:, WIDEST:]]
+            out += ask(net, row["block"], shard[deal], Items([first, last], r[:, WIDEST], [body]))
+        return table(out)
 
     return send
 
@@ -275,32 +237,55 @@ def _send_fragments(shards: int):
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of fragments, with the suffix positions at run heads.
+    """Run-compressed Burrows-Wheeler transform of fragments, with the suffix positions at both ends of every run.
 
     body: the fragments one after the other; sizes: their lengths. Every fragment ends in a mark of
-    its own that is less than any byte. order: the suffix array, dropped by the caller once used.
+    its own that is less than any byte; the marks are the first rows, in the order of the fragments.
+    run_at: the rows at which runs begin; run_symbol: their symbols; run_to: the rows to which LF takes their heads.
     """
 
     def __init__(self, body: np.ndarray, sizes: np.ndarray):
         self.sizes = sizes
-        n = len(body) + len(sizes)  # a mark after every fragment
-        ends = np.cumsum(sizes + 1) - 1
+        n = self.n = len(body) + len(sizes)  # a mark after every fragment
+        self.ends = np.cumsum(sizes + 1) - 1
         symbols = np.zeros(n, np.int64)
         inner = np.ones(n, bool)
-        inner[ends] = False
+        inner[self.ends] = False
         symbols[inner] = body.astype(np.int64) + 1
-        self.left = (np.repeat(ends, sizes + 1) - np.arange(n)).astype(np.int32)  # symbols before the mark
+        self.left = (np.repeat(self.ends, sizes + 1) - np.arange(n)).astype(np.int32)  # symbols before the mark
         self.keys = self._sevens(symbols)
-        self.order = self._sorted()
-        before = np.empty(n, np.int64)
+        order = self._sorted()
+        before = np.empty(n, np.int16)
         before[1:] = symbols[:-1]
         before[0] = 0
-        bwt = before[self.order]
+        bwt = before[order]
         # a fragment's first symbol follows a mark; marks differ, so each is a run
         heads = np.concatenate([[True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)])
         self.run_at = np.flatnonzero(heads)
-        self.run_symbol = bwt[self.run_at].astype(np.int16)
-        self.run_sample = self.order[self.run_at]
+        self.run_symbol = bwt[self.run_at]
+        self.head_sample = order[self.run_at]
+        self.tail_sample = order[np.append(self.run_at[1:], n) - 1]
+        length = np.diff(np.append(self.run_at, n))
+        by_symbol = np.argsort(self.run_symbol, kind="stable")
+        self.run_to = np.empty(len(length), np.int64)
+        self.run_to[by_symbol] = np.cumsum(length[by_symbol]) - length[by_symbol]
+
+    def lf(self, rows: np.ndarray) -> np.ndarray:
+        """Of rows, the rows of the suffixes one symbol longer; defined where that symbol is no mark."""
+        run = np.searchsorted(self.run_at, rows, "right") - 1
+        return self.run_to[run] + rows - self.run_at[run]
+
+    def rows(self) -> np.ndarray:
+        """The row of every text position, by LF steps from all fragments' marks at once."""
+        out = np.empty(self.n, np.int64)
+        lanes = np.argsort(-self.sizes, kind="stable")
+        at, row = self.ends[lanes], lanes.copy()
+        many = np.searchsorted(-self.sizes[lanes], -np.arange(1, int(self.sizes.max(initial=0)) + 1), "right")  # fragments of t symbols or more
+        out[at] = row
+        for t, m in enumerate(many.tolist(), 1):
+            row = self.lf(row[:m])
+            out[at[:m] - t] = row
+        return out
 
     def _sevens(self, symbols: np.ndarray) -> np.ndarray:
         """Seven symbols of nine bits from every position on; what lies behind the fragment's mark is zero."""
@@ -332,12 +317,10 @@ class RunIndex:
         return ranks
 
     def matching(self) -> np.ndarray:
-        """Of every text position, how many symbols it shares with the row above it, streamed from the run heads."""
-        n = len(self.order)
-        reach = np.zeros(n, np.int64)
-        row = self.run_at[self.run_at > 0]
-        a, b = self.order[row], self.order[row - 1]
-        same, alive, k = np.zeros(len(row), np.int64), np.arange(len(row)), 0
+        """Of every text position, how many symbols it shares with the row above it, streamed from the run ends."""
+        reach = np.zeros(self.n, np.int64)
+        a, b = self.head_sample[1:], self.tail_sample[:-1]
+        same, alive, k = np.zeros(len(a), np.int64), np.arange(len(a)), 0
         bound = np.minimum(self.left[a], self.left[b])
         while len(alive):  # seven symbols at a time
             x, y = a[alive] + 7 * k, b[alive] + 7 * k
@@ -349,7 +332,7 @@ class RunIndex:
             alive = alive[inside & (equal == 7)]
             k += 1
         reach[a] = a + same
-        return np.maximum(np.maximum.accumulate(reach) - np.arange(n), 0)
+        return np.maximum(np.maximum.accumulate(reach) - np.arange(self.n), 0)
 
     @staticmethod
     def _first_difference(differ: np.ndarray) -> np.ndarray:
@@ -360,44 +343,39 @@ class RunIndex:
 
     def first_of_windows(self, firsts: np.ndarray, length: int = LENGTH) -> np.ndarray:
         """Of every text position with `length` symbols or more: the least of firsts among the fragments in which that string occurs."""
-        owner = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
-        rows = self.order[self.left[self.order] >= length]
-        out = np.full(len(self.order), NO_ID, np.int64)
-        if not len(rows):
-            return out
-        shared = self.matching()[self.order]
-        # the least of what the rows share between two kept rows; rows in between that are too short end a group
-        kept = self.left[self.order] >= length
-        group = np.cumsum(shared < length)[kept]
-        begin = _starts(group)
-        least = np.minimum.reduceat(firsts[owner[rows]], begin)
-        out[rows] = np.repeat(least, np.diff(np.append(begin, len(rows))))
+        rows = self.rows()
+        shared = np.zeros(self.n, np.int32)
+        shared[rows] = self.matching()
+        # rows of positions with less than that many symbols share less with both neighbours
+        group = np.cumsum(shared < length)
+        at = np.flatnonzero(self.left >= length)
+        out = np.full(self.n, NO_ID, np.int64)
+        if len(at):
+            mine = group[rows[at]]
+            owner = np.repeat(firsts, self.sizes + 1)
+            order = np.argsort(mine, kind="stable")
+            begin = starts(mine[order])
+            least = np.minimum.reduceat(owner[at[order]], begin)
+            out[at[order]] = np.repeat(least, np.diff(np.append(begin, len(order))))
         return out
 
 
-def _answer_fragments(rows: pa.Table) -> pa.Table:
-    if rows.column("shard")[0].as_py() < 0:
-        return rows.select(_NAMES)
-    block = rows.column("block").to_pylist()
-    no = [unpack_ints(x).astype(np.int64) for x in rows.column("no").to_pylist()]
-    sizes = np.concatenate([unpack_ints(x).astype(np.int64) for x in rows.column("sizes").to_pylist()])
-    firsts = np.concatenate([unpack_ints(x).view(np.int64) for x in rows.column("firsts").to_pylist()])
-    lasts = np.concatenate([unpack_ints(x).view(np.int64) for x in rows.column("lasts").to_pylist()])
-    body = np.frombuffer(b"".join(map(expand, rows.column("body").to_pylist())), np.uint8)
-    texts = _texts(body, np.cumsum(sizes) - sizes, sizes)
+def _answer_fragments(shard: int, items: Items) -> tuple[Items, None]:
+    """Of each fragment: runs of its windows (from and to in one number) with their first document, where that is before the last that has it."""
+    sizes, lasts = items.times, items.dense[1].view(np.int64)
+    texts = _texts(items.ragged[0], np.cumsum(sizes) - sizes, sizes)
     _, order, begin = _equal_rows(texts)
     group = np.empty(len(sizes), np.int64)
     group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
-    least = np.minimum.reduceat(firsts[order], begin)
+    least = np.minimum.reduceat(items.dense[0].view(np.int64)[order], begin)
     one = texts[order[begin]]
     size = one[:, WIDEST].astype(np.int64)
     # a fragment that is the only one of its seed here shares its windows with no other
     seed = _seed_of(one)
     by_seed = np.argsort(seed, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], seed[by_seed][1:] != seed[by_seed][:-1]]))
-    company = np.empty(len(seed), np.int64)
-    company[by_seed] = np.repeat(np.diff(np.append(edge, len(seed))), np.diff(np.append(edge, len(seed))))
-    several = company > 1
+    edge = starts(seed[by_seed])
+    several = np.empty(len(seed), bool)
+    several[by_seed] = np.repeat(np.diff(np.append(edge, len(seed))) > 1, np.diff(np.append(edge, len(seed))))
     first = np.repeat(least, size + 1)
     if several.any():
         some, long = one[several], size[several]
@@ -407,47 +385,35 @@ def _answer_fragments(rows: pa.Table) -> pa.Table:
     head = np.cumsum(size + 1) - (size + 1)
     windows = size - LENGTH + 1
     which = np.repeat(np.arange(len(size)), windows)
-    step = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+    step = ranges(np.zeros(len(size), np.int64), windows)
     value = first[head[which] + step]
     edge = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (value[1:] != value[:-1])]))
     run_of, run_from, run_first = which[edge], step[edge], value[edge]
     run_to = np.append(edge[1:], len(which)) - edge + run_from
     first_run = np.searchsorted(run_of, np.arange(len(size)))
-    n_runs = np.diff(np.append(first_run, len(run_of)))
-    out, at = [], 0
-    for b, numbers in zip(block, no):
-        g, last = group[at : at + len(numbers)], lasts[at : at + len(numbers)]
-        at += len(numbers)
-        times = n_runs[g]
-        of = np.repeat(np.arange(len(g)), times)
-        r = first_run[g][of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
-        useful = run_first[r] < last[of]
-        of, r = of[useful], r[useful]
-        if len(r):
-            out.append((b, 0, pack_ints(numbers[of]), pack_ints(run_from[r] * 256 + run_to[r]), pack_ints(run_first[r].view(np.uint64)), b"", b""))
-    cols = list(zip(*out)) or [()] * 7
-    types = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=_NAMES)
+    times = np.diff(np.append(first_run, len(run_of)))[group]
+    of = np.repeat(np.arange(len(group)), times)
+    r = ranges(first_run[group], times)
+    useful = run_first[r] < lasts[of]
+    of, r = of[useful], r[useful]
+    spans = (run_from[r] * 256 + run_to[r]).astype(np.uint64)
+    return Items([], np.bincount(of, minlength=len(group)), [spans, run_first[r].view(np.uint64)]), None
 
 
 # -- 4: marks --------------------------------------------------------------------------------------
 
 
-def _removed(n: int, ends: np.ndarray, ids: np.ndarray, answers: list[dict]) -> np.ndarray:
+def _removed(n: int, ends: np.ndarray, ids: np.ndarray, answers: pa.Table) -> np.ndarray:
     change = np.zeros(n + 1, np.int64)
-    own = next((a for a in answers if a["shard"] < 0), None)
-    told = [a for a in answers if a["shard"] >= 0]
-    if own and told:
-        no, start = unpack_ints(own["no"]).astype(np.int64), np.cumsum(unpack_ints(own["firsts"])).astype(np.int64)
-        number = np.concatenate([unpack_ints(a["no"]).astype(np.int64) for a in told])
-        span = np.concatenate([unpack_ints(a["sizes"]).astype(np.int64) for a in told])
-        first = np.concatenate([unpack_ints(a["firsts"]).view(np.int64) for a in told])
-        order = np.argsort(number, kind="stable")
-        number, span, first = number[order], span[order], first[order]
-        lo, hi = np.searchsorted(number, no), np.searchsorted(number, no, "right")
-        times = hi - lo
+    told = answers.to_pylist()
+    own = [r["items"] for r in told if r["note"]]
+    if own:
+        no, _, start = (x.astype(np.int64) for x in items_of(own, 3, 0).dense)
+        runs = answer_of(answers.filter(pc.invert(answers.column("note"))), 0, 2)
+        span, first = runs.ragged[0].astype(np.int64), runs.ragged[1].view(np.int64)
+        times = runs.times[no]
         of = np.repeat(np.arange(len(no)), times)
-        r = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        r = ranges((np.cumsum(runs.times) - runs.times)[no], times)
         mine = ids[np.searchsorted(ends, start[of], "right")]
         hit = first[r] < mine
         of, r = of[hit], r[hit]
@@ -462,10 +428,9 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def _finish(keep_text: bool):
     def finish(mine: pa.Table, answers: pa.Table) -> pa.Table:
         out, kept_texts = [], []
-        told = answers.to_pylist()
         for row in mine.to_pylist():
             ids, ends, text = open_block(row["ids"], row["sizes"], row["body"])
-            gone = _removed(len(text), ends, ids, told)
+            gone = _removed(len(text), ends, ids, answers)
             start = 0
             for key, end in zip(ids.tolist(), ends.tolist()):
                 g = gone[start:end]
@@ -483,16 +448,13 @@ def _finish(keep_text: bool):
     return finish
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT, fan: int = FAN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of docs, and the remaining text if asked for."""
-    spark = docs.sparkSession
     whole = blocks(docs)
-    total = whole.agg(F.sum("n_bytes")).head()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-    n = max(shuffle_partitions(spark), shards)
-    asked = whole.mapInArrow(_ask_seeds(shards), "shard int, block long, keys binary, n binary").repartition(n, "shard")
-    verdicts = asked.groupBy("shard").applyInArrow(_answer_seeds(hot), "block long, shard int, verdict binary")
-    sent = whole.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_send_fragments(shards), FRAGMENTS)
-    back = sent.repartition(n, "shard").groupBy("shard").applyInArrow(_answer_fragments, FRAGMENTS)
+    sums = whole.agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).head()
+    net = Net(max(1, -(-(sums.b or 0) // shard_bytes)), sums.n, fan)
+    verdicts = converse(whole.mapInArrow(_ask_seeds(net), MESSAGE), _answer_seeds(hot), net, (2, 0), (1, 0))
+    sent = whole.groupBy("block").cogroup(verdicts.groupBy("to")).applyInArrow(_send_fragments(net), MESSAGE)
+    back = converse(sent, _answer_fragments, net, (2, 1), (0, 2))
     schema = RESULT + (", text string" if keep_text else "")
-    return whole.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_finish(keep_text), schema)
+    return whole.groupBy("block").cogroup(back.groupBy("to")).applyInArrow(_finish(keep_text), schema)

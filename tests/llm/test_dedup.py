@@ -37,6 +37,23 @@ def test_repeats_are_those_of_brute_force(odd, rows, hot):
     assert found == brute_repeats(rows)
 
 
+def test_messages_over_several_hops_give_the_same(odd, rows):
+    for fan, shard_bytes in ((2, 12_000), (3, 4_000), (256, 500)):
+        found = Counter(tuple(r) for r in rindex_dedup.remove_repeats(odd, hot=100, fan=fan, shard_bytes=shard_bytes).collect())
+        assert found == brute_repeats(rows)
+
+
+def test_messages_grow_with_blocks_and_hops():
+    from offerlens.llm.routing import Items, Net, ask
+
+    rng = np.random.default_rng(3)
+    for blocks, shards in ((300, 100), (3_000, 1_000), (300_000, 100_000)):
+        net = Net(shards, blocks, 64)
+        keys = np.sort(rng.integers(0, 1 << 48, 200_000).astype(np.uint64))
+        sent = list(ask(net, 7, net.shard_of(keys), Items([keys])))
+        assert len(sent) <= 64 and 64**net.levels >= shards > 64 ** (net.levels - 1)
+
+
 def test_repeats_of_an_empty_table(empty):
     assert rindex_dedup.remove_repeats(empty).collect() == []
 
@@ -54,14 +71,21 @@ def test_the_run_index_counts_shared_symbols():
     suffixes = [(t[i:], k, i) for k, t in enumerate(texts) for i in range(len(t) + 1)]
     starts = np.cumsum([0] + [len(t) + 1 for t in texts])
     order = sorted(suffixes, key=lambda s: (s[0], s[1]))
-    assert [int(starts[k] + i) for _, k, i in order] == index.order.tolist()
-    shared = index.matching()[index.order]
+    rows = index.rows()
+    assert [rows[int(starts[k] + i)] for _, k, i in order] == list(range(len(order)))
+    at = [int(starts[k] + i) for _, k, i in order]
+    shared = index.matching()[at]
     for n, (a, b) in enumerate(zip(order, order[1:])):
         same = 0
         while same < min(len(a[0]), len(b[0])) and a[0][same] == b[0][same]:
             same += 1
         assert shared[n + 1] == same
-    assert len(index.run_at) == len(index.run_sample) < len(index.order)
+    runs = len(index.run_at)
+    assert runs == len(index.run_symbol) == len(index.head_sample) == len(index.tail_sample) < len(order)
+    assert all(at[r] == h for r, h in zip(index.run_at.tolist(), index.head_sample.tolist())) and not hasattr(index, "order")
+    for r, (_, k, i) in enumerate(order):
+        if i:
+            assert at[index.lf(np.array([r]))[0]] == at[r] - 1
 
 
 def brute_print(text):
