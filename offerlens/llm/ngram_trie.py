@@ -2,25 +2,29 @@
 
 Training documents are those whose crc32(doc_id as text) mod 10 is not 0. Tokens are the words of
 the text with A-Z lower-cased, then one end. Base score: add-0.1 unigrams. Model: interpolation of
-bigrams with that base,
+trigrams (order 3) with bigrams, and of those with that base,
 
-    P(w2 | w1) = l(w1) c(w1 w2) / c(w1) + (1 - l(w1)) P(w2),  l(w1) = WEIGHT c(w1) / (c(w1) + 1),
+    P(w | h) = l(c(h)) c(h w) / c(h) + (1 - l(c(h))) P(w | shorter h),
 
-which sums to one over words. With order three, as the query has it, trigrams are interpolated with
-that in the same way: c(w1 w2 w3) / c(w1 w2) at weight l(w1 w2). It needs counts alone, so n-grams can
-be dealt out over any number of shards by the hash of their first two words, and no word, however
-common, meets in one task; what follows one pair of words does.
+where an end stands before the first word. Weights are fitted on the training counts by leaving one out: l(c) is the share of
+training tokens behind contexts of count c (by itself up to 15, then by powers of two) whose n-gram occurs once more. So a
+context seen once has weight 0, and what occurs twice is told from what occurs once. As l depends on the
+context alone, P sums to one over words, but for the quantising below (0.018 in log10 at most for each level).
+
+N-grams are dealt out by the hash of their first word; those of a word with more than SPLIT training tokens by parts
+of its successors, so that no word, however common, meets in one task. Trigrams go with their first two words.
 
 Each shard is a trie of two levels, or three: its contexts, ascending, with monotone pointers to their
 successors, and the successors of each context, kept as one monotone sequence by adding to each
-range where the one before ended. Both are Elias-Fano coded. Beside the successors stand the
-interpolated probabilities of seen bigrams, quantised to eight bits on a log scale. The levels are
-written to an unlinked file and memory-mapped. A query finds its context, then its successor
-relative to that context's range. The third level hangs below the successors by their numbers.
+range where the one before ended. All three are Elias-Fano coded and stay so, in one anonymous memory map: low bits packed, high
+parts as unary bits with a count of ones for every 64 of them. Beside the successors stand the
+probabilities c(h w) / c(h), quantised to eight bits on a log scale. A query finds its context by
+selecting the context's high part and searching among the low bits, then its range by the pointers, then its successor
+relative to that range. The third level hangs below the successors by their numbers.
 
 Documents are held in blocks. A block asks word shards for the ids and counts of its distinct words
-and bigram shards for the codes of its distinct bigrams and of what follows each, and gets one answer from each; the numbers
-of questions follow the distinct words and bigrams of blocks, not the tokens. What is gathered is the
+and n-gram shards for the codes of its distinct bigrams and of what follows each; questions follow the distinct words
+and n-grams of blocks, and messages are at most FAN for each block and hop (routing). What is gathered is the
 corpus' own counts, all of them.
 
 Defined cases: a null text is empty and has the end alone; a null doc_id is held out; repeated rows
@@ -31,9 +35,7 @@ ignored. Held-out words that training lacks have count 0. Word ids stay below 2^
 
 from __future__ import annotations
 
-
 import mmap
-import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -44,11 +46,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.byte_blocks import BLOCK_BYTES, NO_ID, cut_by, expand, pack_ints, squeeze, unpack_ints
-from offerlens.llm.common import id_and_bytes, shuffle_partitions
+from offerlens.llm.byte_blocks import BLOCK_BYTES, NO_ID, cut_by, expand, mixed, pack_ints, squeeze, unpack_ints
+from offerlens.llm.common import id_and_bytes
+from offerlens.llm.routing import FAN, MESSAGE, Items, Net, answer_of, ask, converse, starts, summed, table
 
 SMOOTH = 0.1
-WEIGHT = 0.3
+#: Training tokens of a word from which its bigrams are dealt out in parts.
+SPLIT = 50_000
+#: Classes of context counts: 0 to 15 one by one, then by powers of two.
+CLASSES = 64
 #: Words hold no space, so this is none.
 END = b" "
 SHARD_BYTES = 8 << 20
@@ -64,11 +70,37 @@ def is_held_out(doc_id: int | None) -> bool:
 # -- Elias-Fano ------------------------------------------------------------------------------------
 
 
+_ONE = np.uint64(1)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Bits as words of 64, and one word more."""
+    out = np.zeros(len(bits) // 64 + 2, "<u8")
+    data = np.packbits(bits, bitorder="little")
+    out.view(np.uint8)[: len(data)] = data
+    return out
+
+
+def _nth_bit(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The place of the n-th set bit of each word, by halves."""
+    words, n, at = words.copy(), n.astype(np.uint64), np.zeros(len(words), np.uint64)
+    for width in (32, 16, 8, 4, 2, 1):
+        low = np.bitwise_count(words & np.uint64((1 << width) - 1)).astype(np.uint64)
+        up = n >= low
+        n = np.where(up, n - low, n)
+        step = np.where(up, np.uint64(width), np.uint64(0))
+        words >>= step
+        at += step
+    return at.astype(np.int64)
+
+
 class EliasFano:
-    """A monotone sequence below `universe`: low bits packed, high parts as a unary bit vector."""
+    """An ascending sequence: low bits packed, high parts as unary bits (a one for each value, a zero after each high part)."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        """ones: how many ones there are before each word of high."""
+        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
+        self.zeros = 64 * np.arange(len(ones), dtype=np.int64) - ones
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -76,22 +108,63 @@ class EliasFano:
         universe = int(values[-1]) + 1 if n else 1
         low_bits = max(0, (universe // max(n, 1)).bit_length() - 1)
         values = values.astype(np.uint64)
-        bits = ((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        low = np.zeros(n * low_bits, np.uint8)
+        for k in range(low_bits):
+            low[k::low_bits] = (values >> np.uint64(k)) & _ONE
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        unary = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
+        unary = np.zeros(int(ones[-1]) + 2 if n else 1, np.uint8)
         unary[ones] = 1
-        return cls(n, low_bits, np.packbits(bits.ravel(), bitorder="little"), np.packbits(unary, bitorder="little"))
-
-    def decode(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-            out |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return out
+        high = _packed(unary)
+        counts = np.bitwise_count(high).astype(np.int64)
+        return cls(n, low_bits, _packed(low), high, np.cumsum(counts) - counts)
 
     def parts(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.low_bits], "<i8"), self.low, self.high]
+        return [np.array([self.n, self.low_bits], "<i8"), self.low, self.high, self.ones]
+
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(at), np.uint64)
+        bit = at * self.low_bits
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        above = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        return ((self.low[word] >> shift) | above) & np.uint64((1 << self.low_bits) - 1)
+
+    def access(self, at: np.ndarray) -> np.ndarray:
+        """The values at the places: the high part by selecting the one."""
+        word = np.searchsorted(self.ones, at, "right") - 1
+        place = 64 * word + _nth_bit(self.high[word], at - self.ones[word])
+        return ((place - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
+
+    def _behind(self, high: np.ndarray) -> np.ndarray:
+        """How many values have at most that high part: by selecting the zero."""
+        word = np.searchsorted(self.zeros, high, "right") - 1
+        return 64 * word + _nth_bit(~self.high[word], high - self.zeros[word]) - high
+
+    def find(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """The places of values, -1 where they aren't among those from first up to last."""
+        out = np.full(len(values), -1, np.int64)
+        if not self.n or not len(values):
+            return out
+        top = self.access(np.array([self.n - 1]))[0]
+        live = np.flatnonzero(values <= top)
+        high, low = (values[live] >> np.uint64(self.low_bits)).astype(np.int64), values[live] & np.uint64((1 << self.low_bits) - 1)
+        end = self._behind(high)
+        begin = np.zeros(len(live), np.int64)
+        begin[high > 0] = self._behind(high[high > 0] - 1)
+        if first is not None:
+            begin, end = np.maximum(begin, first[live]), np.minimum(end, last[live])
+        stop = end.copy()
+        open_ = np.flatnonzero(begin < end)
+        while len(open_):
+            middle = (begin[open_] + end[open_]) >> 1
+            less = self._low(middle) < low[open_]
+            begin[open_] = np.where(less, middle + 1, begin[open_])
+            end[open_] = np.where(less, end[open_], middle)
+            open_ = open_[begin[open_] < end[open_]]
+        here = np.flatnonzero(begin < stop)
+        here = here[self._low(begin[here]) == low[here]]
+        out[live[here]] = begin[here]
+        return out
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -105,49 +178,49 @@ def log10_of(codes: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Two levels over sorted bigrams: contexts with pointers, successors relative to them with codes; memory-mapped."""
+    """Two levels over sorted n-grams: contexts with pointers, successors relative to them with codes; memory-mapped."""
 
     def __init__(self, contexts: np.ndarray, words: np.ndarray, codes: np.ndarray):
         """contexts and words: equally long, sorted by context and then word, no repeats."""
-        first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(contexts) else np.empty(0, np.int64)
+        first = starts(contexts)
         pointers = np.append(first, len(contexts))
-        self._step = int(words.max()) + 1 if len(words) else 1
-        rank = np.repeat(np.arange(len(first)), np.diff(pointers))
-        levels = [EliasFano.build(contexts[first]), EliasFano.build(pointers), EliasFano.build(words.astype(np.uint64) + rank.astype(np.uint64) * np.uint64(self._step))]
+        self.step = np.uint64(int(words.max()) + 1 if len(words) else 1)
+        rank = np.repeat(np.arange(len(first)), np.diff(pointers)).astype(np.uint64)
+        levels = [EliasFano.build(contexts[first]), EliasFano.build(pointers), EliasFano.build(words.astype(np.uint64) + rank * self.step)]
         arrays = [a for level in levels for a in level.parts()] + [codes]
-        with tempfile.TemporaryFile() as f:  # has no name; gone when the map is
-            for a in arrays:
-                f.write(np.ascontiguousarray(a).tobytes())
-            f.flush()
-            self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if sum(a.nbytes for a in arrays) else b""
-        self.n_bytes, at, views = len(self._map), 0, []
+        self._map = mmap.mmap(-1, max(1, sum(a.nbytes for a in arrays)))
+        at, views = 0, []
         for a in arrays:
+            self._map[at : at + a.nbytes] = np.ascontiguousarray(a).tobytes()
             views.append(np.frombuffer(self._map, a.dtype, len(a), at))
             at += a.nbytes
-        self.contexts, self.pointers, self.successors = (EliasFano(int(views[k][0]), int(views[k][1]), views[k + 1], views[k + 2]) for k in (0, 3, 6))
-        self.codes = views[9]
-        self._contexts = self.contexts.decode()
-        self._successors = self.successors.decode()
+        self.n_bytes = at
+        self.contexts, self.pointers, self.successors = (EliasFano(int(views[k][0]), int(views[k][1]), *views[k + 1 : k + 4]) for k in (0, 4, 8))
+        self.codes = views[12]
 
     def lookup(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The code of each bigram, 0 where it is not in the trie."""
-        place = self.places(contexts, words)
-        return np.where(place >= 0, self.codes[place], np.uint8(0)) if len(self.codes) else np.zeros(len(contexts), np.uint8)
+        """The code of each n-gram, 0 where it is not in the trie."""
+        return self.codes_at(self.places(contexts, words))
+
+    def codes_at(self, places: np.ndarray) -> np.ndarray:
+        return np.where(places >= 0, self.codes[places], np.uint8(0)) if len(self.codes) else np.zeros(len(places), np.uint8)
 
     def places(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The number of each bigram among those of the trie, -1 where it is not in it."""
+        """The number of each n-gram among those of the trie, -1 where it is not in it."""
         out = np.full(len(contexts), -1, np.int64)
-        if not len(self._contexts):
-            return out
-        rank = np.minimum(np.searchsorted(self._contexts, contexts), len(self._contexts) - 1)
-        hit = np.flatnonzero((self._contexts[rank] == contexts) & (words < self._step))
-        wanted = words[hit].astype(np.uint64) + rank[hit].astype(np.uint64) * np.uint64(self._step)
-        place = np.minimum(np.searchsorted(self._successors, wanted), len(self._successors) - 1)
-        found = self._successors[place] == wanted
-        out[hit[found]] = place[found]
+        rank = self.contexts.find(contexts)
+        hit = np.flatnonzero((rank >= 0) & (words < self.step))
+        if len(hit):
+            first, last = (self.pointers.access(rank[hit] + k).astype(np.int64) for k in (0, 1))
+            out[hit] = self.successors.find(words[hit] + rank[hit].astype(np.uint64) * self.step, first, last)
         return out
 
 
+def class_of(counts: np.ndarray) -> np.ndarray:
+    """Classes of context counts."""
+    return np.where(counts < 16, counts, 12 + np.floor(np.log2(np.maximum(counts, 1)))).astype(np.int64)
+
+
 # -- blocks of tokens ------------------------------------------------------------------------------
 
 TOKENS = "block long, n_train long, n_bytes long, ids binary, sizes binary, tokens binary, words binary"
@@ -200,217 +273,175 @@ class _Block:
         weight = np.repeat(~self.held_out, self.sizes).astype(np.float64)
         return np.bincount(self.tokens, weights=weight, minlength=len(self.words)).astype(np.int64)
 
-    def shards_of_words(self, shards: int) -> list[np.ndarray]:
-        mark = np.array([zlib.crc32(w) for w in self.words], np.int64) % shards
-        order = np.argsort(mark, kind="stable")
-        return np.split(order, np.searchsorted(mark[order], np.arange(1, shards)))
+    def shards_of_words(self, net: Net) -> tuple[np.ndarray, np.ndarray]:
+        """(order of the words by shard, their shards in that order)."""
+        shard = net.shard_of(np.array([zlib.crc32(w) for w in self.words], np.uint64), 32)
+        order = np.argsort(shard, kind="stable")
+        return order, shard[order]
 
-    def global_words(self, answers: pa.Table, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    def global_words(self, answers: pa.Table, net: Net) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of every local word."""
-        ids, counts = np.zeros(len(self.words), np.uint64), np.zeros(len(self.words), np.int64)
-        told = {r["shard"]: r for r in answers.to_pylist()}
-        for shard, pick in enumerate(self.shards_of_words(shards)):
-            if len(pick):
-                ids[pick], counts[pick] = unpack_ints(told[shard]["ids"]), unpack_ints(told[shard]["counts"])
+        told = answer_of(answers, 2, 0).dense
+        ids, counts = np.empty(len(self.words), np.uint64), np.empty(len(self.words), np.int64)
+        order, _ = self.shards_of_words(net)
+        ids[order], counts[order] = told
         return ids, counts
 
-    def bigrams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct bigrams as two 32-bit ids in one, ascending; of each token with a token before it in its document: the number of its bigram; where those tokens are)."""
-        starts = np.cumsum(self.sizes) - self.sizes
-        later = np.ones(len(self.tokens), bool)
-        later[starts] = False
-        at = np.flatnonzero(later)
+    def bigrams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct bigrams as two 32-bit ids in one, ascending; of each token, behind an end if it is a document's first, the number of its bigram)."""
         known = ids[self.tokens]
-        pairs = (known[at - 1] << np.uint64(32)) | known[at]
-        distinct, number = np.unique(pairs, return_inverse=True)
-        return distinct, number, at
-
-    def trigrams(self, ids: np.ndarray, number: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct trigrams as the number of the bigram before and a 32-bit id, ascending; of each token with two before it: the number of its trigram; where those tokens are in at); none for order two."""
-        later = np.flatnonzero(at[1:] == at[:-1] + 1) + 1 if order > 2 else np.empty(0, np.int64)
-        keys = (number[later - 1].astype(np.uint64) << np.uint64(32)) | ids[self.tokens[at[later]]]
+        pairs = (known[self.before()] << np.uint64(32)) | known
+        return np.unique(pairs, return_inverse=True)
+
+    def before(self) -> np.ndarray:
+        """Where the token before each stands; for the first of a document, where some end stands."""
+        at = np.arange(len(self.tokens)) - 1
+        ends = np.cumsum(self.sizes)
+        at[ends - self.sizes] = ends[0] - 1
+        return at
+
+    def trigrams(self, ids: np.ndarray, number: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct trigrams as the number of the bigram before and a 32-bit id, ascending; the number of its trigram for each token but the first of a document; where those tokens are); none for order two."""
+        later = np.ones(len(self.tokens), bool)
+        later[np.cumsum(self.sizes) - self.sizes] = False
+        at = np.flatnonzero(later) if order > 2 else np.empty(0, np.int64)
+        keys = (number[at - 1].astype(np.uint64) << np.uint64(32)) | ids[self.tokens[at]]
         distinct, third = np.unique(keys, return_inverse=True)
-        return distinct, third, later
+        return distinct, third, at
+
+    def above(self, distinct: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The count of each bigram's first word."""
+        by_id = np.argsort(ids)
+        return counts[by_id[np.searchsorted(ids[by_id], distinct >> np.uint64(32))]]
+
+    def questions(self, distinct: np.ndarray, thirds: np.ndarray, above: np.ndarray, net: Net) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the bigrams by shard, their shards in that order, how many trigrams go on from each bigram). above: count of each bigram's first word."""
+        first, second = distinct >> np.uint64(32), distinct & np.uint64(0xFFFFFFFF)
+        parts = 1 + above.astype(np.uint64) // np.uint64(SPLIT)
+        shard = net.shard_of(mixed(mixed(first + _ONE) + mixed(second + _ONE) % parts) >> np.uint64(16))
+        order = np.argsort(shard, kind="stable")
+        return order, shard[order], np.bincount((thirds >> np.uint64(32)).astype(np.int64), minlength=len(distinct))
 
 
-def _ask_words(shards: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask_words(net: Net):
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = _Block(row)
                 counts = block.train_counts()
-                out = [
-                    (shard, row["block"], squeeze(b"\n".join([block.words[i] for i in pick.tolist()])), pack_ints(counts[pick]))
-                    for shard, pick in enumerate(block.shards_of_words(shards))
-                    if len(pick)
-                ]
-                cols = list(zip(*out))
-                types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["shard", "block", "words", "counts"])
-
-    return ask
-
+                order, shard = block.shards_of_words(net)
+                words = [block.words[i] for i in order.tolist()]
+                letters = np.frombuffer(b"\n".join([*words, b""]), np.uint8)
+                items = Items([counts[order].astype(np.uint64)], np.array([len(w) + 1 for w in words], np.int64), [letters])
+                yield from table(list(ask(net, row["block"], shard, items))).to_batches()
 
-WORD_ANSWERS = "block long, shard long, n_types long, ids binary, counts binary"
+    return asked
 
 
 def _answer_words(shards: int):
-    def answer(rows: pa.Table) -> pa.Table:
+    def answer(shard: int, items: Items) -> tuple[Items, list[int]]:
+        """(id, count) of each word; and how many words there are in training."""
         number: dict[bytes, int] = {}
-        places, sizes, counts = [], [], []
-        for words, n in zip(rows.column("words"), rows.column("counts")):
-            listed = expand(words.as_py()).split(b"\n")
-            places += [number.setdefault(w, len(number)) for w in listed]
-            sizes.append(len(listed))
-            counts.append(unpack_ints(n.as_py()).astype(np.int64))
-        at = np.array(places, np.int64)
-        total = np.bincount(at, weights=np.concatenate(counts), minlength=len(number)).astype(np.int64)
-        shard = rows.column("shard")[0].as_py()
+        at = np.array([number.setdefault(w, len(number)) for w in items.ragged[0].tobytes().split(b"\n")[:-1]], np.int64)
+        total = np.bincount(at, weights=items.dense[0].astype(np.float64), minlength=len(number)).astype(np.int64)
         rank = np.empty(len(total), np.int64)
         rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
         ids = (rank * shards + shard).astype(np.uint64)
         if len(ids) and int(ids.max()) >> 32:
             raise ValueError("more than 2^32 distinct words")
-        cuts = np.cumsum(sizes)[:-1]
-        out_ids = [pack_ints(x) for x in np.split(ids[at], cuts)]
-        out_counts = [pack_ints(x) for x in np.split(total[at], cuts)]
-        n = len(sizes)
-        types = [int((total > 0).sum())] + [0] * (n - 1)  # once per shard
-        return pa.table(
-            {
-                "block": rows.column("block"), "shard": pa.array([shard] * n, pa.int64()), "n_types": pa.array(types, pa.int64()),
-                "ids": pa.array(out_ids, pa.binary()), "counts": pa.array(out_counts, pa.binary()),
-            }
-        )
+        return Items([ids[at], total[at].astype(np.uint64)]), [int((total > 0).sum())]
 
     return answer
 
 
-def _spread(keys: np.ndarray, thirds: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, indices of its bigrams, indices of the trigrams that go on from them), in order within a shard."""
-    h = keys * np.uint64(0x9E3779B97F4A7C15)
-    shard = ((h ^ (h >> np.uint64(32))) % np.uint64(shards)).astype(np.int64)
-    return zip(range(shards), _dealt(shard, shards), _dealt(shard[(thirds >> np.uint64(32)).astype(np.int64)], shards))
-
-
-def _dealt(shard: np.ndarray, shards: int) -> list[np.ndarray]:
-    order = np.argsort(shard, kind="stable")
-    return np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))
-
-
 def _unigram(counts: np.ndarray, tokens: int, types: int) -> np.ndarray:
     return (counts + SMOOTH) / (tokens + SMOOTH * (types + 1))
 
 
-def _weights(contexts: np.ndarray) -> np.ndarray:
-    return WEIGHT * contexts / (contexts + 1.0)
-
-
-QUESTIONS = "shard long, block long, contexts binary, words binary, counts binary, context_counts binary, followers binary, thirds binary, third_counts binary"
-
-
-def _ask_bigrams(word_shards: int, shards: int, order: int):
-    def ask(mine: pa.Table, answers: pa.Table) -> pa.Table:
+def _ask_ngrams(word_net: Net, net: Net, order: int):
+    def send(mine: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for row in mine.to_pylist():
             block = _Block(row)
-            ids, counts = block.global_words(answers, word_shards)
-            distinct, number, at = block.bigrams(ids)
-            owner = np.repeat(~block.held_out, block.sizes)[at]
-            n = np.bincount(number, weights=owner, minlength=len(distinct)).astype(np.int64)
-            thirds, third, later = block.trigrams(ids, number, at, order)
-            m = np.bincount(third, weights=owner[later], minlength=len(thirds)).astype(np.int64)
-            followers = np.bincount((thirds >> np.uint64(32)).astype(np.int64), minlength=len(distinct))
-            by_id = np.argsort(ids)
-            context = counts[by_id[np.searchsorted(ids[by_id], distinct >> np.uint64(32))]] if len(distinct) else counts[:0]
-            for shard, pick, on in _spread(distinct, thirds, shards):
-                if len(pick):
-                    key = distinct[pick]
-                    high = key >> np.uint64(32)
-                    out.append((shard, row["block"], pack_ints(np.diff(high, prepend=np.uint64(0))), pack_ints(key & np.uint64(0xFFFFFFFF)), pack_ints(n[pick]), pack_ints(context[pick]), pack_ints(followers[pick]), pack_ints(thirds[on] & np.uint64(0xFFFFFFFF)), pack_ints(m[on])))
-        cols = list(zip(*out)) or [()] * 9
-        types = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in QUESTIONS.split(", ")])
-
-    return ask
-
-
-def _answer_bigrams(rows: pa.Table) -> pa.Table:
-    asked = []
-    for r in rows.to_pylist():
-        asked.append((np.cumsum(unpack_ints(r["contexts"])), *(unpack_ints(r[c]) for c in ("words", "counts", "context_counts"))))
-    contexts, words, counts, above = (np.concatenate([a[k] for a in asked]) for k in range(4))
-    keep = np.flatnonzero(counts > 0)
-    key = (contexts[keep] << np.uint64(32)) | words[keep]
+            ids, counts = block.global_words(answers, word_net)
+            distinct, number = block.bigrams(ids)
+            owner = np.repeat(~block.held_out, block.sizes)
+            n = np.bincount(number, weights=owner, minlength=len(distinct)).astype(np.uint64)
+            thirds, third, at = block.trigrams(ids, number, order)
+            m = np.bincount(third, weights=owner[at], minlength=len(thirds)).astype(np.uint64)
+            above = block.above(distinct, ids, counts)
+            deal, shard, followers = block.questions(distinct, thirds, above, net)
+            items = Items([distinct >> np.uint64(32), distinct & np.uint64(0xFFFFFFFF), n, above.astype(np.uint64)], followers, [thirds & np.uint64(0xFFFFFFFF), m])
+            out += ask(net, row["block"], shard, items.take(deal))
+        return table(out)
+
+    return send
+
+
+def _level(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, context_counts: np.ndarray) -> tuple[Trie, np.ndarray, np.ndarray, np.ndarray]:
+    """(trie of the n-grams that have counts, the place of each question in it, the count of each place, [training tokens and those whose n-gram occurs once] by class)."""
+    key = (contexts << np.uint64(32)) | words
     order = np.argsort(key, kind="stable")
-    key = key[order]
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    total = np.add.reduceat(counts[keep][order].astype(np.int64), begin) if len(begin) else np.empty(0, np.int64)
-    c1 = above[keep][order][begin].astype(np.float64)
-    own = _weights(c1) * total / np.maximum(c1, 1)
-    trie = Trie(key[begin] >> np.uint64(32), key[begin] & np.uint64(0xFFFFFFFF), quantise(own))
-    places = [trie.places(a[0], a[1]) for a in asked]
-    seen = [np.where(p >= 0, total[p], 0) if len(total) else np.zeros(len(p), np.int64) for p in places]
-    third_codes = _third_level(rows, places, total)
-    return pa.table(
-        {
-            "block": rows.column("block"), "shard": rows.column("shard"), "codes": pa.array([squeeze(trie.lookup(a[0], a[1]).tobytes()) for a in asked], pa.binary()),
-            "seen": pa.array([pack_ints(x) for x in seen], pa.binary()), "third_codes": pa.array([squeeze(x.tobytes()) for x in third_codes], pa.binary()),
-        }
-    )
-
-
-def _third_level(rows: pa.Table, places: list[np.ndarray], total: np.ndarray) -> list[np.ndarray]:
-    """The codes of the trigrams asked for, whose contexts are the numbers of the shard's bigrams."""
-    asked = []
-    for r, place in zip(rows.select(["followers", "thirds", "third_counts"]).to_pylist(), places):
-        asked.append((np.repeat(place, unpack_ints(r["followers"]).astype(np.int64)), unpack_ints(r["thirds"]), unpack_ints(r["third_counts"])))
-    contexts, words, counts = (np.concatenate([a[k] for a in asked]) for k in range(3))
-    keep = np.flatnonzero(counts > 0)
-    key = (contexts[keep].astype(np.uint64) << np.uint64(32)) | words[keep]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    n = np.add.reduceat(counts[keep][order].astype(np.int64), begin) if len(begin) else np.empty(0, np.int64)
-    above = (key[begin] >> np.uint64(32)).astype(np.int64)
-    c2 = total[above].astype(np.float64)
-    trie = Trie(above.astype(np.uint64), key[begin] & np.uint64(0xFFFFFFFF), quantise(_weights(c2) * n / np.maximum(c2, 1)))
-    out = []
-    for context, word, _ in asked:
-        codes, known = np.zeros(len(word), np.uint8), np.flatnonzero(context >= 0)
-        codes[known] = trie.lookup(context[known].astype(np.uint64), word[known])
-        out.append(codes)
-    return out
+    begin = starts(key[order])
+    sums = np.add.reduceat(counts[order].astype(np.int64), begin) if len(begin) else np.empty(0, np.int64)
+    seen = np.flatnonzero(sums > 0)
+    key, of = key[order[begin]], context_counts[order[begin]].astype(np.int64)
+    total, of_seen = sums[seen], of[seen]
+    trie = Trie(key[seen] >> np.uint64(32), key[seen] & np.uint64(0xFFFFFFFF), quantise(total / np.maximum(of_seen, 1)))
+    places = np.empty(len(order), np.int64)
+    places[order] = np.repeat(trie.places(key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)), np.diff(np.append(begin, len(order))))
+    of_class = class_of(of_seen)
+    stats = np.stack([np.bincount(of_class, weights=w, minlength=CLASSES).astype(np.int64) for w in (total, total == 1)])
+    return trie, places, total, stats
+
+
+def _answer_ngrams(shard: int, items: Items) -> tuple[Items, list[int]]:
+    """(code, class of its count) of each bigram, the codes of what follows it; and both levels' sums for the weights."""
+    contexts, words, counts, above = items.dense
+    trie, places, total, stats = _level(contexts, words, counts, above)
+    codes = trie.codes_at(places)
+    count = np.where(places >= 0, total[places], 0) if len(total) else np.zeros(len(places), np.int64)
+    over = np.repeat(places, items.times)
+    known = np.flatnonzero(over >= 0)
+    third_codes = np.zeros(len(over), np.uint8)
+    trie, at, _, third_stats = _level(over[known].astype(np.uint64), items.ragged[0][known], items.ragged[1][known], total[over[known]] if len(total) else over[known])
+    third_codes[known] = trie.codes_at(at)
+    return Items([codes, class_of(count).astype(np.uint8)], items.times, [third_codes]), [*stats.ravel().tolist(), *third_stats.ravel().tolist()]
+
+
+def fitted(sums: list[int]) -> np.ndarray:
+    """(levels, classes): the weight of contexts of each class, from the sums over all shards."""
+    tokens, once = np.array(sums or [0] * 4 * CLASSES, np.float64).reshape(2, 2, CLASSES).transpose(1, 0, 2)
+    return (tokens - once) / (tokens + 1)  # below 1, as something unseen may always come
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(word_shards: int, shards: int, tokens: int, types: int, order: int):
+def _score(word_net: Net, net: Net, tokens: int, types: int, order: int, weights: np.ndarray):
     def score(mine: pa.Table, answers: pa.Table) -> pa.Table:
         parts = []
         for row in mine.to_pylist():
             block = _Block(row)
-            of_words = answers.filter(pc.is_valid(answers.column("ids")))
-            ids, counts = block.global_words(of_words, word_shards)
-            distinct, number, at = block.bigrams(ids)
-            thirds, third, later = block.trigrams(ids, number, at, order)
-            codes, third_codes, seen_pairs = np.zeros(len(distinct), np.uint8), np.zeros(len(thirds), np.uint8), np.zeros(len(distinct), np.int64)
-            told = {r["shard"]: r for r in answers.filter(pc.is_valid(answers.column("codes"))).select(["shard", "codes", "seen", "third_codes"]).to_pylist()}
-            for shard, pick, on in _spread(distinct, thirds, shards):
-                if len(pick):
-                    codes[pick] = np.frombuffer(expand(told[shard]["codes"]), np.uint8)
-                    third_codes[on] = np.frombuffer(expand(told[shard]["third_codes"]), np.uint8)
-                    seen_pairs[pick] = unpack_ints(told[shard]["seen"])
+            of_words = answers.filter(answers.column("words"))
+            of_ngrams = answers.filter(pc.invert(answers.column("words")))
+            ids, counts = block.global_words(of_words, word_net)
+            distinct, number = block.bigrams(ids)
+            thirds, third, at = block.trigrams(ids, number, order)
+            deal, _, followers = block.questions(distinct, thirds, block.above(distinct, ids, counts), net)
+            told = answer_of(of_ngrams, 2, 1)
+            back = np.empty(len(deal), np.int64)
+            back[deal] = np.arange(len(deal))
+            told = told.take(back)
+            (codes, classes), third_codes = told.dense, told.ragged[0]
             c = counts[block.tokens]
             p1 = _unigram(c, tokens, types)
-            p = p1.copy()
-            seen = codes[number]
-            p[at] = (1 - _weights(counts[block.tokens[at - 1]])) * p1[at] + np.where(seen > 0, 10 ** log10_of(seen), 0.0)
-            seen = third_codes[third]
-            p[at[later]] = (1 - _weights(seen_pairs[number[later - 1]])) * p[at[later]] + np.where(seen > 0, 10 ** log10_of(seen), 0.0)
-            starts = np.cumsum(block.sizes) - block.sizes
-            sums = [np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), np.log10(p1), np.log10(p))]
+            w = weights[0][class_of(counts[block.tokens[block.before()]])]
+            p = w * _probability(codes[number]) + (1 - w) * p1
+            w = weights[1][classes[number[at - 1]]] if len(at) else np.empty(0)
+            p[at] = w * _probability(third_codes[third]) + (1 - w) * p[at]
+            firsts = np.cumsum(block.sizes) - block.sizes
+            sums = [np.add.reduceat(x, firsts) for x in ((c > 0).astype(np.int64), np.log10(p1), np.log10(p))]
             parts.append(
                 pa.table(
                     {
@@ -424,24 +455,21 @@ def _score(word_shards: int, shards: int, tokens: int, types: int, order: int):
     return score
 
 
-def score(docs: DataFrame, order: int = 2) -> DataFrame:
+def _probability(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, 10 ** log10_of(codes), 0.0)
+
+
+def score(docs: DataFrame, order: int = 2, fan: int = FAN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs, by bigrams (order 2) or trigrams (order 3)."""
-    spark = docs.sparkSession
     whole = cut_by(id_and_bytes(docs).mapInArrow(_tokenise, TOKENS), "block")
-    sums = whole.agg(F.sum("n_bytes").alias("b"), F.sum("n_train").alias("t")).head()
-    tokens, shards = sums.t or 0, max(1, -(-(sums.b or 0) // SHARD_BYTES))
-    word_shards = max(1, shards // 4)
-    n = max(shuffle_partitions(spark), shards)
-    asked = whole.mapInArrow(_ask_words(word_shards), "shard long, block long, words binary, counts binary").repartition(max(shuffle_partitions(spark), word_shards), "shard")
-    words = cut_by(asked.groupBy("shard").applyInArrow(_answer_words(word_shards), WORD_ANSWERS), "block")
-    types = words.agg(F.sum("n_types")).head()[0] or 0
-    questions = whole.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(
-        _ask_bigrams(word_shards, shards, order), QUESTIONS
-    )
-    bigrams = questions.repartition(n, "shard").groupBy("shard").applyInArrow(_answer_bigrams, "block long, shard long, codes binary, seen binary, third_codes binary")
-    none = F.lit(None).cast("binary")
-    back = words.select("block", "shard", "ids", "counts", none.alias("codes"), none.alias("seen"), none.alias("third_codes")).union(
-        bigrams.select("block", "shard", none, none, "codes", "seen", "third_codes")
-    )
-    scored = whole.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(word_shards, shards, tokens, types, order), SCORES)
+    sums = whole.agg(F.sum("n_bytes").alias("b"), F.sum("n_train").alias("t"), F.count("*").alias("n")).head()
+    tokens, shards = sums.t or 0, max(1, -(-(sums.b or 0) // shard_bytes))
+    word_net, net = Net(max(1, shards // 4), sums.n, fan), Net(shards, sums.n, fan)
+    words = cut_by(converse(whole.mapInArrow(_ask_words(word_net), MESSAGE), _answer_words(word_net.shards), word_net, (1, 1), (2, 0)), "to")
+    types = sum(summed(words))
+    asked = whole.groupBy("block").cogroup(words.groupBy("to")).applyInArrow(_ask_ngrams(word_net, net, order), MESSAGE)
+    ngrams = cut_by(converse(asked, _answer_ngrams, net, (4, 2), (2, 1)), "to")
+    weights = fitted(summed(ngrams))
+    back = words.select("to", "frm", "items", F.lit(True).alias("words")).union(ngrams.select("to", "frm", "items", F.lit(False)))
+    scored = whole.groupBy("block").cogroup(back.groupBy("to")).applyInArrow(_score(word_net, net, tokens, types, order, weights), SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
