@@ -91,16 +91,18 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_by(df: DataFrame, key: str) -> DataFrame:
     """df dealt out by key and written to the checkpoint folder; plans that read it know that it is dealt so.
 
-    Shuffles that only plans cut off before this one used are let go first. Only a plan that is fixed before it runs passes its partitioning on, hence the setting meanwhile.
+    Only a plan that is fixed before it runs passes its partitioning on; and what it shuffled is let go when it is written. Hence the settings meanwhile.
     """
-    df.sparkSession.sparkContext._jvm.System.gc()
     conf = df.sparkSession.conf
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {name: conf.get(name, "false") for name in settings}
     try:
+        for name, value in settings.items():
+            conf.set(name, value)
         return cut(df.repartition(shuffle_partitions(df.sparkSession), key))
     finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
+        for name, value in before.items():
+            conf.set(name, value)
 
 
 def blocks(docs: DataFrame) -> DataFrame:

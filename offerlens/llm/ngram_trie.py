@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from offerlens.llm.byte_blocks import BLOCK_BYTES, NO_ID, cut_by, expand, mixed, pack_ints, squeeze, unpack_ints
 from offerlens.llm.common import id_and_bytes
-from offerlens.llm.routing import FAN, MESSAGE, Items, Net, answer_of, ask, converse, starts, summed, table
+from offerlens.llm.routing import FAN, MESSAGE, Items, Net, answer_of, ask, converse, ranges, starts, summed, table
 
 SMOOTH = 0.1
 #: Training tokens of a word from which its bigrams are dealt out in parts.
@@ -81,17 +81,32 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return out
 
 
+#: The place of the k-th set bit of each byte.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.uint8)
+_EACH, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_FIVES, _THREES, _NIBBLES = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+
+
 def _nth_bit(words: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The place of the n-th set bit of each word, by halves."""
-    words, n, at = words.copy(), n.astype(np.uint64), np.zeros(len(words), np.uint64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(words & np.uint64((1 << width) - 1)).astype(np.uint64)
-        up = n >= low
-        n = np.where(up, n - low, n)
-        step = np.where(up, np.uint64(width), np.uint64(0))
-        words >>= step
-        at += step
-    return at.astype(np.int64)
+    """The place of the n-th set bit of each word: the byte by sums of bits over its bytes, then the bit by table."""
+    n = n.astype(np.uint64)
+    x = words - ((words >> _ONE) & _FIVES)
+    x = (x & _THREES) + ((x >> np.uint64(2)) & _THREES)
+    upto = ((x + (x >> np.uint64(4))) & _NIBBLES) * _EACH
+    byte = np.bitwise_count((((n * _EACH) | _HIGH) - upto) & _HIGH).astype(np.uint64) << np.uint64(3)
+    before = ((upto << np.uint64(8)) >> byte) & np.uint64(255)
+    return byte.astype(np.int64) + _IN_BYTE[(words >> byte) & np.uint64(255), n - before]
+
+
+def _window(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 64 bits from each place on."""
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    return (bits[word] >> shift) | np.where(shift > 0, bits[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+
+
+def _first_bit(words: np.ndarray) -> np.ndarray:
+    """The place of the first set bit of each word, 64 if there is none."""
+    return np.bitwise_count((words & (~words + _ONE)) - _ONE).astype(np.int64)
 
 
 class EliasFano:
@@ -124,17 +139,29 @@ class EliasFano:
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(at), np.uint64)
-        bit = at * self.low_bits
-        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
-        above = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-        return ((self.low[word] >> shift) | above) & np.uint64((1 << self.low_bits) - 1)
+        return _window(self.low, at * self.low_bits) & np.uint64((1 << self.low_bits) - 1)
 
-    def access(self, at: np.ndarray) -> np.ndarray:
-        """The values at the places: the high part by selecting the one."""
-        word = np.searchsorted(self.ones, at, "right") - 1
-        place = 64 * word + _nth_bit(self.high[word], at - self.ones[word])
+    def _value(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
         return ((place - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
 
+    def _one(self, at: np.ndarray) -> np.ndarray:
+        """The place of each one among the unary bits."""
+        word = np.searchsorted(self.ones, at, "right") - 1
+        return 64 * word + _nth_bit(self.high[word], at - self.ones[word])
+
+    def access(self, at: np.ndarray) -> np.ndarray:
+        """The values at the places."""
+        return self._value(at, self._one(at))
+
+    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at the places and those behind them."""
+        place = self._one(at)
+        step = _first_bit(_window(self.high, place + 1))
+        later = place + 1 + step
+        if len(far := np.flatnonzero(step > 63)):
+            later[far] = self._one(at[far] + 1)
+        return self._value(at, place), self._value(at + 1, later)
+
     def _behind(self, high: np.ndarray) -> np.ndarray:
         """How many values have at most that high part: by selecting the zero."""
         word = np.searchsorted(self.zeros, high, "right") - 1
@@ -145,22 +172,25 @@ class EliasFano:
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
-        top = self.access(np.array([self.n - 1]))[0]
-        live = np.flatnonzero(values <= top)
+        live = np.flatnonzero(values <= self.access(np.array([self.n - 1]))[0])
         high, low = (values[live] >> np.uint64(self.low_bits)).astype(np.int64), values[live] & np.uint64((1 << self.low_bits) - 1)
-        end = self._behind(high)
         begin = np.zeros(len(live), np.int64)
-        begin[high > 0] = self._behind(high[high > 0] - 1)
+        inner = np.flatnonzero(high)
+        begin[inner] = self._behind(high[inner] - 1)
+        many = _first_bit(~_window(self.high, begin + high))  # ones up to the next zero
+        end = begin + many
+        if len(far := np.flatnonzero(many > 63)):
+            end[far] = self._behind(high[far])
         if first is not None:
             begin, end = np.maximum(begin, first[live]), np.minimum(end, last[live])
         stop = end.copy()
-        open_ = np.flatnonzero(begin < end)
+        open_ = np.flatnonzero(end - begin > 1)
         while len(open_):
             middle = (begin[open_] + end[open_]) >> 1
-            less = self._low(middle) < low[open_]
-            begin[open_] = np.where(less, middle + 1, begin[open_])
-            end[open_] = np.where(less, end[open_], middle)
-            open_ = open_[begin[open_] < end[open_]]
+            upper = self._low(middle) <= low[open_]
+            begin[open_] = np.where(upper, middle, begin[open_])
+            end[open_] = np.where(upper, end[open_], middle)
+            open_ = open_[end[open_] - begin[open_] > 1]
         here = np.flatnonzero(begin < stop)
         here = here[self._low(begin[here]) == low[here]]
         out[live[here]] = begin[here]
@@ -208,11 +238,17 @@ class Trie:
     def places(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The number of each n-gram among those of the trie, -1 where it is not in it."""
         out = np.full(len(contexts), -1, np.int64)
-        rank = self.contexts.find(contexts)
-        hit = np.flatnonzero((rank >= 0) & (words < self.step))
+        begin = starts(contexts)  # equal contexts that follow one another are found once
+        rank = self.contexts.find(contexts[begin])
+        known = np.flatnonzero(rank >= 0)
+        many = np.diff(np.append(begin, len(contexts)))[known]
+        hit = ranges(begin[known], many)
         if len(hit):
-            first, last = (self.pointers.access(rank[hit] + k).astype(np.int64) for k in (0, 1))
-            out[hit] = self.successors.find(words[hit] + rank[hit].astype(np.uint64) * self.step, first, last)
+            first, last = (np.repeat(x.astype(np.int64), many) for x in self.pointers.pairs(rank[known]))
+            rank = np.repeat(rank[known].astype(np.uint64), many)
+            inside = np.flatnonzero(words[hit] < self.step)
+            hit = hit[inside]
+            out[hit] = self.successors.find(words[hit] + rank[inside] * self.step, first[inside], last[inside])
         return out
 
 
@@ -226,12 +262,20 @@ def class_of(counts: np.ndarray) -> np.ndarray:
 TOKENS = "block long, n_train long, n_bytes long, ids binary, sizes binary, tokens binary, words binary"
 
 
+class _Numbers(dict):
+    """Numbers words as they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
     ids: list[int] = []
     sizes: list[int] = []
     tokens: list[int] = []
-    number: dict[bytes, int] = {END: 0}
+    number = _Numbers({END: 0})
     held = made = 0
 
     def row() -> pa.RecordBatch:
@@ -251,12 +295,12 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = bytes(body.as_buffer()).lower().split()
             ids.append(NO_ID if key is None else key)
             sizes.append(len(text) + 1)
-            tokens += [number.setdefault(w, len(number)) for w in text]
+            tokens += map(number.__getitem__, text)
             tokens.append(0)
             held += body.as_buffer().size
             if held >= BLOCK_BYTES or len(ids) >= 50_000:
                 yield row()
-                ids, sizes, tokens, number, held, made = [], [], [], {END: 0}, 0, made + 1
+                ids, sizes, tokens, number, held, made = [], [], [], _Numbers({END: 0}), 0, made + 1
     if ids:
         yield row()
 
@@ -341,8 +385,8 @@ def _ask_words(net: Net):
 def _answer_words(shards: int):
     def answer(shard: int, items: Items) -> tuple[Items, list[int]]:
         """(id, count) of each word; and how many words there are in training."""
-        number: dict[bytes, int] = {}
-        at = np.array([number.setdefault(w, len(number)) for w in items.ragged[0].tobytes().split(b"\n")[:-1]], np.int64)
+        number = _Numbers()
+        at = np.array(list(map(number.__getitem__, items.ragged[0].tobytes().split(b"\n")[:-1])), np.int64)
         total = np.bincount(at, weights=items.dense[0].astype(np.float64), minlength=len(number)).astype(np.int64)
         rank = np.empty(len(total), np.int64)
         rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
