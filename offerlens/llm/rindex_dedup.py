@@ -241,7 +241,8 @@ class RunIndex:
 
     body: the fragments one after the other; sizes: their lengths. Every fragment ends in a mark of
     its own that is less than any byte; the marks are the first rows, in the order of the fragments.
-    run_at: the rows at which runs begin; run_symbol: their symbols; run_to: the rows to which LF takes their heads.
+    run_at: the rows at which runs begin, also as bits with counts for every 64 rows; run_symbol: their symbols;
+    run_shift: how far LF takes their rows.
     """
 
     def __init__(self, body: np.ndarray, sizes: np.ndarray):
@@ -267,13 +268,24 @@ class RunIndex:
         self.tail_sample = order[np.append(self.run_at[1:], n) - 1]
         length = np.diff(np.append(self.run_at, n))
         by_symbol = np.argsort(self.run_symbol, kind="stable")
-        self.run_to = np.empty(len(length), np.int64)
-        self.run_to[by_symbol] = np.cumsum(length[by_symbol]) - length[by_symbol]
+        run_to = np.empty(len(length), np.int64)
+        run_to[by_symbol] = np.cumsum(length[by_symbol]) - length[by_symbol]
+        self.run_shift = run_to - self.run_at
+        bits = np.zeros(-(-n // 64) * 64, np.uint8)
+        bits[self.run_at] = 1
+        self.head_bits = np.packbits(bits, bitorder="little").view("<u8")
+        counts = np.bitwise_count(self.head_bits).astype(np.int64)
+        self.runs_before = np.cumsum(counts) - counts
+
+    def run_of(self, rows: np.ndarray) -> np.ndarray:
+        """The run of each row: heads up to it, by the count before its 64 rows and those among them."""
+        word = rows >> 6
+        upto = self.head_bits[word] << (np.uint64(63) - (rows & 63).astype(np.uint64))
+        return self.runs_before[word] + np.bitwise_count(upto) - 1
 
     def lf(self, rows: np.ndarray) -> np.ndarray:
         """Of rows, the rows of the suffixes one symbol longer; defined where that symbol is no mark."""
-        run = np.searchsorted(self.run_at, rows, "right") - 1
-        return self.run_to[run] + rows - self.run_at[run]
+        return rows + self.run_shift[self.run_of(rows)]
 
     def rows(self) -> np.ndarray:
         """The row of every text position, by LF steps from all fragments' marks at once."""
@@ -297,24 +309,32 @@ class RunIndex:
         return out
 
     def _sorted(self) -> np.ndarray:
+        """The suffix array by doubling; what is told apart isn't sorted again. A rank is the row at which a suffix' equals begin."""
         order = np.argsort(self.keys)
         n, width = len(order), 7
-        ranks = self._ranks(self.keys[order], order)
-        while width < WIDEST + 1:
-            later = np.zeros(n, np.int64)
-            later[: n - width] = np.where(self.left[: n - width] > width, ranks[width:] + 1, 0) if width < n else 0
-            pair = ranks * (n + 1) + later
+        ordered = self.keys[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        ranks = np.empty(n, np.int64)
+        rows, first = np.arange(n), np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        ranks[order] = first
+        while True:
+            # rows that have an equal beside them
+            alike = ~new
+            alike[:-1] |= ~new[1:]
+            rows, first = rows[alike], first[alike]
+            if not len(rows):
+                return order
+            suffix = order[rows]
+            # equals that end within the width keep the order of the text, as marks of their own would have it
+            open_ = self.left[suffix] >= width
+            pair = first * (n + 1) + np.where(open_, ranks[np.where(open_, suffix + width, 0)], suffix)
+            within = np.argsort(pair)
+            order[rows] = suffix = suffix[within]
+            pair = pair[within]
+            new = np.concatenate([[True], pair[1:] != pair[:-1]])
+            first = np.maximum.accumulate(np.where(new, rows, 0))
+            ranks[suffix] = first
             width *= 2
-            # what is equal to the end keeps the order of the text, as marks of their own would have it
-            order = np.argsort(pair, kind="stable" if width > WIDEST else None)
-            ranks = self._ranks(pair[order], order)
-        return order
-
-    @staticmethod
-    def _ranks(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
-        ranks = np.empty(len(order), np.int64)
-        ranks[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        return ranks
 
     def matching(self) -> np.ndarray:
         """Of every text position, how many symbols it shares with the row above it, streamed from the run ends."""
@@ -347,16 +367,14 @@ class RunIndex:
         shared = np.zeros(self.n, np.int32)
         shared[rows] = self.matching()
         # rows of positions with less than that many symbols share less with both neighbours
-        group = np.cumsum(shared < length)
+        new = shared < length
+        new[0] = True
         at = np.flatnonzero(self.left >= length)
+        by_row = np.full(self.n, NO_ID, np.int64)
+        by_row[rows[at]] = np.repeat(firsts, self.sizes + 1)[at]
+        least = np.minimum.reduceat(by_row, np.flatnonzero(new))
         out = np.full(self.n, NO_ID, np.int64)
-        if len(at):
-            mine = group[rows[at]]
-            owner = np.repeat(firsts, self.sizes + 1)
-            order = np.argsort(mine, kind="stable")
-            begin = starts(mine[order])
-            least = np.minimum.reduceat(owner[at[order]], begin)
-            out[at[order]] = np.repeat(least, np.diff(np.append(begin, len(order))))
+        out[at] = least[np.cumsum(new)[rows[at]] - 1]
         return out
 
 
