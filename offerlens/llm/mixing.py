@@ -9,8 +9,8 @@ bucket is ever refined; the documents are scanned once and reduced to (doc_id, s
 
 Targets. Sources in code-point order, null last, weigh 5, 2, 1, repeating, and share SHARE of all
 words; no source gets more than MOST times its words, and what it can't take is reshared by weight.
-The final level is found in closed form over the (small) table of sources: with the sources in
-order of cap by weight, the level at which budget and caps meet.
+The level at which budget and caps meet is found by turns over the table of sources, of
+which there may be many: they are numbered range by range, and nothing about them reaches the driver but sums.
 
 A source that is due r times its words takes every document floor(r) times and a hash threshold of
 its documents once more. The boundary document goes in or out, whichever is nearer to the target.
@@ -40,22 +40,35 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", key.alias("skey"), words.alias("size"), F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(2)).alias("h"))
 
 
+def _numbered(by_source: DataFrame) -> DataFrame:
+    """by_source with n, the place of each source in order from 0: counted range by range, so that no task numbers all."""
+    spark = by_source.sparkSession
+    ranged = cut(by_source.repartitionByRange(shuffle_partitions(spark), "skey").withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("c"))  # a row for each partition
+    before = counts.select("_part", (F.sum("c").over(Window.orderBy("_part")) - F.col("c")).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy("skey")) - 1
+    return ranged.withColumn("_inner", inner).join(before, "_part").select(*by_source.columns, (F.col("_before") + F.col("_inner")).alias("n"))
+
+
 def targets(sized: DataFrame) -> DataFrame:
-    """(skey, source_size, target) per source."""
+    """(skey, source_size, target) per source.
+
+    The level, a target by unit of weight, is found as the contract says it: the budget is shared by weight, sources above
+    their cap are set to it, and what is left is shared among the others until none is above. Each
+    turn is one aggregate of two numbers; the level only rises, so what is capped stays so.
+    """
     by_source = sized.groupBy("skey").agg(F.sum("size").alias("source_size"))
-    in_order = Window.orderBy("skey")
-    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), ((F.row_number().over(in_order) - 1) % len(WEIGHTS) + 1).cast("int"))
-    weighed = by_source.select("*", weight.alias("w"), (MOST * F.col("source_size")).alias("cap"))
-    whole = Window.partitionBy()
-    rising = Window.orderBy(F.col("cap") / F.col("w"), "skey")
-    before = F.coalesce(F.sum("cap").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("w").over(rising.rowsBetween(0, Window.unboundedFollowing))
-    level = (SHARE * F.sum("source_size").over(whole) - before) / left
-    stepped = weighed.select("*", level.alias("level"))
-    # the first source in that order whose cap the level does not exceed sets the level for it and all after it
-    fits = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct((F.col("cap") / F.col("w")).alias("r"), "skey", "level"))
-    final = stepped.select("skey", "source_size", "w", "cap", F.min(fits).over(whole)["level"].alias("final"))
-    return final.select("skey", "source_size", F.least("cap", F.coalesce(F.col("final") * F.col("w"), F.col("cap"))).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("n") % len(WEIGHTS) + 1).cast("int"))
+    weighed = cut(_numbered(by_source).select("skey", "source_size", weight.alias("w"), (MOST * F.col("source_size")).alias("cap")))
+    budget = SHARE * (weighed.agg(F.sum("source_size")).head()[0] or 0)
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("w")
+        row = weighed.agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(~full, F.col("w"))), F.count(F.when(full, 1))).head()
+        if row[1] is None or row[2] == capped:  # none is left, or none was above in the last turn
+            break
+        level, capped = (budget - row[0]) / row[1], row[2]
+    return weighed.select("skey", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target") if capped >= 0 else F.col("cap").alias("target"))
 
 
 def _prefix(bits: int):
