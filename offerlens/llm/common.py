@@ -13,10 +13,12 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def set_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The cluster names the shared folder in spark.checkpoint.dir; a folder of our own only where it is unset and all runs on one machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 

@@ -5,7 +5,7 @@ Every rule compares one ratio or count of a document with a bound. The table bel
 scan stage with no shuffle, no Python and no second pass over the text.
 
 Defined cases: a null or blank text has no words, fails the base rule (n_words < 50) and is not
-kept. A text without lines or letters has ratio 0 for that measure. Repeated rows are judged one by
+kept; no text fails for being long. Stop words count as they stand, lower-case and without punctuation. A text without lines or letters has ratio 0 for that measure. Repeated rows are judged one by
 one. Extra columns are ignored. Texts of any length are judged whole; n-gram repeats cost
 O(n log n) of the document's words.
 """
@@ -31,7 +31,6 @@ STOP_WORDS = (
 #: (measure, comparison that a kept document meets, bound). Bounds are wide of ordinary prose.
 RULES: tuple[tuple[str, str, float], ...] = (
     ("n_words", ">=", 50),
-    ("n_words", "<=", 1_000_000),
     ("mean_word_length", ">=", 3.0),
     ("mean_word_length", "<=", 12.0),
     ("symbol_ratio", "<=", 0.1),
@@ -40,9 +39,6 @@ RULES: tuple[tuple[str, str, float], ...] = (
     ("stop_word_ratio", ">=", 0.02),
     ("upper_ratio", "<=", 0.5),
 )
-#: RULES without the bound on size from above, which op7's SQL has: a long clean text is clean.
-RULES_OF_ANY_SIZE = tuple(rule for rule in RULES if rule[:2] != ("n_words", "<="))
-
 
 def _let(value: Column, body) -> Column:
     """body(value) with value computed once per row, wherever the optimizer moves the expression."""

@@ -194,9 +194,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group, that of the smallest doc_id, with its columns as they were.
 
     Texts without a word are copies of one another, as their fingerprints are. Of rows that share
-    the smallest doc_id, one stays. Rows without a doc_id can't be told apart and all stay.
+    the smallest doc_id, the one with the least text stays (null first), and of equal texts any. Rows without a doc_id can't be told apart and all stay.
     """
     found = near_duplicates(docs.where("doc_id IS NOT NULL"))
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*quoted(docs)).union(docs.where("doc_id IS NULL"))
+    kept = docs.join(stay, "doc_id", "left_semi")
+    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.struct("text")).alias("__least_text")).where("_n > 1").select("doc_id", "__least_text")
+    first = kept.join(repeated, "doc_id", "left").where(F.col("__least_text").isNull() | F.col("text").eqNullSafe(F.col("__least_text.text")))
+    return first.dropDuplicates(["doc_id"]).select(*quoted(docs)).union(docs.where("doc_id IS NULL"))
