@@ -24,6 +24,32 @@ DAY_SHORT = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 DAY_LONG = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
+def when_text(live: Column, day_ahead: Column, start: Column, end: Column, starts_in: Column, until: Column) -> Column:
+    """What a card says of the time: when it ends, when it starts and how soon, or from when to when."""
+    return (
+        F.when(live, F.concat(F.lit("Ends in "), duration(until)))
+        .when(day_ahead == 0, F.concat(clock(start), F.lit(" · in "), duration(starts_in)))
+        .otherwise(F.concat(clock(start), F.lit("–"), clock(end)))
+    )
+
+
+def fine_text(group: Column, live: Column, until: Column, drive: Column, fine_print: Column, has_items: Column) -> Column:
+    """The fine print, or a word on missing prices, behind a warning where the drive takes the most of it."""
+    said = F.when(F.coalesce(fine_print, F.lit("")) != "", fine_print).when(has_items, "").otherwise("Window published without prices.")
+    usable = usable_minutes(until, drive)
+    warning = (
+        F.when(group == UNREACHABLE, F.concat(F.lit("It ends in "), duration(until), F.lit(" and you're about "), drive.cast("string"), F.lit(" minutes away. ")))
+        .when(live & drive.isNotNull() & (usable < 30), F.concat(F.lit("About "), duration(usable), F.lit(" of it left by the time you arrive. ")))
+        .otherwise("")
+    )
+    return F.trim(F.concat(warning, said))
+
+
+def trust_text(confidence: Column, age_days: Column) -> Column:
+    age = F.when(age_days == 0, "today").otherwise(F.concat(age_days.cast("string"), F.lit("d ago")))
+    return F.when(confidence == "unconfirmed", F.concat(F.lit("Unconfirmed — call ahead · "), age)).otherwise(F.concat(F.lit("Checked "), age))
+
+
 def iso_dow(date: Column) -> Column:
     return F.weekday(date) + 1
 

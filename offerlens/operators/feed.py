@@ -46,6 +46,8 @@ def item_summary(items: DataFrame) -> DataFrame:
     )
 
 
+#: Venues without hours are shown so many at a time.
+PAGE_ROWS = 24
 #: Predicates over item_summary that a filter name stands for.
 FILTERS = {
     "all": lambda: F.lit(True),
@@ -72,7 +74,7 @@ def feed(venues: DataFrame, deals: DataFrame, windows: DataFrame, items: DataFra
         .join(item_summary(items), "deal_id", "left")
         .where(FILTERS.get(only, FILTERS["all"])())
         .join(places, "lid")
-        .select("lid", "name", "zone_id", "deal_id", "confidence", "age_days", "day_ahead", "live", "starts_in", "until", "miles", "drive", F.coalesce("value", F.lit(0.0)).alias("value"))
+        .select("lid", "name", "zone_id", "deal_id", "confidence", "age_days", "day_ahead", "live", "starts_in", "until", "start", "end", "miles", "drive", F.coalesce("value", F.lit(0.0)).alias("value"), F.col("has_food").isNotNull().alias("has_items"))
         .withColumn("grp", R.group_of(F.col("live"), F.col("until"), F.col("day_ahead"), F.col("starts_in"), F.col("drive")))
     )
     if only == "all":

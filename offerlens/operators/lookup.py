@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import text as T
+from offerlens.operators.feed import FILTERS
 
 #: The box in which a geocode is believed (south, north, west, east).
 BOX = (39.6, 40.5, -76.2, -74.7)
@@ -80,10 +81,31 @@ def zone_label(name: Column, with_deals: Column, venues: Column) -> Column:
     return F.concat(name, F.lit(" ("), F.coalesce(with_deals, venues).cast("string"), F.lit(" of "), venues.cast("string"), F.lit(")"))
 
 
+#: What a registry's licence types are called, and any other.
+LICENCE_LABELS = {
+    "Restaurant (Liquor)": "Restaurant & bar",
+    "Eating Place Retail Dispenser (Malt)": "Beer & food",
+    "Hotel (Liquor)": "Hotel bar",
+    "Brewery": "Brewery",
+    "Brewery Pub": "Brewpub",
+    "Limited Winery": "Winery tasting room",
+    "Winery": "Winery",
+    "Limited Distillery": "Distillery tasting room",
+    "Distillery": "Distillery",
+    "Airport Restaurant (Liquor)": "Airport restaurant",
+    "Public Venue Restaurant": "Venue restaurant",
+    "Performing Arts Facility": "Theatre bar",
+    "Privately-Owned Public Golf Course Rest (Liquor)": "Golf club restaurant",
+    "Municipal Golf Course (Liquor)": "Golf course restaurant",
+    "Economic Development Restaurant (Liquor)": "Restaurant & bar",
+}
+OTHER_LICENCE = "Licensed venue"
+
+
 def licence_label(licence_type: Column) -> Column:
-    """A registry type in plain words; others as they are."""
-    labels = {"Restaurant": "Restaurant", "Hotel": "Hotel bar", "Brewery": "Brewery taproom", "Club": "Members' club"}
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), licence_type), licence_type)
+    """A registry type in plain words."""
+    names = F.create_map(*[F.lit(x) for pair in LICENCE_LABELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, licence_type), F.lit(OTHER_LICENCE))
 
 
 def day_options(spark, today: str) -> DataFrame:
@@ -97,6 +119,37 @@ def arrival(slot: Column, ahead: Column, now: int) -> Column:
     return F.when((ahead == 0) & ((slot < 0) | (slot < now)), now).when(slot < 0, 16 * 60).otherwise(slot)
 
 
+#: What a link says if it says nothing; the most days ahead and quarter hours of a day.
+MOST_DAYS, MOST_SLOTS = 6, 96
+SORTS = ("soonest", "nearest", "value")
+
+
 def shared_state(fragment: Column) -> Column:
-    """map of a link's `day=1&sort=value`, as it is shared."""
-    return F.str_to_map(F.regexp_replace(fragment, "^#", ""), F.lit("&"), F.lit("="))
+    """struct(day, slot, zone, filter, sort, venue) of a link's `#d=1&s=value`: numbers within bounds, names only if they are known.
+
+    Of a key given twice the first counts; what isn't a number is day 0 and slot -1 (now); blank zones and venues are none.
+    """
+    text = F.regexp_replace(F.coalesce(fragment, F.lit("")), "^#", "")
+
+    def of(key: str) -> Column:
+        return F.when(text.rlike(f"(?:^|&){key}(?:=|&|$)"), F.try_url_decode(F.regexp_extract(text, f"(?:^|&){key}=?([^&]*)", 1)))
+
+    def number(key: str, low: int, high: int, other: int) -> Column:
+        n = F.when(F.trim(of(key)) == "", F.lit(0.0)).otherwise(F.trim(of(key)).try_cast("double"))
+        return F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(n, F.lit(float(other))).cast("int")))
+
+    filled = lambda key: F.when(of(key) != "", of(key))
+    return F.struct(
+        number("d", 0, MOST_DAYS, 0).alias("day"), F.when(of("t").isNull(), -1).otherwise(number("t", -1, MOST_SLOTS, -1)).alias("slot"), filled("z").alias("zone"),
+        F.when(of("f").isin(*FILTERS), of("f")).otherwise("all").alias("filter"), F.when(of("s").isin(*SORTS), of("s")).otherwise("soonest").alias("sort"), filled("v").alias("venue"),
+    )
+
+
+def shared_link(state: Column) -> Column:
+    """The fragment that shared_state reads as state; what is as it would be anyway is left out, and nothing is ''."""
+    told = (
+        ("d", F.when(state["day"] != 0, state["day"].cast("string"))), ("t", F.when(state["slot"] >= 0, state["slot"].cast("string"))), ("z", state["zone"]),
+        ("f", F.when(state["filter"] != "all", state["filter"])), ("s", F.when(state["sort"] != "soonest", state["sort"])), ("v", state["venue"]),
+    )
+    pairs = F.concat_ws("&", *[F.concat(F.lit(f"{key}="), F.url_encode(value)) for key, value in told])
+    return F.when(pairs == "", "").otherwise(F.concat(F.lit("#"), pairs))

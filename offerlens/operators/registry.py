@@ -24,6 +24,11 @@ def tier(licence_type: Column, core: tuple = CORE, taproom: tuple = TAPROOM, clu
     return F.when(licence_type.isin(*core), "core").when(licence_type.isin(*taproom), "taproom").when(licence_type.isin(*club), "club")
 
 
+def walk_in(licences: DataFrame) -> DataFrame:
+    """The licences of places that one can go to: storage permits are none."""
+    return licences.where(~F.coalesce(F.col("licence_type").isin(*EXCLUDED), F.lit(False)))
+
+
 def drop_reason(tier_: Column, status: Column, in_scope: Column, zip_code: Column, centroid: Column, miles: Column, radius: float) -> Column:
     """The first reason that applies, in this order; null for a row that stays."""
     return (

@@ -6,7 +6,7 @@ the key is unique, so a wrong neighbour is never taken for the venue.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import text as T
@@ -18,24 +18,29 @@ def keyed_elements(elements: DataFrame) -> DataFrame:
     return elements.withColumns({"core": core, "place_core": T.name_core(F.col("place_name"))})
 
 
+def localities(city: Column, zip_code: Column) -> Column:
+    """Where a row can be pinned to, best first: its city, then its ZIP."""
+    place, five = F.lower(F.trim(F.coalesce(city, F.lit("")))), F.left(F.coalesce(zip_code, F.lit("")), F.lit(5))
+    return F.array_compact(F.array(F.when(place != "", F.concat(F.lit("city "), place)), F.when(F.length(five) == 5, F.concat(F.lit("zip "), five))))
+
+
 def tiered_match(licences: DataFrame, elements: DataFrame) -> DataFrame:
-    """(lid, place_id, matched_by): address, then number and street if one element has them, then name in the locality if unique on both sides.
+    """(lid, place_id, matched_by): address, then number and street if one element has them, then name in a locality if unique there on both sides.
 
-    licences(lid, zip, number, core, locality, lic_core). One pass: three left joins against reduced
-    build sides, and the first that hit wins.
+    licences(lid, zip, number, core, localities, lic_core). Joins against reduced build sides; the first tier that hit wins, and of
+    localities the first in which the name is unique.
     """
     best = F.min(F.struct(F.col("website").isNull().alias("a"), F.col("place_id").alias("id")))["id"]
     exact = elements.where("zip IS NOT NULL AND core <> ''").groupBy("zip", "number", "core").agg(best.alias("_1"))
     street = elements.where("core <> ''").groupBy("number", "core").agg(F.count("*").alias("_n"), F.min("place_id").alias("_2")).where("_n = 1").drop("_n")
-    named = elements.where("place_core <> ''").groupBy("locality", F.col("place_core").alias("lic_core")).agg(F.count("*").alias("_n"), F.min("place_id").alias("_3")).where("_n = 1").drop("_n")
-    alone = licences.where("lic_core <> ''").groupBy("locality", "lic_core").agg(F.count("*").alias("_m"))
-    joined = (
-        licences.join(exact, ["zip", "number", "core"], "left").join(street, ["number", "core"], "left")
-        .join(named, ["locality", "lic_core"], "left").join(alone, ["locality", "lic_core"], "left")
-    )
-    third = F.when(F.col("_m") == 1, F.col("_3"))
-    by = F.when(F.col("_1").isNotNull(), "address").when(F.col("_2").isNotNull(), "number+street").when(third.isNotNull(), "name")
-    return joined.select("lid", F.coalesce("_1", "_2", third).alias("place_id"), by.alias("matched_by")).where("place_id IS NOT NULL")
+    placed = elements.where("place_core <> ''").select(F.explode("localities").alias("loc"), F.col("place_core").alias("lic_core"), "place_id")
+    named = placed.groupBy("loc", "lic_core").agg(F.count("*").alias("_n"), F.min("place_id").alias("_3")).where("_n = 1").drop("_n")
+    held = licences.where("lic_core <> ''").select("lid", "lic_core", F.posexplode("localities").alias("_pos", "loc"))
+    alone = held.groupBy("loc", "lic_core").agg(F.count("*").alias("_m"), F.min("lid").alias("lid"), F.min("_pos").alias("_pos")).where("_m = 1")
+    third = alone.join(named, ["loc", "lic_core"]).groupBy("lid").agg(F.min_by("_3", "_pos").alias("_3"))
+    joined = licences.join(exact, ["zip", "number", "core"], "left").join(street, ["number", "core"], "left").join(third, "lid", "left")
+    by = F.when(F.col("_1").isNotNull(), "address").when(F.col("_2").isNotNull(), "number+street").when(F.col("_3").isNotNull(), "name")
+    return joined.select("lid", F.coalesce("_1", "_2", "_3").alias("place_id"), by.alias("matched_by")).where("place_id IS NOT NULL")
 
 
 def collapse_shared(matches: DataFrame, licences: DataFrame, elements: DataFrame) -> DataFrame:

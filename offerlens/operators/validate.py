@@ -91,7 +91,38 @@ def flat_errors(deals: DataFrame, windows: DataFrame, items: DataFrame) -> DataF
 
 
 def combo_cap(deals: DataFrame, windows: DataFrame, most: int = COMBOS_A_DAY) -> DataFrame:
-    """deals of venues that never offer more than `most` food combos on one day; of the others none stays."""
-    combos = deals.where(F.col("type") == "food_combo").select("deal_id", "lid").join(windows.select("deal_id", "dow").distinct(), "deal_id")
+    """deals of venues that never offer more than `most` food combos on one day, each window counted; of the others none stays."""
+    combos = deals.where(F.col("type") == "food_combo").select("deal_id", "lid").join(windows.select("deal_id", "dow"), "deal_id")
     over = combos.groupBy("lid", "dow").count().where(F.col("count") > most).select("lid").distinct()
     return deals.join(over, "lid", "left_anti")
+
+
+def one_a_day(windows: Column) -> Column:
+    """One of an array of windows per weekday: the longest in whole hours, of equals the first; by weekday."""
+
+    def hours(w: Column) -> Column:
+        return F.floor(minutes(w["end"]) / 60) - F.floor(minutes(w["start"]) / 60)
+
+    def longest(day: Column) -> Column:
+        mine = F.filter(windows, lambda w: w["dow"] == day)
+        return F.aggregate(mine, F.try_element_at(mine, F.lit(1)), lambda best, w: F.when(hours(w) > hours(best), w).otherwise(best))
+
+    return F.filter(F.transform(F.array(*map(F.lit, range(1, 8))), longest), lambda w: w.isNotNull())
+
+
+def extracted(hits: DataFrame) -> DataFrame:
+    """(lid, lead, windows, errors): hits(lid, pos, quote, url, windows) of a venue's site as one happy hour.
+
+    The lead is the hit with the most weekdays, then the longest quote, then the first. The windows of all hits are taken
+    together, in that order; if they break a rule, the lead's alone; errors are what is broken then.
+    """
+    days = F.size(F.array_distinct(F.transform("windows", lambda w: w["dow"])))
+    order = F.struct((-days).alias("days"), (-F.length("quote")).alias("n"), "pos")
+    said = hits.where(F.size("windows") > 0).groupBy("lid").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.struct("pos", "quote", "url").alias("lead"), "windows"))).alias("c"))
+    pooled, lead = one_a_day(F.flatten(F.transform("c", lambda c: c["windows"]))), one_a_day(F.col("c")[0]["windows"])
+    rows = said.select("lid", F.col("c")[0]["lead"].alias("lead"), pooled.alias("pooled"), lead.alias("own"))
+    source = F.struct(F.lit("venue_site").alias("kind"), F.col("lead.url").alias("url"), F.lit("").alias("photo_id"), F.lit("").alias("outlet"), F.lit("").alias("published"))
+    check = lambda c: deal_errors(F.lit("happy_hour"), F.lit("unconfirmed"), F.col(c), F.lit(None).cast(ITEMS), F.lit(""), source)
+    checked = rows.select("*", check("pooled").alias("_p"), check("own").alias("_o"))
+    back = F.size("_p") > 0
+    return checked.select("lid", "lead", F.when(back, F.col("own")).otherwise(F.col("pooled")).alias("windows"), F.when(back, F.col("_o")).otherwise(F.col("_p")).alias("errors"))

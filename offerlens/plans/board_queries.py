@@ -57,9 +57,35 @@ def zone_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("zone_id", lookup.zone_label(F.col("zone_id"), F.col("with_deals"), F.col("venues")).alias("label"))
 
 
+#: Types of a registry, some of them with a name of their own, one of them no place to go to.
+_TYPES = (
+    "Restaurant (Liquor)", "Eating Place Retail Dispenser (Malt)", "Hotel (Liquor)", "Brewery", "Brewery Pub", "Limited Winery", "Winery", "Limited Distillery", "Distillery",
+    "Airport Restaurant (Liquor)", "Public Venue Restaurant", "Performing Arts Facility", "Privately-Owned Public Golf Course Rest (Liquor)", "Municipal Golf Course (Liquor)",
+    "Economic Development Restaurant (Liquor)", "Brewery Storage", "Hotel (Malt)", "Club (Liquor)", "Off-Track Wagering Restaurant (Liquor)",
+)
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    return lens(spark, d, "licence").select("lid", F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("lid") % len(_TYPES) + 1).cast("int")).alias("licence_type"))
+
+
 def licence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lens(spark, sf_dir, "licence")
-    return rows.groupBy(lookup.licence_label(F.col("licence_type")).alias("label")).agg(F.count("*").alias("n"))
+    return _typed(spark, sf_dir).groupBy("licence_type", lookup.licence_label(F.col("licence_type")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def walk_in_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.walk_in(_typed(spark, sf_dir))
+
+
+def shared_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What links say, good ones and bad ones, and the link that says the same."""
+    pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (F.col("lid") % n + 1).cast("int"))
+    text = F.concat(
+        F.lit("#d="), (F.col("lid") % 11 - 2).cast("string"), F.lit("&t="), F.when(F.col("lid") % 9 == 0, "soon").otherwise((F.col("lid") % 110 - 5).cast("string")), F.lit("&f="), pick(4, "food", "zzz", "all", "cheap"),
+        F.lit("&s="), pick(3, "value", "best", "soonest"), F.when(F.col("lid") % 2 == 0, F.concat(F.lit("&z=a+b%26"), (F.col("lid") % 5).cast("string"))).otherwise("&z="), F.lit("&f=drinks&v="), F.when(F.col("lid") % 5 > 0, F.col("lid").cast("string")).otherwise(""),
+    )
+    rows = lens(spark, sf_dir, "venue").select("lid", lookup.shared_state(text).alias("s"))
+    return rows.select("lid", F.col("s.day").cast("long").alias("day"), F.col("s.slot").cast("long").alias("slot"), "s.zone", "s.filter", "s.sort", "s.venue", lookup.shared_link(F.col("s")).alias("link"))
 
 
 def directions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +111,9 @@ def arrival_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (geocode_fallback, display_choices, venue_search, venue_lookup, image_acceptance, zone_labels, licence_labels, directions, element_sites, arrival_moments)
+    for f in (geocode_fallback, display_choices, venue_search, venue_lookup, image_acceptance, zone_labels, licence_labels, walk_in_licences, shared_links, directions, element_sites, arrival_moments)
 }
+_TYPE_SQL = "[" + ", ".join(f"'{t}'" for t in _TYPES) + f"][lid % {len(_TYPES)} + 1]"
 ORACLES = {
     "geocode_fallback": sql("""WITH full_ AS (SELECT DISTINCT lid % 50 AS a, lid % 9 AS t, CASE WHEN lid % 8 = 0 THEN 10.0::DOUBLE ELSE 40.0::DOUBLE END AS lat FROM venue WHERE lid % 4 = 0),
 hit AS (SELECT a, t, min(lat) AS lat FROM full_ WHERE lat BETWEEN 39.6 AND 40.5 GROUP BY ALL)
@@ -104,7 +131,17 @@ p AS (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY k) - 1 AS pos FROM
 c AS (SELECT lid, pos, CASE WHEN status <> 200 THEN 'not fetched' WHEN ct <> 'image/jpeg' THEN 'not an image' WHEN greatest(w, h) < 400 OR w * h < 90000 THEN 'too small' END AS reason FROM p WHERE pos < 10)
 SELECT lid, min(pos) FILTER (reason IS NULL) AS pos, CASE WHEN min(pos) FILTER (reason IS NULL) IS NULL THEN max_by(reason, pos) END AS reason FROM c GROUP BY lid""",
     "zone_labels": sql("SELECT zone_id, concat(zone_id, ' (', count(*) FILTER (balance > 0), ' of ', count(*), ')') AS label FROM venue GROUP BY zone_id", "venue"),
-    "licence_labels": sql("SELECT CASE licence_type WHEN 'Hotel' THEN 'Hotel bar' WHEN 'Brewery' THEN 'Brewery taproom' WHEN 'Club' THEN 'Members'' club' ELSE licence_type END AS label, count(*) AS n FROM licence GROUP BY 1", "licence"),
+    "licence_labels": sql(f"""WITH t AS (SELECT {_TYPE_SQL} AS licence_type FROM licence) SELECT licence_type, CASE licence_type WHEN 'Restaurant (Liquor)' THEN 'Restaurant & bar' WHEN 'Eating Place Retail Dispenser (Malt)' THEN 'Beer & food'
+  WHEN 'Hotel (Liquor)' THEN 'Hotel bar' WHEN 'Brewery' THEN 'Brewery' WHEN 'Brewery Pub' THEN 'Brewpub' WHEN 'Limited Winery' THEN 'Winery tasting room' WHEN 'Winery' THEN 'Winery' WHEN 'Limited Distillery' THEN 'Distillery tasting room'
+  WHEN 'Distillery' THEN 'Distillery' WHEN 'Airport Restaurant (Liquor)' THEN 'Airport restaurant' WHEN 'Public Venue Restaurant' THEN 'Venue restaurant' WHEN 'Performing Arts Facility' THEN 'Theatre bar'
+  WHEN 'Privately-Owned Public Golf Course Rest (Liquor)' THEN 'Golf club restaurant' WHEN 'Municipal Golf Course (Liquor)' THEN 'Golf course restaurant' WHEN 'Economic Development Restaurant (Liquor)' THEN 'Restaurant & bar'
+  ELSE 'Licensed venue' END AS label, count(*) AS n FROM t GROUP BY ALL""", "licence"),
+    "walk_in_licences": sql(f"SELECT * FROM (SELECT lid, {_TYPE_SQL} AS licence_type FROM licence) WHERE licence_type <> 'Brewery Storage'", "licence"),
+    "shared_links": sql("""WITH r AS (SELECT lid, greatest(0, least(6, lid % 11 - 2)) AS day, CASE WHEN lid % 9 = 0 THEN -1 ELSE greatest(-1, least(96, lid % 110 - 5)) END AS slot, CASE WHEN lid % 2 = 0 THEN concat('a b&', lid % 5) END AS zone,
+  ['food', 'all', 'all', 'cheap'][lid % 4 + 1] AS filter, ['value', 'soonest', 'soonest'][lid % 3 + 1] AS sort, CASE WHEN lid % 5 > 0 THEN CAST(lid AS VARCHAR) END AS venue FROM venue),
+l AS (SELECT *, array_to_string(list_filter([CASE WHEN day > 0 THEN concat('d=', day) END, CASE WHEN slot >= 0 THEN concat('t=', slot) END, CASE WHEN zone IS NOT NULL THEN concat('z=a+b%26', lid % 5) END,
+  CASE WHEN filter <> 'all' THEN concat('f=', filter) END, CASE WHEN sort <> 'soonest' THEN concat('s=', sort) END, CASE WHEN venue IS NOT NULL THEN concat('v=', venue) END], lambda x: x IS NOT NULL), '&') AS pairs FROM r)
+SELECT lid, day, slot, zone, filter, sort, venue, CASE WHEN pairs = '' THEN '' ELSE concat('#', pairs) END AS link FROM l""", "venue"),
     "directions": sql("SELECT lid, concat('https://www.google.com/maps/dir/?api=1&destination=', CASE WHEN lid % 2 = 0 THEN '40.5,-75.25' ELSE replace(replace(concat(street, ', Town'), ' ', '%20'), ',', '%2C') END) AS link FROM licence", "licence"),
     "element_sites": sql("""SELECT place_id, CASE WHEN place_id % 4 > 0 AND website IS NOT NULL THEN website WHEN place_id % 5 = 0 THEN 'https://contact' ELSE concat('http://u', place_id) END AS site FROM place""", "place"),
     "arrival_moments": sql("""WITH r AS (SELECT CAST(lid % 7 AS INTEGER) AS ahead, lid % 24 * 60 - 60 AS slot FROM venue)

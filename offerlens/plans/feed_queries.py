@@ -49,7 +49,7 @@ _CONFIDENCE = """CASE WHEN confidence IN ('verified', 'disputed') OR age_days IS
 _MILES = """2 * 3958.8::DOUBLE * asin(sqrt(pow(sin(radians(lat - 40.089::DOUBLE) / 2), 2) + cos(radians(40.089::DOUBLE)) * cos(radians(lat)) * pow(sin(radians(lng + 75.396::DOUBLE) / 2), 2)))"""
 
 
-def _feed_sql(moment: feeds.Moment = MOMENT, zone: str | None = None, only: str = "all", sort: str = "soonest", tail: str = "") -> str:
+def _feed_sql(moment: feeds.Moment = MOMENT, zone: str | None = None, only: str = "all", sort: str = "soonest", tail: str = "", items: str = "item") -> str:
     place = f"SELECT *, greatest(1, CAST(floor(miles * 1.35::DOUBLE * 60 / 26 + 3.5::DOUBLE) AS BIGINT)) AS drive FROM (SELECT *, {_MILES} AS miles FROM venue)"
     if moment.lat is None:
         place = "SELECT *, NULL::DOUBLE AS miles, NULL::BIGINT AS drive FROM venue"
@@ -65,9 +65,9 @@ def _feed_sql(moment: feeds.Moment = MOMENT, zone: str | None = None, only: str
     without = """UNION ALL BY NAME SELECT lid, name, zone_id, 'unknown' AS confidence, miles, drive, 5 AS grp FROM places WHERE lid NOT IN (SELECT lid FROM deal)""" if only == "all" else ""
     return sql(
         f"""WITH places AS (SELECT * FROM ({place}) {where}), {_HIT.format(now=moment.now, dow=moment.dow)},
-items AS (SELECT deal_id, max({_VALUE}) AS value, bool_or(category = 'food') AS has_food, bool_or({_DRINK}) AS has_drink, min(CASE WHEN {_DRINK} THEN price END) AS cheapest_drink FROM item GROUP BY deal_id),
+items AS (SELECT deal_id, max({_VALUE}) AS value, bool_or(category = 'food') AS has_food, bool_or({_DRINK}) AS has_drink, min(CASE WHEN {_DRINK} THEN price END) AS cheapest_drink FROM {items} GROUP BY deal_id),
 offers AS (
-  SELECT p.lid, p.name, p.zone_id, d.deal_id, d.conf AS confidence, d.age_days, h.h.day_ahead AS day_ahead, h.h.live AS live, h.h.starts_in AS starts_in, h.h.until AS until,
+  SELECT p.lid, p.name, p.zone_id, d.deal_id, d.conf AS confidence, d.age_days, h.h.day_ahead AS day_ahead, h.h.live AS live, h.h.starts_in AS starts_in, h.h.until AS until, h.h."start" AS w_start, h.h."end" AS w_end,
          p.miles, p.drive, coalesce(i.value, 0.0::DOUBLE) AS value,
          CASE WHEN h.h.live AND p.drive IS NOT NULL AND h.h.until <= p.drive THEN 4 WHEN h.h.live THEN 0 WHEN h.h.day_ahead > 0 THEN 3 WHEN h.h.starts_in <= 180 THEN 1 ELSE 2 END AS grp
   FROM (SELECT *, {_CONFIDENCE} AS conf FROM deal) d JOIN hits h ON d.deal_id = h.deal_id LEFT JOIN items i ON d.deal_id = i.deal_id JOIN places p ON d.lid = p.lid
@@ -75,10 +75,10 @@ offers AS (
   {without}),
 feed AS (
   SELECT name, zone_id, confidence, live, lid, deal_id, CAST(age_days AS BIGINT) AS age_days, CAST(day_ahead AS BIGINT) AS day_ahead, CAST(starts_in AS BIGINT) AS starts_in,
-         CAST(until AS BIGINT) AS until, CAST(drive AS BIGINT) AS drive, CAST(grp AS BIGINT) AS grp, round(miles, 4) AS miles, round(value, 4) AS value,
+         CAST(until AS BIGINT) AS until, w_start, w_end, CAST(drive AS BIGINT) AS drive, CAST(grp AS BIGINT) AS grp, round(miles, 4) AS miles, round(value, 4) AS value,
          round(CASE WHEN grp = 5 THEN 500000.0::DOUBLE + least({far}, 99999.0::DOUBLE) ELSE grp * 100000.0::DOUBLE + {score} END, 3) AS score
   FROM offers)
-{tail or 'SELECT * FROM feed'}""",
+{tail or 'SELECT * EXCLUDE (w_start, w_end) FROM feed'}""",
         "venue", "deal", "window_", "item",
     )
 
@@ -98,9 +98,10 @@ def feed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page: 24 rows, the limit of a page of the feed."""
-    rows = feeds.ranked(feeds.feed(*_tables(spark, sf_dir), MOMENT)).limit(24)
-    return rows.select(F.col("lid"), F.col("deal_id"), F.round("score", 3).alias("score"))
+    """All offers, and the first page of venues without hours: 24 rows, the limit of a page of these."""
+    rows = feeds.feed(*_tables(spark, sf_dir), MOMENT)
+    shown = rows.where(F.col("grp") < R.UNKNOWN).unionByName(feeds.ranked(rows.where(F.col("grp") == R.UNKNOWN)).limit(feeds.PAGE_ROWS))
+    return feeds.ranked(shown).select(F.col("lid"), F.col("deal_id"), F.round("score", 3).alias("score"))
 
 
 def next_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,15 +157,13 @@ def distance_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrival_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a card says of time and trust, per visible offer."""
-    rows = feeds.feed(*_tables(spark, sf_dir), MOMENT).where("deal_id IS NOT NULL")
-    usable = R.usable_minutes(F.col("until"), F.col("drive"))
-    when = F.when(F.col("live"), F.concat(F.lit("ends in "), R.duration(F.col("until")))).when(F.col("day_ahead") == 0, F.concat(F.lit("starts in "), R.duration(F.col("starts_in")))).otherwise(
-        F.concat(F.lit("in "), F.col("day_ahead").cast("string"), F.lit("d"))
-    )
-    fine = F.when(F.col("grp") == R.UNREACHABLE, "over before you arrive").when(F.col("live") & (usable < 30), F.concat(F.lit("about "), usable.cast("string"), F.lit(" min left on arrival"))).otherwise("")
-    trust = F.when(F.col("confidence") == "unconfirmed", "Unconfirmed").otherwise(F.concat(F.lit("Checked "), F.col("age_days").cast("string"), F.lit("d ago")))
-    return rows.groupBy(when.alias("when_text"), fine.alias("fine_text"), trust.alias("trust_text")).agg(F.count("*").alias("n"))
+    """What a card says of time and trust, per visible offer; every seventh offer has no items, every tenth fine print."""
+    venues, deals, windows, items = _tables(spark, sf_dir)
+    rows = feeds.feed(venues, deals, windows, items.where("deal_id % 7 > 0"), MOMENT).where("deal_id IS NOT NULL")
+    when = R.when_text(*[F.col(c) for c in ("live", "day_ahead", "start", "end", "starts_in", "until")])
+    printed = F.when(F.col("deal_id") % 10 == 0, "Bar seats only.")
+    fine = R.fine_text(*[F.col(c) for c in ("grp", "live", "until", "drive")], printed, F.col("has_items"))
+    return rows.groupBy(when.alias("when_text"), fine.alias("fine_text"), R.trust_text(F.col("confidence"), F.col("age_days")).alias("trust_text")).agg(F.count("*").alias("n"))
 
 
 _CLOCK = """CASE WHEN {0} >= 1440 THEN 'midnight' ELSE concat(CAST(CASE WHEN ({0} // 60) % 12 = 0 THEN 12 ELSE ({0} // 60) % 12 END AS VARCHAR),
@@ -194,7 +193,7 @@ ORACLES = {
   SELECT *, struct_pack(s := score, n := name, d := deal_id) AS k, CASE grp WHEN 0 THEN 'Live now' WHEN 1 THEN 'Starting soon' WHEN 2 THEN 'Later today' WHEN 4 THEN 'Ends before you''d get there'
     WHEN 5 THEN 'Hours not published' ELSE CASE WHEN day_ahead = 1 THEN 'Tomorrow' ELSE {_LONG}[(4 + day_ahead) % 7 + 1] END END AS section FROM feed) GROUP BY section"""
     ),
-    "feed_page": _feed_sql(tail="SELECT lid, deal_id, score FROM feed ORDER BY score, name, deal_id LIMIT 24"),
+    "feed_page": _feed_sql(tail="SELECT lid, deal_id, score FROM feed WHERE grp < 5 UNION ALL SELECT * FROM (SELECT lid, deal_id, score FROM feed WHERE grp = 5 ORDER BY score, name LIMIT 24)"),
     "next_occurrence": sql(f"""WITH {_HIT.format(now=660, dow=7)} SELECT deal_id, h.live AS live, CAST(h.day_ahead AS BIGINT) AS day_ahead, CAST(h.starts_in AS BIGINT) AS starts_in, CAST(h.until AS BIGINT) AS until,
   CAST(h."start" AS BIGINT) AS "start", CAST(h."end" AS BIGINT) AS "end" FROM hits""", "window_"),
     "window_for_lookahead": sql("""SELECT deal_id, live, CAST(until AS BIGINT) AS until, CAST(starts_in AS BIGINT) AS starts_in FROM (
@@ -218,10 +217,13 @@ SELECT deal_id, string_agg(concat(days, ' ', {_CLOCK('"start"')}, '–', {_CLOCK
   CASE WHEN miles < 0.1 THEN 'here' WHEN lid % 5 = 0 THEN concat('~', CAST(CAST(floor(miles + 0.5) AS BIGINT) AS VARCHAR), ' mi') WHEN miles < 10 THEN concat(printf('%.1f', miles), ' mi')
     ELSE concat(CAST(CAST(floor(miles + 0.5) AS BIGINT) AS VARCHAR), ' mi') END AS text FROM (SELECT *, {_MILES} AS miles FROM venue)""", "venue"),
     "arrival_texts": _feed_sql(
-        tail=f"""SELECT when_text, fine_text, trust_text, count(*) AS n FROM (SELECT
-  CASE WHEN live THEN concat('ends in ', {_LASTS('until')}) WHEN day_ahead = 0 THEN concat('starts in ', {_LASTS('starts_in')}) ELSE concat('in ', CAST(day_ahead AS VARCHAR), 'd') END AS when_text,
-  CASE WHEN grp = 4 THEN 'over before you arrive' WHEN live AND greatest(0, until - coalesce(drive, 0)) < 30 THEN concat('about ', CAST(greatest(0, until - coalesce(drive, 0)) AS VARCHAR), ' min left on arrival') ELSE '' END AS fine_text,
-  CASE WHEN confidence = 'unconfirmed' THEN 'Unconfirmed' ELSE concat('Checked ', CAST(age_days AS VARCHAR), 'd ago') END AS trust_text
-  FROM feed WHERE deal_id IS NOT NULL) GROUP BY ALL"""
+        items="(SELECT * FROM item WHERE deal_id % 7 > 0)",
+        tail=f"""SELECT when_text, trim(concat(warning, said)) AS fine_text, trust_text, count(*) AS n FROM (SELECT
+  CASE WHEN live THEN concat('Ends in ', {_LASTS('until')}) WHEN day_ahead = 0 THEN concat({_CLOCK('w_start')}, ' · in ', {_LASTS('starts_in')}) ELSE concat({_CLOCK('w_start')}, '–', {_CLOCK('w_end')}) END AS when_text,
+  CASE WHEN grp = 4 THEN concat('It ends in ', {_LASTS('until')}, ' and you''re about ', CAST(drive AS VARCHAR), ' minutes away. ')
+    WHEN live AND drive IS NOT NULL AND greatest(0, until - drive) < 30 THEN concat('About ', {_LASTS('greatest(0, until - drive)')}, ' of it left by the time you arrive. ') ELSE '' END AS warning,
+  CASE WHEN deal_id % 10 = 0 THEN 'Bar seats only.' WHEN deal_id % 7 > 0 THEN '' ELSE 'Window published without prices.' END AS said,
+  concat(CASE WHEN confidence = 'unconfirmed' THEN 'Unconfirmed — call ahead · ' ELSE 'Checked ' END, CASE WHEN age_days = 0 THEN 'today' ELSE concat(CAST(age_days AS VARCHAR), 'd ago') END) AS trust_text
+  FROM feed WHERE deal_id IS NOT NULL) GROUP BY ALL""",
     ),
 }

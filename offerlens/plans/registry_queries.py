@@ -82,9 +82,10 @@ def _resolution(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = _licences(spark, d)
     licences = rows.select(
         "lid", T.first_filled(F.col("premises"), F.col("licensee")).alias("name"), "zip", F.regexp_extract("street", r"^(\d+)", 1).alias("number"),
-        T.street_core(F.regexp_replace(F.regexp_replace("street", r"^\d+\s+", ""), r" STE \d+$", "")).alias("core"), F.col("nation").alias("locality"),
+        T.street_core(F.regexp_replace(F.regexp_replace("street", r"^\d+\s+", ""), r" STE \d+$", "")).alias("core"), resolve.localities(F.col("nation").cast("string"), F.col("zip")).alias("localities"),
     ).withColumn("lic_core", T.name_core(F.col("name")))
-    elements = resolve.keyed_elements(lens(spark, d, "place").withColumnRenamed("nation", "locality"))
+    places = lens(spark, d, "place")
+    elements = resolve.keyed_elements(places.withColumn("localities", resolve.localities(F.col("nation").cast("string"), F.col("zip"))))
     return licences, elements
 
 
@@ -143,7 +144,38 @@ def deal_reject_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combo_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.combo_cap(lens(spark, sf_dir, "deal"), lens(spark, sf_dir, "window_"), most=0).select("deal_id", "lid", "type")
+    """At the cap of two a day; some offers have a second window on a day."""
+    windows = lens(spark, sf_dir, "window_").select("deal_id", "dow", "supp_id")
+    return validate.combo_cap(lens(spark, sf_dir, "deal"), windows.union(windows.where("supp_id % 3 = 0"))).select("deal_id", "lid", "type")
+
+
+def offer_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All broken rules of offers as they are published: nested windows, items and source."""
+    at = lambda c: F.format_string("%02d:%02d", F.floor(F.col(c) / 60).cast("int"), (F.col(c) % 60).cast("int"))
+    windows = lens(spark, sf_dir, "window_").withColumn("end", F.when(F.col("supp_id") % 50 == 0, F.col("end") + 480).otherwise(F.col("end")))
+    nested = windows.groupBy("deal_id").agg(F.collect_list(F.struct(F.col("dow").cast("int").alias("dow"), at("start").alias("start"), F.when(F.col("supp_id") % 51 == 0, "late").otherwise(at("end")).alias("end"))).alias("windows"))
+    items = lens(spark, sf_dir, "item").groupBy("deal_id").agg(
+        F.collect_list(F.struct("category", F.when(F.col("part_id") % 40 == 0, "Two for one").otherwise("plain").alias("label"), F.col("price").alias("price_usd"), F.col("pct").alias("discount_pct"), F.col("off").alias("amount_off_usd"))).alias("items")
+    )
+    k = F.col("deal_id")
+    source = F.struct(
+        F.when(k % 4 == 0, "venue_site").when(k % 4 == 1, "roundup").when(k % 4 == 2, "photo").otherwise("hearsay").alias("kind"), F.when(k % 9 > 0, "http://x").alias("url"), F.when(k % 27 == 0, "p").alias("photo_id"),
+        F.when(k % 8 == 1, "Paper").alias("outlet"), F.when(k % 5 == 0, "May 2001").otherwise("2001-05-01").alias("published"),
+    )
+    rows = lens(spark, sf_dir, "deal").join(nested, "deal_id", "left").join(items, "deal_id", "left")
+    fine = F.when(k % 13 == 0, "Bottomless mimosas").otherwise("Bar only")
+    kind = F.when(k % 31 == 0, "raffle").otherwise(F.col("type"))
+    return rows.select("deal_id", F.array_join(validate.deal_errors(kind, F.col("confidence"), F.col("windows"), F.col("items"), fine, source), "; ").alias("errors"))
+
+
+def extracted_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each offer of a venue as one quote of its site: the quotes' windows together, or else those of the richest."""
+    at = lambda c: F.format_string("%02d:%02d", F.floor(F.col(c) / 60).cast("int"), (F.col(c) % 60).cast("int"))
+    windows = lens(spark, sf_dir, "window_").groupBy("deal_id").agg(F.sort_array(F.collect_list(F.struct(F.col("dow").cast("int").alias("dow"), at("start").alias("start"), at("end").alias("end")))).alias("windows"))
+    hits = lens(spark, sf_dir, "deal").join(windows, "deal_id").select("lid", F.col("deal_id").alias("pos"), F.concat(F.lit("Happy hour, "), "priority").alias("quote"), F.lit("http://x").alias("url"), "windows")
+    out = validate.extracted(hits)
+    days = F.array_join(F.transform("windows", lambda w: F.concat(w["dow"].cast("string"), F.lit(" "), w["start"], F.lit("-"), w["end"])), ", ")
+    return out.select("lid", F.col("lead.pos").alias("lead"), days.alias("windows"), F.coalesce(F.try_element_at("errors", F.lit(1)), F.lit("ok")).alias("verdict"))
 
 
 def _sources(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -156,8 +188,9 @@ def priority_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, d: str) -> DataFrame:
-    rows = lens(spark, d, "venue").where("lid % 3 = 0")
-    return rows.select("lid", "zone_id", "name", F.array(F.col("lid") + 1).alias("also_lids"), (F.col("lid") % 4000).alias("addr"))
+    """All venues; every third holds the licence after its own as well."""
+    also = F.when(F.col("lid") % 3 == 0, F.array(F.col("lid") + 1)).otherwise(F.array().cast("array<bigint>"))
+    return lens(spark, d, "venue").select("lid", "zone_id", "name", also.alias("also_lids"), (F.col("lid") % 4000).alias("addr"))
 
 
 def canonical_lid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +260,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         registry_drop_reasons, registry_zone_assign, zone_tier_counts, premises_dedupe, premises_collapse, tiered_site_join, shared_element_collapse, site_carry_over, address_keys,
-        street_and_name_cores, place_acceptance, merge_frontier, deal_validation, deal_reject_summary, combo_cap, priority_union, canonical_lid, board_full_outer, zone_index, price_fill,
+        street_and_name_cores, place_acceptance, merge_frontier, deal_validation, deal_reject_summary, combo_cap, offer_errors, extracted_schedules, priority_union, canonical_lid, board_full_outer, zone_index, price_fill,
         coordinate_refresh, slug_collisions, hue_and_cache_names, coverage_counters, stage_funnel,
     )
 }
@@ -240,12 +273,14 @@ _RES = f"""lic AS (SELECT lid, name, zip, number, {_CORE("regexp_replace(regexp_
 el AS (SELECT *, {_CORE('street')} AS core, nation AS locality, lower(place_name) AS place_core FROM place),
 t1 AS (SELECT zip, number, core, arg_min(place_id, struct_pack(a := website IS NULL, b := place_id)) AS id FROM el GROUP BY ALL),
 t2 AS (SELECT number, core, min(place_id) AS id FROM el GROUP BY ALL HAVING count(*) = 1),
-t3 AS (SELECT locality, place_core, min(place_id) AS id FROM el GROUP BY ALL HAVING count(*) = 1),
-m3 AS (SELECT locality, lic_core FROM lic GROUP BY ALL HAVING count(*) = 1),
-matches AS (SELECT lid, place_id, matched_by FROM (SELECT l.lid, coalesce(t1.id, t2.id, CASE WHEN m3.lic_core IS NOT NULL THEN t3.id END) AS place_id,
+ll AS (SELECT lid, lic_core, 0 AS pos, concat('city ', locality) AS loc FROM lic UNION ALL SELECT lid, lic_core, 1, concat('zip ', zip) FROM lic WHERE zip IS NOT NULL),
+t3 AS (SELECT loc, place_core, min(place_id) AS id FROM (SELECT *, concat('city ', locality) AS loc FROM el UNION ALL SELECT *, concat('zip ', zip) FROM el) GROUP BY ALL HAVING count(*) = 1),
+m3 AS (SELECT loc, lic_core FROM ll GROUP BY ALL HAVING count(*) = 1),
+n3 AS (SELECT lid, arg_min(t3.id, pos) AS id FROM ll JOIN m3 USING (loc, lic_core) JOIN t3 ON t3.loc = ll.loc AND t3.place_core = ll.lic_core GROUP BY lid),
+matches AS (SELECT lid, place_id, matched_by FROM (SELECT l.lid, coalesce(t1.id, t2.id, n3.id) AS place_id,
     CASE WHEN t1.id IS NOT NULL THEN 'address' WHEN t2.id IS NOT NULL THEN 'number+street' ELSE 'name' END AS matched_by
   FROM lic l LEFT JOIN t1 USING (zip, number, core) LEFT JOIN t2 ON l.number = t2.number AND l.core = t2.core
-  LEFT JOIN t3 ON l.locality = t3.locality AND l.lic_core = t3.place_core LEFT JOIN m3 ON l.locality = m3.locality AND l.lic_core = m3.lic_core) WHERE place_id IS NOT NULL)"""
+  LEFT JOIN n3 ON l.lid = n3.lid) WHERE place_id IS NOT NULL)"""
 _CAPS = """caps AS (SELECT deal_id, max(m) AS most_in_a_day, sum(m) AS in_a_week FROM (SELECT deal_id, dow, sum("end" - "start") AS m FROM window_ WHERE "end" <= 1440 AND "end" > "start" AND dow BETWEEN 1 AND 7 GROUP BY ALL) GROUP BY deal_id),
 flaws AS (SELECT deal_id, bool_or(category = 'novelty') AS bad_category, bool_or(price IS NULL AND pct IS NULL AND off IS NULL) AS bare FROM item GROUP BY deal_id),
 checked AS (SELECT d.*, c.most_in_a_day, c.in_a_week, CASE WHEN c.in_a_week IS NULL THEN 'no windows' WHEN type = 'happy_hour' AND most_in_a_day > 240 THEN 'exceeds the 4h/day cap'
@@ -257,8 +292,8 @@ photo AS (SELECT *, 'photo' AS source FROM src WHERE id % 5 = 1 AND id NOT IN (S
 one AS (SELECT * FROM seed UNION ALL SELECT * FROM photo),
 merged AS (SELECT * FROM one UNION ALL SELECT *, 'extracted' FROM src WHERE id % 5 < 4 AND id NOT IN (SELECT id FROM one) AND addr NOT IN (SELECT addr FROM one))"""
 _CANON = _UNION + """,
-base AS (SELECT lid, zone_id, name, lid % 4000 AS addr FROM venue WHERE lid % 3 = 0),
-own AS (SELECT l, min(c) AS c FROM (SELECT lid AS l, lid AS c FROM base UNION ALL SELECT lid + 1, lid FROM base) GROUP BY l),
+base AS (SELECT lid, zone_id, name, lid % 4000 AS addr FROM venue),
+own AS (SELECT l, min(c) AS c FROM (SELECT lid AS l, lid AS c FROM base UNION ALL SELECT lid + 1, lid FROM base WHERE lid % 3 = 0) GROUP BY l),
 byaddr AS (SELECT addr, min(lid) AS c FROM base GROUP BY addr),
 canon AS (SELECT m.id, m.lid, coalesce(o.c, a.c) AS canonical FROM merged m LEFT JOIN own o ON m.lid = o.l LEFT JOIN byaddr a ON m.addr = a.addr),
 counted AS (SELECT coalesce(CAST(canonical AS VARCHAR), concat('orphan:', id)) AS key, count(*) AS n FROM canon GROUP BY 1),
@@ -292,7 +327,30 @@ SELECT lid, place_id, CASE WHEN ours = theirs THEN 'street number' WHEN premises
 SELECT * FROM s UNION ALL SELECT lid, concat('http://p', lid), CASE WHEN lid % 4 = 0 THEN 'street number' ELSE 'name + ZIP' END FROM licence WHERE lid % 4 < 2 AND lid % 5 > 0 AND lid % 3 > 0 AND lid % 50 <> 1""", "licence"),
     "deal_validation": sql(f"WITH {_CAPS} SELECT deal_id, type, coalesce(first_error, 'ok') AS verdict, CAST(most_in_a_day AS BIGINT) AS most_in_a_day, CAST(in_a_week AS BIGINT) AS in_a_week FROM checked", "deal", "window_", "item"),
     "deal_reject_summary": sql(f"WITH {_CAPS} SELECT type, coalesce(first_error, 'ok') AS verdict, count(*) AS n FROM checked GROUP BY ALL", "deal", "window_", "item"),
-    "combo_cap": sql("""WITH over_cap AS (SELECT DISTINCT d.lid FROM deal d JOIN window_ w USING (deal_id) WHERE type = 'food_combo') SELECT deal_id, lid, type FROM deal WHERE lid NOT IN (SELECT lid FROM over_cap)""", "deal", "window_"),
+    "combo_cap": sql("""WITH w AS (SELECT deal_id, dow FROM window_ UNION ALL SELECT deal_id, dow FROM window_ WHERE supp_id % 3 = 0),
+over_cap AS (SELECT lid FROM deal JOIN w USING (deal_id) WHERE type = 'food_combo' GROUP BY lid, dow HAVING count(*) > 2) SELECT deal_id, lid, type FROM deal WHERE lid NOT IN (SELECT lid FROM over_cap)""", "deal", "window_"),
+    "offer_errors": sql("""WITH w AS (SELECT deal_id, dow, "start" AS s, CASE WHEN supp_id % 50 = 0 THEN "end" + 480 ELSE "end" END AS e, supp_id % 51 = 0 AS bad FROM window_),
+day AS (SELECT deal_id, dow, sum(e - s) AS m FROM w WHERE NOT bad AND e <= 1440 GROUP BY ALL),
+wd AS (SELECT deal_id, bool_or(bad) AS bad, bool_or(NOT bad AND e > 1440) AS past FROM w GROUP BY deal_id),
+cap AS (SELECT deal_id, max(m) AS most, sum(m) AS week FROM day GROUP BY deal_id),
+i AS (SELECT deal_id, bool_or(category = 'novelty') AS odd, bool_or(price IS NULL AND pct IS NULL AND off IS NULL) AS bare, bool_or(part_id % 40 = 0) AS two FROM item GROUP BY deal_id)
+SELECT d.deal_id, array_to_string(list_filter([
+  CASE WHEN d.deal_id % 31 = 0 THEN 'unknown deal type' END, CASE WHEN wd.deal_id IS NULL THEN 'no windows' END, CASE WHEN wd.bad THEN 'malformed window' END, CASE WHEN wd.past THEN 'window extends past midnight' END,
+  CASE WHEN d.deal_id % 31 > 0 AND type = 'happy_hour' AND most > 240 THEN 'exceeds the 4h/day cap' END, CASE WHEN d.deal_id % 31 > 0 AND type = 'happy_hour' AND week > 1440 THEN 'exceeds the 24h/week cap' END,
+  CASE WHEN d.deal_id % 13 = 0 THEN 'unlawful claim: bottomless' END, CASE WHEN i.two THEN 'unlawful claim: two for one|2 for 1|2-for-1' END, CASE WHEN i.odd THEN 'unknown item category' END,
+  CASE WHEN i.bare THEN 'item has neither a price nor a discount' END, CASE WHEN d.deal_id % 9 = 0 AND d.deal_id % 27 > 0 THEN 'no source' END, CASE WHEN d.deal_id % 4 = 3 THEN 'unknown source kind' END,
+  CASE WHEN d.deal_id % 4 = 1 AND d.deal_id % 8 <> 1 THEN 'roundup must name who said it' END, CASE WHEN d.deal_id % 4 = 1 AND d.deal_id % 5 = 0 THEN 'roundup recency cannot be gated' END,
+  CASE WHEN d.deal_id % 4 = 1 AND confidence <> 'unconfirmed' THEN 'roundup caps at unconfirmed' END], lambda x: x IS NOT NULL), '; ') AS errors
+FROM deal d LEFT JOIN wd ON d.deal_id = wd.deal_id LEFT JOIN cap ON d.deal_id = cap.deal_id LEFT JOIN i ON d.deal_id = i.deal_id""", "deal", "window_", "item"),
+    "extracted_schedules": sql("""WITH q AS (SELECT d.lid, d.deal_id, count(DISTINCT w.dow) AS days, any_value(length(d.priority)) AS n FROM deal d JOIN window_ w ON d.deal_id = w.deal_id GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY days DESC, n DESC, deal_id) AS k FROM q),
+p AS (SELECT o.lid, o.k, o.deal_id, w.dow, w."start" AS s, w."end" AS e, w."end" // 60 - w."start" // 60 AS span FROM o JOIN window_ w ON o.deal_id = w.deal_id),
+pooled AS (SELECT *, row_number() OVER (PARTITION BY lid, dow ORDER BY span DESC, k, s, e) AS r FROM p), lead_ AS (SELECT *, row_number() OVER (PARTITION BY lid, dow ORDER BY span DESC, s, e) AS r FROM p WHERE k = 1),
+t AS (SELECT lid, sum(e - s) AS pooled FROM pooled WHERE r = 1 GROUP BY lid), u AS (SELECT lid, any_value(deal_id) AS lead, sum(e - s) AS own FROM lead_ WHERE r = 1 GROUP BY lid),
+c AS (SELECT lid, lead, pooled > 1440 AS back, pooled > 1440 AND own > 1440 AS bad FROM t JOIN u USING (lid)),
+w AS (SELECT lid, dow, s, e, false AS back FROM pooled WHERE r = 1 UNION ALL SELECT lid, dow, s, e, true FROM lead_ WHERE r = 1)
+SELECT c.lid, c.lead, string_agg(concat(dow, ' ', lpad(CAST(s // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(s % 60 AS VARCHAR), 2, '0'), '-', lpad(CAST(e // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(e % 60 AS VARCHAR), 2, '0')), ', ' ORDER BY dow) AS windows,
+  CASE WHEN any_value(bad) THEN 'exceeds the 24h/week cap' ELSE 'ok' END AS verdict FROM c JOIN w ON c.lid = w.lid AND c.back = w.back GROUP BY c.lid, c.lead""", "deal", "window_"),
     "priority_union": sql(f"WITH {_UNION} SELECT * FROM merged", "deal"),
     "canonical_lid": sql(f"WITH {_CANON} SELECT * FROM canon", "deal", "venue"),
     "board_full_outer": sql(f"WITH {_CANON} SELECT * FROM board", "deal", "venue"),
