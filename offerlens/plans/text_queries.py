@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from offerlens.functions import grounding, pagetext, schedule
 from offerlens.functions import text as T
 from offerlens.operators import moderation
 from offerlens.plans.lenses import lens, sql
+from offerlens.session import spread
 from offerlens.streaming import moderation as streams
 
 
@@ -24,10 +24,10 @@ def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The links of each page's menu, as absolute addresses on its own site."""
-    rows = _pages(spark, sf_dir)
-    links = F.transform(pagetext.anchors(F.col("html")), lambda a: pagetext.absolute(a["href"], F.col("url")))
-    return rows.select("page_id", F.posexplode(links).alias("pos", "link")).select("page_id", F.col("pos").cast("long").alias("pos"), "link")
+    """The links of each page's menu, made to speak of menus and some of specials, best first."""
+    html = F.replace(F.replace(F.col("html"), F.lit('href="/'), F.lit('href="/menu/')), F.lit('href="/menu/d'), F.lit('href="/special/d'))
+    rows = _pages(spark, sf_dir).select("page_id", F.posexplode(pagetext.candidate_links(html, F.col("url"))).alias("pos", "link"))
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "link")
 
 
 def registrable_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def registrable_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quotes(spark: SparkSession, d: str) -> DataFrame:
     """Offer lines made of an order's keys: days, a time range, two priced items."""
-    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"))
+    o = spread(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k")))
     day = lambda n: F.element_at(F.array(*[F.lit(x) for x in ("Monday", "Tue", "Wednesday", "Thurs", "Fri", "saturday", "Sunday")]), (n % 7 + 1).cast("int"))
     said = F.when(F.col("k") % 4 == 0, F.concat(day(F.col("k")), F.lit(" - "), day(F.floor(F.col("k") / 7)))).when(F.col("k") % 4 == 1, F.lit("weekdays")).when(F.col("k") % 4 == 2, F.concat(day(F.col("k")), F.lit(" & "), day(F.col("k") + 3))).otherwise(F.lit("every day"))
     hours = F.concat(((F.col("k") % 12) + 1).cast("string"), F.when(F.col("k") % 5 == 0, F.lit(":30")).otherwise(F.lit("")), F.when(F.col("k") % 3 == 0, F.lit("pm")).otherwise(F.lit("")), F.lit(" - "), ((F.floor(F.col("k") / 11) % 12) + 1).cast("string"), F.when(F.col("k") % 9 == 0, F.lit("")).when(F.col("k") % 2 == 0, F.lit(" pm")).otherwise(F.lit(" am")))
@@ -74,9 +74,9 @@ def transcript_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     heard = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("transcript"))
     lines = turns.select("conv_id", "turn", F.posexplode(F.split("text", r"\. ")).alias("pos", "quote"))
-    joined = lines.join(heard, "conv_id")
-    quote = T.normal(F.col("quote"))
-    return joined.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), ((quote != "") & F.contains(T.normal(F.col("transcript")), quote)).alias("grounded"))
+    deal = F.struct(F.array(F.struct("quote", F.lit("x").alias("label"))).alias("items"), F.array(F.lit(1)).alias("windows"))
+    kept = grounding.grounded(F.array(deal), F.col("transcript"))
+    return lines.join(heard, "conv_id").select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), (F.size(kept[0]["items"]) > 0).alias("grounded"))
 
 
 def price_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,14 +150,14 @@ def _stream(spark: SparkSession, d: str, files: str = "events.parquet") -> DataF
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rate_limit_admit as a stream over the same events."""
     rows = _stream(spark, sf_dir).select(F.col("user_id").alias("ip_hash"), F.col("ts").cast("date").alias("day"), "ts", F.col("event_id").alias("id"))
-    return streams.run_once(streams.rate_limit(rows, 3), f"rate_{uuid.uuid4().hex}", "append").select("id", "ip_hash", "admitted")
+    return streams.run_once(streams.rate_limit(rows, 3), "append").select("id", "ip_hash", "admitted")
 
 
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """submission_status as a stream over the same events."""
     event = F.when(F.col("event_type") == "purchase", "approve").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "reject").otherwise("extract")
     rows = _stream(spark, sf_dir).select((F.col("event_id") % 2500).alias("id"), "ts", F.col("event_id").alias("seq"), event.alias("event"))
-    out = streams.run_once(streams.latest_status(rows), f"status_{uuid.uuid4().hex}", "complete")
+    out = streams.run_once(streams.latest_status(rows), "complete")
     return out.select("id", "status", F.col("n_refused").cast("long").alias("n_refused"))
 
 
@@ -176,6 +176,11 @@ _HOST = r"regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)"
 _STATUS = "CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'reject' ELSE 'extract' END"
 _DAYNAME = "['Monday', 'Tue', 'Wednesday', 'Thurs', 'Fri', 'saturday', 'Sunday']"
 _K = "(SELECT o_orderkey AS k FROM orders)"
+_DAYS_SAID = f"""d AS (SELECT k, k % 7 + 1 AS a, (k // 7) % 7 + 1 AS b, (k + 3) % 7 + 1 AS c FROM {_K}),
+said AS (SELECT k, CASE k % 4 WHEN 0 THEN list_transform(range(0, (b - a + 7) % 7 + 1), lambda i: (a - 1 + i) % 7 + 1) WHEN 1 THEN [1, 2, 3, 4, 5] WHEN 2 THEN [a, c] ELSE [1, 2, 3, 4, 5, 6, 7] END AS days FROM d)"""
+_WINDOW_SAID = f"""h AS (SELECT k, k % 12 + 1 AS sh, CASE WHEN k % 5 = 0 THEN 30 ELSE 0 END AS sm, CASE WHEN k % 3 = 0 THEN 'p' END AS sp, (k // 11) % 12 + 1 AS eh, CASE WHEN k % 9 = 0 THEN NULL WHEN k % 2 = 0 THEN 'p' ELSE 'a' END AS ep FROM {_K}),
+t AS (SELECT *, eh % 12 * 60 + CASE WHEN ep = 'p' THEN 720 ELSE 0 END AS e0, sh % 12 * 60 + sm AS s0 FROM h),
+u AS (SELECT k, ep, CASE WHEN e0 = 0 THEN 1440 ELSE e0 END AS e, CASE WHEN sp = 'p' THEN s0 + 720 WHEN s0 + CASE WHEN ep = 'p' THEN 720 ELSE 0 END >= e0 THEN s0 + CASE WHEN ep = 'p' THEN 0 ELSE 720 END ELSE s0 + CASE WHEN ep = 'p' THEN 720 ELSE 0 END END AS s FROM t)"""
 _ADMIT = "SELECT id, ip_hash, row_number() OVER (PARTITION BY ip_hash, day ORDER BY ts, id) <= 3 AS admitted FROM submission"
 _FINAL = f"""WITH ev AS (SELECT event_id % 2500 AS id, ts, event_id AS seq, {_STATUS} AS event FROM events),
 g AS (SELECT id, min_by(event, seq) FILTER (event IN ('approve', 'reject')) AS ruling, min(seq) FILTER (event IN ('approve', 'reject')) AS r, min(seq) FILTER (event = 'extract') AS e, count(*) AS n FROM ev GROUP BY id)
@@ -183,15 +188,17 @@ SELECT id, CASE WHEN ruling = 'approve' THEN 'approved' WHEN ruling = 'reject' T
   n - CASE WHEN r IS NOT NULL THEN 1 ELSE 0 END - CASE WHEN e IS NOT NULL AND (r IS NULL OR e < r) THEN 1 ELSE 0 END AS n_refused FROM g"""
 ORACLES = {
     "visible_text": f"SELECT page_id, {_VISIBLE} AS text FROM pages",
-    "candidate_links": r"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href=["'']([^"'']+)["''][^>]*>.{0,120}?</a>', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?is)<a\s[^>]*href=["'']([^"'']+)["''][^>]*>.{0,120}?</a>', 1), 1) - 1 AS pos FROM pages)
-SELECT page_id, pos, regexp_replace(concat(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1), href), '#.*$', '') AS link FROM a""",
+    "candidate_links": r"""WITH h AS (SELECT page_id, url, replace(replace(html, 'href="/', 'href="/menu/'), 'href="/menu/d', 'href="/special/d') AS html FROM pages),
+a AS (SELECT DISTINCT page_id, regexp_replace(concat(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1), unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href=["'']([^"'']+)["''][^>]*>.{0,120}?</a>', 1))), '#.*$', '') AS link FROM h)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY NOT contains(link, '/special/'), link) - 1 AS pos, link FROM a""",
     "registrable_domain": f"SELECT page_id, {_HOST} AS host, regexp_extract({_HOST}, '([^.]+[.][^.]+)$', 1) AS site FROM pages",
-    "days_in": f"""WITH d AS (SELECT k, k % 7 + 1 AS a, (k // 7) % 7 + 1 AS b, (k + 3) % 7 + 1 AS c FROM {_K})
-SELECT k, array_to_string(list_sort(CASE k % 4 WHEN 0 THEN list_transform(range(0, (b - a + 7) % 7 + 1), lambda i: (a - 1 + i) % 7 + 1) WHEN 1 THEN [1, 2, 3, 4, 5] WHEN 2 THEN [a, c] ELSE [1, 2, 3, 4, 5, 6, 7] END), ',') AS days FROM d""",
-    "window_in": f"""WITH h AS (SELECT k, k % 12 + 1 AS sh, CASE WHEN k % 5 = 0 THEN 30 ELSE 0 END AS sm, CASE WHEN k % 3 = 0 THEN 'p' END AS sp, (k // 11) % 12 + 1 AS eh, CASE WHEN k % 9 = 0 THEN NULL WHEN k % 2 = 0 THEN 'p' ELSE 'a' END AS ep FROM {_K}),
-t AS (SELECT *, eh % 12 * 60 + CASE WHEN ep = 'p' THEN 720 ELSE 0 END AS e0, sh % 12 * 60 + sm AS s0 FROM h),
-u AS (SELECT k, ep, CASE WHEN e0 = 0 THEN 1440 ELSE e0 END AS e, CASE WHEN sp = 'p' THEN s0 + 720 WHEN s0 + CASE WHEN ep = 'p' THEN 720 ELSE 0 END >= e0 THEN s0 + CASE WHEN ep = 'p' THEN 0 ELSE 720 END ELSE s0 + CASE WHEN ep = 'p' THEN 720 ELSE 0 END END AS s FROM t)
-SELECT k, CASE WHEN ep IS NOT NULL AND s < e THEN s END AS "start", CASE WHEN ep IS NOT NULL AND s < e THEN e END AS "end" FROM u""",
+    "days_in": f"WITH {_DAYS_SAID} SELECT k, array_to_string(list_sort(days), ',') AS days FROM said",
+    "window_in": f"WITH {_WINDOW_SAID} SELECT k, CASE WHEN ep IS NOT NULL AND s < e THEN s END AS \"start\", CASE WHEN ep IS NOT NULL AND s < e THEN e END AS \"end\" FROM u",
+    "windows_from_quote": f"""WITH {_DAYS_SAID}, {_WINDOW_SAID}, each AS (SELECT k, unnest(days) AS dow FROM said)
+SELECT each.k, CAST(dow AS BIGINT) AS dow, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end" FROM each JOIN u ON each.k = u.k WHERE ep IS NOT NULL AND s < e""",
+    "offer_quotes": f"""WITH l AS (SELECT k, concat('$', k % 9 + 2, CASE WHEN k % 2 = 0 THEN ' draft beers and chips' ELSE ' parking spots' END, ', $', k % 5 + 5, '.50 house wine') AS items,
+  concat(k % 12 + 1, CASE WHEN k % 5 = 0 THEN ':30' ELSE '' END, CASE WHEN k % 3 = 0 THEN 'pm' ELSE '' END, ' - ', (k // 11) % 12 + 1, CASE WHEN k % 9 = 0 THEN '' WHEN k % 2 = 0 THEN ' pm' ELSE ' am' END) AS hours FROM {_K})
+SELECT k, concat('HAPPY HOUR / ', items, ' / ', hours) AS quote FROM l UNION ALL SELECT k, items FROM l WHERE k % 2 = 0""",
     "items_in_quote": f"""SELECT k, 0::BIGINT AS pos, 'draft' AS category, 'draft beers' AS label, CAST(k % 9 + 2 AS DOUBLE) AS price_usd FROM {_K} WHERE k % 2 = 0
 UNION ALL SELECT k, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END, 'wine', 'house wine', CAST(k % 5 + 5 AS DOUBLE) + 0.5 FROM {_K}""",
     "transcript_grounding": r"""WITH h AS (SELECT conv_id, min_by(text, turn) AS transcript FROM conversations GROUP BY conv_id),
@@ -200,6 +207,8 @@ n AS (SELECT l.conv_id, l.turn, l.pos, lower(trim(regexp_replace(quote, '\s+', '
 SELECT conv_id, turn, pos, q <> '' AND contains(t, q) AS grounded FROM n""",
     "price_grounding": f"""SELECT CASE WHEN k % 7 = 0 THEN 'no evidence' WHEN k % 7 = 1 THEN 'evidence not in the quote' WHEN k % 11 = 0 THEN 'category' WHEN k % 13 = 0 THEN 'unlawful claim'
   WHEN k % 3 = 1 AND k % 10 = 1 THEN 'needs exactly one of price and discount' WHEN k % 3 = 0 THEN 'discount not written in the evidence' ELSE 'kept' END AS verdict, count(*) AS n FROM {_K} GROUP BY 1""",
+    "proof_check": f"""WITH p AS (SELECT page_id, string_split({_HOST}, '.') AS h, lower({_VISIBLE}) AS t FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(t, concat('\\b', lower(h[-3]))) AND contains(t, lower(h[-2])) THEN concat('name(', h[-3], ') + ', h[-2]) END AS evidence FROM p""",
     "recency_gate": "SELECT coalesce(date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') <= 120, false) AND o_orderkey % 10 > 0 AS fresh, count(*) AS n FROM orders GROUP BY 1",
     "roundup_mentions": r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\. |\n')) AS said, generate_subscripts(regexp_split_to_array(text, '\. |\n'), 1) - 1 AS line FROM documents),
 o AS (SELECT doc_id, line, array_to_string(regexp_split_to_array(lower(said), '[^\p{L}\p{N}]+')[1:3], ' ') AS opening FROM l),

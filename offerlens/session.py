@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,3 +34,19 @@ def ship(spark: SparkSession) -> None:
             archive.write(source, source.relative_to(root))
     context.addPyFile(str(target))
     context._offerlens_shipped = True
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share: below spark.checkpoint.dir, or one of our own where all runs on one machine."""
+    import tempfile
+
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='offerlens-')).rstrip('/')}/{name}"
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where a small file's few row groups would leave them to a few; for rows that cost more to compute than to move."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores else rows

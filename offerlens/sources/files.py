@@ -16,8 +16,9 @@ def registry_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gazetteer_tsv(spark: SparkSession, path: str, zip_at: int = 1, lat_at: int = 9, lng_at: int = 10) -> DataFrame:
-    """(zip, zip_lat, zip_lng, ordinal): rows that are short or blank go; ordinal tells later rows of one ZIP from earlier ones."""
-    lines = spark.read.text(path).select(F.split("value", "\t").alias("c"), F.monotonically_increasing_id().alias("ordinal"))
+    """(zip, zip_lat, zip_lng, ordinal): rows that are short or blank go; ordinal tells later rows of one ZIP from earlier ones: by file, then place in it."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(F.split("value", "\t").alias("c"), place.alias("ordinal"))
     rows = lines.where(F.size("c") > max(zip_at, lat_at, lng_at)).select(
         F.trim(F.col("c")[zip_at]).alias("zip"), F.col("c")[lat_at].try_cast("double").alias("zip_lat"), F.col("c")[lng_at].try_cast("double").alias("zip_lng"), "ordinal"
     )
@@ -64,14 +65,9 @@ def pdf_pages(spark: SparkSession, path: str, pages: int = 6) -> DataFrame:
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import io
 
-        try:
-            from pypdf import PdfReader
-        except ImportError:
-            PdfReader = None
+        from pypdf import PdfReader  # without it the read fails, rather than to find all files blank
 
         def one(data: bytes) -> str:
-            if PdfReader is None:
-                return ""
             try:
                 return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages[:pages])
             except Exception:  # a broken file is an empty one

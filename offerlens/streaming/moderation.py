@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from offerlens.operators.moderation import PER_DAY, final_status
+from offerlens.session import shared_folder
 
 ADMITTED = "ip_hash bigint, day date, ts timestamp, id bigint, admitted boolean"
 
@@ -44,30 +46,47 @@ def latest_status(events: DataFrame) -> DataFrame:
     return final_status(events)
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """All that the source holds now, through the stream, as a table in memory: for tests and small reports."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """All that the source holds now, through the stream, as Parquet in folder: for catching up, tests and reports.
 
+    Run again with the same folder, it goes on from where it stopped.
+    """
+    spark = stream.sparkSession
+    folder = folder or shared_folder(spark, f"streams/{uuid.uuid4().hex}")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows"))
+    else:
+        writer = writer.format("parquet").option("path", f"{folder}/rows")
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+BUCKETS = 64
 
-def upsert(path: str, key: str):
-    """A foreachBatch sink: the rows of a batch replace those of the same key, in a new version of the table.
 
-    A batch that is replayed writes its version again, so the result is the same.
+def upsert(path: str, key: str, buckets: int = BUCKETS):
+    """A foreachBatch sink: the rows of a batch replace those of the same key.
+
+    The table lies in buckets of the key's hash; a batch reads and rewrites those alone that it touches, by way of a
+    copy beside the table. A batch that is replayed replaces the same keys again, so the result is the same.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = f"{path}/v{batch_id - 1}"
-        fs = spark._jvm.org.apache.hadoop.fs.Path(old)
-        there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
-        rows = batch
-        if there:
-            rows = spark.read.parquet(old).join(batch.select(key), key, "left_anti").unionByName(batch)
-        rows.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        dealt = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in dealt.select("_bucket").distinct().collect()]  # as many as there are buckets at most
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        rows = dealt
+        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            old = spark.read.schema(dealt.schema).parquet(path).where(F.col("_bucket").isin(touched))
+            rows = old.join(dealt.select(key), key, "left_anti").unionByName(dealt)
+        beside = f"{path.rstrip('/')}.next"
+        rows.write.mode("overwrite").parquet(beside)
+        spark.read.schema(dealt.schema).parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
 
     return write
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_bucket")

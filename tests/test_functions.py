@@ -103,6 +103,13 @@ def test_proof_of_a_page(spark):
     assert [bool(x) for x in many(spark, lambda x: T.proven(x, named, places), *pages)] == [True, False, False, False, False]
 
 
+def test_references_are_those_of_html(spark):
+    import html
+
+    texts = ["a &amp; b", "&#x2019;&#8217;&#39;", "&amp;lt; &lt;", "&copy2024 &copy; &notin; &notit;", "&#128; &#x80;", "&#0; &#xD800; &#1114112; &#x110000", "&nbsp;&eacute;&Eacute;&hellip;", "& &; &# &#x; &zzz; x&y", "&#65", "&#x1F600; &bigstar;", "none", "&&amp;&"]
+    assert many(spark, pagetext.decoded, *texts) == [html.unescape(t) for t in texts]
+
+
 def test_visible_text_and_offer_lines(spark):
     assert many(spark, pagetext.visible_text, "<div>HAPPY HOUR</div><p>Monday &#8211; Friday 4pm to 6pm</p>", "<style>.happy hour{}</style><p>Open daily</p>") == ["HAPPY HOUR\nMonday – Friday 4pm to 6pm", "Open daily"]
     quotes = many(spark, pagetext.offer_quotes, "HAPPY HOUR\n$5 wine\nfood\n4pm - 6pm", "Happy hour 4pm-6pm\nMon", "Happy Birthday parties")

@@ -120,7 +120,13 @@ def test_sources_and_sinks_round_trip(spark, tmp_path):
     files.write_sorted_json(board, str(tmp_path / "json"), "key")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == spark.read.json(str(tmp_path / "json")).count() == 3
     assert [r.key for r in files.not_done(board, board.where("zone_id = 'z1'"), "key").collect()] == ["3"]
-    assert files.pdf_pages(spark, str(tmp_path / "k.json")).head().text == ""
+    try:
+        import pypdf  # noqa: F401
+
+        assert files.pdf_pages(spark, str(tmp_path / "k.json")).head().text == ""
+    except ImportError:  # says so, rather than to find every file blank
+        with pytest.raises(Exception, match="pypdf"):
+            files.pdf_pages(spark, str(tmp_path / "k.json")).collect()
 
 
 def test_streams_over_several_batches_equal_their_batch_forms(spark, tmp_path):
@@ -130,12 +136,26 @@ def test_streams_over_several_batches_equal_their_batch_forms(spark, tmp_path):
     for k in range(4):
         spark.createDataFrame(rows[10 * k : 10 * k + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    seen = streams.run_once(streams.rate_limit(source.withColumn("day", F.to_date("ts")), 3), "limited", "append", str(tmp_path / "cp"))
+    seen = streams.run_once(streams.rate_limit(source.withColumn("day", F.to_date("ts")), 3), "append", str(tmp_path / "cp"))
     admitted = seen.groupBy("ip_hash", "day").agg(F.count_if("admitted").alias("n"), F.count("*").alias("all"))
     assert all(r.n == min(3, r["all"]) for r in admitted.collect()) and seen.count() == 40
     out = spark.read.schema(schema).parquet(str(tmp_path / "in")).selectExpr("ip_hash AS id", "ts")
     writer = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in")).selectExpr("ip_hash AS key", "ts").groupBy("key").agg(F.max("ts").alias("ts"))
     query = writer.writeStream.outputMode("update").foreachBatch(streams.upsert(str(tmp_path / "table"), "key")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     query.awaitTermination()
-    newest = sorted((tmp_path / "table").iterdir())[-1]
-    assert {(r.key, r.ts) for r in spark.read.parquet(str(newest)).collect()} == {(r.id, r.ts) for r in out.groupBy("id").agg(F.max("ts").alias("ts")).collect()}
+    newest = {(r.id, r.ts) for r in out.groupBy("id").agg(F.max("ts").alias("ts")).collect()}
+    assert {(r.key, r.ts) for r in streams.upserted(spark, str(tmp_path / "table")).collect()} == newest
+    streams.upsert(str(tmp_path / "table"), "key")(spark.createDataFrame([(8, t(9, 0))], "key long, ts timestamp"), 99)  # a batch that touches one bucket
+    assert {(r.key, r.ts) for r in streams.upserted(spark, str(tmp_path / "table")).collect()} == {(k, t(9, 0) if k == 8 else x) for k, x in newest}
+
+
+def test_rows_behind_the_watermark_are_refused_by_the_stream_alone(spark, tmp_path):
+    t = lambda d, h: datetime.datetime(2024, 1, d, h)
+    schema = "id long, ip_hash long, ts timestamp"
+    for part in ([(1, 7, t(1, 0))], [(2, 7, t(8, 0))], [(3, 7, t(9, 0)), (4, 7, t(1, 5))]):  # the last row is a week late
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        seen = streams.run_once(streams.rate_limit(source.withColumn("day", F.to_date("ts")), 3), "append", str(tmp_path / "cp"))
+    assert sorted(r.id for r in seen.collect()) == [1, 2, 3]
+    batch = moderation.rate_limited(spark.read.schema(schema).parquet(str(tmp_path / "in")).withColumn("day", F.to_date("ts")), 3)
+    assert batch.where("admitted").count() == 4
