@@ -199,6 +199,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs.where("doc_id IS NOT NULL"))
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.struct("text")).alias("__least_text")).where("_n > 1").select("doc_id", "__least_text")
-    first = kept.join(repeated, "doc_id", "left").where(F.col("__least_text").isNull() | F.col("text").eqNullSafe(F.col("__least_text.text")))
-    return first.dropDuplicates(["doc_id"]).select(*quoted(docs)).union(docs.where("doc_id IS NULL"))
+    # the join has dealt the rows by doc_id already
+    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*quoted(docs)), F.struct("text")).alias("__row"))
+    return one.select("__row.*").union(docs.where("doc_id IS NULL"))
