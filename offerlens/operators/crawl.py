@@ -48,6 +48,12 @@ def joined_quotes(hits: DataFrame) -> DataFrame:
     return hits.groupBy("lid").agg(F.left(F.array_join(F.transform(ordered, lambda x: x["quote"]), "\n"), F.lit(QUOTE_CHARS)).alias("text"))
 
 
+def quotes_to_price(hits: DataFrame, deals: DataFrame) -> DataFrame:
+    """joined_quotes of the venues that have an offer read by machine and without prices. deals(lid, verified_by, n_items)."""
+    need = deals.where((F.col("verified_by") == "auto_extract") & (F.coalesce("n_items", F.lit(0)) == 0)).select("lid")
+    return joined_quotes(hits.join(need, "lid", "left_semi"))
+
+
 def leads(venues: DataFrame, seeds: DataFrame) -> DataFrame:
     """(lid, rank, url): known addresses first, then guessed hosts, endings before starts before stems."""
     known = seeds.select("lid", F.col("pos").alias("rank"), "url", F.lit(True).alias("seeded"))

@@ -21,6 +21,12 @@ def rate_limited(submissions: DataFrame, most: int = PER_DAY) -> DataFrame:
     return submissions.withColumn("admitted", F.row_number().over(order) <= most)
 
 
+def rate_counts(rate: DataFrame, requests: DataFrame, today: Column) -> DataFrame:
+    """rate(ip_hash, day, n) after requests(ip_hash, day), each of which adds one; days before today are dropped."""
+    more = requests.select("ip_hash", "day", F.lit(1).cast("long").alias("n"))
+    return rate.select("ip_hash", "day", "n").unionByName(more).where(F.col("day") >= today).groupBy("ip_hash", "day").agg(F.sum("n").alias("n"))
+
+
 def photo_type(data: Column) -> Column:
     """The image type that the first bytes show, null if none."""
     hexed = F.hex(F.substring(data, 1, 12))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerlens.functions import text as T
+from offerlens.operators import lookup, registry
+
 
 def priority_union(*sources: DataFrame) -> DataFrame:
     """Rows of earlier sources win: a later row comes in only if neither its id nor its address is there.
@@ -47,6 +50,27 @@ def write_bundles(rows: DataFrame, path: str) -> None:
     rows.withColumn("has_deals", F.col("n_deals") > 0).repartition("zone_id").sortWithinPartitions("zone_id", F.lower("name"), "key").write.mode("overwrite").partitionBy("zone_id", "has_deals").json(path)
 
 
+def write_index(rows: DataFrame, path: str) -> None:
+    """zone_index as JSON, a line a zone in the order of zones, in one file as there are few zones."""
+    zone_index(rows).coalesce(1).sortWithinPartitions("zone_id").write.mode("overwrite").json(path)
+
+
+def venue_rows(licences: DataFrame, places: DataFrame, sites: DataFrame, photos: DataFrame, files: DataFrame) -> DataFrame:
+    """A row for each licence(lid, name, zone_id) of a place to go to, with what the other sources know of it.
+
+    places(lid, place_name, website, lat, lng) come before sites(lid, osm_name, website, lat, lng), each with a row a lid at most; a
+    photo(lid, file, attribution) counts if files(file) lists it. Left joins on the one key, so that they share a shuffle.
+    """
+    there = photos.join(files.select("file"), "file", "left_semi").select("lid", F.struct("file", "attribution").alias("photo"))
+    own = licences.select("lid", "name", "zone_id", "licence_type")
+    joined = registry.walk_in(own).alias("l").join(places.alias("p"), "lid", "left").join(sites.alias("s"), "lid", "left").join(there, "lid", "left")
+    chosen = lookup.display_name(F.col("p.place_name"), F.col("s.osm_name"), F.col("l.name"))
+    at = lookup.coordinates((F.col("p.lat"), F.col("p.lng"), "place"), (F.col("s.lat"), F.col("s.lng"), "place"))
+    website = F.coalesce(T.blank_to_null(F.col("p.website")), T.blank_to_null(F.col("s.website")))
+    rows = joined.select("lid", "zone_id", "licence_type", F.col("l.name").alias("registry_name"), chosen.alias("c"), at.alias("at"), website.alias("website"), "photo")
+    return rows.select("lid", "zone_id", "licence_type", "registry_name", "c.name", "c.named_by", "website", "at.lat", "at.lng", F.col("at.by").alias("geo_precision"), "photo")
+
+
 def cache_name(built: Column, n_dealful: Column, shell: Column) -> Column:
     return F.concat_ws("-", F.lit("board"), built, n_dealful.cast("string"), F.left(F.sha2(shell, 256), F.lit(8)))
 

@@ -78,6 +78,18 @@ def merge_frontier(sites: DataFrame, places: DataFrame, dropped: DataFrame) -> D
     return sites.select("lid", "website", "matched_by").unionByName(new.select("lid", "website", "matched_by"))
 
 
+def one_per_element(hits: DataFrame, sites: DataFrame) -> DataFrame:
+    """(lid, n_hits, first_lid): of the licences of one map element the first, by lid as text, whose crawl found something; if none did, the first.
+
+    hits(lid, n_hits), sites(lid, osm). A licence without an element stands for itself. first_lid is the element's place in the order of output.
+    """
+    known = sites.groupBy("lid").agg(F.min("osm").alias("osm"))
+    lid = F.col("lid").cast("string")
+    key = F.coalesce(F.concat(F.lit("element "), T.blank_to_null(F.col("osm"))), F.concat(F.lit("licence "), lid))
+    best = F.min_by(F.struct("lid", "n_hits"), F.struct((F.col("n_hits") == 0).alias("none"), lid.alias("lid")))
+    return hits.join(known, "lid", "left").groupBy(key.alias("key")).agg(best.alias("x"), F.min(lid).alias("first_lid")).select("x.*", "first_lid")
+
+
 def first_in_order(candidates: DataFrame, key: str, rank: str, ok) -> DataFrame:
     """Of each key the first candidate, by rank, that meets ok."""
     columns = [c for c in candidates.columns if c != key]

@@ -110,14 +110,18 @@ def one_a_day(windows: Column) -> Column:
     return F.filter(F.transform(F.array(*map(F.lit, range(1, 8))), longest), lambda w: w.isNotNull())
 
 
+def distinct_days(windows: Column) -> Column:
+    """On how many weekdays an array of windows lies."""
+    return F.size(F.array_distinct(F.transform(windows, lambda w: w["dow"])))
+
+
 def extracted(hits: DataFrame) -> DataFrame:
     """(lid, lead, windows, errors): hits(lid, pos, quote, url, windows) of a venue's site as one happy hour.
 
     The lead is the hit with the most weekdays, then the longest quote, then the first. The windows of all hits are taken
     together, in that order; if they break a rule, the lead's alone; errors are what is broken then.
     """
-    days = F.size(F.array_distinct(F.transform("windows", lambda w: w["dow"])))
-    order = F.struct((-days).alias("days"), (-F.length("quote")).alias("n"), "pos")
+    order = F.struct((-distinct_days(F.col("windows"))).alias("days"), (-F.length("quote")).alias("n"), "pos")
     said = hits.where(F.size("windows") > 0).groupBy("lid").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.struct("pos", "quote", "url").alias("lead"), "windows"))).alias("c"))
     pooled, lead = one_a_day(F.flatten(F.transform("c", lambda c: c["windows"]))), one_a_day(F.col("c")[0]["windows"])
     rows = said.select("lid", F.col("c")[0]["lead"].alias("lead"), pooled.alias("pooled"), lead.alias("own"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.plans import board_queries, feed_queries, registry_queries, text_queries
+from offerlens.plans import board_queries, feed_queries, registry_queries, text_queries, venue_queries
 
-_MODULES = (feed_queries, registry_queries, text_queries, board_queries)
+_MODULES = (feed_queries, registry_queries, text_queries, board_queries, venue_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from offerlens.operators.moderation import PER_DAY, final_status
+from offerlens.operators.moderation import PER_DAY, final_status, rate_counts
 from offerlens.session import shared_folder
 
 ADMITTED = "ip_hash bigint, day date, ts timestamp, id bigint, admitted boolean"
@@ -90,3 +90,39 @@ def upsert(path: str, key: str, buckets: int = BUCKETS):
 
 def upserted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("_bucket")
+
+
+RATE = "ip_hash bigint, day date, n bigint"
+
+
+def _held(spark: SparkSession, path: str) -> list[int]:
+    """The batches whose state lies whole under path, in order."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(home, "batch=*/_SUCCESS"))
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found or ())
+
+
+def counted(path: str):
+    """A foreachBatch sink of requests(ip_hash, day): counts by sender and day, without the days before the latest one.
+
+    A batch adds to the state that the batch before it left and writes its own beside it, so one that is replayed counts once.
+    The state before the last two is deleted. It holds the senders of one day.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = [b for b in _held(spark, path) if b < batch_id]
+        rate = spark.read.schema(RATE).parquet(f"{path}/batch={before[-1]}") if before else spark.createDataFrame([], RATE)
+        today = batch.select("day").unionByName(rate.select("day")).agg(F.max("day")).first()[0]
+        rate_counts(rate, batch, F.lit(today).cast("date")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        for old in before[:-1]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={old}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+    return write
+
+
+def counts(spark: SparkSession, path: str) -> DataFrame:
+    held = _held(spark, path)
+    return spark.read.schema(RATE).parquet(f"{path}/batch={held[-1]}") if held else spark.createDataFrame([], RATE)

@@ -159,3 +159,35 @@ def test_rows_behind_the_watermark_are_refused_by_the_stream_alone(spark, tmp_pa
     assert sorted(r.id for r in seen.collect()) == [1, 2, 3]
     batch = moderation.rate_limited(spark.read.schema(schema).parquet(str(tmp_path / "in")).withColumn("day", F.to_date("ts")), 3)
     assert batch.where("admitted").count() == 4
+
+
+def test_counts_grow_expire_and_survive_a_replay(spark, tmp_path):
+    day = lambda d: datetime.date(2024, 1, d)
+    batch = lambda *rows: spark.createDataFrame([(i, day(d)) for i, d in rows], "ip_hash long, day date")
+    write, path = streams.counted(str(tmp_path / "rate")), str(tmp_path / "rate")
+    found = lambda: {(r.ip_hash, r.day.day, r.n) for r in streams.counts(spark, path).collect()}
+    assert found() == set()
+    write(batch((1, 1), (1, 1), (2, 1)), 0)
+    assert found() == {(1, 1, 2), (2, 1, 1)}
+    for _ in range(2):  # the same batch again counts once
+        write(batch((1, 1), (3, 1)), 1)
+        assert found() == {(1, 1, 3), (2, 1, 1), (3, 1, 1)}
+    write(batch(), 2)
+    assert found() == {(1, 1, 3), (2, 1, 1), (3, 1, 1)}
+    write(batch((1, 2), (2, 1)), 3)  # a new day: what is older goes, late requests too
+    assert found() == {(1, 2, 1)}
+    assert sorted(p.name for p in (tmp_path / "rate").iterdir()) == ["batch=2", "batch=3"]
+
+
+def test_one_licence_of_an_element(spark):
+    hits = spark.createDataFrame([(9, 0), (10, 2), (11, 3), (5, 0), (6, 0), (7, 0)], "lid long, n_hits int")
+    sites = spark.createDataFrame([(9, "n1"), (10, "n1"), (11, "n1"), (5, "n2"), (6, "n2"), (7, ""), (99, "n1")], "lid long, osm string")
+    assert {tuple(r) for r in resolve.one_per_element(hits, sites).collect()} == {(10, 2, "10"), (5, 0, "5"), (7, 0, "7")}
+    assert resolve.one_per_element(hits.limit(0), sites).count() == 0
+
+
+def test_index_is_one_sorted_file(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2), ("a", 0), ("a", 3)], "zone_id string, n_deals long")
+    publish.write_index(rows, str(tmp_path / "index"))
+    assert len(list((tmp_path / "index").glob("part-*"))) == 1
+    assert [tuple(r) for r in spark.read.schema("zone_id string, venues long, with_deals long, deals long").json(str(tmp_path / "index")).collect()] == [("a", 2, 1, 3), ("b", 1, 1, 2)]
