@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from offerlens.llm.common import cut, id_and_bytes, shuffle_partitions
 
 BLOCK_BYTES = 3 << 20
-#: Stands for a null id; the largest, so that nothing is a copy of it.
+#: Stands for a null id in comparisons; the largest, so that nothing is a copy of it. Which rows have none is kept besides.
 NO_ID = (1 << 63) - 1
 
-SCHEMA = "block long, n_bytes long, ids binary, sizes binary, body binary"
+SCHEMA = "block long, n_bytes long, ids binary, sizes binary, body binary, named binary"
 
 
 def squeeze(data: bytes | memoryview) -> bytes:
@@ -65,20 +65,22 @@ def unpack_ints(data: bytes) -> np.ndarray:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids: list[int] = []
+    ids: list[int | None] = []
     bodies: list[bytes] = []
     held = made = 0
     first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
 
     def row() -> pa.RecordBatch:
         body = b"".join(bodies)
-        cells = [first + made, len(body), np.array(ids, "<i8").tobytes(), np.array([len(b) for b in bodies], "<i8").tobytes(), squeeze(body)]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.record_batch([pa.array([c], t) for c, t in zip(cells, types)], names=["block", "n_bytes", "ids", "sizes", "body"])
+        keys = np.array([NO_ID if k is None else k for k in ids], "<i8").tobytes()
+        named = np.packbits([k is not None for k in ids]).tobytes()
+        cells = [first + made, len(body), keys, np.array([len(b) for b in bodies], "<i8").tobytes(), squeeze(body), named]
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.record_batch([pa.array([c], t) for c, t in zip(cells, types)], names=["block", "n_bytes", "ids", "sizes", "body", "named"])
 
     for batch in batches:
         for key, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids.append(NO_ID if key is None else key)
+            ids.append(key)
             bodies.append(bytes(body.as_buffer()))
             held += len(bodies[-1])
             if held >= BLOCK_BYTES or len(ids) >= 50_000:
@@ -114,6 +116,11 @@ def blocks(docs: DataFrame) -> DataFrame:
     return cut_by(id_and_bytes(docs).mapInArrow(_gather, SCHEMA), "block")
 
 
+def named_rows(row: dict) -> list[bool]:
+    """Of each document of a block: whether it has an id."""
+    return np.unpackbits(np.frombuffer(row["named"], np.uint8), count=len(row["ids"]) // 8).astype(bool).tolist()
+
+
 def open_block(ids: bytes, sizes: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, ends, bytes) of a block: ends[i] is where document i ends."""
     return np.frombuffer(ids, "<i8"), np.cumsum(np.frombuffer(sizes, "<i8")), np.frombuffer(expand(body), np.uint8)

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.byte_blocks import BLOCK_BYTES, NO_ID, cut_by, expand, mixed, pack_ints, squeeze, unpack_ints
+from offerlens.llm.byte_blocks import BLOCK_BYTES, cut_by, expand, mixed, named_rows, pack_ints, squeeze, unpack_ints
 from offerlens.llm.common import id_and_bytes
 from offerlens.llm.routing import FAN, MESSAGE, Items, Net, answer_of, ask, converse, ranges, starts, summed, table
 
@@ -259,7 +259,7 @@ def class_of(counts: np.ndarray) -> np.ndarray:
 
 # -- blocks of tokens ------------------------------------------------------------------------------
 
-TOKENS = "block long, n_train long, n_bytes long, ids binary, sizes binary, tokens binary, words binary"
+TOKENS = "block long, n_train long, n_bytes long, ids binary, sizes binary, tokens binary, words binary, named binary"
 
 
 class _Numbers(dict):
@@ -272,7 +272,7 @@ class _Numbers(dict):
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-    ids: list[int] = []
+    ids: list[int | None] = []
     sizes: list[int] = []
     tokens: list[int] = []
     number = _Numbers({END: 0})
@@ -284,16 +284,17 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.empty(len(order), np.int64)
         new[order] = np.arange(len(order))
         words = list(number)
-        train = sum(n for key, n in zip(ids, sizes) if not is_held_out(None if key == NO_ID else key))
-        cells = [first + made, train, held, np.array(ids, "<i8").tobytes(), np.array(sizes, "<i8").tobytes(), pack_ints(new[local]), squeeze(b"\n".join([words[i] for i in order.tolist()]))]
-        types = [*[pa.int64()] * 3, *[pa.binary()] * 4]
-        names = ["block", "n_train", "n_bytes", "ids", "sizes", "tokens", "words"]
+        train = sum(n for key, n in zip(ids, sizes) if not is_held_out(key))
+        cells = [first + made, train, held, np.array([k or 0 for k in ids], "<i8").tobytes(), np.array(sizes, "<i8").tobytes(), pack_ints(new[local]), squeeze(b"\n".join([words[i] for i in order.tolist()]))]
+        cells.append(np.packbits([k is not None for k in ids]).tobytes())
+        types = [*[pa.int64()] * 3, *[pa.binary()] * 5]
+        names = ["block", "n_train", "n_bytes", "ids", "sizes", "tokens", "words", "named"]
         return pa.record_batch([pa.array([c], t) for c, t in zip(cells, types)], names=names)
 
     for batch in batches:
         for key, body in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = bytes(body.as_buffer()).lower().split()
-            ids.append(NO_ID if key is None else key)
+            ids.append(key)
             sizes.append(len(text) + 1)
             tokens += map(number.__getitem__, text)
             tokens.append(0)
@@ -307,11 +308,11 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class _Block:
     def __init__(self, row: dict):
-        self.ids = np.frombuffer(row["ids"], "<i8")
+        self.ids = [k if named else None for k, named in zip(np.frombuffer(row["ids"], "<i8").tolist(), named_rows(row))]
         self.sizes = np.frombuffer(row["sizes"], "<i8")
         self.tokens = unpack_ints(row["tokens"]).astype(np.int64)
         self.words = expand(row["words"]).split(b"\n")
-        self.held_out = np.array([is_held_out(None if k == NO_ID else k) for k in self.ids.tolist()], bool)
+        self.held_out = np.array([is_held_out(k) for k in self.ids], bool)
 
     def train_counts(self) -> np.ndarray:
         weight = np.repeat(~self.held_out, self.sizes).astype(np.float64)
@@ -489,7 +490,7 @@ def _score(word_net: Net, net: Net, tokens: int, types: int, order: int, weights
             parts.append(
                 pa.table(
                     {
-                        "doc_id": pa.array([None if k == NO_ID else k for k in block.ids.tolist()], pa.int64()), "held_out": pa.array(block.held_out),
+                        "doc_id": pa.array(block.ids, pa.int64()), "held_out": pa.array(block.held_out),
                         "n_tokens": pa.array(block.sizes), "n_known": pa.array(sums[0]), "base_score": pa.array(sums[1]), "score": pa.array(sums[2]),
                     }
                 )

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.byte_blocks import NO_ID, blocks, mixed, open_block
+from offerlens.llm.byte_blocks import NO_ID, blocks, mixed, named_rows, open_block
 from offerlens.llm.routing import FAN, MESSAGE, Items, Net, answer_of, ask, converse, items_of, note, ranges, starts, table
 
 LENGTH = 50
@@ -450,11 +450,11 @@ def _finish(keep_text: bool):
             ids, ends, text = open_block(row["ids"], row["sizes"], row["body"])
             gone = _removed(len(text), ends, ids, answers)
             start = 0
-            for key, end in zip(ids.tolist(), ends.tolist()):
+            for key, named, end in zip(ids.tolist(), named_rows(row), ends.tolist()):
                 g = gone[start:end]
                 kept = text[start:end][~g].tobytes()
                 spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if len(g) else 0
-                out.append((None if key == NO_ID else key, end - start, int(g.sum()), spans, hashlib.sha256(kept).hexdigest()))
+                out.append((key if named else None, end - start, int(g.sum()), spans, hashlib.sha256(kept).hexdigest()))
                 if keep_text:
                     kept_texts.append(kept.decode("utf-8", "ignore"))
                 start = end
