@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters between words, as a Java character class and as text.
@@ -35,6 +36,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def numbered(rows: DataFrame, group: str, order: Sequence[str], count: str = "n") -> DataFrame:
+    """rows with i, their place in their group from 0, and the group's size (named by count).
+
+    Rows are dealt out by ranges of (group, order), so a group of any size lies in as many ranges as it needs; a range's first place in
+    its group is the sum over the ranges before.
+    """
+    dealt = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), group, *order).sortWithinPartitions(group, *order)
+    ranged = cut(dealt.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id()))
+    parts = ranged.groupBy(group, "__part").agg(F.count("*").alias("__held"), F.min("__at").alias("__low"))  # a row for each range and group in it
+    own = Window.partitionBy(group)
+    begins = parts.select(
+        F.col(group).alias("__g"), F.col("__part").alias("__p"), "__low", (F.sum("__held").over(own.orderBy("__part")) - F.col("__held")).alias("__before"), F.sum("__held").over(own).alias(count),
+    )
+    met = ranged.join(begins, (F.col(group) == F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return met.select(*rows.columns, (F.col("__at") - F.col("__low") + F.col("__before")).alias("i"), count)
+
+
 def quoted(df: DataFrame) -> list:
     """The columns of df, whatever characters their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
