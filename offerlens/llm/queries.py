@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import html_text, mixing, ngram_trie, packing, permutation_index, quality_rules, rindex_dedup, secrets, simhash, token_counts
+from offerlens.llm import (
+    html_text, merkle, mixing, ngram_trie, packing, permutation_index, quality_rules, rindex_dedup, secrets, simhash, spelling, suffix_trees, token_counts,
+)
 from offerlens.llm.common import read
 from offerlens.llm.oracle import oracle_sql
 
@@ -60,11 +62,24 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(packing.TOKENIZER))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_passage_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.remove_passages(read(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_repeat_removal, op2_source_mix, op3_secret_scan, op4_html_text, op5_nearest_vectors, op6_token_counts, op7_quality_rules, op8_ngram_scores, op9_simhash_groups, op10_sequence_packing,
+            op11_spelling_variants, op12_passage_removal, op13_merkle_manifest,
         )
     }
 
