@@ -30,8 +30,12 @@ def canonical(deals: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def board(base: DataFrame, deals: DataFrame) -> DataFrame:
-    """A row for every venue of base, with its offers counted, and for offers without a venue a row under `orphan:<id>`."""
-    counted = deals.groupBy(F.coalesce(F.col("canonical").cast("string"), F.concat(F.lit("orphan:"), F.col("id").cast("string"))).alias("key")).agg(F.count("*").alias("n_deals"))
+    """A row for every venue of base, with its offers counted, and for offers without a venue a row under `orphan:<id>`.
+
+    Of several licences on one row the one with the most offers counts alone.
+    """
+    key = F.coalesce(F.col("canonical").cast("string"), F.concat(F.lit("orphan:"), F.col("id").cast("string")))
+    counted = deals.groupBy(key.alias("key"), "lid").agg(F.count("*").alias("n")).groupBy("key").agg(F.max("n").alias("n_deals"))
     rows = base.select(F.col("lid").cast("string").alias("key"), "zone_id", "name")
     return rows.join(counted, "key", "full_outer").withColumn("n_deals", F.coalesce("n_deals", F.lit(0)).cast("long"))
 
@@ -79,7 +83,7 @@ def with_prices(deals: DataFrame, prices: DataFrame) -> DataFrame:
     """Prices read later fill in where an automatic reading found none."""
     joined = deals.join(prices.select("slug", F.col("items").alias("_items")), "slug", "left")
     fill = (F.col("verified_by") == "auto_extract") & (F.size(F.coalesce("items", F.array())) == 0) & F.col("_items").isNotNull()
-    return joined.withColumns({"items": F.when(fill, F.col("_items")).otherwise(F.col("items")), "items_source": F.when(fill, "llm")}).drop("_items")
+    return joined.withColumns({"items": F.when(fill, F.col("_items")).otherwise(F.col("items")), "items_source": F.when(fill, "llm_extract")}).drop("_items")
 
 
 def refreshed(cache: DataFrame, current: DataFrame) -> DataFrame:

@@ -179,8 +179,12 @@ def extracted_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, d: str) -> list[DataFrame]:
-    rows = lens(spark, d, "deal").select(F.col("deal_id").alias("id"), "lid", (F.col("deal_id") % 4000).alias("addr"), F.col("confidence"))
-    return [rows.where(f"id % 5 = {k}").withColumn("source", F.lit(n)) for k, n in ((0, "seed"), (1, "photo"))] + [rows.where("id % 5 < 4").withColumn("source", F.lit("extracted"))]
+    """A person's reading of a fifth of the offers, photos of another, and the crawl's of all; some are of premises that no venue has."""
+    lost = F.col("deal_id") % 97 == 0
+    rows = lens(spark, d, "deal").select(
+        F.col("deal_id").alias("id"), F.when(lost, -F.col("deal_id")).otherwise(F.col("lid")).alias("lid"), F.when(lost, -F.col("deal_id")).otherwise(F.col("deal_id") % 4000).alias("addr"), F.col("confidence")
+    )
+    return [rows.where(f"id % 5 = {k}").withColumn("source", F.lit(n)) for k, n in ((0, "seed"), (1, "photo"))] + [rows.withColumn("source", F.lit("extracted"))]
 
 
 def priority_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,17 +290,17 @@ flaws AS (SELECT deal_id, bool_or(category = 'novelty') AS bad_category, bool_or
 checked AS (SELECT d.*, c.most_in_a_day, c.in_a_week, CASE WHEN c.in_a_week IS NULL THEN 'no windows' WHEN type = 'happy_hour' AND most_in_a_day > 240 THEN 'exceeds the 4h/day cap'
   WHEN type = 'happy_hour' AND in_a_week > 1440 THEN 'exceeds the 24h/week cap' WHEN bad_category THEN 'unknown item category' WHEN bare THEN 'item has neither a price nor a discount' END AS first_error
   FROM deal d LEFT JOIN caps c ON d.deal_id = c.deal_id LEFT JOIN flaws f ON d.deal_id = f.deal_id)"""
-_UNION = """src AS (SELECT deal_id AS id, lid, deal_id % 4000 AS addr FROM deal),
+_UNION = """src AS (SELECT deal_id AS id, CASE WHEN deal_id % 97 = 0 THEN -deal_id ELSE lid END AS lid, CASE WHEN deal_id % 97 = 0 THEN -deal_id ELSE deal_id % 4000 END AS addr FROM deal),
 seed AS (SELECT *, 'seed' AS source FROM src WHERE id % 5 = 0),
 photo AS (SELECT *, 'photo' AS source FROM src WHERE id % 5 = 1 AND id NOT IN (SELECT id FROM seed) AND addr NOT IN (SELECT addr FROM seed)),
 one AS (SELECT * FROM seed UNION ALL SELECT * FROM photo),
-merged AS (SELECT * FROM one UNION ALL SELECT *, 'extracted' FROM src WHERE id % 5 < 4 AND id NOT IN (SELECT id FROM one) AND addr NOT IN (SELECT addr FROM one))"""
+merged AS (SELECT * FROM one UNION ALL SELECT *, 'extracted' FROM src WHERE id NOT IN (SELECT id FROM one) AND addr NOT IN (SELECT addr FROM one))"""
 _CANON = _UNION + """,
 base AS (SELECT lid, zone_id, name, lid % 4000 AS addr FROM venue),
 own AS (SELECT l, min(c) AS c FROM (SELECT lid AS l, lid AS c FROM base UNION ALL SELECT lid + 1, lid FROM base WHERE lid % 3 = 0) GROUP BY l),
 byaddr AS (SELECT addr, min(lid) AS c FROM base GROUP BY addr),
 canon AS (SELECT m.id, m.lid, coalesce(o.c, a.c) AS canonical FROM merged m LEFT JOIN own o ON m.lid = o.l LEFT JOIN byaddr a ON m.addr = a.addr),
-counted AS (SELECT coalesce(CAST(canonical AS VARCHAR), concat('orphan:', id)) AS key, count(*) AS n FROM canon GROUP BY 1),
+counted AS (SELECT key, max(n) AS n FROM (SELECT coalesce(CAST(canonical AS VARCHAR), concat('orphan:', id)) AS key, lid, count(*) AS n FROM canon GROUP BY ALL) GROUP BY key),
 board AS (SELECT coalesce(CAST(b.lid AS VARCHAR), c.key) AS key, b.zone_id, b.name, coalesce(c.n, 0) AS n_deals FROM base b FULL JOIN counted c ON CAST(b.lid AS VARCHAR) = c.key)"""
 
 ORACLES = {
@@ -356,7 +360,7 @@ SELECT c.lid, c.lead, string_agg(concat(dow, ' ', lpad(CAST(s // 60 AS VARCHAR),
     "board_full_outer": sql(f"WITH {_CANON} SELECT * FROM board", "deal", "venue"),
     "zone_index": sql(f"WITH {_CANON} SELECT zone_id, count(*) AS venues, count(*) FILTER (n_deals > 0) AS with_deals, CAST(sum(n_deals) AS BIGINT) AS deals FROM board GROUP BY zone_id", "deal", "venue"),
     "price_fill": sql("""SELECT deal_id, CASE WHEN deal_id % 3 = 0 THEN 'own' WHEN deal_id % 2 = 0 AND deal_id % 700 < 400 THEN concat('p', deal_id % 700) ELSE '' END AS items,
-  CASE WHEN deal_id % 3 > 0 AND deal_id % 2 = 0 AND deal_id % 700 < 400 THEN 'llm' END AS items_source FROM deal""", "deal"),
+  CASE WHEN deal_id % 3 > 0 AND deal_id % 2 = 0 AND deal_id % 700 < 400 THEN 'llm_extract' END AS items_source FROM deal""", "deal"),
     "coordinate_refresh": sql("""SELECT lid AS id, CASE WHEN take THEN concat('a', lid % 7) ELSE concat('a', lid % 5) END AS queried, CASE WHEN take THEN round(lat, 4) ELSE 0.5::DOUBLE END AS lat, CASE WHEN take THEN round(lng, 4) ELSE 0.25::DOUBLE END AS lng,
   CASE WHEN take THEN 'auto' WHEN lid % 6 = 0 THEN 'hand' ELSE 'auto' END AS matched_by FROM (SELECT *, lid % 2 = 1 OR (lid % 6 > 0 AND lid % 5 <> lid % 7) AS take FROM venue WHERE lid % 10 > 0)""", "venue"),
     "slug_collisions": sql("""SELECT lid, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY lid) = 1 THEN base ELSE concat(base, '-', lid) END AS slug FROM (SELECT lid, concat('joe-s-bar-grill-', lid % 90, '-king-of-', zone_id) AS base FROM venue)""", "venue"),

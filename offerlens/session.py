@@ -50,3 +50,12 @@ def spread(rows: DataFrame) -> DataFrame:
     """rows over all cores where a small file's few row groups would leave them to a few; for rows that cost more to compute than to move."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores else rows
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows by way of files in the shared folder: computed once, read again by whoever needs them, and after a loss."""
+    import uuid
+
+    path = shared_folder(rows.sparkSession, f"{name}/{uuid.uuid4().hex}")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
