@@ -131,7 +131,7 @@ def test_long_prefixes_miss_none_above_the_limit(spark, far_rows):
     seen = Counter()
     for row in whole.collect():
         words = suffix_trees.Words(row.asDict())
-        seen.update(suffix_trees._strings(words.hashes, 1)[words.at].tolist())
+        seen.update(suffix_trees._strings(words.hashes, 1)[words.fragments(suffix_trees.np.arange(len(words.at)))[2]].tolist())
     for limit in (5, 50):
         found = suffix_trees.long_prefixes(whole, whole.count(), 0, group=limit)[0].tolist()
         assert {k for k, n in seen.items() if n > limit} <= set(found) <= {k for k, n in seen.items() if n > limit / 2}
