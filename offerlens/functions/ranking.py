@@ -5,6 +5,8 @@ Weekdays are ISO (1 Monday .. 7 Sunday); times of day are minutes, 1440 is midni
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,6 +97,22 @@ def haversine_miles(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> C
     return 2 * EARTH_MILES * F.asin(F.sqrt(s))
 
 
+def tenths(x: Column) -> Column:
+    """x to one decimal, by its exact value and half to even: what a double holds is seldom the decimal that it is written as (0.35 is less, 2.675 as well).
+
+    What is behind the point is exact, and is held against the halves between tenths. Of these a double can be 0.25 and 0.75 alone; of
+    the others the nearest double lies on one side, which is known beforehand.
+    """
+    whole, rest = F.floor(F.abs(x)), F.abs(x) - F.floor(F.abs(x))
+    over = F.lit(0)
+    for i in range(10):
+        half = (2 * i + 1) / 20
+        side = Decimal(half) - Decimal(2 * i + 1) / 20
+        above = side > 0 if side else i % 2 == 1  # a tie goes to the even tenth
+        over = over + F.when(rest >= half if above else rest > half, 1).otherwise(0)
+    return F.when(x.isNotNull() & ~F.isnan(x), F.signum(x) * (whole * 10 + over) / 10)
+
+
 def drive_minutes(miles: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(miles * 1.35 * 60 / 26 + 3 + 0.5))
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions import ranking as R
+from offerlens.operators import ranks
 
 
 @dataclass(frozen=True)
@@ -69,6 +70,9 @@ def feed(venues: DataFrame, deals: DataFrame, windows: DataFrame, items: DataFra
     places = located(venues.where(F.col("zone_id") == zone) if zone else venues, moment)
     confidence = R.effective_confidence(F.col("confidence"), F.col("age_days"))
     visible = deals.withColumn("confidence", confidence).where(~F.col("confidence").isin("disputed", "hidden"))
+    if zone:  # a zone's offers are few: nothing is summed for the others
+        visible = visible.join(places.select("lid"), "lid", "left_semi")
+        windows, items = (t.join(visible.select("deal_id"), "deal_id", "left_semi") for t in (windows, items))
     offers = (
         visible.join(next_occurrences(windows, moment), "deal_id")
         .join(item_summary(items), "deal_id", "left")
@@ -102,22 +106,36 @@ def window_for(windows: DataFrame, moment: Moment, lookahead: int = R.LOOKAHEAD)
 
 
 def schedule_summary(windows: DataFrame) -> DataFrame:
-    """(deal_id, summary): `Mon–Fri 4pm–6pm · Sat, Sun 2pm–4pm`, days of one time in runs, times by first day."""
-    from pyspark.sql import Window
+    """(deal_id, summary): `Mon–Fri 4pm–6pm · Sat, Sun 2pm–4pm`, days of one time in runs, times in the order in which the offer names them.
 
+    That order is windows' pos, or its days where it has none. A run goes on while each day follows the one before; a day that is named twice
+    begins another. Dealt out once, by offer: all windows and groups below are of one offer.
+    """
     times = ["deal_id", "start", "end"]
-    days = windows.select(*times, "dow").distinct()
-    order = Window.partitionBy(*times).orderBy("dow")
-    runs = days.withColumn("run", F.col("dow") - F.row_number().over(order)).groupBy(*times, "run").agg(F.min("dow").alias("a"), F.max("dow").alias("b"))
+    rows = (windows if "pos" in windows.columns else windows.withColumn("pos", F.col("dow"))).select(*times, "dow", "pos").repartition("deal_id")
+    order = Window.partitionBy(*times).orderBy("dow", "pos")
+    breaks = rows.withColumn("breaks", F.coalesce(F.lag("dow").over(order) + 1 != F.col("dow"), F.lit(True)).cast("int"))
+    runs = breaks.withColumn("run", F.sum("breaks").over(order)).groupBy(*times, "run").agg(F.min("dow").alias("a"), F.max("dow").alias("b"), F.min("pos").alias("first"))
     name = lambda c: F.element_at(F.array(*map(F.lit, R.DAY_SHORT)), F.col(c).cast("int"))
     label = F.when(F.col("a") == F.col("b"), name("a")).when(F.col("b") == F.col("a") + 1, F.concat(name("a"), F.lit(", "), name("b"))).otherwise(F.concat(name("a"), F.lit("–"), name("b")))
-    lines = runs.groupBy(*times).agg(F.min("a").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", label.alias("t")))), lambda x: x["t"]), ", ").alias("days"))
+    lines = runs.groupBy(*times).agg(F.min("first").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", label.alias("t")))), lambda x: x["t"]), ", ").alias("days"))
     text = F.concat("days", F.lit(" "), R.clock(F.col("start")), F.lit("–"), R.clock(F.col("end")))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "start", "end", text.alias("t")))), lambda x: x["t"]), " · ")
     return lines.groupBy("deal_id").agg(joined.alias("summary"))
 
 
 def sections(rows: DataFrame, moment: Moment) -> DataFrame:
-    """rows with their section and whether a new one starts there in feed order."""
+    """rows with the section that they stand in."""
     ahead = F.pmod(F.lit(moment.dow - 1) + F.coalesce("day_ahead", F.lit(0)), F.lit(7)) + 1
     return rows.withColumn("section", R.section(F.col("grp"), F.col("day_ahead"), ahead))
+
+
+def headings(rows: DataFrame) -> DataFrame:
+    """(first, section, n): the headings of the feed in its order: a new one where the section differs from that of the row before."""
+    placed = ranks.ranked(rows, ("score", "name", "deal_id", "lid"), "section")
+    opens = placed.where(F.col("before").isNull() | (F.col("before") != F.col("section"))).select("rank", "section")
+    numbered = ranks.ranked(opens.withColumnRenamed("rank", "first"), ("first",), "first")
+    # each heading's rows end where the next begins
+    follow = numbered.select((F.col("rank") - 1).alias("rank"), F.col("first").alias("next"))
+    end = F.coalesce("next", F.lit(rows.count() + 1))
+    return numbered.join(follow, "rank", "left").select("first", "section", (end - F.col("first")).alias("n"))

@@ -105,3 +105,17 @@ def review_queue(submissions: DataFrame, status: str = "extracted", most: int =
 def replaced(kept: DataFrame, new: DataFrame) -> DataFrame:
     """kept with what new says of the same venue and photo in its place."""
     return kept.join(new.select("lid", "photo_id").distinct(), ["lid", "photo_id"], "left_anti").unionByName(new)
+
+
+def approved(submissions: DataFrame, base: DataFrame) -> DataFrame:
+    """(lid, name, address, zone_id, website, photo_id, deals): the venue rows that approved photos make.
+
+    submissions(lid, photo_id, approved_at, venue_name, deals) meet base(lid, name, address, zone_id, website); what base lacks is taken from the
+    submission, and a venue that it doesn't have at all is named by its licence. A later photo of a venue replaces an earlier one's offers.
+    """
+    latest = submissions.groupBy("lid").agg(F.max_by(F.struct("photo_id", "venue_name", "deals"), F.struct("approved_at", "photo_id")).alias("s"))
+    met = latest.join(base.select("lid", "name", "address", "zone_id", "website"), "lid", "left")
+    told = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
+    return met.select(
+        "lid", told(F.col("name"), F.col("s.venue_name"), F.col("lid").cast("string")).alias("name"), F.coalesce("address", F.lit("")).alias("address"), F.coalesce("zone_id", F.lit("")).alias("zone_id"), "website", "s.photo_id", "s.deals"
+    )

@@ -50,8 +50,31 @@ def bundle_order(rows: DataFrame) -> DataFrame:
 
 
 def write_bundles(rows: DataFrame, path: str) -> None:
-    """JSON per zone, venues with and without offers apart; a zone's reader opens its folder alone."""
-    rows.withColumn("has_deals", F.col("n_deals") > 0).repartition("zone_id").sortWithinPartitions("zone_id", F.lower("name"), "key").write.mode("overwrite").partitionBy("zone_id", "has_deals").json(path)
+    """JSON per zone, venues with and without offers apart; a zone's reader opens its folder alone. Dealt out by ranges, so a large zone is written by many tasks."""
+    rows.withColumn("has_deals", F.col("n_deals") > 0).repartitionByRange("zone_id", F.lower("name"), "key").sortWithinPartitions("zone_id", F.lower("name"), "key").write.mode("overwrite").partitionBy("zone_id", "has_deals").json(path)
+
+
+def write_documents(rows: DataFrame, path: str) -> None:
+    """A document for each zone and kind of card: `zone-<id>` has those with offers, `venues-<id>` the others.
+
+    rows(zone_id, id, name, deals). A zone's cards are one document, as its reader wants them, and pass through one task; the tasks name their
+    files by the documents that they hold.
+    """
+    kind = F.when(F.size("deals") > 0, "zone-").otherwise("venues-")
+    order = F.struct(F.lower("name").alias("n"), "id", F.struct("id", "name", "deals").alias("v"))
+    documents = rows.groupBy("zone_id", F.concat(kind, "zone_id").alias("document")).agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["v"]).alias("venues"))
+    documents.select("document", F.to_json(F.struct("zone_id", "venues")).alias("value")).repartition("document").write.mode("overwrite").partitionBy("document").text(path)
+    _named_files(rows.sparkSession, path)
+
+
+def _named_files(spark, path: str) -> None:
+    """Each folder document=<name> becomes a file <name>.json: renames alone, a document's text is one file."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    store = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.globStatus(jpath(f"{path}/document=*/part-*")) or []:
+        folder = status.getPath().getParent()
+        store.rename(status.getPath(), jpath(f"{path}/{folder.getName().removeprefix('document=')}.json"))
+        store.delete(folder, True)
 
 
 def write_index(rows: DataFrame, path: str) -> None:

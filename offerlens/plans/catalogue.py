@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.plans import board_queries, build_queries, crawl_queries, feed_queries, registry_queries, text_queries, venue_queries
+from offerlens.plans import board_queries, build_queries, crawl_queries, feed_queries, landed_queries, registry_queries, text_queries, venue_queries
 
-_MODULES = (feed_queries, registry_queries, text_queries, board_queries, venue_queries, crawl_queries, build_queries)
+_MODULES = (feed_queries, registry_queries, text_queries, board_queries, venue_queries, crawl_queries, build_queries, landed_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

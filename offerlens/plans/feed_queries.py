@@ -91,10 +91,9 @@ def feed_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per section its rows and the place of its first row; a section starts where the label of the row before differs."""
+    """The headings of the whole feed: where each begins, and how many rows it has. Scores in thousandths, as all rows are shown."""
     rows = feeds.sections(feeds.feed(*_tables(spark, sf_dir), MOMENT), MOMENT)
-    least = F.min(F.struct(F.round("score", 3).alias("score"), "name", "deal_id"))
-    return rows.groupBy("section").agg(F.count("*").alias("n"), least.alias("top")).select("section", "n", F.col("top.score").alias("top_score"), F.col("top.name").alias("top_name"))
+    return feeds.headings(rows.select(F.round("score", 3).alias("score"), "name", "deal_id", "lid", "section"))
 
 
 def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +119,9 @@ def decay_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schedule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.schedule_summary(lens(spark, sf_dir, "window_"))
+    """Windows in the order of their places, last days first; some are named twice."""
+    rows = lens(spark, sf_dir, "window_").select("deal_id", "dow", "start", "end", "supp_id")
+    return feeds.schedule_summary(rows.withColumn("pos", 8 - F.col("dow")).union(rows.where("supp_id % 5 = 0").withColumn("pos", 20 - F.col("dow"))))
 
 
 def deal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,9 +190,10 @@ ORACLES = {
     "feed_filter_food": _feed_sql(only="food"), "feed_filter_cheap": _feed_sql(only="cheap"), "feed_filter_drinks": _feed_sql(only="drinks"), "feed_sunday_morning": _feed_sql(EARLY),
     "feed_group_counts": _feed_sql(tail="SELECT grp, count(*) AS n, count(*) FILTER (live) AS n_live, count(deal_id) AS n_deals, count(DISTINCT lid) AS n_venues FROM feed GROUP BY grp"),
     "feed_sections": _feed_sql(
-        tail=f"""SELECT section, count(*) AS n, min_by(score, k) AS top_score, min_by(name, k) AS top_name FROM (
-  SELECT *, struct_pack(s := score, n := name, d := deal_id) AS k, CASE grp WHEN 0 THEN 'Live now' WHEN 1 THEN 'Starting soon' WHEN 2 THEN 'Later today' WHEN 4 THEN 'Ends before you''d get there'
-    WHEN 5 THEN 'Hours not published' ELSE CASE WHEN day_ahead = 1 THEN 'Tomorrow' ELSE {_LONG}[(4 + day_ahead) % 7 + 1] END END AS section FROM feed) GROUP BY section"""
+        tail=f"""SELECT first, section, lead(first, 1, total + 1) OVER (ORDER BY first) - first AS n FROM (
+  SELECT row_number() OVER t AS first, section, lag(section) OVER t AS before, count(*) OVER () AS total FROM (
+    SELECT *, CASE grp WHEN 0 THEN 'Live now' WHEN 1 THEN 'Starting soon' WHEN 2 THEN 'Later today' WHEN 4 THEN 'Ends before you''d get there'
+      WHEN 5 THEN 'Hours not published' ELSE CASE WHEN day_ahead = 1 THEN 'Tomorrow' ELSE {_LONG}[(4 + day_ahead) % 7 + 1] END END AS section FROM feed) WINDOW t AS (ORDER BY score NULLS FIRST, name NULLS FIRST, deal_id NULLS FIRST, lid)) WHERE before IS DISTINCT FROM section"""
     ),
     "feed_page": _feed_sql(tail="SELECT lid, deal_id, score FROM feed WHERE grp < 5 UNION ALL SELECT * FROM (SELECT lid, deal_id, score FROM feed WHERE grp = 5 ORDER BY score, name LIMIT 24)"),
     "next_occurrence": sql(f"""WITH {_HIT.format(now=660, dow=7)} SELECT deal_id, h.live AS live, CAST(h.day_ahead AS BIGINT) AS day_ahead, CAST(h.starts_in AS BIGINT) AS starts_in, CAST(h.until AS BIGINT) AS until,
@@ -201,9 +203,10 @@ ORACLES = {
     SELECT deal_id, "start", "start" <= 1020 AS live, CASE WHEN "start" <= 1020 THEN 0 ELSE "start" - 1020 END AS starts_in, CASE WHEN "start" <= 1020 THEN "end" - 1020 ELSE "start" - 1020 END AS until
     FROM window_ WHERE dow = 5 AND "end" > 1020 AND "start" <= 1200)) WHERE k = 1""", "window_"),
     "decay_ladder": sql(f"SELECT deal_id, confidence, CAST(age_days AS BIGINT) AS age_days, {_CONFIDENCE} AS effective FROM deal", "deal"),
-    "schedule_summary": sql(f"""WITH days AS (SELECT DISTINCT deal_id, "start", "end", dow FROM window_),
-runs AS (SELECT deal_id, "start", "end", min(dow) AS a, max(dow) AS b FROM (SELECT *, dow - row_number() OVER (PARTITION BY deal_id, "start", "end" ORDER BY dow) AS run FROM days) GROUP BY deal_id, "start", "end", run),
-lines AS (SELECT deal_id, "start", "end", min(a) AS first, string_agg(CASE WHEN a = b THEN {_DAYS}[a] WHEN b = a + 1 THEN concat({_DAYS}[a], ', ', {_DAYS}[b]) ELSE concat({_DAYS}[a], '–', {_DAYS}[b]) END, ', ' ORDER BY a) AS days
+    "schedule_summary": sql(f"""WITH w AS (SELECT deal_id, dow, "start", "end", 8 - dow AS pos FROM window_ UNION ALL SELECT deal_id, dow, "start", "end", 20 - dow FROM window_ WHERE supp_id % 5 = 0),
+marked AS (SELECT *, CASE WHEN lag(dow) OVER (PARTITION BY deal_id, "start", "end" ORDER BY dow, pos) + 1 = dow THEN 0 ELSE 1 END AS breaks FROM w),
+runs AS (SELECT deal_id, "start", "end", run, min(dow) AS a, max(dow) AS b, min(pos) AS first FROM (SELECT *, sum(breaks) OVER (PARTITION BY deal_id, "start", "end" ORDER BY dow, pos) AS run FROM marked) GROUP BY deal_id, "start", "end", run),
+lines AS (SELECT deal_id, "start", "end", min(first) AS first, string_agg(CASE WHEN a = b THEN {_DAYS}[a] WHEN b = a + 1 THEN concat({_DAYS}[a], ', ', {_DAYS}[b]) ELSE concat({_DAYS}[a], '–', {_DAYS}[b]) END, ', ' ORDER BY run) AS days
   FROM runs GROUP BY deal_id, "start", "end")
 SELECT deal_id, string_agg(concat(days, ' ', {_CLOCK('"start"')}, '–', {_CLOCK('"end"')}), ' · ' ORDER BY first, "start", "end") AS summary FROM lines GROUP BY deal_id""", "window_"),
     "deal_values": sql(f"""SELECT deal_id, round(max({_VALUE}), 4) AS value, bool_or(category = 'food') AS has_food, bool_or({_DRINK}) AS has_drink, min(price) AS cheapest,

@@ -51,7 +51,7 @@ def registry_zone_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_place = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 3 > 0").select(F.col("n_nationkey").cast("string").alias("place"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("zone_id"))
     by_zip = rows.where("lid % 3 = 0").select("zip").distinct().select("zip", F.concat(F.lit("zip-"), "zip").alias("zone_id"))
     name = T.first_filled(F.col("premises"), F.col("licensee"))
-    return registry.zoned(rows, by_place, by_zip).select("lid", name.alias("name"), "tier", "zone_id", F.round("miles", 4).alias("miles"))
+    return registry.zoned(rows, by_place, by_zip).select("lid", name.alias("name"), "tier", "zone_id", R.tenths(F.col("miles")).alias("miles"))
 
 
 def zone_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +306,7 @@ board AS (SELECT coalesce(CAST(b.lid AS VARCHAR), c.key) AS key, b.zone_id, b.na
 ORACLES = {
     "registry_drop_reasons": sql(f"WITH {_REASONS} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM reasons GROUP BY 1", "licence"),
     "registry_zone_assign": sql(f"""WITH {_REASONS}, kept AS (SELECT * FROM reasons WHERE reason IS NULL), z AS (SELECT DISTINCT zip FROM kept WHERE lid % 3 = 0)
-SELECT k.lid, coalesce(nullif(premises, ''), licensee) AS name, tier, coalesce(concat('r', n.n_regionkey), concat('zip-', z.zip), '') AS zone_id, round(miles, 4) AS miles
+SELECT k.lid, coalesce(nullif(premises, ''), licensee) AS name, tier, coalesce(concat('r', n.n_regionkey), concat('zip-', z.zip), '') AS zone_id, round(miles, 1) AS miles
 FROM kept k LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 > 0) n ON k.nation = n.n_nationkey LEFT JOIN z ON k.zip = z.zip""".replace("coalesce(concat('r', n.n_regionkey), concat('zip-', z.zip), '')", "CASE WHEN n.n_regionkey IS NOT NULL THEN concat('r', n.n_regionkey) WHEN z.zip IS NOT NULL THEN concat('zip-', z.zip) ELSE '' END"), "licence"),
     "zone_tier_counts": sql(f"""SELECT CASE WHEN grouping(zone) = 1 THEN '(total)' ELSE zone END AS zone, count(*) AS n, count(*) FILTER (tier = 'core') AS n_core, count(*) FILTER (tier = 'taproom') AS n_taproom
 FROM (SELECT {_TIER_SQL} AS tier, CASE WHEN nation % 5 = 0 THEN '(unzoned)' ELSE concat('z', nation) END AS zone FROM licence) WHERE tier IN ('core', 'taproom') GROUP BY ROLLUP (zone)""", "licence"),

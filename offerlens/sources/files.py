@@ -45,6 +45,24 @@ def bundles(spark: SparkSession, path: str, zone: str | None = None) -> DataFram
     return rows.where(F.col("zone_id") == zone) if zone else rows
 
 
+def published_offers(spark: SparkSession, path: str, prefix: str = "zone-") -> DataFrame:
+    """(zone_id, venue, offer...) of published documents whose names begin so; the others in the folder aren't opened.
+
+    A document is {zone_id, venues: [{id, deals: [...]}]}; a row is an offer, with the place of its venue and its own in the document.
+    """
+    schema = "zone_id string, venues array<struct<id:string,name:string,deals:array<struct<id:bigint,verified_by:string,items:array<string>>>>>"
+    rows = spark.read.option("multiLine", True).schema(schema).json(path).where(F.startswith("_metadata.file_name", F.lit(prefix)))
+    venues = rows.select("zone_id", F.posexplode("venues").alias("venue_pos", "v"))
+    offers = venues.select("zone_id", "venue_pos", F.col("v.id").alias("venue"), F.posexplode("v.deals").alias("deal_pos", "d"))
+    return offers.select("zone_id", "venue", "venue_pos", "deal_pos", F.col("d.id").alias("deal_id"), "d.verified_by", "d.items")
+
+
+def unpriced(offers: DataFrame) -> DataFrame:
+    """(venue, deal_id): of each venue the last offer that a machine read and that has no items; a person's reading isn't added to."""
+    bare = offers.where("verified_by = 'auto_extract'").where(F.coalesce(F.size("items"), F.lit(0)) <= 0)
+    return bare.groupBy("venue").agg(F.max_by("deal_id", F.struct("zone_id", "venue_pos", "deal_pos")).alias("deal_id"))
+
+
 def seeds(spark: SparkSession, path: str) -> DataFrame:
     """(lid, url, name) of a document whose lists hold plain addresses and {url, name} records side by side."""
     text = spark.read.option("wholetext", True).text(path)
