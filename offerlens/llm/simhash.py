@@ -17,7 +17,8 @@ Equal fingerprints are collapsed first, so a group of copies of any size is one
 
 Defined cases: a null text or one without words has fingerprint zero and links like any other;
 texts of one to three words are one shingle; repeated rows and repeated doc_ids share a component;
-an empty table gives no rows; extra columns are ignored.
+a component of which no row has a doc_id has a null component_id; doc_ids are any longs, up to both
+ends of their range; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -170,24 +171,26 @@ def links(prints: DataFrame, bucket_limit: int = BUCKET) -> DataFrame:
     return dealt.select(F.col("bucket").cast("long"), F.col("pair").cast("long"), F.col("side").cast("int"), "fp", "node").mapInArrow(_compare, "a long, b long")
 
 
-#: Nodes of fingerprints that only rows without a key have; above any key.
-_NO_KEY = 1 << 61
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, component_id) per row of docs; component_id is the smallest key of its component.
+    """(doc_id, fp, component_id) per row of docs; component_id is the smallest key of its component, null if none of it has one.
 
     A fingerprint's node is the smallest key that has it, so a component's smallest node is its id
     and no row has to look it up by component, which may hold a third of all. Rows that share a key
-    are one document.
+    are one document; keys are any longs.
     """
     prints = cut(fingerprints(docs, key))
-    nameless = F.col("fp").bitwiseAND(_NO_KEY - 1) + _NO_KEY
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).select("fp", F.coalesce("node", nameless).alias("node")))
-    roots = connected_components(links(distinct))
-    rooted = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    named = rooted.select("fp", F.when(F.col("root") < _NO_KEY, F.col("root")).alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    if distinct.where("node IS NULL").isEmpty():
+        roots = connected_components(links(distinct))
+        rooted = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    else:  # fingerprints that only rows without a key have are nodes of their own, after all keys
+        nodes = cut(distinct.select("fp", F.struct(F.col("node").isNull().alias("nameless"), F.coalesce("node", "fp").alias("key")).alias("node")))
+        linked = links(nodes.select("fp", F.col("fp").alias("node")))
+        a, b = nodes.select(F.col("fp").alias("a"), F.col("node").alias("u")), nodes.select(F.col("fp").alias("b"), F.col("node").alias("v"))
+        roots = connected_components(linked.join(a, "a").join(b, "b"), "u", "v")
+        root = F.coalesce("root", "node")
+        rooted = nodes.join(roots, "node", "left").select("fp", F.when(~root["nameless"], root["key"]).alias("component_id"))
+    return prints.join(rooted, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

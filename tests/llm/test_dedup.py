@@ -140,3 +140,23 @@ def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 120)] + [(7, 7), (200, 200), (101, 119), (None, 3)]
     out = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(out[i] == 0 for i in range(51)) and all(out[i] == 100 for i in range(100, 120)) and out[200] == 200
+
+
+FAR = [-(1 << 63), -3, 0, 1 << 61, (1 << 61) + 5, (1 << 61) + 12, 1 << 62, (1 << 63) - 1]
+
+
+@pytest.mark.parametrize("nameless", [False, True])
+def test_no_document_is_lost_for_its_id(spark, nameless):
+    texts = [f"{w} {w} quite {w} unlike {w} any other {w} text {k} of {w} these" for k, w in enumerate("ant boar cow dodo eel fox gnu hen".split())]
+    rows = list(zip(FAR, texts)) + [(FAR[-1], texts[-1]), (7, texts[3]), (8, texts[-1])]
+    rows += [(None, texts[0]), (None, "nobody else says this here today"), (None, "nobody else says this here today")] if nameless else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    first = {}
+    for d, t in rows:
+        if d is not None:
+            first[t] = min(first.get(t, d), d)
+    prints = {t: np.array([simhash.fingerprint(t.encode())], "<u8").view(np.int64)[0].item() for _, t in rows}
+    assert found == {(d, prints[t], first.get(t)) for d, t in rows}
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(k for k in kept if k is not None) == sorted(set(first.values())) and kept.count(None) == 3 * nameless
