@@ -31,6 +31,8 @@ SHARE = 1.5
 MOST = 2.0
 LEVEL_BITS = 13
 HASH_BITS = 64
+#: Rows from which a source is dealt out by salts, and how many sources are so at most.
+LARGE, MOST_LARGE = 10_000, 1_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -109,20 +111,24 @@ def mix(docs: DataFrame) -> DataFrame:
         .when((F.col("h") == F.col("edge_h")) & F.col("edge_in"), 1)
         .otherwise(0)
     )
-    # every source's row is there once for each salt, so that the documents of a large source meet theirs in many tasks
+    # a large source's row is there once for each salt, so that its documents meet it in many tasks; the others' rows once
     salts = shuffle_partitions(docs.sparkSession)
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return sized.withColumn("_salt", F.pmod("h", F.lit(salts)).cast("int")).join(salted, ["skey", "_salt"]).select(
+    n = sized.count()
+    large = sized.groupBy("skey").agg(F.count("*").alias("n")).where(F.col("n") > max(LARGE, n // MOST_LARGE)).select("skey", F.lit(True).alias("_large"))  # MOST_LARGE rows at most
+    salted = table.join(large, "skey", "left").withColumn("_salt", F.explode(F.when(F.col("_large"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = sized.join(large, "skey", "left").withColumn("_salt", F.when(F.col("_large"), F.pmod("h", F.lit(salts)).cast("int")).otherwise(0))
+    return dealt.join(salted.drop("_large"), ["skey", "_salt"]).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + extra)).alias("taken")
     )
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken, with their columns as they were.
+    """The rows of docs that the mix takes, each as often as it is taken, with their columns as they were, whatever their names.
 
     Documents without a word have nothing to take and go.
     """
-    taken = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).cast("int").alias("_copies"))
-    taken = taken.withColumnRenamed("doc_id", "_taken_id")
-    picked = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken_id")))
-    return picked.select(*quoted(docs), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    names = docs.columns
+    taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.expr("taken div size")).cast("int").alias("copies"))
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    picked = plain.join(taken, F.col(f"c{names.index('doc_id')}").eqNullSafe(F.col("id")))
+    return picked.select(*plain.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy").toDF(*names)

@@ -1,6 +1,7 @@
 """Source mix, vectors, language model, packing and the pipeline against plain Python."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -328,3 +329,30 @@ def test_odd_documents_pass_through_the_pipeline(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, "")
         docs.collect()
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    rows = [(k, f"some words of text {k}", f"s{k % 3}", k, k, k, k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies long, _taken_id long, copy long, c0 long")
+    taken = {r.doc_id: r.taken // r["size"] for r in mixing.mix(docs).collect()}
+    out = Counter(tuple(r) for r in mixing.mixed_documents(docs).collect())
+    assert mixing.mixed_documents(docs).columns == docs.columns and out == Counter({r: taken[r[0]] for r in rows if taken[r[0]]})
+
+
+def test_large_sources_are_dealt_out_by_salts(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "a b c " * (k % 5), "hot" if k % 3 else f"s{k % 4}") for k in range(300)], "doc_id long, text string, source string")
+    plain = Counter(mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "LARGE", 20)
+    assert Counter(mixing.mix(docs).collect()) == plain
+
+
+def test_the_pipeline_loses_no_document_for_its_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    prose = lambda: " ".join(rng.choice("the of and to in that with river stone letter garden evening window brother follow quiet morning".split()) for _ in range(120)) + "."
+    ids = [-(1 << 63), -3, 1 << 61, (1 << 61) + 5, 1 << 62, (1 << 63) - 1, None]
+    docs = spark.createDataFrame([(d, prose(), "en", "s", 1) for d in ids], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, "")
+        assert Counter(r.doc_id for r in docs.collect()) == Counter(ids), name
