@@ -26,7 +26,11 @@ their blocks of content paths (which is all that a body within an article takes
 article without a headline that lies beside a body of another kind is a teaser and gives no more either). Paths of score 0, and outside articles paths below
 the threshold that are mostly links, are left out everywhere.
 
-Defined cases: null or empty html has an empty text; a page without tags is one block; text is
+Hidden elements (hidden, aria-hidden, display:none, a class `hidden` without classes for widths beside it) are left out, but for those that hold over
+MOST of the page's text outside links. Buttons and labels among the words of a sentence are words of it. Where nothing but headings is left, links
+count as other text.
+
+Defined cases: null or empty html has an empty text; an empty table gives no rows; a page without tags is one block; text is
 whole, never cut; tags may be left open (p, li, td and the like close each other), inline tags are
 no part of a path; references are decoded once; repeated rows are read one by one; extra columns
 are ignored.
@@ -50,6 +54,9 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>?", re.I) for t in ("script", "style", "te
 
 #: Elements whose text is no text of the page, and elements around the article: fixed values.
 DROPPED = frozenset("head script style noscript template iframe noframes object embed svg canvas audio video map button select option textarea input label datalist".split())
+#: Of these, the elements that are words of a sentence where they stand in one, and the elements that sentences stand in.
+_IN_SENTENCE = frozenset("button label map object".split())
+_SENTENCES = frozenset("p li dt dd blockquote pre td th figcaption caption h1 h2 h3 h4 h5 h6 div section article main".split())
 AROUND = frozenset("nav header footer aside dialog menu menuitem".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr br "
@@ -98,11 +105,13 @@ PROSE_A_CONTROL = 80
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are paragraphs of their parent, whatever their names say of their looks.
 _PARAGRAPHS = _HEADINGS | frozenset("p li dt dd blockquote pre td th tr figcaption caption".split())
+_LETTER = re.compile(r"\w")
+_WIDTHS = re.compile(r"(?:d|visible|show)-(?:xs|sm|md|lg|xl|xxl|print)\b|visible\b")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "outside", "depth", "mass", "controls", "prose", "mark", "size", "links", "inside")
+    __slots__ = ("tag", "parent", "path", "outside", "depth", "mass", "controls", "prose", "mark", "size", "links", "inside", "hidden")
 
     def __init__(self, tag: str, label: str, parent: _Node | None, outside: bool):
         self.tag, self.parent = tag, parent
@@ -110,13 +119,14 @@ class _Node:
         self.outside = outside or bool(parent and parent.outside)
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
         self.depth = parent.depth + 1 if parent else 0
+        self.hidden = parent.hidden if parent else ()
         self.mass = 0.0
         self.controls = self.prose = self.size = self.links = 0
         self.mark = ""
 
 
-def blocks(page: str) -> list[tuple[_Node, str, int]]:
-    """(element, text, characters in links) of every block with text, in page order."""
+def blocks(page: str, linked: bool = True) -> list[tuple[_Node, str, int]]:
+    """(element, text, characters in links) of every block with text, in page order; links count as other text if not `linked`."""
     node = root = _Node("", "", None, False)
     out: list[tuple[_Node, str, int]] = []
     parts: list[str] = []
@@ -158,10 +168,12 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
             continue
         if tag in INLINE:
             if tag == "a":
-                in_link = int(not closing)
+                in_link = int(linked and not closing)
             elif tag == "br":
                 parts.append(" ")
             continue
+        if tag in _IN_SENTENCE and (_open(node, tag) is None if closing else _in_sentence(page, at, tag, parts, node)):
+            continue
         if closing:
             at_node = node
             while at_node is not root and at_node.tag != tag:
@@ -207,21 +219,59 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
         flush()
         if tag in VOID:
             continue
-        label, outside = tag, tag in DROPPED
+        label, outside, veiled = tag, tag in DROPPED, False
         names = "around" if tag in AROUND and not (tag == "header" and node.inside) else ""
         if m[3].strip():
             named = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRS.findall(m[3])}
             mark = " ".join(filter(None, (named.get("class"), named.get("id"), named.get("role"))))
             if mark:
                 label = f"{tag}.{mark}"
-                outside = outside or "hidden" in mark.lower().split()
                 names = names or ("" if tag in ("html", "body", "article", "main") else _mark(mark.split()))
-            outside = outside or _hidden(m[3])
+            veiled = _hidden(named, mark)
         node = _Node(tag, label, node, outside)
         node.mark = names
+        if veiled:
+            node.hidden = (*node.hidden, node)
         in_link = 0
     flush()
-    return out
+    return _unveiled(out)
+
+
+def _open(node: _Node, tag: str) -> _Node | None:
+    """The nearest open element of that tag."""
+    up: _Node | None = node
+    while up is not None and up.tag != tag:
+        up = up.parent
+    return up
+
+
+def _in_sentence(page: str, at: int, tag: str, parts: list[str], node: _Node) -> bool:
+    """Whether an element that opens here stands among the words of a sentence: text before or behind it, and no form or toolbar around."""
+    up = node
+    while up.parent is not None:
+        if up.tag in ("form", "nav", "menu", "fieldset") or up.mark:
+            return False
+        up = up.parent
+    if node.outside or node.tag not in _SENTENCES:
+        return False
+    if any(map(_LETTER.search, parts)):
+        return True
+    end = page.find(f"</{tag}", at)
+    behind = page.find(">", end) if end >= 0 else -1
+    return behind >= 0 and bool(_LETTER.match(page[behind + 1 : behind + 40].lstrip()))
+
+
+def _unveiled(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """found without the blocks of hidden elements, but for those elements that hold over MOST of the page's text outside links: they are shown by other means."""
+    if not any(node.hidden for node, _, _ in found):
+        return found
+    whole, held = 0, {}
+    for node, text, links in found:
+        mass = len(text) - min(links, len(text))
+        whole += mass
+        for x in node.hidden:
+            held[x] = held.get(x, 0) + mass
+    return [x for x in found if all(held[h] > MOST * whole for h in x[0].hidden)]
 
 
 def _mark(names: list[str]) -> str:
@@ -243,9 +293,11 @@ def _mark(names: list[str]) -> str:
     return found
 
 
-def _hidden(attrs: str) -> bool:
-    named = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRS.findall(attrs)}
-    return "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
+def _hidden(named: dict[str, str], mark: str) -> bool:
+    """Whether an element's attributes hide it. Beside classes for some widths the class `hidden` speaks of others alone."""
+    names = mark.lower().split()
+    by_class = "hidden" in names and not any(":" in x or _WIDTHS.match(x) for x in names)
+    return by_class or "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in named.get("style", "").lower().replace(" ", "")
 
 
 def _scoped(node: _Node, upto: _Node) -> bool:
@@ -360,9 +412,18 @@ def _headlines(rows: list[tuple[_Node, str, int]]) -> int:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page) if page else []
-    if not found:
+    if not page:
         return ""
+    chosen = _main_blocks(blocks(page))
+    if all(node.tag in _HEADINGS for node, _, _ in chosen):  # nothing but links: then these are the text, where no other evidence speaks against them
+        chosen = _main_blocks(blocks(page, linked=False)) or chosen
+    return "\n".join(text for _, text, _ in chosen)
+
+
+def _main_blocks(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """The blocks that are the page's text, in page order."""
+    if not found:
+        return []
     scores, threshold = path_scores(found)
     links = {p: x for p, (_, x) in path_ratios(found).items()}
     found = [x for x in found if scores[x[0].path] and (x[0].inside or scores[x[0].path] >= threshold or 2 * links[x[0].path] < 1)]
@@ -379,7 +440,7 @@ def main_text(page: str | None) -> str:
             held[id(up)] = held.get(id(up), 0.0) + (mass or 1e-9)
             up = up.parent
     if not seen:
-        return ""
+        return []
     # the deepest element with nearly all of the content; an article that holds most of it bounds it from above and below
     best = max((n for n in seen if held[id(n)] >= 0.9 * whole), key=lambda n: n.depth)
     marked = [n for n in seen if n.tag in ("article", "main") and held[id(n)] >= 0.5 * whole]
@@ -387,7 +448,7 @@ def main_text(page: str | None) -> str:
         best = max(marked, key=lambda n: (held[id(n)], n.depth))
     elif best.tag not in ("article", "main", "section", "div", "body", "html", "td", "") and best.parent is not None:
         best = best.parent
-    return "\n".join(found[k][1] for k in sorted(_kept(found, best, {p for p, x in scores.items() if x >= threshold})))
+    return [found[k] for k in sorted(_kept(found, best, {p for p, x in scores.items() if x >= threshold}))]
 
 
 def _kept(found: list[tuple[_Node, str, int]], best: _Node, content: set[str]) -> set[int]:
