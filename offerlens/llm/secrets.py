@@ -20,8 +20,8 @@ Values have any length and any number of parts: the program walks the value from
 places alone that less than the bound reaches; where none is left, the value is proven to cost the bound.
 
 Defined cases: a null text is empty and has no spans; kinds are scanned on their own, leftmost and
-without overlap; repeated rows are scanned one by one; extra columns are ignored; whole texts of
-any length are scanned. Offsets count code points, the end is exclusive.
+without overlap; repeated rows are scanned one by one; extra columns are ignored, whatever their names (redact keeps them); whole texts of
+any length are scanned; an empty table gives no rows. Offsets count code points, the end is exclusive.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import json
 import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -69,19 +70,46 @@ WORDS = (
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, i) for r, row in enumerate(_ROWS) for i, c in enumerate(row)}
 _SWAPS = str.maketrans("4@301!5$7", "aaeoiisst")
-_DATE = re.compile(r"(?:\d{1,2}[-/.]?\d{1,2}[-/.]?(?:19|20)\d\d|(?:19|20)\d\d[-/.]?\d{1,2}[-/.]?\d{1,2}|(?:19|20)\d\d)")
+_YEARS, _SEP = "(?:19|20)[0-9][0-9]", "[-/.]?"
+#: Day, month and year or the year first, days and months of one or two digits; or a year alone.
+_DATES = [re.compile(_YEARS)] + [
+    re.compile(form.format(f"[0-9]{{{a}}}", f"[0-9]{{{b}}}")) for a in (1, 2) for b in (1, 2) for form in ("{}" + _SEP + "{}" + _SEP + _YEARS.replace("{", "{{"), _YEARS + _SEP + "{}" + _SEP + "{}")
+]
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: log10 of the guesses for a word that the list lacks.
 UNKNOWN_WORD = 5.0
-_YEAR = re.compile(r"(?:19|20)\d\d")
 REFERENCE_YEAR = 2020
 
 
+#: The mean log10 probability of a pair of letters from which a run of them reads like a word.
+READS = -1.5
+_LETTERS_KNOWN = 26
+
+
 class Words:
-    """Ranks of known words, and the length of the longest."""
+    """Ranks of known words, the length of the longest, and how likely their letters follow one another.
+
+    Each pair counts half a time more than it is seen.
+    """
 
-    def __init__(self, ranks: dict[str, int]):
-        self.ranks, self.longest = ranks, max(map(len, ranks), default=0)
+    def __init__(self, ranks: dict[str, int], modelled: bool = False):
+        self.ranks, self.longest, self.modelled = ranks, max(map(len, ranks), default=0), modelled
+        pairs: Counter[str] = Counter()
+        for word in ranks if modelled else ():
+            marked = f"^{word}$"
+            pairs.update(map("".join, zip(marked, marked[1:])))
+        total: Counter[str] = Counter()
+        for pair, n in pairs.items():
+            total[pair[0]] += n
+        self.pairs = {pair: math.log10((n + 0.5) / (total[pair[0]] + 0.5 * (_LETTERS_KNOWN + 1))) for pair, n in pairs.items()}
+        self.unseen = {c: math.log10(0.5 / (n + 0.5 * (_LETTERS_KNOWN + 1))) for c, n in total.items()}
+
+    def reads(self, run: str) -> bool:
+        """Whether a run of letters reads like a word."""
+        if not self.modelled or not run.isascii():
+            return True
+        marked = f"^{run.lower()}$"
+        return sum(self.pairs.get(a + b) or self.unseen.get(a, -1.5) for a, b in zip(marked, marked[1:])) >= READS * (len(marked) - 1)
 
 
 @lru_cache(4)
@@ -94,7 +122,7 @@ def known_words(path: str | None = None) -> Words:
         whole = (w.removesuffix("</w>") for w in sorted(ids, key=ids.get) if w.endswith("</w>") and len(w) >= 7)
         for i, w in enumerate((w for w in whole if w.isascii() and w.isalpha()), 1):
             ranks[w] = min(i, ranks.get(w, i))
-    return Words(ranks)
+    return Words(ranks, path is not None)
 
 
 def parts_at(value: str, low: str, plain: str, i: int, words: Words) -> Iterator[tuple[int, float]]:
@@ -106,17 +134,20 @@ def parts_at(value: str, low: str, plain: str, i: int, words: Words) -> Iterator
             swaps = sum(a != b for a, b in zip(low[i:j], plain[i:j])) if low[i:j] not in ranks else 0
             upper = sum(c.isupper() for c in value[i:j])
             yield j, math.log10(rank * (2 if upper else 1) * 2**swaps)
-    if (m := _DATE.match(low, i)) :
-        year = int(_YEAR.search(m[0])[0])
-        yield m.end(), math.log10(max(abs(year - REFERENCE_YEAR), 20) * (365 if len(m[0]) > 4 else 1))
-    # a run of letters in one case reads as a word of some language
+    for form in _DATES if low[i].isdigit() else ():
+        if m := form.match(low, i):
+            year = int(m[0][:4] if form.pattern.startswith(_YEARS) else m[0][-4:])
+            yield m.end(), math.log10(max(abs(year - REFERENCE_YEAR), 20) * (365 if m.end() - i > 4 else 1))
+    # a run of letters in one case may be a word of some language
     if not (i and _LETTERS.match(value, i - 1)) and (m := _LETTERS.match(value, i)) and m.end() - i >= 3 and (m[0].islower() or m[0].isupper() or m[0].istitle()):
         size = m.end() - i
-        yield m.end(), min(float(size), UNKNOWN_WORD) + max(0, size - 16)
+        if size <= UNKNOWN_WORD or words.reads(m[0]):
+            yield m.end(), min(float(size), UNKNOWN_WORD) + max(0, size - 16)
     if i and value[i] in "-_./":
         yield i + 1, SEPARATOR - PART
-    for step in ("key", 1, -1):  # walks of three neighbouring keys and more, and runs of code points such as abcd or 4321
+    for step in ("key", 1, -1):  # walks of three neighbouring keys and more, and runs of code points such as abcd or 4321; they may end anywhere
         j, turns, last = i + 1, 1, None
+        uppers, lowers = value[i].isupper(), value[i].islower()
         while j < n:
             if step == "key":
                 a, b = _PLACE.get(low[j - 1]), _PLACE.get(low[j])
@@ -126,11 +157,11 @@ def parts_at(value: str, low: str, plain: str, i: int, words: Words) -> Iterator
                 turns, last = turns + (last not in (None, move)), move
             elif ord(low[j]) - ord(low[j - 1]) != step:
                 break
+            uppers, lowers = uppers + value[j].isupper(), lowers + value[j].islower()
             j += 1
-        if j - i >= 3:
-            part = value[i:j]
-            case = sum(map(str.isupper, part)) if not (part.islower() or part.isupper()) else 0
-            yield j, case * math.log10(2) + (math.log10(47 * (j - i)) + turns * math.log10(4) if step == "key" else math.log10(26 * (j - i)))
+            if j - i >= 3:
+                case = math.log10(2) * uppers if lowers else 0.0
+                yield j, case + (math.log10(47 * (j - i)) + turns * math.log10(4) if step == "key" else math.log10(26 * (j - i)))
 
 
 def _shared(value: str) -> list[int]:

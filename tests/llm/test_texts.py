@@ -58,16 +58,56 @@ def test_values_that_base_spans_cover_in_part_are_scored():
     assert secrets.redact_text(text) == "[SECRET] and [SECRET], [SECRET]' pwd=[SECRET]"
 
 
-def brute_cost(value, words):
-    """The least sum over all segmentations, by recursion over where the first part ends."""
-    low = value.lower()
-    plain = low.translate(secrets._SWAPS)
-    least = {len(value): 0.0}
-    for i in range(len(value) - 1, -1, -1):
-        ends = [*secrets.parts_at(value, low, plain, i, words), *secrets.repeats_at(value, i, words, math.inf)]
-        ends += [(j, float(j - i)) for j in range(i + 1, len(value) + 1)]
-        least[i] = min(cost + least[j] + (secrets.PART if j < len(value) else 0.0) for j, cost in ends)
-    return least[0]
+KEYS = ["`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"]
+ALIKE = {"4": "a", "@": "a", "3": "e", "0": "o", "1": "i", "!": "i", "5": "s", "$": "s", "7": "t"}
+
+
+def stated_cost(part, first, value, i, ranks):
+    """What the docstring says that a part costs, apart from brute force: by each of its rules, the least."""
+    j, low = i + len(part), part.lower()
+    plain = "".join(ALIKE.get(c, c) for c in low)
+    out = []
+    for spelt in (low, plain):
+        if len(part) >= 3 and spelt in ranks and (spelt is low or low not in ranks):
+            out.append(math.log10(ranks[spelt]) + math.log10(2) * (any(c.isupper() for c in part) + (sum(a != b for a, b in zip(low, plain)) if spelt is plain else 0)))
+    day, year, sep = r"\d{1,2}", r"(?:19|20)\d\d", r"[-/.]?"
+    if m := re.fullmatch(f"{day}{sep}{day}{sep}({year})|({year}){sep}{day}{sep}{day}|({year})", low):
+        y = int(next(filter(None, m.groups())))
+        out.append(math.log10(max(20, abs(y - 2020)) * (1 if len(low) == 4 else 365)))
+    whole_run = part.isalpha() and not value[max(0, i - 1) : i].isalpha() and not value[j : j + 1].isalpha()
+    if whole_run and len(part) >= 3 and (part.islower() or part.isupper() or part.istitle()):
+        out.append(min(len(part), 5.0) + max(0, len(part) - 16))
+    if not first and len(part) == 1 and part in "-_./":
+        out.append(0.0)  # a separator costs half a decade, and no part's own half
+    place = {c: (r, k) for r, row in enumerate(KEYS) for k, c in enumerate(row)}
+    if len(part) >= 3:
+        case = math.log10(2) * sum(c.isupper() for c in part) * (not part.islower() and not part.isupper())
+        moves = [(place[b][0] - place[a][0], place[b][1] - place[a][1]) if a in place and b in place else None for a, b in zip(low, low[1:])]
+        if all(m is not None and m != (0, 0) and abs(m[0]) <= 1 and abs(m[1]) <= 1 for m in moves):
+            turns = 1 + sum(a != b for a, b in zip(moves, moves[1:]))
+            out.append(case + math.log10(47 * len(part)) + turns * math.log10(4))
+        if {ord(b) - ord(a) for a, b in zip(low, low[1:])} in ({1}, {-1}):
+            out.append(case + math.log10(26 * len(part)))
+    return min(out, default=math.inf)
+
+
+def brute_cost(value, ranks, seen=None):
+    """The least sum over all segmentations, by the rules as stated; a repeat costs its unit, by itself, times its count."""
+    seen = {} if seen is None else seen
+    if value not in seen:
+        n = len(value)
+        least = [0.0] + [math.inf] * n
+        for j in range(1, n + 1):
+            for i in range(j):
+                part = value[i:j]
+                cost = min(float(j - i), stated_cost(part, i == 0, value, i, ranks))
+                for unit in range(1, (j - i) // 2 + 1):
+                    if j - i >= 3 and (j - i) % unit == 0 and part == part[:unit] * ((j - i) // unit):
+                        own = float(unit) if unit < 3 else min(float(unit), brute_cost(part[:unit], ranks, seen))
+                        cost = min(cost, own + math.log10((j - i) // unit))
+                least[j] = min(least[j], least[i] + cost + (0.5 if i else 0.0))
+        seen[value] = least[n]
+    return seen[value]
 
 
 def test_guess_costs_are_the_least_over_all_segmentations():
@@ -75,12 +115,19 @@ def test_guess_costs_are_the_least_over_all_segmentations():
     pieces = ["password", "Dragon", "1999", "qwer", "aaa", "x", "#", "7", "ab" * 5, "hello", "-", "_", "P@ss", "zxcvb", "Qz", "abab"]
     for _ in range(300):
         value = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
-        cost = brute_cost(value, words)
+        cost = brute_cost(value, words.ranks)
         assert secrets.guess_cost(value) == pytest.approx(cost)
         below = secrets.guess_cost(value, bound=10.0)
         assert below == pytest.approx(cost) if cost < 9.999 else below == math.inf or below > 9.99
 
 
+def test_runs_of_letters_that_read_like_no_word_cost_brute_force():
+    words = secrets.known_words(tokenizer_path(secrets.VOCABULARY))
+    spans = {"pwd: xkcdqwzvbn!": [(5, 15, "guess")], "secret_key=zqxjvkwpmf": [(11, 21, "guess")], "pwd: geschwindigkeit": [], "pwd: hehelythatin": [], "credentials: przyjaciel": [], "pwd: вечеринка": []}
+    assert {t: secrets.scan(t, words) for t in spans} == spans
+    assert secrets.guess_cost("xkcdqwzvbn", words) == 10 and secrets.guess_cost("schadenfreude", words) == 5
+
+
 def test_ranked_words_come_from_a_vocabulary():
     words = secrets.known_words(tokenizer_path(secrets.VOCABULARY))
     assert len(words.ranks) > 30_000 and words.ranks["password"] == 1 and words.ranks["house"] < words.ranks["battery"]
@@ -249,6 +296,28 @@ def test_class_names_are_weighed_against_the_content(names):
     assert "Item" not in html_text.main_text(f"<div><p>{PROSE}</p><div class=tag-list>{MENU}</div></div>")
 
 
+WRAPPED = "".join(f"<p>Sentence number {k}, with some words, and a second clause; it goes on.</p>" for k in range(12))
+
+
+@pytest.mark.parametrize("attribute", ['class="hidden md:block"', 'style="display: none"', 'aria-hidden="true"', 'class="hidden"', "hidden"])
+def test_hidden_wrappers_are_weighed(attribute):
+    page = f"<body><nav><a href=x>Home</a></nav><div {attribute}><h1>Title</h1>{WRAPPED}</div><footer>us</footer></body>"
+    assert html_text.main_text(page).split("\n")[0] == "Title" and html_text.main_text(page).count("Sentence") == 12
+    small = html_text.main_text(f"<body><div><h1>Title</h1>{WRAPPED}</div><div {attribute}><p>Hidden bit of text, here.</p></div></body>")
+    assert small.count("Sentence") == 12 and ("Hidden bit" in small) == ("md:" in attribute)
+
+
+def test_controls_among_words_are_words():
+    page = f"<body><article><h1>Title</h1>{WRAPPED}<p>press the <button>OK</button> now, and <label>this</label>.</p><p><button>Go</button> closes it.</p><button>Alone</button><form><label>Name</label><input></form></article></body>"
+    assert html_text.main_text(page).split("\n")[-2:] == ["press the OK now, and this.", "Go closes it."]
+
+
+def test_a_body_of_links_is_text_where_nothing_else_is():
+    links = "".join(f'<p><a href="/{k}">Linked headline number {k} of the day</a></p>' for k in range(20))
+    page = f'<body><nav><a href=x>Home</a><a href=y>About</a></nav><h1>Today</h1><div class="content">{links}</div><footer>us</footer></body>'
+    assert html_text.main_text(page).split("\n") == ["Today", *(f"Linked headline number {k} of the day" for k in range(20))]
+
+
 def test_formulas_are_text():
     page = "<p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x = 1</annotation></semantics></math>, as shown.</p>"
     assert html_text.main_text(page) == "So x=1, as shown."
