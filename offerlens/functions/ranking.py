@@ -98,7 +98,7 @@ def haversine_miles(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> C
 
 
 def tenths(x: Column) -> Column:
-    """x to one decimal, by its exact value and half to even: what a double holds is seldom the decimal that it is written as (0.35 is less, 2.675 as well).
+    """x (below 9e14) to one decimal, by its exact value and half to even: what a double holds is seldom the decimal that it is written as (0.35 is less, 2.675 as well).
 
     What is behind the point is exact, and is held against the halves between tenths. Of these a double can be 0.25 and 0.75 alone; of
     the others the nearest double lies on one side, which is known beforehand.

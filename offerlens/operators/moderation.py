@@ -16,9 +16,16 @@ FINAL = ("approved", "rejected")
 
 
 def rate_limited(submissions: DataFrame, most: int = PER_DAY) -> DataFrame:
-    """submissions(ip_hash, day, ts, id) with `admitted`: the first `most` of a sender's day. A refused one doesn't count."""
+    """submissions(ip_hash, day, ts, id) with `admitted`: the first `most` of a sender's day. A refused one doesn't count.
+
+    Of a day's submissions only those that can be among its first are ranked (each task lets the others go before they are shuffled), so a sender who floods
+    is no large group; where a day has more, the last that is admitted is the bound that its rows are held against.
+    """
     order = Window.partitionBy("ip_hash", "day").orderBy("ts", "id")
-    return submissions.withColumn("admitted", F.row_number().over(order) <= most)
+    first = submissions.select("ip_hash", "day", "ts", "id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    bounds = first.where(F.col("place") == most).select("ip_hash", "day", F.struct("ts", "id").alias("__bound"))
+    met = submissions.join(bounds, ["ip_hash", "day"], "left").select(*[submissions[c] for c in submissions.columns], "__bound")
+    return met.select(*submissions.columns, (F.col("__bound").isNull() | (F.struct("ts", "id") <= F.col("__bound"))).alias("admitted"))
 
 
 def rate_counts(rate: DataFrame, requests: DataFrame, today: Column) -> DataFrame:

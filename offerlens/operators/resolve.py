@@ -94,3 +94,17 @@ def first_in_order(candidates: DataFrame, key: str, rank: str, ok) -> DataFrame:
     """Of each key the first candidate, by rank, that meets ok."""
     columns = [c for c in candidates.columns if c != key]
     return candidates.where(ok).groupBy(key).agg(F.min_by(F.struct(*columns), rank).alias("x")).select(key, "x.*")
+
+
+def by_number(nearby: DataFrame) -> DataFrame:
+    """Of nearby(lid, address, rank, place_id, place_address) each licence's first place, by rank, whose street number is the licence's; none where no place has it.
+
+    The nearest place is no answer: what stands next door is another business.
+    """
+    same = T.street_number(F.col("place_address")) == T.street_number(F.col("address"))
+    return first_in_order(nearby.select("lid", "address", "rank", "place_id", "place_address"), "lid", "rank", same)
+
+
+def right_wins(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left updated by right: a key's row is right's where right has one."""
+    return right.unionByName(left.join(right.select(key).distinct(), key, "left_anti"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.operators import dates, robots, sitemaps
+from offerlens.functions import pagetext, schedule
+from offerlens.functions import text as T
+from offerlens.operators import dates, resolve, robots, sitemaps
+from offerlens.plans.lenses import lens, sql
+from offerlens.plans.text_queries import _HOST, _VISIBLE
 
 #: A page's date, and what tells it: text that Spark and DuckDB read alike.
 _DAY = "CAST(DATE '2024-01-01' + CAST(page_id % 700 AS INTEGER) AS VARCHAR(10))"
@@ -100,7 +104,48 @@ def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("page_id", "allowed", "result", F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (published_dates, sitemap_walk, fetch_outcomes)}
+#: Lines of two time ranges, made of an order's key: how the second follows the first, and whether the line says of itself that it may not hold.
+_DAY_NAMES = ("Monday", "Tue", "Wednesday", "Thurs", "Fri", "Sat", "Sun")
+
+
+def quotes_of_two_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of lines with two ranges: split before a day, unsettled without a mark or with days on both sides of a range, none where the line hedges."""
+    k = F.col("k")
+    day = lambda n: F.element_at(F.array(*map(F.lit, _DAY_NAMES)), (n % 7 + 1).cast("int"))
+    hours = lambda n: F.concat((n % 4 + 1).cast("string"), F.lit("pm - "), (n % 3 + 6).cast("string"), F.lit("pm"))
+    one, two = F.concat(day(k), F.lit(" "), hours(k)), F.concat(day(k + 2), F.lit(" "), hours(k + 1))
+    quote = (
+        F.when(k % 7 == 0, F.concat(one, F.lit(" & "), two)).when(k % 7 == 1, F.concat(one, F.lit(", happy hour "), two)).when(k % 7 == 2, F.concat(one, F.lit(" then "), two)).when(k % 7 == 3, F.concat(one, F.lit(" / "), two))
+        .when(k % 7 == 4, F.concat(one, F.lit(" & "), two, F.lit(" at participating locations"))).when(k % 7 == 5, F.concat(one, F.lit(" "), day(k + 1), F.lit(" & "), two)).otherwise(F.concat(hours(k), F.lit(" and "), two))
+    )
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")).select("k", F.explode(schedule.windows_from(quote)).alias("w"))
+    return rows.select("k", F.col("w.dow").cast("long").alias("dow"), F.col("w.start").cast("long").alias("start"), F.col("w.end").cast("long").alias("end"))
+
+
+def nearby_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of ten places near each licence, the first with its street number."""
+    licences = lens(spark, sf_dir, "licence").select("lid", F.concat("street", F.lit(", Norristown")).alias("address"))
+    near = licences.select("lid", "address", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rank")).withColumn("place_id", (F.col("lid") * 7 + F.col("rank") * 13) % 97 + 1)
+    places = lens(spark, sf_dir, "place").select("place_id", F.concat("number", F.lit(" "), "street").alias("place_address"))
+    return resolve.by_number(near.join(places, "place_id")).select("lid", F.col("rank").cast("long").alias("rank"), "place_id")
+
+
+def sites_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of sites updated by what was found since: the new row where there is one."""
+    rows = lens(spark, sf_dir, "venue")
+    site = lambda kept, word: rows.where(kept).select("lid", F.concat(F.lit(f"http://{word}"), "lid").alias("website"), F.lit(word).alias("origin"))
+    return resolve.right_wins(site("lid % 3 > 0", "old"), site("lid % 4 = 0", "new"), "lid")
+
+
+def named_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does a page name the venue, by the words of its name that prove anything, and its town? Names are made of the page's host."""
+    labels = F.split(pagetext.host_of(F.col("url")), r"\.")
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.lit("The "), F.element_at(labels, -3), F.lit(" of "), F.element_at(labels, -2)).alias("name"), F.element_at(labels, -2).alias("town"), pagetext.visible_text(F.col("html")).alias("text"))
+    words = T.proof_words(F.col("name"))
+    return rows.select("page_id", F.array_join(words, " ").alias("words"), T.proven(F.col("text"), words, F.array("town")).isNotNull().alias("proven"))
+
+
+QUERIES = {f.__name__: f for f in (published_dates, sitemap_walk, fetch_outcomes, quotes_of_two_ranges, nearby_places, sites_updated, named_proof)}
 
 _ISO = "try_cast(nullif(regexp_extract({0}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), '') AS DATE)".format
 _HEADS = [
@@ -141,4 +186,14 @@ r AS (SELECT *, CASE WHEN status1 = 403 AND status2 IS NOT NULL AND error2 IS NU
 o AS (SELECT *, CASE WHEN refusal IS NOT NULL OR error1 IS NOT NULL THEN NULL WHEN status = 200 AND type1 = 'application/PDF' AND body1 <> '' THEN concat('<pre>', body1, '</pre>') WHEN status = 200 AND type1 LIKE '%html%' THEN body1 END AS html FROM r)
 SELECT page_id, refusal IS NULL AS allowed, CASE WHEN refusal IS NOT NULL THEN refusal WHEN error1 IS NOT NULL THEN concat('error: ', error1) WHEN html IS NOT NULL THEN 'ok, 1 quote(s)' WHEN status = 200 AND type1 = 'application/PDF' THEN 'pdf, no extractable text'
   ELSE concat(status, ' ', coalesce(nullif(string_split(type1, ';')[1], ''), '?')) END AS result, coalesce(length(html), 0)::BIGINT AS n_chars FROM o""",
+    "quotes_of_two_ranges": """WITH o AS (SELECT o_orderkey AS k FROM orders), w AS (SELECT k, k AS d, k AS h FROM o WHERE k % 7 IN (0, 1, 3) UNION ALL SELECT k, k + 2, k + 1 FROM o WHERE k % 7 IN (0, 1, 3, 6))
+SELECT k, d % 7 + 1 AS dow, (h % 4 + 13) * 60 AS "start", (h % 3 + 18) * 60 AS "end" FROM w""",
+    "nearby_places": sql("""WITH n AS (SELECT lid, street, r AS rank, (lid * 7 + r * 13) % 97 + 1 AS place_id FROM licence, range(10) t(r)),
+m AS (SELECT n.lid, n.rank, n.place_id FROM n JOIN place p ON n.place_id = p.place_id WHERE regexp_extract(n.street, '^([0-9]+)', 1) = p.number)
+SELECT lid, min(rank) AS rank, arg_min(place_id, rank) AS place_id FROM m GROUP BY lid""", "licence", "place"),
+    "sites_updated": sql("""SELECT lid, concat('http://', CASE WHEN lid % 4 = 0 THEN 'new' ELSE 'old' END, lid) AS website, CASE WHEN lid % 4 = 0 THEN 'new' ELSE 'old' END AS origin FROM venue WHERE lid % 4 = 0 OR lid % 3 > 0""", "venue"),
+    "named_proof": None,
+    "named_proof": f"""WITH p AS (SELECT page_id, string_split({_HOST}, '.') AS h, lower({_VISIBLE}) AS t FROM pages),
+w AS (SELECT *, list_filter(string_split(replace(concat(lower(h[-3]), ' ', lower(h[-2])), '-', ' '), ' '), lambda x: length(x) > 2) AS w FROM p)
+SELECT page_id, array_to_string(w, ' ') AS words, len(list_filter(w, lambda x: regexp_matches(t, concat('\\b', x, '\\b')))) = len(w) AND contains(t, lower(h[-2])) AS proven FROM w""",
 }

@@ -48,7 +48,8 @@ class File(InputPartition):
 
 
 def area_of(path: str) -> str:
-    return next((unquote(p[len(AREA) + 1 :]) for p in path.split("/") if p.startswith(f"{AREA}=")), "")
+    """The area of a file's address, which is encoded as an address over the encoding of a folder's value."""
+    return next((unquote(unquote(p[len(AREA) + 1 :])) for p in path.replace("%3D", "=").split("/") if p.startswith(f"{AREA}=")), "")
 
 
 def judge(test: Filter, row: dict[str, Any]) -> bool:
@@ -149,5 +150,5 @@ def landed(spark: SparkSession, path: str, kind: str) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{AREA}=*/*")
     found = top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(top) or []
-    files = [s.getPath().toString() for s in found if not s.getPath().getName().startswith(("_", "."))]
+    files = [s.getPath().toUri().toString() for s in found if not s.getPath().getName().startswith(("_", "."))]
     return spark.read.format("landed").option("kind", kind).option("files", json.dumps(files)).load()

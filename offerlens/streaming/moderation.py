@@ -65,8 +65,8 @@ def run_once(stream: DataFrame, mode: str, folder: str | None = None) -> DataFra
 BUCKETS = 64
 
 
-def upsert(path: str, key: str, buckets: int = BUCKETS):
-    """A foreachBatch sink: the rows of a batch replace those of the same key.
+def upsert(path: str, key: str, buckets: int = BUCKETS, latest: str | None = None):
+    """A foreachBatch sink: the rows of a batch replace those of the same key; of several in a batch the one with the greatest `latest` (without it, the greatest row).
 
     The table lies in buckets of the key's hash; a batch reads and rewrites those alone that it touches, by way of a
     copy beside the table. A batch that is replayed replaces the same keys again, so the result is the same.
@@ -74,6 +74,8 @@ def upsert(path: str, key: str, buckets: int = BUCKETS):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        whole = F.struct(*batch.columns)
+        batch = batch.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.struct(latest, whole) if latest else whole).alias("_row")).select("_row.*")
         dealt = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         touched = [r[0] for r in dealt.select("_bucket").distinct().collect()]  # as many as there are buckets at most
         there = spark._jvm.org.apache.hadoop.fs.Path(path)
