@@ -126,36 +126,46 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
 
 
 class Complements:
-    """Exact fills of a gap from available lengths. Counts only fall, so a sum that is used up is never looked at again."""
+    """Exact fills of a gap, by an index of the sums that available lengths make, singly, in pairs and in triples.
+
+    pairs: of each sum the lower parts of its pairs; triples: of each sum the parts that leave the sum of a pair, listed when the sum is first
+    asked for. Both are stacks with the smallest part on top. Counts only fall, so what is used up is taken off for good.
+    """
 
     def __init__(self, counts: list[int]):
         self.n = counts
-        self._pair_at = [1] * len(counts)
-        self._triple_at = [1] * len(counts)
+        self.lengths = np.array([x for x, n in enumerate(counts) if n and x], np.int64)
+        low, high = (self.lengths[k] for k in np.triu_indices(len(self.lengths)))
+        sums = low + high
+        within = sums < len(counts)
+        order = np.lexsort((-low[within], sums[within]))
+        low, sums = low[within][order], sums[within][order]
+        edges = np.searchsorted(sums, np.arange(len(counts) + 1))
+        self.pairs = [low[a:b].tolist() for a, b in zip(edges, edges[1:])]
+        self.triples: dict[int, list[int]] = {}
 
     def has(self, lengths: tuple[int, ...]) -> bool:
         return all(self.n[x] >= lengths.count(x) for x in lengths)
 
-    def pair(self, gap: int) -> tuple[int, ...] | None:
-        at = self._pair_at[gap]
-        while 2 * at <= gap:
-            if self.n[at] and self.n[gap - at] and self.has((at, gap - at)):
-                self._pair_at[gap] = at
-                return gap - at, at
-            at += 1
-        self._pair_at[gap] = at
+    def pair(self, gap: int, beside: int = 0) -> tuple[int, ...] | None:
+        """Two available lengths of that sum, the smallest lower part first; beside a third one if given."""
+        stack = self.pairs[gap]
+        while stack and not self.has((gap - stack[-1], stack[-1])):
+            stack.pop()
+        for low in reversed(stack):
+            found = (gap - low, low, beside) if beside else (gap - low, low)
+            if self.has(found):
+                return found
         return None
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
-        at = self._triple_at[gap]
-        while 3 * at <= gap:
-            if self.n[at]:
-                for low in range(max(at, 1), (gap - at) // 2 + 1):
-                    if self.n[low] and self.n[gap - at - low] and self.has((gap - at - low, low, at)):
-                        self._triple_at[gap] = at
-                        return gap - at - low, low, at
-            at += 1
-        self._triple_at[gap] = at
+        if gap not in self.triples:
+            self.triples[gap] = [x for x in reversed(self.lengths.tolist()) if x < gap and self.pairs[gap - x]]
+        stack = self.triples[gap]
+        while stack:
+            if self.n[stack[-1]] and (found := self.pair(gap - stack[-1], stack[-1])):
+                return found
+            stack.pop()
         return None
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
