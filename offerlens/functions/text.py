@@ -67,7 +67,8 @@ def names_agree(a: Column, b: Column) -> Column:
     return F.arrays_overlap(name_words(a), name_words(b))
 
 
-_TAIL = r",\s*(.+?)\s+([A-Z]{2})\s+(\d{5})"
+#: What ends an address behind its last comma that can be read so: town, state, ZIP.
+_TAIL = r",\s*" + r"\s+".join(("(.+?)", "([A-Z]{2})", "([0-9]{5})"))
 
 
 def registry_key(address: Column) -> Column:
@@ -93,7 +94,7 @@ def house_number(address: Column) -> Column:
 
 
 def split_address(address: Column) -> Column:
-    pattern = r"^(.*?),\s*(.+?)\s+([A-Z]{2})\s+(\d{5})"
+    pattern = "^(.*?)" + _TAIL
     return F.struct(*[F.regexp_extract(address, pattern, i + 1).alias(n) for i, n in enumerate(("street", "city", "state", "zip"))])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import pagetext
 
+#: How much of a file of rules and of a page is read.
 ROBOTS_BYTES = 200_000
 PAGE_CHARS = 600_000
 

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from offerlens.functions import pagetext
 from offerlens.session import written
 
+#: Fixed values of the walk: sitemaps that are opened, how an address stands in one, and how much of it is read.
 BUDGET = 3
-#: Of an index, the sitemaps that are followed: those named so, this many at most, or else its first.
-PAGE_MAPS = "(?i)page|post"
-FOLLOWED = 2
+LOC = r"(?i)<loc>\s*([^<\s]+)\s*</loc>"
 BODY = 2_000_000
 HEAD = 2_000
+#: Of an index, the sitemaps that are followed: those named so, this many at most, or else its first.
+PAGE_MAPS = "(?i)page|post"
+FOLLOWED = 2
 
 
 def listed(hosts: DataFrame, documents: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -33,7 +35,7 @@ def listed(hosts: DataFrame, documents: DataFrame, budget: int = BUDGET) -> Data
         first = met.groupBy("host").agg(F.min_by(F.struct("pos", "url", "status", "content_type", "body"), "pos").alias("doc"))
         read = (F.col("doc.status") == 200) & F.col("doc.content_type").contains("xml")
         body = F.when(F.coalesce(read, F.lit(False)), F.left("doc.body", F.lit(BODY)))
-        locs = F.coalesce(F.transform(F.regexp_extract_all(body, F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1)), pagetext.decoded), strings)
+        locs = F.coalesce(F.transform(F.regexp_extract_all(body, F.lit(LOC), F.lit(1)), pagetext.decoded), strings)
         index = F.coalesce(F.lower(F.left(body, F.lit(HEAD))).contains("<sitemapindex"), F.lit(False))
         held = state.join(first.select("host", "doc.pos", "doc.url", locs.alias("locs"), index.alias("index")), "host", "left")
         maps = F.slice(F.filter("locs", lambda u: u.rlike(PAGE_MAPS)), 1, FOLLOWED)

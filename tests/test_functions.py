@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlens.functions import grounding, pagetext, ranking, schedule
+from offerlens.operators import dates
 from offerlens.functions import text as T
 from offerlens.operators import moderation, validate
 
@@ -131,7 +132,8 @@ def test_publish_dates_and_recency(spark):
         '<script type="application/ld+json">{"@graph":[{"datePublished":"2026-06-01T10:00"}]}</script>', '<meta property="article:published_time" content="2026-05-02T01:00">', "<p>June 3, 2026</p>", "<p>none</p>",
         '<time datetime="2026-13-45">',
     ]
-    assert many(spark, lambda h: pagetext.published_date(h, pagetext.visible_text(h)), *pages) == [day(2026, 6, 1), day(2026, 5, 2), day(2026, 6, 3), None, None]
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    assert [r.published for r in dates.published(rows).orderBy("page_id").collect()] == [day(2026, 6, 1), day(2026, 5, 2), day(2026, 6, 3), None, None]
     fresh = many(spark, lambda x: pagetext.fresh_enough(x.cast("date"), F.lit(day(2026, 8, 6))), "2024-10-15", "2026-06-01", "2026-04-07", "2026-04-08", None)
     assert fresh == [False, True, False, True, False]
 
