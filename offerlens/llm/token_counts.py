@@ -8,7 +8,8 @@ still begins some token, and for each position in it the last token and the numb
 A transition emits the change of the token count, which sums to the count of the whole text.
 States are numbered, compiled when first reached, and kept; their number is finite.
 
-Chunks. A text over CHUNK characters is cut anywhere into rows of its own, and every task takes some of them.
+Chunks. Every text is counted by the maps of its chunks: WITHIN characters each, composed in the task that has the text; a text over CHUNK
+characters is cut anywhere into rows of its own, and every task takes some of them.
 A chunk's map sends each state in which it may be entered to the state in which it is left and the tokens between. Which
 states these are is told by the LOOK characters before it: a space or a line feed among them leaves one (no piece holds
 the space mark after another character), else every place of one piece's length at which the last token may have begun
@@ -19,7 +20,7 @@ the count is exact in any case, and no task holds more than a chunk of the text
 Runs between sync places recur, so their counts are remembered, up to MEMO.
 
 Defined cases: a null text is empty with 0 bytes and tokens; whole texts of any length are counted;
-repeated rows are counted one by one; extra columns are ignored; bytes that aren't UTF-8 count as
+repeated rows are counted one by one; extra columns are ignored, whatever their names; an empty table gives no rows; bytes that aren't UTF-8 count as
 U+FFFD, as the text itself would show them.
 """
 
@@ -40,6 +41,7 @@ from offerlens.llm.common import cut, id_and_bytes
 
 LIMIT = 4096
 CHUNK = 1 << 20
+WITHIN = 1 << 14
 LOOK = 256
 ARITY = 64
 MEMO = 500_000
@@ -198,8 +200,25 @@ class Transducer:
             self._next.append({})
         return to
 
+    def count_by_maps(self, text: str, size: int = WITHIN, look: int = LOOK) -> int:
+        """Tokens of text, which has the space marks already: the maps of its chunks, composed."""
+        if len(self._states) > STATES:
+            self._clear()
+        if not text:
+            return 0
+        lacking: dict[int, set[State]] = {}
+        while True:
+            maps = []
+            for k, at in enumerate(range(0, len(text), size)):
+                entries = self.entries(text[max(0, at - look) : at], at <= look) | lacking.get(k, set())
+                maps.append((k, self.chunk_map(text[at : at + size], entries)))
+            (end,) = compose_all(maps).values()
+            if end.missing < 0:
+                return end.count
+            lacking.setdefault(end.missing, set()).add(end.state)
+
     def count(self, text: str) -> int:
-        """Tokens of text, which has the space marks already."""
+        """The same in one go, without cutting text."""
         if len(self._states) > STATES:
             self._clear()
         memo = self._memo
@@ -236,7 +255,7 @@ def marked(text: str, path: str) -> str:
 
 
 def count_text(text: str, path: str) -> int:
-    return compiled(path)[0].count(marked(text, path))
+    return compiled(path)[0].count_by_maps(marked(text, path))
 
 
 # -- chunks as rows --------------------------------------------------------------------------------
@@ -277,7 +296,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, chunk: int = CH
                 raw = body.as_buffer()
                 text = marked(str(raw, "utf-8", "replace"), path)
                 if len(text) <= chunk:
-                    rows.append((key, len(raw), compiled(path)[0].count(text), None, None, None, None))
+                    rows.append((key, len(raw), compiled(path)[0].count_by_maps(text), None, None, None, None))
                     continue
                 for k, at in enumerate(range(0, len(text), chunk)):
                     rows.append((key, len(raw), None, no, k, text[max(0, at - look) : at], text[at : at + chunk]))

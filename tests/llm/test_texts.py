@@ -229,7 +229,7 @@ def test_chunk_maps_compose_wherever_a_text_is_cut(model):
             if end.missing < 0:
                 break
             lacking.setdefault(end.missing, set()).add(end.state)
-        assert end.count == machine.count(text) == len(sp.encode(raw))
+        assert end.count == machine.count(text) == machine.count_by_maps(text, size, 5) == len(sp.encode(raw))
         # the maps are associative
         if len(maps) > 2:
             left = token_counts.compose(token_counts.compose(maps[0][1], maps[1][1], 1), token_counts.compose_all(maps[2:]), 2)
