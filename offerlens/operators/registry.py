@@ -80,6 +80,27 @@ def zone_counts(licences: DataFrame) -> DataFrame:
     return counted.withColumn("zone", F.when(F.col("_total") == 1, "(total)").otherwise(F.col("zone"))).drop("_total")
 
 
+#: What the lines of sums are called, and the zone that is marked as off by default. Fixed values.
+UNZONED, NAMED, TOTAL, MARKED = "(unzoned)", "in a named zone", "total", "center_city"
+
+
+def zone_report(licences: DataFrame, zones: DataFrame) -> DataFrame:
+    """(line, label, n, core, taproom): the zones(zone_id, name, pos) that have rows, in their order, then those without a zone, those with one together, and all.
+
+    One pass with grouping sets: by zone, by whether there is one, and over all. A zone that zones lacks is not listed but counts in the sums.
+    """
+    zone = F.coalesce(F.nullif("zone_id", F.lit("")), F.lit(UNZONED))
+    rows = licences.select(zone.alias("zone"), (zone != UNZONED).alias("named"), (F.col("tier") == "core").alias("core"))
+    sets = rows.groupingSets([[F.col("named"), F.col("zone")], [F.col("named")], []], F.col("named"), F.col("zone"))
+    counted = sets.agg(F.count("*").alias("n"), F.count_if("core").alias("core"), F.grouping("zone").alias("sum"), F.grouping("named").alias("all"))
+    met = counted.join(zones.select(F.col("zone_id").alias("zone"), F.col("name"), "pos"), "zone", "left")
+    own = F.col("sum") == 0
+    label = F.when(F.col("all") == 1, TOTAL).when(~own, NAMED).otherwise(F.concat(F.coalesce("name", "zone"), F.when(F.col("zone") == MARKED, " *").otherwise("")))
+    line = F.when(F.col("all") == 1, 3).when(~own, 2).when(F.col("zone") == UNZONED, 1).otherwise(0)
+    kept = met.where(F.when(own, F.col("pos").isNotNull() | (F.col("zone") == UNZONED)).otherwise(F.coalesce("named", F.lit(True))))
+    return kept.select(F.struct(line.alias("part"), F.coalesce("pos", F.lit(0)).alias("pos")).alias("line"), label.alias("label"), "n", "core", (F.col("n") - F.col("core")).alias("taproom"))
+
+
 def site_of(tags: Column) -> Column:
     """The first web address among the tags that may hold one, the chain's own page last."""
     return F.coalesce(*[F.when(F.startswith(F.trim(tags[k]), F.lit("http")), F.trim(tags[k])) for k in ("website", "contact:website", "url", "brand:website")])

@@ -59,6 +59,16 @@ def zone_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.zone_counts(rows.withColumn("zone_id", F.when(F.col("nation") % 5 == 0, "").otherwise(F.concat(F.lit("z"), F.col("nation").cast("string")))))
 
 
+def zone_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry's report by zone: zones in their order under their names, then the sums."""
+    k = F.col("nation")
+    zone = F.when(k % 5 == 0, "").when(k == 7, "center_city").otherwise(F.concat(F.lit("z"), k.cast("string")))
+    rows = _licences(spark, sf_dir).where("tier IN ('core', 'taproom')").withColumn("zone_id", zone)
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey <> 4")
+    zones = nations.select(F.when(F.col("n_nationkey") == 7, "center_city").otherwise(F.concat(F.lit("z"), F.col("n_nationkey").cast("string"))).alias("zone_id"), F.col("n_name").alias("name"), (100 - F.col("n_nationkey")).cast("int").alias("pos"))
+    return registry.zone_report(rows, zones).select(F.col("line.part").cast("long").alias("part"), F.col("line.pos").cast("long").alias("pos"), "label", "n", "core", "taproom")
+
+
 def _premises_lens(spark: SparkSession, d: str) -> DataFrame:
     rows = _licences(spark, d)
     return rows.select(
@@ -263,7 +273,7 @@ def stage_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        registry_drop_reasons, registry_zone_assign, zone_tier_counts, premises_dedupe, premises_collapse, tiered_site_join, shared_element_collapse, site_carry_over, address_keys,
+        registry_drop_reasons, registry_zone_assign, zone_tier_counts, zone_report, premises_dedupe, premises_collapse, tiered_site_join, shared_element_collapse, site_carry_over, address_keys,
         street_and_name_cores, place_acceptance, merge_frontier, deal_validation, deal_reject_summary, combo_cap, offer_errors, extracted_schedules, priority_union, canonical_lid, board_full_outer, zone_index, price_fill,
         coordinate_refresh, slug_collisions, hue_and_cache_names, coverage_counters, stage_funnel,
     )
@@ -310,6 +320,11 @@ SELECT k.lid, coalesce(nullif(premises, ''), licensee) AS name, tier, coalesce(c
 FROM kept k LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 > 0) n ON k.nation = n.n_nationkey LEFT JOIN z ON k.zip = z.zip""".replace("coalesce(concat('r', n.n_regionkey), concat('zip-', z.zip), '')", "CASE WHEN n.n_regionkey IS NOT NULL THEN concat('r', n.n_regionkey) WHEN z.zip IS NOT NULL THEN concat('zip-', z.zip) ELSE '' END"), "licence"),
     "zone_tier_counts": sql(f"""SELECT CASE WHEN grouping(zone) = 1 THEN '(total)' ELSE zone END AS zone, count(*) AS n, count(*) FILTER (tier = 'core') AS n_core, count(*) FILTER (tier = 'taproom') AS n_taproom
 FROM (SELECT {_TIER_SQL} AS tier, CASE WHEN nation % 5 = 0 THEN '(unzoned)' ELSE concat('z', nation) END AS zone FROM licence) WHERE tier IN ('core', 'taproom') GROUP BY ROLLUP (zone)""", "licence"),
+    "zone_report": sql(f"""WITH r AS (SELECT CASE WHEN nation % 5 = 0 THEN '(unzoned)' WHEN nation = 7 THEN 'center_city' ELSE concat('z', nation) END AS zone, {_TIER_SQL} = 'core' AS core FROM licence WHERE {_TIER_SQL} IN ('core', 'taproom')),
+z AS (SELECT CASE WHEN n_nationkey = 7 THEN 'center_city' ELSE concat('z', n_nationkey) END AS zone, n_name, 100 - n_nationkey AS pos FROM nation WHERE n_nationkey <> 4),
+c AS (SELECT zone, count(*) AS n, count(*) FILTER (core) AS core FROM r GROUP BY zone)
+SELECT CASE WHEN zone = '(unzoned)' THEN 1 ELSE 0 END::BIGINT AS part, coalesce(pos, 0)::BIGINT AS pos, concat(coalesce(n_name, zone), CASE WHEN zone = 'center_city' THEN ' *' ELSE '' END) AS label, n, core, n - core AS taproom FROM c LEFT JOIN z USING (zone) WHERE pos IS NOT NULL OR zone = '(unzoned)'
+UNION ALL SELECT 2, 0, 'in a named zone', count(*), count(*) FILTER (core), count(*) FILTER (NOT core) FROM r WHERE zone <> '(unzoned)' UNION ALL SELECT 3, 0, 'total', count(*), count(*) FILTER (core), count(*) FILTER (NOT core) FROM r""", "licence"),
     "premises_dedupe": sql(f"""WITH p AS (SELECT lid, concat(CASE WHEN lid % 2 = 0 THEN 'The Venue ' ELSE 'THE venue ' END, lid % 300) AS name, concat(lid % 300, ' Main St') AS address, concat('z', nation) AS zone_id, concat('L-', lid) AS number, coalesce({_TIER_SQL}, 'none') AS tier FROM licence)
 SELECT min(lid) AS lid, min_by(name, lid) AS name, min_by(address, lid) AS address, min_by(zone_id, lid) AS zone_id, string_agg(number, '|' ORDER BY lid) AS numbers, CASE WHEN bool_or(tier = 'core') THEN 'core' ELSE min_by(tier, lid) END AS tier
 FROM p GROUP BY lower(trim(name)), lower(trim(address))""", "licence"),
