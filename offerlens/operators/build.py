@@ -1,6 +1,7 @@
 """From offers of all sources to the board: prices, rules, decay, the cap on combinations, one licence's offers for each card.
 
-The chain is one plan of joins and groupings on the offer, the licence and the address; nothing of it is collected.
+The chain is one plan of joins and groupings on the offer, the licence and the address; nothing of it is collected. Whoever uses one of its tables
+more than once writes it (session.written).
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from offerlens.operators import publish
 from offerlens.operators.validate import COMBOS_A_DAY
 
 
-def offers(deals: DataFrame, prices: DataFrame, errors: Column) -> DataFrame:
-    """deals with prices read later, and what became of each: `rejected` (the first broken rule), `hidden` by age, or null for those that stay.
+def offers(priced: DataFrame, errors: Column) -> DataFrame:
+    """priced with what became of each offer: `rejected: ` and the first broken rule, `hidden` by age, or null for those that stay.
 
-    errors: the rules broken, over the columns of deals; they are held against the prices that were filled in.
+    priced: offers with the prices that were read later filled in (publish.with_prices), as the rules are held against them too; errors: the rules
+    broken, over its columns.
     """
-    priced = publish.with_prices(deals, prices)
     first = F.try_element_at(errors, F.lit(1))
     shown = R.effective_confidence(F.col("confidence"), F.col("age_days"))
     return priced.withColumn("fate", F.when(first.isNotNull(), F.concat(F.lit("rejected: "), first)).when(shown == "hidden", "hidden"))

@@ -9,6 +9,7 @@ from offerlens.operators import build, publish, validate
 from offerlens.plans.feed_queries import _CONFIDENCE
 from offerlens.plans.lenses import lens, sql
 from offerlens.plans.registry_queries import _CAPS
+from offerlens.session import written
 
 
 def _venues(spark: SparkSession, d: str) -> DataFrame:
@@ -16,7 +17,7 @@ def _venues(spark: SparkSession, d: str) -> DataFrame:
     rows = lens(spark, d, "venue").select(F.col("lid").alias("id"), "lid", (F.col("lid") % 4000).alias("addr"), "zone_id", "name")
     by_hand = rows.where("lid % 7 = 0").select("*", F.lit("staff").alias("verified_by"), F.col("lid").alias("pos"))
     crawled = rows.select("*", F.lit("auto_extract").alias("verified_by"), (F.col("lid") + 1_000_000_000).alias("pos"))
-    return publish.priority_union(by_hand, crawled).withColumnRenamed("id", "venue")
+    return written(publish.priority_union(by_hand, crawled).withColumnRenamed("id", "venue"), "venues")
 
 
 def _base(spark: SparkSession, d: str) -> DataFrame:
@@ -31,26 +32,27 @@ def _zones(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey % 6 > 0").select(F.concat(F.lit("z"), F.col("n_nationkey").cast("string")).alias("zone_id"), F.col("n_name").alias("name"))
 
 
-def _offers(spark: SparkSession, d: str) -> DataFrame:
+def _offers(spark: SparkSession, d: str, venues: DataFrame) -> DataFrame:
     """Every offer of a venue that is read, with its fate: priced, held against the rules, aged."""
     items = lens(spark, d, "item").where("deal_id % 4 > 0").groupBy("deal_id").agg(F.collect_list(F.struct("category", "price", "pct", "off")).alias("items"))
-    deals = lens(spark, d, "deal").join(_venues(spark, d).select(F.col("venue").alias("lid"), "verified_by"), "lid").join(items, "deal_id", "left").withColumn("slug", F.col("lid"))
+    deals = lens(spark, d, "deal").join(venues.select(F.col("venue").alias("lid"), "verified_by"), "lid").join(items, "deal_id", "left").withColumn("slug", F.col("lid"))
     read = F.struct(F.when(F.col("lid") % 25 == 0, "novelty").otherwise("wine").alias("category"), F.lit(5.0).alias("price"), F.lit(None).cast("double").alias("pct"), F.lit(None).cast("double").alias("off"))
     prices = lens(spark, d, "venue").where("lid % 5 = 0").select(F.col("lid").alias("slug"), F.array(read).alias("items"))
-    # the rules are held against the prices that were filled in
-    flat = publish.with_prices(deals, prices).select("deal_id", F.explode("items").alias("i")).select("deal_id", "i.*")
-    errors = validate.flat_errors(deals.select("deal_id", "type", "confidence"), lens(spark, d, "window_"), flat).select("deal_id", "first_error")
-    return build.offers(deals.join(errors, "deal_id"), prices, F.when(F.col("first_error").isNotNull(), F.array("first_error")))
+    priced = written(publish.with_prices(deals, prices), "priced")
+    flat = priced.select("deal_id", F.explode("items").alias("i")).select("deal_id", "i.*")
+    errors = validate.flat_errors(priced.select("deal_id", "type", "confidence"), lens(spark, d, "window_"), flat).select("deal_id", "first_error")
+    return build.offers(priced.join(errors, "deal_id"), F.when(F.col("first_error").isNotNull(), F.array("first_error")))
 
 
-def _cards(spark: SparkSession, d: str) -> DataFrame:
+def _cards(spark: SparkSession, d: str, venues: DataFrame, told: DataFrame) -> DataFrame:
     windows = lens(spark, d, "window_").groupBy("deal_id").agg(F.collect_list(F.struct("dow")).alias("windows"))
-    kept = _offers(spark, d).where("fate IS NULL").join(windows, "deal_id").select(F.col("lid").alias("venue"), "deal_id", F.col("deal_id").alias("deal_pos"), "type", "confidence", "items_source", "windows")
-    return build.cards(build.capped(kept), _venues(spark, d).select("venue", "pos", "lid", "addr"), _base(spark, d))
+    kept = told.where("fate IS NULL").join(windows, "deal_id").select(F.col("lid").alias("venue"), "deal_id", F.col("deal_id").alias("deal_pos"), "type", "confidence", "items_source", "windows")
+    return build.cards(build.capped(written(kept, "kept")), venues.select("venue", "pos", "lid", "addr"), _base(spark, d))
 
 
 def _board(spark: SparkSession, d: str) -> DataFrame:
-    return build.board(_cards(spark, d), _venues(spark, d), _base(spark, d), _zones(spark, d))
+    venues = _venues(spark, d)
+    return build.board(_cards(spark, d, venues, _offers(spark, d, venues)), venues, _base(spark, d), _zones(spark, d))
 
 
 def board_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +67,9 @@ def board_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of all offers, with subtotals by the part of the build: rejected, hidden by age, capped or shipped."""
-    told = _offers(spark, sf_dir)
-    shipped = _cards(spark, sf_dir).select(F.explode("deals.deal_id").alias("deal_id")).withColumn("in_card", F.lit(True))
+    venues = _venues(spark, sf_dir)
+    told = written(_offers(spark, sf_dir, venues), "told")
+    shipped = _cards(spark, sf_dir, venues, told).select(F.explode("deals.deal_id").alias("deal_id")).withColumn("in_card", F.lit(True))
     fate = F.when(F.col("fate").startswith("rejected"), "rejected").when(F.col("fate") == "hidden", "hidden").when(F.col("in_card"), "shipped").otherwise("not on a card")
     rows = told.join(shipped, "deal_id", "left").select(fate.alias("fate"), F.coalesce(F.when(fate == "rejected", F.substring_index("fate", ": ", -1)), "type").alias("kind"))
     sets = rows.groupingSets([[F.col("fate"), F.col("kind")], [F.col("fate")], []], F.col("fate"), F.col("kind"))
