@@ -54,15 +54,23 @@ def write_bundles(rows: DataFrame, path: str) -> None:
     rows.withColumn("has_deals", F.col("n_deals") > 0).repartitionByRange("zone_id", F.lower("name"), "key").sortWithinPartitions("zone_id", F.lower("name"), "key").write.mode("overwrite").partitionBy("zone_id", "has_deals").json(path)
 
 
-def write_documents(rows: DataFrame, path: str) -> None:
-    """A document for each zone and kind of card: `zone-<id>` has those with offers, `venues-<id>` the others.
+#: Cards of a document; a zone with more has several.
+DOCUMENT_CARDS = 5_000
 
-    rows(zone_id, id, name, deals). A zone's cards are one document, as its reader wants them, and pass through one task; the tasks name their
-    files by the documents that they hold.
+
+def write_documents(rows: DataFrame, path: str, most: int = DOCUMENT_CARDS) -> None:
+    """Documents for each zone and kind of card: `zone-<id>` has those with offers, `venues-<id>` the others, in the order of names.
+
+    rows(zone_id, id, name, deals). Where a zone has over `most` cards of a kind they are dealt into documents `<kind><id>.<k>` by their ids, so that no task holds
+    a whole zone however large; whoever reads by the beginning of the name has them all.
     """
     kind = F.when(F.size("deals") > 0, "zone-").otherwise("venues-")
+    cards = rows.select("zone_id", F.concat(kind, "zone_id").alias("document"), "id", "name", "deals")
+    parts = cards.groupBy("document").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("string")
+    dealt = cards.join(parts, "document").withColumn("document", F.when(F.col("parts") > 1, F.concat("document", F.lit("."), part)).otherwise(F.col("document")))
     order = F.struct(F.lower("name").alias("n"), "id", F.struct("id", "name", "deals").alias("v"))
-    documents = rows.groupBy("zone_id", F.concat(kind, "zone_id").alias("document")).agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["v"]).alias("venues"))
+    documents = dealt.groupBy("zone_id", "document").agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["v"]).alias("venues"))
     documents.select("document", F.to_json(F.struct("zone_id", "venues")).alias("value")).repartition("document").write.mode("overwrite").partitionBy("document").text(path)
     _named_files(rows.sparkSession, path)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from offerlens.operators.moderation import PER_DAY, final_status, rate_counts
 from offerlens.session import shared_folder
 
+#: Rows of a frame that is handed on.
+FRAME_ROWS = 10_000
 ADMITTED = "ip_hash bigint, day date, ts timestamp, id bigint, admitted boolean"
 
 
@@ -28,14 +31,17 @@ def rate_limit(submissions: DataFrame, most: int = PER_DAY, late: str = "1 day")
             state.remove()
             return
         seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["ts", "id"])
-        place = seen + pd.Series(range(1, len(rows) + 1), index=rows.index)
-        rows["admitted"] = place <= most
-        state.update((seen + len(rows),))
+        # of a flood only times and ids are held, sixteen bytes a row
+        held = [(f["ts"].to_numpy("datetime64[us]"), f["id"].to_numpy()) for f in frames]
+        ts, ids = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((ids, ts))
+        state.update((seen + len(order),))
         ends = int((pd.Timestamp(key[1]) + pd.Timedelta(days=2)).timestamp() * 1000)
         if ends > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(ends)
-        yield rows[["ip_hash", "day", "ts", "id", "admitted"]]
+        for low in range(0, len(order), FRAME_ROWS):
+            part = order[low : low + FRAME_ROWS]
+            yield pd.DataFrame({"ip_hash": key[0], "day": key[1], "ts": ts[part], "id": ids[part], "admitted": seen + low + np.arange(1, len(part) + 1) <= most})
 
     timed = submissions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy("ip_hash", "day").applyInPandasWithState(admit, ADMITTED, "n bigint", "append", GroupStateTimeout.EventTimeTimeout)

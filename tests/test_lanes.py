@@ -183,6 +183,9 @@ def test_documents_of_zones_come_back(spark, tmp_path):
     assert sorted((r.zone_id, r.venue, r.deal_id) for r in offers.collect()) == [("z1", "1", 3), ("z1", "2", 1), ("z1", "2", 2), ("z2", "4", 5)]
     assert [tuple(r) for r in files.unpriced(offers).collect()] == [("2", 2)]
     assert [r.venue_pos for r in offers.where("venue = '1'").collect()] == [0]
+    many = [("z1", str(k), "N", [(k, "auto_extract", [])]) for k in range(40)]
+    publish.write_documents(spark.createDataFrame(many, f"zone_id string, id string, name string, deals {deals}"), str(tmp_path / "e"), most=10)
+    assert sorted(r.deal_id for r in files.published_offers(spark, str(tmp_path / "e"), "zone-z1").collect()) == list(range(40)) and (tmp_path / "e" / "zone-z1.3.json").exists()
 
 
 def test_decay_over_batches_and_late_rows(spark, tmp_path):
