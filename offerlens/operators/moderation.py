@@ -126,3 +126,8 @@ def approved(submissions: DataFrame, base: DataFrame) -> DataFrame:
     return met.select(
         "lid", told(F.col("name"), F.col("s.venue_name"), F.col("lid").cast("string")).alias("name"), F.coalesce("address", F.lit("")).alias("address"), F.coalesce("zone_id", F.lit("")).alias("zone_id"), "website", "s.photo_id", "s.deals"
     )
+
+
+def photo_of(submissions: DataFrame, id_: int) -> DataFrame:
+    """The submission of that id: a point look-up whose predicate the source's reader gets."""
+    return submissions.where(F.col("id") == id_).limit(1)

@@ -96,6 +96,11 @@ def approved_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moderation.approved(subs, base).select("lid", "name", "address", "zone_id", "photo_id", F.col("deals")[0].alias("deal_id"))
 
 
+def photo_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One submission by its id: one row of one is the feature."""
+    return moderation.photo_of(lens(spark, sf_dir, "submission"), 77).select("id", "ip_hash", "event_type")
+
+
 #: The day on which the offers' ages are told, and how long event time waits for late rows.
 _TODAY, _LATE = "2024-07-01", 7
 
@@ -117,7 +122,7 @@ def stream_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decay.shown(changes).where("deal_id >= 0")
 
 
-QUERIES = {f.__name__: f for f in (landed_places, landed_elements, unpriced_offers, remaining_work, resumed_crawl, approved_photos, stream_decay)}
+QUERIES = {f.__name__: f for f in (landed_places, landed_elements, unpriced_offers, remaining_work, resumed_crawl, approved_photos, photo_lookup, stream_decay)}
 
 _LAT, _LNG = "40 + (place_id % 100)::DOUBLE / 200", "-75 - (place_id % 90)::DOUBLE / 300"
 ORACLES = {
@@ -132,5 +137,6 @@ SELECT lid AS key, concat('http://Tavern', lid) AS website FROM venue WHERE zone
     "approved_photos": sql("""WITH s AS (SELECT lid, arg_max(deal_id, struct_pack(a := deal_id % 1000, p := deal_id)) AS k FROM deal WHERE deal_id % 4 = 0 GROUP BY lid)
 SELECT s.lid, CASE WHEN v.lid % 7 > 0 THEN v.name WHEN k % 3 > 0 THEN concat('Seen ', s.lid) ELSE CAST(s.lid AS VARCHAR) END AS name, coalesce(concat(CAST(v.lid AS VARCHAR) || ' Main St'), '') AS address, coalesce(v.zone_id, '') AS zone_id, k AS photo_id, k AS deal_id
 FROM s LEFT JOIN (SELECT * FROM venue WHERE lid % 5 > 0) v ON s.lid = v.lid""", "deal", "venue"),
+    "photo_lookup": "SELECT event_id AS id, user_id AS ip_hash, event_type FROM events WHERE event_id = 77",
     "stream_decay": sql("SELECT deal_id, CASE WHEN confidence IN ('verified', 'disputed') THEN confidence WHEN age_days > 120 THEN 'hidden' WHEN age_days > 45 AND confidence = 'likely' THEN 'unconfirmed' ELSE confidence END AS effective FROM deal", "deal"),
 }

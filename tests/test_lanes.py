@@ -152,6 +152,13 @@ def test_a_stopped_run_equals_one_run(spark, tmp_path):
     assert logs["stopped"] == logs["whole"] and len(logs["whole"]) == 15
 
 
+def test_a_look_up_reaches_the_reader(spark):
+    from offerlens.plans import catalogue
+
+    plan = catalogue.queries()["photo_lookup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_id,77)" in plan
+
+
 def test_what_is_left_to_do(spark):
     work = spark.createDataFrame([(k, f"z{k % 2}", f"http://{'Inn' if k < 6 else 'bar'}{k}") for k in range(10)], "key long, zone_id string, website string")
     log = spark.createDataFrame([(0, 1, "ok"), (2, 1, "missing"), (4, 1, "missing"), (4, 2, "ok"), (6, 1, "ok"), (6, 2, "missing")], "key long, at int, outcome string")
