@@ -15,18 +15,20 @@ PAGE_CHARS = 600_000
 def rules(robots: DataFrame, agent: str) -> DataFrame:
     """(host, ordinal, allow, path) from robots(host, status, body): the rules of the group that speaks to the agent, or else to all.
 
-    A group is a run of user-agent lines with what follows it; the first group that names the agent counts. Other answers than a file have no rules.
+    A group is a run of user-agent lines with the rules that follow it; an empty line ends it, and rules without user-agents before them speak to nobody.
+    The first group with a rule that names the agent counts. Other answers than a file have no rules.
     """
     name = agent.split("/")[0].lower()
     lines = robots.where("status = 200").select("host", F.posexplode(F.split(F.left("body", F.lit(ROBOTS_BYTES)), r"\r\n|\r|\n")).alias("pos", "line"))
-    said = lines.select("host", "pos", F.trim(F.regexp_replace("line", "#.*$", "")).alias("line"))
-    pairs = said.select("host", "pos", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("field"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("value")).where("field IN ('user-agent', 'allow', 'disallow')")
+    said = lines.select("host", "pos", (F.col("line") == "").alias("empty"), F.trim(F.regexp_replace("line", "#.*$", "")).alias("line"))
+    field = F.when(F.col("empty"), "").when(F.instr("line", ":") > 0, F.lower(F.trim(F.substring_index("line", ":", 1))))
+    pairs = said.select("host", "pos", field.alias("field"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("value")).where("field IN ('', 'user-agent', 'allow', 'disallow')")
     order = Window.partitionBy("host").orderBy("pos")  # a file, ROBOTS_BYTES at most
-    opens = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(order), F.lit("")) != "user-agent")
-    grouped = pairs.withColumn("group", F.sum(opens.cast("int")).over(order)).where("group > 0")
-    asked = F.lower(F.substring_index("value", "/", 1))
-    named = F.when(F.col("value") == "*", 1).when((asked != "") & F.lit(name).contains(asked), 0)
-    chosen = grouped.where("field = 'user-agent'").select("host", "group", named.alias("tier")).where("tier IS NOT NULL").groupBy("host").agg(F.min(F.struct("tier", "group")).alias("g"))
+    opens = (F.col("field") == "") | (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(order), F.lit("")) != "user-agent")
+    grouped = pairs.withColumn("group", F.sum(opens.cast("int")).over(order)).where("field <> ''")
+    named = F.when(F.col("value") == "*", 1).when(F.lit(name).contains(F.lower("value")), 0)
+    speaks = grouped.groupBy("host", "group").agg(F.min(F.when(F.col("field") == "user-agent", named)).alias("tier"), F.bool_or(F.col("field") != "user-agent").alias("rules"))
+    chosen = speaks.where("rules AND tier IS NOT NULL").groupBy("host").agg(F.min(F.struct("tier", "group")).alias("g"))
     mine = grouped.join(chosen.select("host", F.col("g.group").alias("group")), ["host", "group"]).where("field <> 'user-agent'")
     # a rule against nothing allows all
     return mine.select("host", F.col("pos").alias("ordinal"), ((F.col("field") == "allow") | (F.col("value") == "")).alias("allow"), F.col("value").alias("path"))

@@ -75,6 +75,23 @@ def test_rules_of_robots(spark):
     assert found == {u: no if u in ("http://a/private/x", "http://e/x?q") else shut if u == "http://c/x" else (True, None) for u in urls}
 
 
+def test_rules_are_those_of_the_standard_parser(spark):
+    from urllib.robotparser import RobotFileParser
+
+    rng = random.Random(8)
+    lines = ["User-agent: *", "User-agent: OfferBot", "user-AGENT : offer", "User-agent: other", "Disallow: /a", "Disallow: /a/b", "Allow: /a/b/c", "Allow: /", "Disallow:", "Disallow: /", "", "# note", "Disallow: /a # why", "Sitemap: http://x", "nonsense", " "]
+    bodies = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    paths = ["", "/", "/a", "/a/b", "/a/b/c?d", "/b"]
+    rows = spark.createDataFrame([(f"h{k}", 200, b) for k, b in enumerate(bodies)], "host string, status int, body string")
+    urls = spark.createDataFrame([(f"http://h{k}{p}",) for k in range(len(bodies)) for p in paths], "url string")
+    found = {r.url: r.allowed for r in robots.allowed(urls, rows, "OfferBot/1.0").collect()}
+    for k, body in enumerate(bodies):
+        parser = RobotFileParser()
+        parser.parse(body.split("\n"))
+        for p in paths:
+            assert found[f"http://h{k}{p}"] == parser.can_fetch("OfferBot/1.0", f"http://h{k}{p}"), (body, p)
+
+
 def test_outcomes_of_fetches(spark):
     answer = "struct<status:int,content_type:string,error:string,body:string>"
     page = "<p>Happy hour Mon - Fri 4pm - 6pm</p>"
