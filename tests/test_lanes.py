@@ -1,8 +1,10 @@
 """Dates, walks, robots, resumed work, sources, decay and places over sorted tables, by golden cases."""
 
 import datetime as dt
+import html
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +43,51 @@ def test_published_dates(spark):
     assert [found[k] for k in range(len(DATED))] == list(DATED.values())
 
 
+def first_date(page):
+    """By the rule: a stack of values; a record gives its own dates, then its values are put on the stack in order."""
+    for block in re.findall(r'(?s)<script type="application/ld\+json">(.*?)</script>', page):
+        try:
+            stack = [json.loads(html.unescape(block))]
+        except ValueError:
+            continue
+        while stack:
+            node = stack.pop()
+            if isinstance(node, dict):
+                for key in dates.DATE_KEYS:
+                    if isinstance(node.get(key), str) and (hit := re.search(r"\d{4}-\d{2}-\d{2}", node[key])):
+                        try:
+                            return dt.date.fromisoformat(hit[0])
+                        except ValueError:
+                            pass
+                stack.extend(node.values())
+            elif isinstance(node, list):
+                stack.extend(node)
+    return None
+
+
+def test_dates_of_random_blocks(spark):
+    rng = random.Random(9)
+
+    def value(depth):
+        kind = rng.random()
+        if depth and kind < 0.4:
+            keys = rng.sample([*dates.DATE_KEYS, "dateModified", "z", "a", "@graph", "b'c"], rng.randint(0, 4))
+            return {k: value(depth - 1) for k in keys}
+        if depth and kind < 0.55:
+            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        return rng.choice([None, True, 20240101, 1.5, "no", "{", "[2024-02-02]", "2024-02-30", "", f"on 20{rng.randint(10, 29)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T00", 'quo"te & <b>'])
+
+    pages = []
+    for _ in range(300):
+        blocks = [json.dumps(value(4)) for _ in range(rng.randint(1, 3))]
+        blocks = [b[:-1] if rng.random() < 0.15 else html.escape(b) if rng.random() < 0.3 else b for b in blocks]
+        pages.append("<body>" + "".join(LD % b for b in blocks) + "</body>")
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    found = {r.page_id: r.published for r in dates.published(rows).collect()}
+    wrong = [(p, found[k], first_date(p)) for k, p in enumerate(pages) if found[k] != first_date(p)]
+    assert not wrong, wrong[:2]
+
+
 def test_a_walk_over_sitemaps(spark):
     index = lambda *urls: "<sitemapindex>" + "".join(f"<loc>{u}</loc>" for u in urls) + "</sitemapindex>"
     pages = lambda *urls: "<urlset>" + "".join(f"<loc> {u} </loc>" for u in urls) + "</urlset>"
