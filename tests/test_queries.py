@@ -31,9 +31,8 @@ def test_query_is_its_sql(spark, duck, name):
     assert found == Counter(tuple(r[names.index(c)] for c in columns) for r in answer.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    assert catalogue.queries()[name](spark, SF).count() > 0
+def test_every_query_has_its_sql():
+    assert set(catalogue.queries()) == set(catalogue.oracle_sql())
 
 
 def test_entry_and_names(spark):
