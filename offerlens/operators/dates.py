@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import pagetext
+from offerlens.functions.schedule import let
 from offerlens.session import written
 
 #: Keys whose string values are dates of publication, in the order in which a record's own are taken. Fixed values.
@@ -45,11 +46,14 @@ def tag_date(html: Column) -> Column:
 
 def prose_date(text: Column) -> Column:
     """The first `month day, year` of the first 4000 characters; null if the calendar lacks that day."""
-    start = F.left(text, F.lit(4000))
     spoken = rf"(?i)\b({'|'.join(pagetext.MONTHS)})\s+(\d{{1,2}}),\s+(\d{{4}})\b"
-    month = F.array_position(F.array(*map(F.lit, pagetext.MONTHS)), F.lower(F.regexp_extract(start, spoken, 1)))
-    day = F.coalesce(F.regexp_extract(start, spoken, 2).try_cast("int"), F.lit(0))
-    return F.when(month > 0, iso_date(F.format_string("%s-%02d-%02d", F.regexp_extract(start, spoken, 3), month.cast("int"), day)))
+
+    def read(found: Column) -> Column:
+        month = F.array_position(F.array(*map(F.lit, pagetext.MONTHS)), F.lower(F.regexp_extract(found, spoken, 1)))
+        day = F.coalesce(F.regexp_extract(found, spoken, 2).try_cast("int"), F.lit(0))
+        return F.when(month > 0, iso_date(F.format_string("%s-%02d-%02d", F.regexp_extract(found, spoken, 3), month.cast("int"), day)))
+
+    return let(F.regexp_extract(F.left(text, F.lit(4000)), spoken, 0), read)  # the text is made once, and read again only where it speaks of a day
 
 
 def linked_values(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
