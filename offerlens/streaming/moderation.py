@@ -16,35 +16,53 @@ from offerlens.session import shared_folder
 
 #: Rows of a frame that is handed on.
 FRAME_ROWS = 10_000
+#: States that the senders of a day are dealt to.
+GROUPS = 256
 ADMITTED = "ip_hash bigint, day date, ts timestamp, id bigint, admitted boolean"
 
 
-def rate_limit(submissions: DataFrame, most: int = PER_DAY, late: str = "1 day") -> DataFrame:
+def rate_limit(submissions: DataFrame, most: int = PER_DAY, late: str = "1 day", groups: int = GROUPS) -> DataFrame:
     """submissions(ip_hash, day, ts, id) as they come, with `admitted`.
 
     State is a count per sender and day; it ends when the watermark passes the next day, as the
     pruning of older days would have it. Within a batch rows count in the order of ts and id.
+    Senders share a state by their hash, as Python is called once for each; `groups` stays as it was when the stream began.
     """
 
     def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        seen = state.get[0] if state.exists else 0
-        # of a flood only times and ids are held, sixteen bytes a row
-        held = [(f["ts"].to_numpy("datetime64[us]"), f["id"].to_numpy()) for f in frames]
-        ts, ids = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((ids, ts))
-        state.update((seen + len(order),))
+        known, counts = (np.frombuffer(x, np.int64) for x in state.get) if state.exists else (np.empty(0, np.int64),) * 2
+        # of a flood only senders, times and ids are held, 24 bytes a row
+        held = [(f["sender"].to_numpy(np.int64), f["ts"].to_numpy("datetime64[us]"), f["id"].to_numpy()) for f in frames]
+        senders, ts, ids = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((ids, ts, senders))
+        senders, ts, ids = senders[order], ts[order], ids[order]
+        own, first, came = np.unique(senders, return_index=True, return_counts=True)
+        every = np.union1d(known, own)
+        seen = np.zeros(len(every), np.int64)
+        seen[np.searchsorted(every, known)] = counts
+        mine = np.searchsorted(every, own)
+        place = np.arange(len(senders)) - np.repeat(first - seen[mine], came)
+        seen[mine] += came
+        state.update((every.tobytes(), seen.tobytes()))
         ends = int((pd.Timestamp(key[1]) + pd.Timedelta(days=2)).timestamp() * 1000)
         if ends > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(ends)
-        for low in range(0, len(order), FRAME_ROWS):
-            part = order[low : low + FRAME_ROWS]
-            yield pd.DataFrame({"ip_hash": key[0], "day": key[1], "ts": ts[part], "id": ids[part], "admitted": seen + low + np.arange(1, len(part) + 1) <= most})
+        for low in range(0, len(senders), FRAME_ROWS):
+            part = slice(low, low + FRAME_ROWS)
+            ip_hash = pd.array(senders[part], dtype="Int64")
+            if key[0] < 0:
+                ip_hash[:] = pd.NA
+            yield pd.DataFrame({"ip_hash": ip_hash, "day": key[1], "ts": ts[part], "id": ids[part], "admitted": place[part] < most})
 
     timed = submissions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy("ip_hash", "day").applyInPandasWithState(admit, ADMITTED, "n bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    # rows without a sender are a group of their own
+    dealt = timed.select(
+        F.when(F.col("ip_hash").isNull(), -1).otherwise(F.pmod(F.xxhash64("ip_hash"), F.lit(groups))).cast("int").alias("group"), "day", "ts", "id", F.coalesce("ip_hash", F.lit(0)).cast("long").alias("sender")
+    )
+    return dealt.groupBy("group", "day").applyInPandasWithState(admit, ADMITTED, "senders binary, counts binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_status(events: DataFrame) -> DataFrame:
