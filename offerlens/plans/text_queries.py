@@ -169,9 +169,26 @@ QUERIES = {
     )
 }
 
-_VISIBLE = r"""array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-  '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<(?:br|/p|/div|/li|/tr|/h[0-9])[^>]*>', chr(10), 'gi'), '<[^>]+>', ' ', 'gs'),
-  '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '&nbsp;', ' '), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"""
+def _decoded_sql(x: str) -> str:
+    """Character references of x as characters: the rule of pagetext.decoded for DuckDB, with HTML's whole table of names."""
+    named, odd, quoted = pagetext._named(), pagetext._odd_codes(), lambda v: "'" + v.replace("'", "''") + "'"
+    table = f"MAP([{', '.join(map(quoted, named))}], [{', '.join(map(quoted, named.values()))}])"
+    windows = f"MAP([{', '.join(map(str, odd))}], [{', '.join(map(quoted, odd.values()))}])"
+    old = "|".join(sorted((n for n in named if not n.endswith(";")), key=len, reverse=True))
+    digits = "regexp_replace(regexp_extract(ref, '([0-9a-fA-F]+);?$', 1), '^0+(.)', '\\1')"
+    ref, early = "regexp_extract(p, '^(#(?:[xX][0-9a-fA-F]+|[0-9]+);?|[A-Za-z][A-Za-z0-9]*;)', 1)", f"regexp_extract(p, '^({old})', 1)"
+    code = "CASE WHEN length(digits) <= 8 THEN TRY_CAST(CASE WHEN lower(ref[2]) = 'x' THEN concat('0x', digits) ELSE digits END AS BIGINT) END".replace("digits", digits)
+    char = f"CASE WHEN code IS NULL OR code = 0 OR code > 1114111 OR code BETWEEN 55296 AND 57343 THEN chr(65533) ELSE coalesce({windows}[code], chr(CAST(code AS INTEGER))) END"
+    char = f"list_transform([{code}], lambda code: {char})[1]"
+    known = f"list_transform([{table}[ref]], lambda name: CASE WHEN name IS NOT NULL THEN concat(name, p[length(ref) + 1:]) WHEN early <> '' THEN concat({table}[early], p[length(early) + 1:]) ELSE concat('&', p) END)[1]"
+    bound = f"list_transform([{ref}], lambda ref: CASE WHEN ref[1] = '#' THEN concat({char}, p[length(ref) + 1:]) ELSE list_transform([{early}], lambda early: {known})[1] END)[1]"
+    return f"list_aggregate(list_transform(string_split({x}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {bound} END), 'string_agg', '')"
+
+
+_VISIBLE = r"""array_to_string(list_filter(list_transform(string_split(decoded, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\x{A0}]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10))""".replace(
+    "decoded", _decoded_sql(r"""regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[sS][cC][rR][iI][pP][tT][^>]*>(?s:.*?)</[sS][cC][rR][iI][pP][tT]>|<[sS][tT][yY][lL][eE][^>]*>(?s:.*?)</[sS][tT][yY][lL][eE]>|<[nN][oO][sS][cC][rR][iI][pP][tT][^>]*>(?s:.*?)</[nN][oO][sS][cC][rR][iI][pP][tT]>', ' ', 'g'),
+  '<(?:[bB][rR]|/[pP]|/[dD][iI][vV]|/[lL][iI]|/[tT][rR]|/[hH][0-9])[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')""")
+)
 _HOST = r"regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)"
 _STATUS = "CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'reject' ELSE 'extract' END"
 _DAYNAME = "['Monday', 'Tue', 'Wednesday', 'Thurs', 'Fri', 'saturday', 'Sunday']"
