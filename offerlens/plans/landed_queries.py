@@ -21,14 +21,19 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 def _land(rows: DataFrame, spark: SparkSession, name: str) -> str:
     """rows(area, part, record) as JSON answers, one a part of an area."""
-    path = _folder(spark, name)
     answers = rows.groupBy("area", "part").agg(F.to_json(F.struct(F.sort_array(F.collect_list("record")).alias(name))).alias("value"))
-    answers.select("area", "value").repartition("area").write.option("maxRecordsPerFile", 1).partitionBy("area").text(path)
-    return path
+    return _write(answers, spark, name)
+
 
+#: Answers hold so many records, as a service's pages do; a file holds so many answers at most.
+_PAGE, _ANSWERS = 20, 1000
 
-#: Answers hold so many records, as a service's pages do.
-_PAGE = 20
+
+def _write(answers: DataFrame, spark: SparkSession, name: str) -> str:
+    """answers(area, part, value), a line each, in folders by area; every task writes of all areas, so none has an area to itself."""
+    path = _folder(spark, name)
+    answers.repartition("area", "part").select("area", "value").write.option("maxRecordsPerFile", _ANSWERS).partitionBy("area").text(path)
+    return path
 
 
 def landed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +55,10 @@ def landed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.map_filter(F.map_from_arrays(F.array(F.lit("name"), F.lit("website"), F.lit("contact:website")), F.array(F.col("place_name"), F.when(k % 2 == 0, F.col("website")), F.when(k % 4 < 2, F.concat(F.lit("http://c"), k.cast("string"))))), lambda _, v: v.isNotNull())
     record = F.struct(F.when(k % 3 == 0, "way").otherwise("node").alias("type"), k.alias("id"), F.when(k % 3 > 0, lat).alias("lat"), F.when(k % 3 > 0, lng).alias("lon"), F.when(k % 3 == 0, at(lat, lng)).alias("center"), F.to_json(tags).alias("tags"))
     rows = p.select(F.concat(F.lit("z"), F.col("nation").cast("string")).alias("area"), F.expr(f"place_id div {_PAGE}").alias("part"), record.alias("record"))
-    path = _folder(spark, "elements")
     # the tags are an object of the answer, not a text
     one = F.replace(F.replace(F.replace(F.to_json("record"), F.lit('"{'), F.lit("{")), F.lit('}"'), F.lit("}")), F.lit('\\"'), F.lit('"'))
     answers = rows.select("area", "part", one.alias("text")).groupBy("area", "part").agg(F.concat(F.lit('{"elements":['), F.array_join(F.sort_array(F.collect_list("text")), ","), F.lit("]}")).alias("value"))
-    answers.select("area", "value").repartition("area").write.option("maxRecordsPerFile", 1).partitionBy("area").text(path)
+    path = _write(answers, spark, "elements")
     found = services.landed(spark, path, "elements").where(F.col("kind").isin("node", "way"))
     return found.groupBy("area", "kind").agg(F.count("*").alias("n"), F.count("website").alias("n_sites"), F.min("website").alias("first_site"), F.round(F.max("lat"), 6).alias("north"))
 

@@ -1,6 +1,6 @@
-"""Landed answers of services as a data source: `spark.read.format("landed")`, a partition for each file, predicates pushed to it.
+"""Landed answers of services as a data source: `spark.read.format("landed")`, files dealt to partitions as Spark deals its own, predicates pushed to it.
 
-A file is one answer, JSON of a list or of an object that holds one, in a folder named by the area that was asked about:
+A file is one answer, JSON of a list or of an object that holds one, or several with a line for each, in a folder named by the area that was asked about:
 `<path>/area=<area>/<file>`. Predicates on `area` choose the files, so the others aren't opened; those on other columns are tried on each record
 before it becomes a row. A predicate that the source can't judge stays with Spark.
 """
@@ -42,9 +42,33 @@ _CAST = {"string": str, "bigint": int, "double": float}
 
 
 @dataclass
-class File(InputPartition):
+class File:
     path: str
     area: str
+    size: int
+
+
+@dataclass
+class Files(InputPartition):
+    files: list[File]
+
+
+#: Bytes of a partition at most, and what opening a file counts for; Spark's own defaults.
+PARTITION_BYTES, OPEN_BYTES = 128 << 20, 4 << 20
+
+
+def dealt(files: Sequence[File], cores: int) -> list[Files]:
+    """files in partitions of about one size: as many as there are cores, more if they were too large."""
+    weight = [f.size + OPEN_BYTES for f in files]
+    most = min(PARTITION_BYTES, max(OPEN_BYTES, sum(weight) // cores))
+    out, held = [], most
+    for file, w in zip(files, weight):
+        if held + w > most:
+            out.append(Files([]))
+            held = 0
+        out[-1].files.append(file)
+        held += w
+    return out
 
 
 def area_of(path: str) -> str:
@@ -76,8 +100,8 @@ JUDGED = (EqualTo, In, StringStartsWith, GreaterThan, GreaterThanOrEqual, LessTh
 
 
 class Reader(DataSourceReader):
-    def __init__(self, kind: str, paths: Sequence[str]):
-        self.kind, self.files, self.tests = kind, [File(p, area_of(p)) for p in paths], []
+    def __init__(self, kind: str, listed: Sequence[tuple[str, int]], cores: int):
+        self.kind, self.files, self.tests, self.cores = kind, [File(p, area_of(p), n) for p, n in listed], [], cores
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for test in filters:
@@ -88,35 +112,47 @@ class Reader(DataSourceReader):
             else:
                 self.tests.append(test)
 
-    def partitions(self) -> Sequence[File]:
-        return self.files or [File("", "")]
+    def partitions(self) -> Sequence[Files]:
+        # the reader goes to every task, and each has its files by then
+        out, self.files = dealt(self.files, self.cores) or [Files([])], None
+        return out
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        for file in partition.files:
+            yield self._rows(file)
 
-    def read(self, partition: File) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def _rows(self, file: File) -> pa.RecordBatch:
         listed, columns = KINDS[self.kind]
         out: dict[str, list] = {AREA: [], **{name: [] for name, _, _ in columns}}
-        for record in records(partition.path, listed):
-            row = {AREA: partition.area, **{name: _value(record, kind, ways) for name, kind, ways in columns}}
+        for record in records(file.path, listed):
+            row = {AREA: file.area, **{name: _value(record, kind, ways) for name, kind, ways in columns}}
             if all(judge(t, row) for t in self.tests):
                 for name, value in row.items():
                     out[name].append(value)
         types = {AREA: pa.string(), **{name: _ARROW[kind] for name, kind, _ in columns}}
-        yield pa.RecordBatch.from_pydict({n: pa.array(v, types[n]) for n, v in out.items()})
+        return pa.RecordBatch.from_pydict({n: pa.array(v, types[n]) for n, v in out.items()})
 
 
 def records(path: str, listed: str | None) -> list[dict]:
-    """The records of an answer; an answer that is no JSON, or holds none, has none."""
+    """The records of a file's answers; an answer that is no JSON, or holds none, has none."""
     from pyarrow import fs
 
     store, inside = fs.FileSystem.from_uri(path)
     with store.open_input_stream(inside) as file:
-        try:
-            answer = json.loads(file.read().decode("utf-8", "replace"))
-        except ValueError:
-            return []
-    found = answer.get(listed) if listed and isinstance(answer, dict) else answer
-    return [r for r in found if isinstance(r, dict)] if isinstance(found, list) else []
+        text = file.read().decode("utf-8", "replace")
+    try:
+        answers = [json.loads(text)]
+    except ValueError:
+        answers = list(map(_answer, text.split("\n")))
+    lists = [a.get(listed) if listed and isinstance(a, dict) else a for a in answers]
+    return [r for found in lists if isinstance(found, list) for r in found if isinstance(r, dict)]
+
+
+def _answer(line: str) -> Any:
+    try:
+        return json.loads(line)
+    except ValueError:
+        return None
 
 
 def _value(record: dict, kind: str, ways: tuple[tuple[str, ...], ...]) -> Any:
@@ -141,7 +177,7 @@ class Landed(DataSource):
         return ", ".join([f"{AREA} string", *[f"{name} {kind}" for name, kind, _ in KINDS[self.options["kind"]][1]]])
 
     def reader(self, schema) -> Reader:
-        return Reader(self.options["kind"], json.loads(self.options["files"]))
+        return Reader(self.options["kind"], json.loads(self.options["files"]), int(self.options["cores"]))
 
 
 def landed(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -150,5 +186,5 @@ def landed(spark: SparkSession, path: str, kind: str) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{AREA}=*/*")
     found = top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(top) or []
-    files = [s.getPath().toUri().toString() for s in found if not s.getPath().getName().startswith(("_", "."))]
-    return spark.read.format("landed").option("kind", kind).option("files", json.dumps(files)).load()
+    files = [(s.getPath().toUri().toString(), s.getLen()) for s in found if not s.getPath().getName().startswith(("_", "."))]
+    return spark.read.format("landed").option("kind", kind).option("files", json.dumps(files)).option("cores", str(spark.sparkContext.defaultParallelism)).load()
