@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.ranking import minutes
+from offerlens.functions.schedule import let
 
 #: Fixed values of the rules.
 TYPES = ("happy_hour", "daily_special", "food_combo")
@@ -23,7 +24,10 @@ def _when(condition: Column, text: str) -> Column:
 
 def window_state(start: Column, end: Column) -> Column:
     """`ok`, `malformed` or `past midnight` for a window of clock strings."""
-    s, e = minutes(start), minutes(end)
+    return _state(minutes(start), minutes(end))
+
+
+def _state(s: Column, e: Column) -> Column:
     return F.when(s.isNull() | e.isNull(), "malformed").when((e > 1440) | (e <= s), "past midnight").otherwise("ok")
 
 
@@ -31,37 +35,46 @@ def deal_errors(type_: Column, confidence: Column, windows: Column, items: Colum
     """The broken rules of a whole offer, in order; empty if it can be published.
 
     windows: array<struct<dow,start,end>> of clock strings; items and source as the schemas have them.
+    Clocks are read once, as are the words.
     """
     ws, its = F.coalesce(windows, F.array().cast(WINDOWS)), F.coalesce(items, F.array().cast(ITEMS))
-    states = F.transform(ws, lambda w: window_state(w["start"], w["end"]))
-    good = F.filter(ws, lambda w: window_state(w["start"], w["end"]) == "ok")
-    spans = F.transform(good, lambda w: F.struct(w["dow"].alias("dow"), (minutes(w["end"]) - minutes(w["start"])).alias("span")))
+    timed = F.transform(ws, lambda w: F.struct(w["dow"].alias("dow"), minutes(w["start"]).alias("s"), minutes(w["end"]).alias("e")))
+    stated = lambda t: F.transform(t, lambda w: F.struct(w["dow"].alias("dow"), (w["e"] - w["s"]).alias("span"), _state(w["s"], w["e"]).alias("state")))
+    said = F.lower(F.concat_ws(" ", F.coalesce(fine_print, F.lit("")), F.array_join(F.transform(its, lambda i: F.coalesce(i["label"], F.lit(""))), " ")))
+    happy, roundup = type_ == "happy_hour", source["kind"] == "roundup"
 
-    def total(dow: Column | None) -> Column:
+    def total(spans: Column, dow: Column | None) -> Column:
         return F.aggregate(spans, F.lit(0), lambda a, w: a + (w["span"] if dow is None else F.when(w["dow"] == dow, w["span"]).otherwise(0)))
 
-    days = F.array_distinct(F.transform(spans, lambda w: w["dow"]))
-    said = F.lower(F.concat_ws(" ", F.coalesce(fine_print, F.lit("")), F.array_join(F.transform(its, lambda i: F.coalesce(i["label"], F.lit(""))), " ")))
-    happy, roundup = type_ == "happy_hour", source["kind"] == "roundup"
+    def capped(spans: Column) -> Column:
+        days = F.array_distinct(F.transform(spans, lambda w: w["dow"]))
+        return F.array(_when(happy & F.exists(days, lambda d: total(spans, d) > DAY_MINUTES), "exceeds the 4h/day cap"), _when(happy & (total(spans, None) > WEEK_MINUTES), "exceeds the 24h/week cap"))
+
+    def of_windows(w: Column) -> Column:
+        has = lambda state: F.exists(w, lambda x: x["state"] == state)
+        return F.concat(
+            F.array(
+                _when(F.size(w) == 0, "no windows"), _when(has("malformed"), "malformed window"), _when(F.exists(w, lambda x: (x["state"] != "malformed") & ~x["dow"].between(1, 7)), "dow out of range"),
+                _when(has("past midnight"), "window extends past midnight"),
+            ),
+            let(F.filter(w, lambda x: x["state"] == "ok"), capped),
+        )
+
     checks = [
-        _when(~F.coalesce(type_.isin(*TYPES), F.lit(False)), "unknown deal type"),
-        _when(~F.coalesce(confidence.isin(*CONFIDENCE), F.lit(False)), "unknown confidence"),
-        _when(F.size(ws) == 0, "no windows"),
-        _when(F.array_contains(states, "malformed"), "malformed window"),
-        _when(F.exists(F.filter(ws, lambda w: window_state(w["start"], w["end"]) != "malformed"), lambda w: ~w["dow"].between(1, 7)), "dow out of range"),
-        _when(F.array_contains(states, "past midnight"), "window extends past midnight"),
-        _when(happy & F.exists(days, lambda d: total(d) > DAY_MINUTES), "exceeds the 4h/day cap"),
-        _when(happy & (total(None) > WEEK_MINUTES), "exceeds the 24h/week cap"),
-        *[_when(said.rlike(p), f"unlawful claim: {p}") for p in BANNED],
-        _when(F.exists(its, lambda i: ~F.coalesce(i["category"].isin(*CATEGORIES), F.lit(False))), "unknown item category"),
-        _when(F.exists(its, lambda i: i["price_usd"].isNull() & i["discount_pct"].isNull() & i["amount_off_usd"].isNull()), "item has neither a price nor a discount"),
-        _when((F.coalesce(source["url"], F.lit("")) == "") & (F.coalesce(source["photo_id"], F.lit("")) == ""), "no source"),
-        _when(~F.coalesce(source["kind"].isin(*KINDS), F.lit(False)), "unknown source kind"),
-        _when(roundup & (F.coalesce(source["outlet"], F.lit("")) == ""), "roundup must name who said it"),
-        _when(roundup & ~F.coalesce(source["published"], F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}$"), "roundup recency cannot be gated"),
-        _when(roundup & (F.coalesce(confidence, F.lit("")) != "unconfirmed"), "roundup caps at unconfirmed"),
+        F.array(_when(~F.coalesce(type_.isin(*TYPES), F.lit(False)), "unknown deal type"), _when(~F.coalesce(confidence.isin(*CONFIDENCE), F.lit(False)), "unknown confidence")),
+        let(timed, lambda t: let(stated(t), of_windows)),
+        let(said, lambda words: F.array(*[_when(words.rlike(p), f"unlawful claim: {p}") for p in BANNED])),
+        F.array(
+            _when(F.exists(its, lambda i: ~F.coalesce(i["category"].isin(*CATEGORIES), F.lit(False))), "unknown item category"),
+            _when(F.exists(its, lambda i: i["price_usd"].isNull() & i["discount_pct"].isNull() & i["amount_off_usd"].isNull()), "item has neither a price nor a discount"),
+            _when((F.coalesce(source["url"], F.lit("")) == "") & (F.coalesce(source["photo_id"], F.lit("")) == ""), "no source"),
+            _when(~F.coalesce(source["kind"].isin(*KINDS), F.lit(False)), "unknown source kind"),
+            _when(roundup & (F.coalesce(source["outlet"], F.lit("")) == ""), "roundup must name who said it"),
+            _when(roundup & ~F.coalesce(source["published"], F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}$"), "roundup recency cannot be gated"),
+            _when(roundup & (F.coalesce(confidence, F.lit("")) != "unconfirmed"), "roundup caps at unconfirmed"),
+        ),
     ]
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+    return F.filter(F.concat(*checks), lambda x: x.isNotNull())
 
 
 WINDOWS = "array<struct<dow:int,start:string,end:string>>"
@@ -103,11 +116,13 @@ def one_a_day(windows: Column) -> Column:
     def hours(w: Column) -> Column:
         return F.floor(minutes(w["end"]) / 60) - F.floor(minutes(w["start"]) / 60)
 
-    def longest(day: Column) -> Column:
-        mine = F.filter(windows, lambda w: w["dow"] == day)
-        return F.aggregate(mine, F.try_element_at(mine, F.lit(1)), lambda best, w: F.when(hours(w) > hours(best), w).otherwise(best))
+    def first(mine: Column) -> Column:
+        return F.aggregate(mine, F.try_element_at(mine, F.lit(1)), lambda best, w: F.when(w["hours"] > best["hours"], w).otherwise(best))
 
-    return F.filter(F.transform(F.array(*map(F.lit, range(1, 8))), longest), lambda w: w.isNotNull())
+    # clocks are read once, for all days
+    timed = F.transform(windows, lambda w: F.struct(w.alias("w"), hours(w).alias("hours")))
+    longest = let(timed, lambda ws: F.transform(F.array(*map(F.lit, range(1, 8))), lambda day: let(F.filter(ws, lambda w: w["w"]["dow"] == day), first)))
+    return F.transform(F.filter(longest, lambda w: w.isNotNull()), lambda w: w["w"])
 
 
 def distinct_days(windows: Column) -> Column:
