@@ -130,7 +130,7 @@ def submission_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lens(spark, sf_dir, "venue").select("lid", F.concat(F.when(F.col("lid") % 2 == 0, "THE Old ").otherwise("Old "), "zone_id", F.lit(" Inn, LLC")).alias("name"))
+    rows = spread(lens(spark, sf_dir, "venue").select("lid", "zone_id")).select("lid", F.concat(F.when(F.col("lid") % 2 == 0, "THE Old ").otherwise("Old "), "zone_id", F.lit(" Inn, LLC")).alias("name"))
     return rows.select("lid", F.posexplode(T.domain_stems(F.col("name"))).alias("pos", "stem")).select("lid", F.col("pos").cast("long").alias("pos"), "stem")
 
 

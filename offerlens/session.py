@@ -46,10 +46,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{(named or tempfile.mkdtemp(prefix='offerlens-')).rstrip('/')}/{name}"
 
 
+#: Tasks for each core, or for each split of a larger table.
+TASKS = 4
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores where a small file's few row groups would leave them to a few; for rows that cost more to compute than to move."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores else rows
+    """rows over all cores, for rows that cost more to compute than to move.
+
+    A file's splits don't say how its rows lie: all of a row group are read in one of them. More tasks come with more splits.
+    """
+    context = rows.sparkSession.sparkContext
+    return rows.repartition(TASKS * max(context.defaultParallelism, rows._jdf.rdd().getNumPartitions()))
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
