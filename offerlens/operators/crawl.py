@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import pagetext
 from offerlens.functions import text as T
+from offerlens.session import written
 
 BLOCK_LINES, NAME_WORDS = 6, 2
 QUOTE_CHARS = 2400
@@ -28,13 +29,20 @@ def mentions(articles: DataFrame, venues: DataFrame) -> DataFrame:
 
     A name of one word is too weak. The first line that names a venue counts, with the five lines
     after it; its offer lines are the mention. Lines meet names by zone and the name's first word,
-    which a line must hold as a word, so a zone's lines never meet all of its venues.
+    which a line must hold as a word, so a zone's lines never meet all of its venues. Words bring a
+    code of their line alone, once for equal lines of a zone; the lines that may hold a name are then
+    read in their articles, so no text is moved for each of its words.
     """
     named = venues.withColumn("core", T.name_core(F.col("name"))).where(F.size(F.split("core", " ")) >= NAME_WORDS).groupBy("zone_id", "core").agg(F.min("lid").alias("lid")).withColumn("word", F.split("core", " ")[0])
-    lines = articles.select("url", "zone_id", F.split("text", "\n").alias("lines")).select("url", "zone_id", "lines", F.posexplode("lines").alias("at", "line"))
-    said = lines.withColumn("plain", F.regexp_replace(F.lower("line"), r"[^\w\s]", " "))
-    by_word = said.withColumn("word", F.explode(F.array_distinct(F.array_remove(F.split("plain", r"\s+"), ""))))
-    hits = by_word.join(named, ["zone_id", "word"]).where(F.contains("plain", F.col("core")))
+    kept = written(articles.select("url", "zone_id", F.split("text", "\n").alias("lines")), "articles")
+    plain = lambda line: F.regexp_replace(F.lower(line), r"[^\w\s]", " ")
+    words = lambda plain: F.array_distinct(F.array_remove(F.split(plain, r"\s+"), ""))
+    said = kept.select("url", "zone_id", F.posexplode("lines").alias("at", "line")).withColumn("plain", plain(F.col("line"))).withColumn("code", F.xxhash64("plain"))
+    by_word = said.select("zone_id", "code", F.explode(words(F.col("plain"))).alias("word")).distinct()
+    lines = by_word.join(named, ["zone_id", "word"]).select("zone_id", "code", "word", "core", "lid")
+    maybe = said.select("url", "zone_id", "at", "code").join(lines, ["zone_id", "code"]).drop("code")
+    found = maybe.join(kept, ["url", "zone_id"]).withColumn("plain", plain(F.get("lines", F.col("at"))))
+    hits = found.where(F.contains("plain", F.col("core")) & F.array_contains(words(F.col("plain")), F.col("word")))
     first = hits.groupBy("url", "lid").agg(F.min(F.struct("at", "lines")).alias("x"))
     quotes = pagetext.offer_quotes(F.array_join(F.slice(F.col("x.lines"), (F.col("x.at") + 1).cast("int"), BLOCK_LINES), "\n"))
     rows = first.select("lid", "url", F.posexplode(quotes).alias("pos", "quote"))
