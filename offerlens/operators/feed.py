@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import ranking as R
 from offerlens.operators import ranks
+from offerlens.session import tasks
 
 
 @dataclass(frozen=True)
@@ -109,10 +110,12 @@ def schedule_summary(windows: DataFrame) -> DataFrame:
     """(deal_id, summary): `Mon–Fri 4pm–6pm · Sat, Sun 2pm–4pm`, days of one time in runs, times in the order in which the offer names them.
 
     That order is windows' pos, or its days where it has none. A run goes on while each day follows the one before; a day that is named twice
-    begins another. Dealt out once, by offer: all windows and groups below are of one offer.
+    begins another. Dealt out once, by offer: all windows and groups below are of one offer. The number of tasks grows with the table, as each holds
+    its part in the memory of several sorts and groupings at once.
     """
     times = ["deal_id", "start", "end"]
-    rows = (windows if "pos" in windows.columns else windows.withColumn("pos", F.col("dow"))).select(*times, "dow", "pos").repartition("deal_id")
+    rows = (windows if "pos" in windows.columns else windows.withColumn("pos", F.col("dow"))).select(*times, "dow", "pos")
+    rows = rows.repartition(tasks(rows), "deal_id")
     order = Window.partitionBy(*times).orderBy("dow", "pos")
     breaks = rows.withColumn("breaks", F.coalesce(F.lag("dow").over(order) + 1 != F.col("dow"), F.lit(True)).cast("int"))
     runs = breaks.withColumn("run", F.sum("breaks").over(order)).groupBy(*times, "run").agg(F.min("dow").alias("a"), F.max("dow").alias("b"), F.min("pos").alias("first"))

@@ -50,13 +50,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 TASKS = 4
 
 
+def tasks(rows: DataFrame) -> int:
+    """The tasks that rows are dealt to: more come with more splits."""
+    return TASKS * max(rows.sparkSession.sparkContext.defaultParallelism, rows._jdf.rdd().getNumPartitions())
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows over all cores, for rows that cost more to compute than to move.
 
     A file's splits don't say how its rows lie: all of a row group are read in one of them. More tasks come with more splits.
     """
-    context = rows.sparkSession.sparkContext
-    return rows.repartition(TASKS * max(context.defaultParallelism, rows._jdf.rdd().getNumPartitions()))
+    return rows.repartition(tasks(rows))
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
