@@ -83,7 +83,8 @@ def feed(venues: DataFrame, deals: DataFrame, windows: DataFrame, items: DataFra
         .withColumn("grp", R.group_of(F.col("live"), F.col("until"), F.col("day_ahead"), F.col("starts_in"), F.col("drive")))
     )
     if only == "all":
-        without = places.join(deals, "lid", "left_anti").select("lid", "name", "zone_id", F.lit("unknown").alias("confidence"), "miles", "drive", F.lit(R.UNKNOWN).alias("grp"))
+        having = deals.select("lid").distinct()  # a venue's offers are many, and a join would sort them all
+        without = places.join(having, "lid", "left_anti").select("lid", "name", "zone_id", F.lit("unknown").alias("confidence"), "miles", "drive", F.lit(R.UNKNOWN).alias("grp"))
         offers = offers.unionByName(without, allowMissingColumns=True)
     total = R.score(sort, F.col("grp"), F.col("live"), F.col("until"), F.col("starts_in"), F.col("miles"), F.col("drive"), F.col("value"), F.col("confidence"))
     return offers.withColumn("score", total)
