@@ -2,8 +2,8 @@
 
 venues(lid, name, zone_id, lat, lng), deals(deal_id, lid, type, confidence, age_days),
 windows(deal_id, dow, start, end), items(deal_id, category, price, pct, off). Windows and items are
-reduced to one row per offer by partial aggregates (a least struct, maxima), so no group is ever
-sorted or collected; both are dealt by deal_id, and the offers then meet their venues by lid.
+reduced to one row per offer by aggregates (a least struct, maxima), so no group is ever
+collected; both are dealt by deal_id, and the offers then meet their venues by lid.
 """
 
 from __future__ import annotations
@@ -28,10 +28,14 @@ class Moment:
     lng: float | None = -75.396
 
 
-def next_occurrences(windows: DataFrame, moment: Moment) -> DataFrame:
-    """(deal_id, day_ahead, live, starts_in, start, end, until): of each offer the next time it runs."""
+def next_occurrences(windows: DataFrame, moment: Moment, few: bool = False) -> DataFrame:
+    """(deal_id, day_ahead, live, starts_in, start, end, until): of each offer the next time it runs.
+
+    The least of structs is found by sorting, so windows are dealt to tasks by the table's splits first, unless few of them are left.
+    """
     hit = F.min(R.occurrence(F.col("dow"), F.col("start"), F.col("end"), moment.dow, moment.now)).alias("hit")
-    out = windows.where((F.col("dow").between(1, 7)) & (F.col("end") > F.col("start"))).groupBy("deal_id").agg(hit)
+    rows = windows.where((F.col("dow").between(1, 7)) & (F.col("end") > F.col("start"))).select("deal_id", "dow", "start", "end")
+    out = (rows if few else rows.repartition(tasks(rows), "deal_id")).groupBy("deal_id").agg(hit)
     return out.select("deal_id", "hit.day_ahead", (F.col("hit.waits") == 0).alias("live"), "hit.starts_in", "hit.start", "hit.end", "hit.until")
 
 
@@ -75,7 +79,7 @@ def feed(venues: DataFrame, deals: DataFrame, windows: DataFrame, items: DataFra
         visible = visible.join(places.select("lid"), "lid", "left_semi")
         windows, items = (t.join(visible.select("deal_id"), "deal_id", "left_semi") for t in (windows, items))
     offers = (
-        visible.join(next_occurrences(windows, moment), "deal_id")
+        visible.join(next_occurrences(windows, moment, few=bool(zone)), "deal_id")
         .join(item_summary(items), "deal_id", "left")
         .where(FILTERS.get(only, FILTERS["all"])())
         .join(places, "lid")

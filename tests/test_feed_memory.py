@@ -1,4 +1,4 @@
-"""What a task of the feed holds: a venue's offers don't meet the venues one by one."""
+"""What a task of the feed holds: a venue's offers don't meet the venues one by one, and windows lie in more tasks as the table grows."""
 
 from offerlens.operators import feed
 
@@ -20,3 +20,9 @@ def test_venues_without_offers_meet_each_venue_with_offers_once(spark):
         right = next(x for x in anti[1:] if x.startswith(prefix + "+- "))
         assert "Aggregate [lid" in right
         assert rows.where("deal_id IS NULL").count() == (5 if zone else 15)
+
+
+def test_windows_of_the_feed_are_dealt_to_more_tasks_than_splits(spark):
+    windows = spark.range(0, 4000, 1, 64).selectExpr("id % 1000 AS deal_id", "CAST(id % 7 + 1 AS INT) AS dow", "960 AS start", "1080 AS end")
+    out = feed.next_occurrences(windows, feed.Moment())
+    assert out.rdd.getNumPartitions() > 64 and out.count() == 1000
