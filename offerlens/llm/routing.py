@@ -2,10 +2,12 @@
 
 A block has items, each of which belongs to a shard, and wants an answer for each. Both blocks and
 shards are many in a large corpus, so a message for each pair of them would be their product. Here a sender
-sends FAN messages at most: shards are numbers of `levels` digits to the base FAN. At a hop, a message goes to all
-shards of one more leading digit; it is received together with those of FAN senders, whose items are put
-together, dealt out by the next digit and sent on. So messages number FAN for each block and hop, and hops are the
-logarithm of the shards: one for up to FAN shards, two for up to FAN squared, whatever the blocks. Answers go back over
+sends FAN messages at most: shards are numbers of `levels` digits to a base of FAN at most. At a hop, a message goes to all
+shards of one more leading digit; it is received together with those of as many senders as the base, whose items are put
+together, dealt out by the next digit and sent on. So messages number FAN at most for each block and hop, and hops are the
+logarithm of the shards: one for up to FAN shards, two for up to FAN squared, whatever the blocks. The base is the least
+that these digits allow (not FAN itself, of which 300 shards would use two first digits): so a receiver holds about as much as
+a block sends, whatever the shards. Answers go back over
 the same hops; what was received is kept in the checkpoint folder meanwhile and says whose they are.
 
 Items are columns of integers; besides, each item may have any number of rows of further columns.
@@ -104,16 +106,24 @@ class Net(NamedTuple):
             n += 1
         return n
 
+    @property
+    def base(self) -> int:
+        """The least base in which shards are numbers of `levels` digits: all first digits occur, about equally often."""
+        n = 1
+        while n**self.levels < self.shards:
+            n += 1
+        return n
+
     def shard_of(self, keys: np.ndarray, bits: int = 48) -> np.ndarray:
         """Shards of hashed keys by range, so that they ascend with the keys."""
         return (keys.astype(np.float64) * (self.shards / 2.0**bits)).astype(np.int64).clip(0, self.shards - 1)
 
     def group_of(self, block: int) -> int:
         """Which senders' messages are received together with those of this one."""
-        return int(mixed(np.array([block], np.uint64))[0] % np.uint64(max(1, self.senders))) // self.fan
+        return int(mixed(np.array([block], np.uint64))[0] % np.uint64(max(1, self.senders))) // self.base
 
     def to(self, level: int, shard: np.ndarray, group: int) -> np.ndarray:
-        return (shard // self.fan ** (self.levels - level) << _GROUP) | (group if level < self.levels else 0)
+        return (shard // self.base ** (self.levels - level) << _GROUP) | (group if level < self.levels else 0)
 
 
 Row = tuple[int, int, list[int] | None, list[bytes]]
@@ -172,7 +182,7 @@ def converse(asked: DataFrame, answer: Callable[[int, Items], tuple[Items, list[
             shard = np.concatenate([unpack_ints(r["items"][0]) for r in got]).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             items = items_of([r["items"][1:] for r in got], *question).take(order)
-            return table(list(deal(net, level + 1, to, (to & ((1 << _GROUP) - 1)) // net.fan, shard[order], items)))
+            return table(list(deal(net, level + 1, to, (to & ((1 << _GROUP) - 1)) // net.base, shard[order], items)))
 
         return go
 

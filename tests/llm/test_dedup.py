@@ -54,6 +54,18 @@ def test_messages_grow_with_blocks_and_hops():
         assert len(sent) <= 64 and 64**net.levels >= shards > 64 ** (net.levels - 1)
 
 
+@pytest.mark.parametrize("blocks, shards", [(720, 257), (864, 309), (3_456, 1_236), (20_000, 70_000)])
+def test_a_receiver_at_a_hop_holds_about_what_a_block_sends(blocks, shards):
+    from offerlens.llm.routing import Net
+
+    net = Net(shards, blocks)
+    group = np.array([net.group_of(b) for b in range(blocks)])
+    for level in range(1, net.levels):  # a sender has an item for each shard
+        senders = np.unique(group, return_counts=True)[1].max()
+        assert senders * np.unique(net.to(level, np.arange(shards), 0), return_counts=True)[1].max() <= 3 * shards * net.base ** (level - 1)
+        group //= net.base
+
+
 def test_repeats_of_an_empty_table(empty):
     assert rindex_dedup.remove_repeats(empty).collect() == []
 
