@@ -90,10 +90,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def cut_by(df: DataFrame, key: str) -> DataFrame:
-    """df dealt out by key and written to the checkpoint folder; plans that read it know that it is dealt so.
+def cut_settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder; plans that read it know how it is dealt out.
 
-    Only a plan that is fixed before it runs passes its partitioning on; and what it shuffled is let go when it is written. Hence the settings meanwhile.
+    Only a plan that is fixed before it runs passes its partitioning on; and what it shuffled is let go when it is written. Hence the settings meanwhile,
+    and a plan of its own: one that was made before does not know them.
     """
     conf = df.sparkSession.conf
     settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
@@ -101,12 +102,17 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
     try:
         for name, value in settings.items():
             conf.set(name, value)
-        return cut(df.repartition(shuffle_partitions(df.sparkSession), key))
+        return cut(df.select("*"))
     finally:
         for name, value in before.items():
             conf.set(name, value)
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key and written to the checkpoint folder."""
+    return cut_settled(df.repartition(shuffle_partitions(df.sparkSession), key))
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """One row per block, written to the checkpoint folder, so that block numbers stay.
 

@@ -32,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(written: DataFrame) -> None:
+    """Remove the files of what cut returned, when all that was made of it is written itself."""
+    file = written._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = written.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

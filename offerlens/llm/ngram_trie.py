@@ -510,10 +510,10 @@ def score(docs: DataFrame, order: int = 2, fan: int = FAN, shard_bytes: int = SH
     sums = whole.agg(F.sum("n_bytes").alias("b"), F.sum("n_train").alias("t"), F.count("*").alias("n")).head()
     tokens, shards = sums.t or 0, max(1, -(-(sums.b or 0) // shard_bytes))
     word_net, net = Net(max(1, shards // 4), sums.n, fan), Net(shards, sums.n, fan)
-    words = cut_by(converse(whole.mapInArrow(_ask_words(word_net), MESSAGE), _answer_words(word_net.shards), word_net, (1, 1), (2, 0)), "to")
+    words = converse(whole.mapInArrow(_ask_words(word_net), MESSAGE), _answer_words(word_net.shards), word_net, (1, 1), (2, 0), written=True)
     types = sum(summed(words))
     asked = whole.groupBy("block").cogroup(words.groupBy("to")).applyInArrow(_ask_ngrams(word_net, net, order), MESSAGE)
-    ngrams = cut_by(converse(asked, _answer_ngrams, net, (4, 2), (2, 1)), "to")
+    ngrams = converse(asked, _answer_ngrams, net, (4, 2), (2, 1), written=True)
     weights = fitted(summed(ngrams))
     back = words.select("to", "frm", "items", F.lit(True).alias("words")).union(ngrams.select("to", "frm", "items", F.lit(False)))
     scored = whole.groupBy("block").cogroup(back.groupBy("to")).applyInArrow(_score(word_net, net, tokens, types, order, weights), SCORES)

@@ -8,7 +8,10 @@ together, dealt out by the next digit and sent on. So messages number FAN at mos
 logarithm of the shards: one for up to FAN shards, two for up to FAN squared, whatever the blocks. The base is the least
 that these digits allow (not FAN itself, of which 300 shards would use two first digits): so a receiver holds about as much as
 a block sends, whatever the shards. Answers go back over
-the same hops; what was received is kept in the checkpoint folder meanwhile and says whose they are.
+the same hops; a receiver's note to itself, which travels with what it sends on, says whose they are.
+
+What was received is kept in the checkpoint folder until it has been sent on. The last hop is gone in WAVES, to some of the shards at a time,
+and the answers of each are written before the next: so what is received, and the same dealt to shards, don't lie on disk as a whole at once.
 
 Items are columns of integers; besides, each item may have any number of rows of further columns.
 """
@@ -16,6 +19,7 @@ Items are columns of integers; besides, each item may have any number of rows of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -23,14 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.byte_blocks import cut_by, expand, mixed, pack_ints, squeeze, unpack_ints
-from offerlens.llm.common import shuffle_partitions
+from offerlens.llm.byte_blocks import cut_by, cut_settled, expand, mixed, pack_ints, squeeze, unpack_ints
+from offerlens.llm.common import release, shuffle_partitions
 
 FAN = 256
 #: Partitions that shards are dealt into at most; a task takes its shards one by one.
 MOST_PARTITIONS = 16_384
 MESSAGE = "to long, frm long, stats array<long>, items array<binary>"
 _GROUP = 31
+#: In how many parts the last of several hops is gone.
+WAVES = 2
+#: Where receivers' notes to themselves begin, downwards (blocks' notes begin at -1), and bits of a receiver.
+_HELD, _RECEIVER = -(1 << 62), 57
 
 
 def starts(ordered: np.ndarray) -> np.ndarray:
@@ -166,23 +174,28 @@ def answer_of(rows: pa.Table, dense: int, ragged: int) -> Items:
     return items_of([r["items"] for r in _by_sender(rows) if r["items"] is not None], dense, ragged)
 
 
-def converse(asked: DataFrame, answer: Callable[[int, Items], tuple[Items, list[int] | None]], net: Net, question: tuple[int, int], reply: tuple[int, int]) -> DataFrame:
+def converse(asked: DataFrame, answer: Callable[[int, Items], tuple[Items, list[int] | None]], net: Net, question: tuple[int, int], reply: tuple[int, int], written: bool = False) -> DataFrame:
     """Messages to blocks with the answers to asked.
 
     answer: what a shard makes of all items that came to it, one answer for each, and numbers of its own that are summed
     over the shards (in `stats`). question, reply: how many dense and ragged columns items have. Notes come back as they are.
+    written: the messages are dealt out by block and written to the checkpoint folder.
     """
 
-    def passed_on(level: int):
+    def passed_on(level: int, wave: int, waves: int):
         def go(rows: pa.Table) -> pa.Table:
             to = rows.column("to")[0].as_py()
             if to < 0:
-                return rows
+                return rows if wave == 0 else rows.slice(0, 0)
             got = _by_sender(rows)
             shard = np.concatenate([unpack_ints(r["items"][0]) for r in got]).astype(np.int64)
             order = np.argsort(shard, kind="stable")
+            order = order[shard[order] % waves == wave]
             items = items_of([r["items"][1:] for r in got], *question).take(order)
-            return table(list(deal(net, level + 1, to, (to & ((1 << _GROUP) - 1)) // net.base, shard[order], items)))
+            out = list(deal(net, level + 1, to, (to & ((1 << _GROUP) - 1)) // net.base, shard[order], items))
+            if wave == 0:
+                out.append((_HELD - (level << _RECEIVER) - to, -1, None, [pack_ints(np.array([r["frm"] for r in got], np.uint64)), *[r["items"][0] for r in got]]))
+            return table(out)
 
         return go
 
@@ -192,33 +205,50 @@ def converse(asked: DataFrame, answer: Callable[[int, Items], tuple[Items, list[
             return rows
         got = _by_sender(rows)
         parts = [items_of([r["items"]], *question) for r in got]
-        sizes = [len(p) for p in parts]
+        sizes, senders = [len(p) for p in parts], [r["frm"] for r in got]
         whole = Items(_joined([p.dense for p in parts]), np.concatenate([p.times for p in parts]) if question[1] else None, _joined([p.ragged for p in parts]))
+        del parts, got  # each would be held beside the whole
         out, stats = answer(to >> _GROUP, whole)
-        return table([(r["frm"], to, None if k else stats, part.cells()) for k, (r, part) in enumerate(zip(got, out.split(np.cumsum(sizes)[:-1])))])
+        return table([(sender, to, None if k else stats, part.cells()) for k, (sender, part) in enumerate(zip(senders, out.split(np.cumsum(sizes)[:-1])))])
 
-    def handed_back(held: pa.Table, answers: pa.Table) -> pa.Table:
-        if not held.num_rows or held.column("to")[0].as_py() < 0:
-            return answers
-        got, told = _by_sender(held), _by_sender(answers)
-        shards = [unpack_ints(r["items"][0]).astype(np.int64) for r in got]
+    def handed_back(rows: pa.Table) -> pa.Table:
+        to = rows.column("to")[0].as_py()
+        if to < 0:
+            return rows
+        (_, held), *told = ((r["frm"], r) for r in _by_sender(rows))  # the note comes first
+        senders, shards = unpack_ints(held["items"][0]).tolist(), [unpack_ints(x).astype(np.int64) for x in held["items"][1:]]
+        told = [r for _, r in told]
         back = np.empty(sum(map(len, shards)), np.int64)
         back[np.argsort(np.concatenate(shards), kind="stable")] = np.arange(len(back))
         items = items_of([r["items"] for r in told], *reply).take(back)
         sums = [r["stats"] for r in told if r["stats"] is not None]
         stats = np.sum(sums, axis=0).tolist() if sums else None
-        to = held.column("to")[0].as_py()
-        return table([(r["frm"], to, None if k else stats, part.cells()) for k, (r, part) in enumerate(zip(got, items.split(np.cumsum([len(s) for s in shards])[:-1])))])
+        return table([(sender, to, None if k else stats, part.cells()) for k, (sender, part) in enumerate(zip(senders, items.split(np.cumsum([len(s) for s in shards])[:-1])))])
 
-    held, flow = [], asked
-    for level in range(1, net.levels):
-        held.append(cut_by(flow, "to"))
-        flow = held[-1].groupBy("to").applyInArrow(passed_on(level), MESSAGE)
     n = max(shuffle_partitions(asked.sparkSession), min(net.shards, MOST_PARTITIONS))
-    answers = flow.repartition(n, "to").groupBy("to").applyInArrow(answered, MESSAGE)
-    for kept in reversed(held):
-        answers = kept.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(handed_back, MESSAGE)
-    return answers.select(F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("to"), (F.col("to") < 0).alias("note"), "frm", "stats", "items")
+    if net.levels == 1:
+        answers = asked.repartition(n, "to").groupBy("to").applyInArrow(answered, MESSAGE)
+        waves = []
+    else:
+        flow = cut_by(asked, "to")
+        for level in range(1, net.levels - 1):
+            held, flow = flow, cut_by(flow.groupBy("to").applyInArrow(passed_on(level, 0, 1), MESSAGE), "to")
+            release(held)
+        last = [flow.groupBy("to").applyInArrow(passed_on(net.levels - 1, wave, WAVES), MESSAGE) for wave in range(WAVES)]
+        waves = [cut_settled(x.repartition(n, "to").groupBy("to").applyInArrow(answered, MESSAGE)) for x in last]
+        release(flow)
+        answers = reduce(DataFrame.union, waves)
+    for level in range(net.levels - 1, 0, -1):
+        receiver = F.lit(_HELD - (level << _RECEIVER)) - F.col("to")
+        own = F.when(receiver.between(0, (1 << _RECEIVER) - 1), receiver).otherwise(F.col("to"))
+        answers = answers.withColumn("to", own).groupBy("to").applyInArrow(handed_back, MESSAGE)
+    back = answers.select(F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("to"), (F.col("to") < 0).alias("note"), "frm", "stats", "items")
+    if not written:
+        return back
+    back = cut_by(back, "to")
+    for wave in waves:
+        release(wave)
+    return back
 
 
 def summed(messages: DataFrame) -> list[int]:

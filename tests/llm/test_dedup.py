@@ -1,7 +1,9 @@
 """Repeat removal and near-duplicates against brute force."""
 
 import hashlib
+import os
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -66,6 +68,21 @@ def test_a_receiver_at_a_hop_holds_about_what_a_block_sends(blocks, shards):
         group //= net.base
 
 
+def test_what_receivers_held_is_let_go(odd, rows, monkeypatch):
+    from offerlens.llm import common, routing
+
+    files = []
+
+    def release(written):
+        files.append(written._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+        assert os.listdir(urlparse(files[-1]).path)
+        common.release(written)
+
+    monkeypatch.setattr(routing, "release", release)
+    found = Counter(tuple(r) for r in rindex_dedup.remove_repeats(odd, hot=100, fan=3, shard_bytes=4_000).collect())
+    assert found == brute_repeats(rows) and files and not any(os.path.exists(urlparse(f).path) for f in files)
+
+
 def test_repeats_of_an_empty_table(empty):
     assert rindex_dedup.remove_repeats(empty).collect() == []
 
